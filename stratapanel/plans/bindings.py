@@ -1,7 +1,17 @@
-"""Frames the queries share: panels, datasets, scores and the strategy suite."""
+"""Frames the queries share: panels, datasets, scores and the strategy suite.
+
+A panel is the one reduction of the big scan; reports then read it many times.
+So each shared frame is computed once per session and folder and persisted
+(memory, then disk).  Lineage is kept: a lost block is recomputed, and because
+bars are exact sums it comes back identical.  Persisted frames also carry their
+true size, which the join and ranking choices rely on.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stratapanel.operators import ledger as L, metrics as M, ranking as R, timeseries as T
@@ -12,34 +22,95 @@ SUBPERIODS = [
     ("period_1", "1995-06-01", "1996-12-31"), ("period_2", "1997-01-01", "1998-12-31"),
     ("period_3", "1999-01-01", "1999-12-31"), ("period_4", "2000-01-01", "2001-12-31"),
 ]
+_SHARED: dict[tuple[str, str, str], DataFrame] = {}
 
 
-def brand(s: SparkSession, d: str) -> DataFrame:
-    return P.brand_months(s, d)
+def shared(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """Persist the frame on first use in a session."""
+    def get(spark: SparkSession, folder: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, folder.rstrip("/"), build.__name__)
+        if key not in _SHARED:
+            frame = build(spark, folder).persist(StorageLevel.MEMORY_AND_DISK)
+            frame.count()
+            _SHARED[key] = frame
+        return _SHARED[key]
+
+    get.__name__, get.__doc__ = build.__name__, build.__doc__
+    return get
+
+
+def release(spark: SparkSession) -> None:
+    """Drop every frame shared in this session."""
+    for key in [k for k in _SHARED if k[0] == spark.sparkContext.applicationId]:
+        _SHARED.pop(key).unpersist()
 
 
 def closes(panel: DataFrame) -> DataFrame:
     return panel.select("date", "ticker", "close")
 
 
+@shared
+def brand(s: SparkSession, d: str) -> DataFrame:
+    return P.brand_months(s, d)
+
+
+@shared
+def supplier(s: SparkSession, d: str) -> DataFrame:
+    return P.supplier_months(s, d)
+
+
+@shared
+def nation_days(s: SparkSession, d: str) -> DataFrame:
+    return P.nation_days(s, d)
+
+
+@shared
+def region_days(s: SparkSession, d: str) -> DataFrame:
+    return P.region_days(s, d)
+
+
+@shared
+def market(s: SparkSession, d: str) -> DataFrame:
+    return P.market_panel(s, d)
+
+
+@shared
+def benchmark(s: SparkSession, d: str) -> DataFrame:
+    return P.benchmark_months(s, d)
+
+
+@shared
+def membership(s: SparkSession, d: str) -> DataFrame:
+    return P.supplier_membership(s, d, supplier(s, d))
+
+
+def feed(s: SparkSession, d: str) -> DataFrame:
+    return P.vendor_feed(market(s, d))
+
+
+@shared
 def brand_dataset(s, d) -> DataFrame:
-    return T.labelled_dataset(closes(P.brand_months(s, d)), P.benchmark_months(s, d))
+    return T.labelled_dataset(closes(brand(s, d)), benchmark(s, d))
 
 
+@shared
 def supplier_dataset(s, d) -> DataFrame:
-    return T.labelled_dataset(closes(P.supplier_months(s, d)), P.benchmark_months(s, d))
+    return T.labelled_dataset(closes(supplier(s, d)), benchmark(s, d))
 
 
+@shared
 def brand_scores(s, d) -> DataFrame:
     return R.baseline_score(brand_dataset(s, d))
 
 
+@shared
 def supplier_scores(s, d) -> DataFrame:
     return R.baseline_score(supplier_dataset(s, d))
 
 
+@shared
 def suite_positions(s, d) -> DataFrame:
-    months = closes(P.brand_months(s, d))
+    months = closes(brand(s, d))
     return (
         L.momentum_positions(months, 3, 0, 5, "momentum_3m_equal")
         .unionByName(L.momentum_positions(months, 12, 1, 5, "momentum_12_1_equal"))
@@ -49,7 +120,7 @@ def suite_positions(s, d) -> DataFrame:
 
 def suite_candidates(s, d, depth: int) -> DataFrame:
     """Ranked names down to ``depth`` per strategy and signal, with outcomes."""
-    months = closes(P.brand_months(s, d))
+    months = closes(brand(s, d))
     scores = brand_scores(s, d).where(F.col("target_date").isNotNull())
     ranked = R.top_n(scores, ("date",), "ml_score", depth).select(
         F.lit("ml").alias("strategy"), F.col("date").alias("signal_date"), F.col("target_date").alias("date"),
@@ -62,22 +133,25 @@ def suite_candidates(s, d, depth: int) -> DataFrame:
     )
 
 
+@shared
 def suite_ledger(s, d) -> DataFrame:
     return L.periods(suite_positions(s, d))
 
 
+@shared
 def bench(s, d) -> DataFrame:
-    return T.benchmark_returns(P.benchmark_months(s, d))
+    return T.benchmark_returns(benchmark(s, d))
 
 
-def returns(s, d, ledger: DataFrame | None = None) -> DataFrame:
-    own = L.net_returns(suite_ledger(s, d) if ledger is None else ledger)
+def returns(s, d) -> DataFrame:
+    own = L.net_returns(suite_ledger(s, d))
     base = bench(s, d).where(F.col("bench").isNotNull()).select(
         F.lit("benchmark").alias("strategy"), "date", F.col("bench").alias("ret")
     )
     return own.unionByName(base)
 
 
+@shared
 def common(s, d) -> DataFrame:
     return M.common_period(returns(s, d), len(STRATEGIES) + 1)
 

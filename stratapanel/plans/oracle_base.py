@@ -136,14 +136,15 @@ def ledger(p: str, keys: str = "strategy", cost: str = "10") -> str:
     same = " AND ".join(f"a.{k} = b.{k}" for k in ks)
     pick = ", ".join(f"coalesce(a.{k}, b.{k}) AS {k}" for k in ks)
     frag(f"{p}_seq", f"SELECT *, dense_rank() OVER (PARTITION BY {keys} ORDER BY signal_date) AS seq FROM {p}")
-    frag(f"{p}_dr", f"SELECT *, weight * (1 + asset_return) / sum(weight * (1 + asset_return)) OVER (PARTITION BY {keys}, seq) AS drift FROM {p}_seq")
+    g = f"OVER (PARTITION BY {keys}, seq)"
+    frag(f"{p}_dr", f"SELECT *, CASE WHEN count(*) {g} = count(asset_return) {g} THEN weight * (1 + asset_return) / sum(weight * (1 + asset_return)) {g} END AS drift FROM {p}_seq")
     frag(f"{p}_tr0", f"""SELECT {pick}, coalesce(a.seq, b.seq + 1) AS seq, coalesce(a.ticker, b.ticker) AS ticker,
-      coalesce(a.weight, 0) AS target_weight, coalesce(b.drift, 0) AS pretrade_weight, a.asset_return, a.signal_date AS sd, a.date AS dt
+      coalesce(a.weight, 0) AS target_weight, CASE WHEN b.ticker IS NULL THEN 0 ELSE b.drift END AS pretrade_weight, a.asset_return, a.signal_date AS sd, a.date AS dt
       FROM {p}_dr a FULL OUTER JOIN {p}_dr b ON {same} AND a.ticker = b.ticker AND a.seq = b.seq + 1""")
     frag(f"{p}_tr", f"""SELECT * FROM (SELECT *, max(sd) OVER (PARTITION BY {keys}, seq) AS signal_date,
       max(dt) OVER (PARTITION BY {keys}, seq) AS date FROM {p}_tr0) WHERE signal_date IS NOT NULL""")
-    frag(f"{p}_led0", f"""SELECT {keys}, seq, max(signal_date) AS signal_date, max(date) AS date, sum(target_weight * asset_return) AS gross_return,
-      CASE WHEN seq = 1 THEN 1.0 ELSE sum(abs(target_weight - pretrade_weight)) / 2 END AS turnover, count(sd) AS holdings,
+    frag(f"{p}_led0", f"""SELECT {keys}, seq, max(signal_date) AS signal_date, max(date) AS date, CASE WHEN count(sd) = count(asset_return) THEN sum(target_weight * asset_return) END AS gross_return,
+      CASE WHEN seq = 1 THEN 1.0 WHEN count(pretrade_weight) = count(*) THEN sum(abs(target_weight - pretrade_weight)) / 2 END AS turnover, count(sd) AS holdings,
       sum(target_weight * target_weight) AS hhi FROM {p}_tr GROUP BY {keys}, seq""")
     frag(f"{p}_led", f"SELECT *, turnover * {cost} / 10000 AS transaction_cost, gross_return - turnover * {cost} / 10000 AS net_return FROM {p}_led0")
     return f"{p}_led"

@@ -9,16 +9,15 @@ from stratapanel.operators import metrics as M, universe as U
 from stratapanel.plans import bindings as B
 from stratapanel.plans.oracle_base import FEATURES, evaluated, frag, ledger, momentum_pos, out, query, score_pos
 from stratapanel.plans.registry import register
-from stratapanel.sources import panels as P
 
 FEATS = " ".join(FEATURES)
-MONTHS = lambda s, d: B.closes(P.brand_months(s, d))
-DAYS = lambda s, d: B.closes(P.region_days(s, d))
+MONTHS = lambda s, d: B.closes(B.brand(s, d))
+DAYS = lambda s, d: B.closes(B.region_days(s, d))
 
 # --- F: features -----------------------------------------------------------
 register(
     "f1_month_end",
-    lambda s, d: T.last_observation_by_month(P.nation_days(s, d)).select("date", "ticker", "close"),
+    lambda s, d: T.last_observation_by_month(B.nation_days(s, d)).select("date", "ticker", "close"),
     out("px_n", "date ticker", "close", where="date IN (SELECT max(date) FROM px_n GROUP BY date_trunc('month', date))"),
 )
 register(
@@ -33,7 +32,7 @@ register(
 )
 register(
     "f4_momentum_skip",
-    lambda s, d: T.momentum(B.closes(P.supplier_months(s, d)), 12, 1, "momentum_12_1").select("date", "ticker", "momentum_12_1"),
+    lambda s, d: T.momentum(B.closes(B.supplier(s, d)), 12, 1, "momentum_12_1").select("date", "ticker", "momentum_12_1"),
     out("lag_s", "date ticker", "momentum_12_1", where="momentum_12_1 IS NOT NULL"),
 )
 register(
@@ -76,7 +75,7 @@ register(
         where="date = (SELECT max(date) FROM px_r) AND " + " AND ".join(f"{c} IS NOT NULL" for c in FACTORS.split())),
 )
 register(
-    "f11_feature_panel", lambda s, d: T.feature_panel(B.closes(P.supplier_months(s, d))),
+    "f11_feature_panel", lambda s, d: T.feature_panel(B.closes(B.supplier(s, d))),
     out("feat_s", "date ticker", FEATS, where="close IS NOT NULL"),
 )
 register(
@@ -90,7 +89,7 @@ ADV = """(SELECT date, ticker, CASE WHEN count(d) OVER w = {n} THEN avg(d) OVER
 frag("adv_b", ADV.format(n=3, x="b")[1:-1])
 register(
     "f13_adv",
-    lambda s, d: T.average_dollar_volume(RAW(P.region_days(s, d)), 20).select("date", "ticker", "adv"),
+    lambda s, d: T.average_dollar_volume(RAW(B.region_days(s, d)), 20).select("date", "ticker", "adv"),
     out(ADV.format(n=20, x="r"), "date ticker", "adv", where="adv IS NOT NULL"),
 )
 frag("fwd", " UNION ALL ".join(
@@ -98,14 +97,14 @@ frag("fwd", " UNION ALL ".join(
 frag("bfwd", " UNION ALL ".join(
     f"SELECT date, {h} AS horizon, lead(close, {h}) OVER (ORDER BY date) / close - 1 AS horizon_benchmark_return FROM bm" for h in (1, 2, 3)))
 register(
-    "f14_forward_returns", lambda s, d: T.forward_returns(B.closes(P.supplier_months(s, d)), P.benchmark_months(s, d)),
+    "f14_forward_returns", lambda s, d: T.forward_returns(B.closes(B.supplier(s, d)), B.benchmark(s, d)),
     query("""SELECT f.date, f.ticker, CAST(f.horizon AS BIGINT) AS horizon, round(horizon_return, 6) + 0.0 AS horizon_return,
       round(horizon_benchmark_return, 6) + 0.0 AS horizon_benchmark_return FROM fwd f LEFT JOIN bfwd b ON f.date = b.date AND f.horizon = b.horizon
       WHERE f.close IS NOT NULL"""),
 )
 frag("tick_ret", "SELECT ticker, date, momentum_1m AS ret FROM lag_s WHERE momentum_1m IS NOT NULL")
 frag("tick_path_w", "SELECT *, product(1 + ret) OVER (PARTITION BY ticker ORDER BY date) AS wealth FROM tick_ret")
-TICK_RET = lambda s, d: T.simple_returns(B.closes(P.supplier_months(s, d))).select("ticker", "date", "ret")
+TICK_RET = lambda s, d: T.simple_returns(B.closes(B.supplier(s, d))).select("ticker", "date", "ret")
 register(
     "f15_wealth", lambda s, d: T.wealth_path(TICK_RET(s, d), ("ticker",)).select("ticker", "date", "wealth"),
     out("tick_path_w", "ticker date", "wealth"),
@@ -119,7 +118,7 @@ register(
 # --- R: ranks --------------------------------------------------------------
 register(
     "r1_top_n",
-    lambda s, d: R.top_n(T.momentum(B.closes(P.supplier_months(s, d)), 3), ("date",), "momentum", 5).select("date", "ticker", "momentum", "rank"),
+    lambda s, d: R.top_n(T.momentum(B.closes(B.supplier(s, d)), 3), ("date",), "momentum", 5).select("date", "ticker", "momentum", "rank"),
     query("""SELECT date, ticker, round(momentum_3m, 6) + 0.0 AS momentum, rank FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY momentum_3m DESC, ticker) AS rank
       FROM lag_s WHERE momentum_3m IS NOT NULL) WHERE rank <= 5"""),
 )
@@ -132,7 +131,7 @@ register(
 register(
     "r3_dense_rank",
     lambda s, d: R.ranked(
-        T.on_calendar(B.closes(P.supplier_months(s, d))).withColumn("m", T.change("close", 6)), ("date",), "m", "rank_6m", descending=True
+        T.on_calendar(B.closes(B.supplier(s, d))).withColumn("m", T.change("close", 6)), ("date",), "m", "rank_6m", descending=True
     ).select("date", "ticker", "rank_6m"),
     query("""SELECT date, ticker, row_number() OVER (PARTITION BY date ORDER BY momentum_6m DESC NULLS LAST, ticker) AS rank_6m
       FROM lag_s WHERE close IS NOT NULL"""),
@@ -273,7 +272,7 @@ register(
 frag("poss", score_pos("ml", "s", 25))
 ledger("poss")
 register(
-    "b2_score_ledger", lambda s, d: L.periods(L.score_positions(B.supplier_scores(s, d), 25)),
+    "b2_score_ledger", lambda s, d: L.periods(L.score_positions(B.supplier_scores(s, d), 25), strict=False),
     out("poss_led", "strategy signal_date date", LED, "seq holdings"),
 )
 register(
@@ -341,7 +340,7 @@ evaluated("tops_m", "tops_r", "top_n", active=False)
 
 
 def topn_sensitivity(s, d):
-    led = L.periods(L.top_n_scenarios(B.supplier_scores(s, d), SIZES), ("top_n",))
+    led = L.periods(L.top_n_scenarios(B.supplier_scores(s, d), SIZES), ("top_n",), strict=False)
     perf = M.performance(led.withColumn("ret", F.col("net_return")), ("top_n",))
     return perf.join(led.groupBy("top_n").agg(
         F.avg("turnover").alias("average_turnover"), F.avg(1 / F.col("hhi")).alias("average_effective_holdings"),

@@ -97,13 +97,12 @@ def region_days(spark: SparkSession, folder: str) -> DataFrame:
     return _bars(lines.join(place, lines.l_suppkey == place.s_suppkey), F.col("r_name"), F.to_date("l_shipdate"))
 
 
-def vendor_feed(spark: SparkSession, folder: str) -> DataFrame:
+def vendor_feed(panel: DataFrame) -> DataFrame:
     """Market panel with faults planted by volume, and an arrival order.
 
     Rows whose volume hits a multiple get a bad price, a bad volume or a second
     copy; arrival goes by weekday, so dates run backwards.
     """
-    panel = market_panel(spark, folder)
     v, raw = F.col("volume"), F.col("raw_close")
     days = F.datediff("date", F.lit("1990-01-01").cast("date"))
     bad = panel.select(
@@ -187,9 +186,8 @@ def supplier_sectors(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def supplier_membership(spark: SparkSession, folder: str) -> DataFrame:
+def supplier_membership(spark: SparkSession, folder: str, months: DataFrame) -> DataFrame:
     """Half-open membership intervals per supplier; every fifth one ends."""
-    months = supplier_months(spark, folder)
     span = months.groupBy("ticker").agg(F.min("date").alias("effective_from"))
     ends = F.col("ticker").cast("bigint") % 5 == 0
     return span.join(supplier_sectors(spark, folder), "ticker", "left").select(
