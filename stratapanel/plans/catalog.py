@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stratapanel.plans import series_queries  # noqa: F401
+from stratapanel.plans import report_queries, series_queries  # noqa: F401
 from stratapanel.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
