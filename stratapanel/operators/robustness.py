@@ -68,18 +68,22 @@ def leave_one_out_details(reruns: DataFrame, baseline: DataFrame, bench: DataFra
     b = baseline.select("strategy", "date", F.col("ret").alias("_base"))
     rows = reruns.join(b, ["strategy", "date"]).join(F.broadcast(bench), "date").dropna(subset=["ret", "_base", "bench"])
     names = ("annual_return", "sharpe", "max_drawdown", "information_ratio")
-    again = evaluate(rows, ("strategy", "removed_ticker"))
-    keep = [c for c in again.columns if c not in ("strategy", "removed_ticker")]
+    # A re-run is compared with the baseline on its own dates: both paths of a
+    # scenario go through one aggregation.
+    both = evaluate(
+        rows.select("strategy", "removed_ticker", "date", "bench", F.inline(F.array(
+            F.struct(F.lit(True).alias("_new"), F.col("ret")), F.struct(F.lit(False).alias("_new"), F.col("_base").alias("ret")),
+        ))), ("strategy", "removed_ticker", "_new"),
+    )
+    keep = [c for c in both.columns if c not in ("strategy", "removed_ticker", "_new")]
+    own = lambda n, new: F.max(F.when(F.col("_new") == new, F.col(n)))
+    again = both.groupBy("strategy", "removed_ticker").agg(
+        *[own(n, True).alias(n) for n in keep], *[own(n, False).alias(f"_pair_{n}") for n in names],
+    )
     same = evaluate(baseline.join(F.broadcast(bench), "date"), ("strategy",))
     base = same.select("strategy", *[F.col(n).alias(f"_own_{n}") for n in keep])
-    # A re-run is compared with the baseline on its own dates.
-    paired = evaluate(rows.withColumn("ret", F.col("_base")), ("strategy", "removed_ticker")).select(
-        "strategy", "removed_ticker", *[F.col(n).alias(f"_pair_{n}") for n in names]
-    )
     grid = _strategy_tickers(base, tickers)
-    out = grid.join(again.withColumn("_hit", F.lit(True)), ["strategy", "removed_ticker"], "left").join(
-        paired, ["strategy", "removed_ticker"], "left"
-    )
+    out = grid.join(again.withColumn("_hit", F.lit(True)), ["strategy", "removed_ticker"], "left")
     hit = F.coalesce("_hit", F.lit(False))
     value = {n: F.when(hit, F.col(n)).otherwise(F.col(f"_own_{n}")) for n in keep}
     before = {n: F.when(hit, F.col(f"_pair_{n}")).otherwise(F.col(f"_own_{n}")) for n in names}

@@ -1,20 +1,21 @@
 """Frames the queries share: panels, datasets, scores and the strategy suite.
 
 A panel is the one reduction of the big scan; reports then read it many times.
-So each shared frame is computed once per session and folder and persisted
-(memory, then disk).  Lineage is kept: a lost block is recomputed, and because
-bars are exact sums it comes back identical.  Persisted frames also carry their
-true size, which the join and ranking choices rely on.
+So each shared frame is computed once per session and folder, written as a
+Parquet table to the cluster's shared folder and read back.  That cuts the
+lineage (short plans, nothing to recompute when an executor is lost) and gives
+the optimizer exact sizes, column pruning and pushdown.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stratapanel.operators import ledger as L, metrics as M, ranking as R, timeseries as T
+from stratapanel.session import shared_folder
 from stratapanel.sources import panels as P
 
 STRATEGIES = ("momentum_3m_equal", "momentum_12_1_equal", "ml")
@@ -26,13 +27,14 @@ _SHARED: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def shared(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    """Persist the frame on first use in a session."""
+    """Compute the frame on first use in a session and keep it as a table."""
     def get(spark: SparkSession, folder: str) -> DataFrame:
         key = (spark.sparkContext.applicationId, folder.rstrip("/"), build.__name__)
         if key not in _SHARED:
-            frame = build(spark, folder).persist(StorageLevel.MEMORY_AND_DISK)
-            frame.count()
-            _SHARED[key] = frame
+            frame = build(spark, folder)
+            path = f"{shared_folder(spark)}/stratapanel/{key[0]}/{uuid.uuid4().hex}/{build.__name__}"
+            frame.write.parquet(path)
+            _SHARED[key] = spark.read.schema(frame.schema).parquet(path)
         return _SHARED[key]
 
     get.__name__, get.__doc__ = build.__name__, build.__doc__
@@ -40,9 +42,9 @@ def shared(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSe
 
 
 def release(spark: SparkSession) -> None:
-    """Drop every frame shared in this session."""
+    """Forget every frame shared in this session; the next use recomputes it."""
     for key in [k for k in _SHARED if k[0] == spark.sparkContext.applicationId]:
-        _SHARED.pop(key).unpersist()
+        del _SHARED[key]
 
 
 def closes(panel: DataFrame) -> DataFrame:
@@ -166,3 +168,14 @@ def common_positions(s, d) -> DataFrame:
 
 def common_ledger(s, d) -> DataFrame:
     return suite_ledger(s, d).join(F.broadcast(common_dates(s, d)), "date", "left_semi")
+
+
+@shared
+def leave_one_out_ledger(s, d) -> DataFrame:
+    return L.periods(L.leave_one_out(suite_candidates(s, d, 6), 5), ("strategy", "removed_ticker"))
+
+
+@shared
+def delayed_ledger(s, d) -> DataFrame:
+    moved = L.delayed_positions(suite_positions(s, d), closes(brand(s, d)))
+    return L.periods(moved.drop("execution_date"))

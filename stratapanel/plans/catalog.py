@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from stratapanel.plans import report_queries, series_queries  # noqa: F401
+# Later modules use oracle fragments of earlier ones.
+from stratapanel.plans import series_queries  # noqa: F401
+from stratapanel.plans import report_queries  # noqa: F401
+from stratapanel.plans import data_queries  # noqa: F401
+from stratapanel.plans import live_queries  # noqa: F401
+from stratapanel.plans import model_queries  # noqa: F401
 from stratapanel.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import re
 
+from stratapanel.plans.registry import EXACT
+
 FRAGMENTS: dict[str, str] = {}
 _WORD = re.compile(r"[A-Za-z_][A-Za-z_0-9]*")
 
@@ -36,7 +38,9 @@ def query(final: str) -> str:
 def out(source: str, plain: str = "", dbl: str = "", big: str = "", where: str = "") -> str:
     """Final SELECT: doubles rounded to 6 places, counts as BIGINT."""
     columns = plain.split()
-    columns += [f"round(CAST({c} AS DOUBLE), 6) + 0.0 AS {c}" for c in dbl.split()]
+    columns += [
+        f"CAST({c} AS DOUBLE) AS {c}" if c in EXACT else f"round(CAST({c} AS DOUBLE), 6) + 0.0 AS {c}" for c in dbl.split()
+    ]
     columns += [f"CAST({c} AS BIGINT) AS {c}" for c in big.split()]
     return query(f"SELECT {', '.join(columns)} FROM {source}" + (f" WHERE {where}" if where else ""))
 

@@ -10,11 +10,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+#: Bar-level columns are quotients of exact sums, equal to the last bit on every
+#: engine; rounding them could only split exact decimal ties differently.
+EXACT = {"open", "close", "raw_close", "adjusted_close", "volume", "dividends", "stock_splits", "value", "reference_price"}
+
+
 def finish(df: DataFrame) -> DataFrame:
     """Report types: doubles to 6 places, every count as BIGINT."""
     def column(f):
         kind = f.dataType.typeName()
-        if kind == "double":
+        if kind == "double" and f.name not in EXACT:
             return F.round(F.col(f.name), 6).alias(f.name)
         if kind in ("integer", "short", "byte"):
             return F.col(f.name).cast("bigint").alias(f.name)

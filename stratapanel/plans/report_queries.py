@@ -117,22 +117,22 @@ register("a16_subperiod_stability", lambda s, d: M.subperiod_stability(SUB(s, d)
 def rolling_sql(name: str, n: int) -> str:
     """Rolling metrics as a self join of each window: a different route."""
     frag(f"{name}_i", "SELECT strategy, date, ret, bench, row_number() OVER (PARTITION BY strategy ORDER BY date) AS i FROM cb")
-    frag(f"{name}_p", f"""SELECT a.strategy, a.i AS k, a.date AS at, b.date, b.ret, b.bench FROM {name}_i a JOIN {name}_i b
+    frag(f"{name}_p", f"""SELECT a.strategy, a.i AS k, a.date AS k2, b.date, b.ret, b.bench FROM {name}_i a JOIN {name}_i b
       ON a.strategy = b.strategy AND b.i BETWEEN a.i - {n - 1} AND a.i WHERE a.i >= {n}""")
-    evaluated(f"{name}_e", f"{name}_p", "strategy, at")
+    evaluated(f"{name}_e", f"{name}_p", "strategy, k2")
     return f"{name}_e"
 
 
 rolling_sql("r12", 12)
 ROLL = "annualized_return annualized_volatility sharpe_ratio beta tracking_error information_ratio maximum_drawdown"
 frag("roll12", """SELECT c.strategy, c.date, e.annual_return AS annualized_return, e.annual_volatility AS annualized_volatility, e.sharpe AS sharpe_ratio, e.beta,
-  e.tracking_error, e.information_ratio, e.max_drawdown AS maximum_drawdown FROM cb c LEFT JOIN r12_e e ON e.strategy = c.strategy AND e.at = c.date""")
+  e.tracking_error, e.information_ratio, e.max_drawdown AS maximum_drawdown FROM cb c LEFT JOIN r12_e e ON e.strategy = c.strategy AND e.k2 = c.date""")
 register(
     "a17_rolling_risk", lambda s, d: M.rolling_risk(B.common(s, d), 12).drop("start_date", "complete", "annual_active_return"),
     out("roll12", "strategy date", ROLL),
 )
 rolling_sql("r24", 24)
-frag("roll24", """SELECT strategy, start_date, at AS date, observations, annual_return, annual_volatility, sharpe, max_drawdown,
+frag("roll24", """SELECT strategy, start_date, k2 AS date, observations, annual_return, annual_volatility, sharpe, max_drawdown,
   CASE WHEN strategy <> 'benchmark' THEN annual_active_return END AS annual_active_return, CASE WHEN strategy <> 'benchmark' THEN tracking_error END AS tracking_error,
   CASE WHEN strategy <> 'benchmark' THEN information_ratio END AS information_ratio FROM r24_e""")
 ROLL24 = lambda s, d: M.rolling_robustness(B.common(s, d), 24)

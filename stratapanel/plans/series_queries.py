@@ -293,7 +293,7 @@ register(
 frag("delayed", """SELECT p.strategy, p.signal_date, c.next_date AS date, p.date AS execution_date, p.ticker, p.weight, g.future_return AS asset_return
   FROM pos p JOIN cal_b c ON c.date = p.date AND c.next_date IS NOT NULL LEFT JOIN lag_b g ON g.date = p.date AND g.ticker = p.ticker""")
 ledger("delayed")
-DELAYED = lambda s, d: L.periods(L.delayed_positions(B.suite_positions(s, d), MONTHS(s, d)).drop("execution_date"))
+DELAYED = B.delayed_ledger
 register(
     "b5_delayed_ledger", DELAYED, out("delayed_led", "strategy signal_date date", LED, "seq holdings"),
 )
@@ -306,7 +306,7 @@ register(
     out("costed", "strategy signal_date", "transaction_cost net_return", "cost_bps"),
 )
 LOO_KEYS = ("strategy", "removed_ticker")
-LOO = lambda s, d: L.periods(L.leave_one_out(B.suite_candidates(s, d, 6), 5), LOO_KEYS)
+LOO = B.leave_one_out_ledger
 
 
 def _candidates(depth: int) -> str:
