@@ -12,7 +12,8 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stratapanel.operators.timeseries import FEATURES
 from stratapanel.session import shared_folder
@@ -47,31 +48,33 @@ class Forest:
     trees: dict[str, list[dict]] = field(default_factory=dict)
 
 
-_TREE = T.StructType([
-    T.StructField("feature", T.ArrayType(T.IntegerType())),
-    T.StructField("threshold", T.ArrayType(T.IntegerType())),
-    T.StructField("value", T.ArrayType(T.DoubleType())),
+_TREE = pa.struct([
+    ("feature", pa.list_(pa.int32())), ("threshold", pa.list_(pa.int32())), ("value", pa.list_(pa.float64())),
 ])
 
 
+def local_table(spark, rows: list[dict], schema: pa.Schema) -> DataFrame:
+    """Driver-side parameters as a local relation (no Python workers)."""
+    return spark.createDataFrame(pa.Table.from_pylist(rows, schema=schema))
+
+
 def _empty(depth: int) -> dict:
     return {"feature": [-1] * 2**depth, "threshold": [0] * 2**depth, "value": [0.0] * 2 ** (depth + 1)}
 
 
-def _node(tree: Column, bins: Column, depth: int) -> Column:
-    """Heap number of the node a row reaches in a (possibly partial) tree."""
-    def down(node, _):
-        split = F.when(node < 2**depth, F.element_at(tree["feature"], F.least(node, F.lit(2**depth - 1)) + 1)).otherwise(-1)
-        right = F.element_at(bins, F.greatest(split, F.lit(0)) + 1) > F.element_at(tree["threshold"], F.least(node, F.lit(2**depth - 1)) + 1)
-        return F.when(split >= 0, node * 2 + right.cast("int")).otherwise(node)
+def _node(tree: str, depth: int) -> str:
+    """SQL for the heap number a row's ``bins`` reach in a (partial) tree."""
+    at = f"least(node, {2**depth - 1})"
+    split = f"{tree}.feature[{at}]"
+    return (
+        f"aggregate(array_repeat(0, {depth}), 1, (node, i) -> IF(node < {2**depth} AND {split} >= 0, "
+        f"2 * node + CAST(bins[greatest({split}, 0)] > {tree}.threshold[{at}] AS INT), node))"
+    )
 
-    return F.aggregate(F.array(*[F.lit(0)] * depth), F.lit(1), down)
 
-
-def _margin(start: Column, trees: Column, bins: Column, depth: int) -> Column:
-    return F.aggregate(
-        trees, start, lambda acc, t: acc + F.element_at(t["value"], _node(t, bins, depth) + 1)
-    )
+def _margin(start: str, depth: int) -> Column:
+    """Log-odds: ``start`` plus the leaf value of every tree in ``trees``."""
+    return F.expr(f"aggregate(trees, {start}, (acc, t) -> acc + t.value[{_node('t', depth)}])")
 
 
 def training_sets(dataset: DataFrame, cutoffs: DataFrame, settings: tuple[Setting, ...]) -> DataFrame:
@@ -114,44 +117,40 @@ def _stored(df: DataFrame, name: str) -> DataFrame:
 
 def _state(spark, forest: Forest, current: dict[str, dict], since: int) -> DataFrame:
     """One row per model: trees not yet in the stored margins, and the open one."""
-    rows = [
-        (m, [(t["feature"], t["threshold"], t["value"]) for t in forest.trees[m][since:]],
-         (c["feature"], c["threshold"], c["value"]))
-        for m, c in current.items()
-    ]
-    schema = T.StructType([
-        T.StructField("model", T.StringType()), T.StructField("trees", T.ArrayType(_TREE)), T.StructField("open", _TREE),
-    ])
-    return spark.createDataFrame(rows, schema)
+    return local_table(spark, [
+        {"model": m, "trees": forest.trees[m][since:], "open": c} for m, c in current.items()
+    ], pa.schema([("model", pa.string()), ("trees", pa.list_(_TREE)), ("open", _TREE)]))
+
+
+_SPLITS = f"""
+WITH stats AS (
+  SELECT model, l2, max_depth, bins, node, 1 / (1 + exp(-m)) - label AS g, exp(-m) / pow(1 + exp(-m), 2) AS h FROM {{rows}}
+), cells AS (
+  SELECT model, l2, max_depth, node, feature, bin, sum(g) AS g, sum(h) AS h, count(*) AS n
+  FROM stats LATERAL VIEW posexplode(bins) AS feature, bin GROUP BY ALL
+), running AS (
+  SELECT *, sum(g) OVER left_of AS lg, sum(h) OVER left_of AS lh, sum(n) OVER left_of AS ln,
+    sum(g) OVER every AS tg, sum(h) OVER every AS th, sum(n) OVER every AS tn
+  FROM cells WINDOW every AS (PARTITION BY model, node, feature), left_of AS (PARTITION BY model, node, feature ORDER BY bin)
+), gains AS (
+  SELECT *, CASE WHEN least(ln, tn - ln) >= {MIN_LEAF_ROWS} AND least(lh, th - lh) >= {MIN_LEAF_HESSIAN} THEN
+    lg * lg / greatest(lh + l2, 1e-12) + (tg - lg) * (tg - lg) / greatest(th - lh + l2, 1e-12) - tg * tg / greatest(th + l2, 1e-12)
+    END AS gain FROM running
+)
+SELECT model, node, max(gain) AS gain, max(l2) AS l2, max(max_depth) AS max_depth, max(tg) AS tg, max(th) AS th,
+  max_by(struct(feature, bin, lg, lh, tg, th), struct(gain, -feature, -bin)) AS s
+FROM gains GROUP BY model, node
+"""
 
 
 def _best_splits(rows: DataFrame, depth: int) -> list:
-    """Best split of each open node: one aggregation over all models."""
-    p = 1.0 / (1.0 + F.exp(-F.col("_m")))
-    stats = rows.select(
-        "model", "l2", "max_depth", "bins", _node(F.col("open"), F.col("bins"), depth).alias("node"),
-        (p - F.col("label")).alias("g"), (p * (1.0 - p)).alias("h"),
-    )
-    cells = stats.select("model", "l2", "max_depth", "node", "g", "h", F.posexplode("bins").alias("feature", "bin"))
-    hist = cells.groupBy("model", "l2", "max_depth", "node", "feature", "bin").agg(
-        F.sum("g").alias("g"), F.sum("h").alias("h"), F.count(F.lit(1)).alias("n")
-    )
-    group = Window.partitionBy("model", "node", "feature")
-    left = group.orderBy("bin")
-    cum = hist.select(
-        "model", "l2", "max_depth", "node", "feature", "bin",
-        *[F.sum(c).over(left).alias(f"l{c}") for c in "ghn"], *[F.sum(c).over(group).alias(f"t{c}") for c in "ghn"],
-    )
-    term = lambda g, h: g * g / F.greatest(h + F.col("l2"), F.lit(1e-12))
-    rg, rh, rn = (F.col(f"t{c}") - F.col(f"l{c}") for c in "ghn")
-    gain = term(F.col("lg"), F.col("lh")) + term(rg, rh) - term(F.col("tg"), F.col("th"))
-    allowed = (F.least(F.col("ln"), rn) >= MIN_LEAF_ROWS) & (F.least(F.col("lh"), rh) >= MIN_LEAF_HESSIAN)
-    best = cum.withColumn("gain", F.when(allowed, gain)).groupBy("model", "node").agg(
-        F.max("gain").alias("gain"), F.max("l2").alias("l2"), F.max("max_depth").alias("max_depth"),
-        F.max_by(F.struct("feature", "bin", "lg", "lh", "tg", "th"), F.struct("gain", -F.col("feature"), -F.col("bin"))).alias("s"),
-        F.max("tg").alias("tg"), F.max("th").alias("th"),
-    )
-    return best.collect()  # models x open nodes rows: tree parameters only
+    """Best split of each open node: one aggregation over all models.
+
+    The cells left after the map-side combine number models x nodes x features
+    x bins; the result, models x open nodes, is tree parameters only.
+    """
+    placed = rows.selectExpr("model", "l2", "max_depth", "label", "bins", "m", f"{_node('open', depth)} AS node")
+    return rows.sparkSession.sql(_SPLITS, rows=placed).collect()
 
 
 def fit(train: DataFrame, settings: tuple[Setting, ...], store_every: int = 10) -> tuple[Forest, DataFrame]:
@@ -171,16 +170,18 @@ def fit(train: DataFrame, settings: tuple[Setting, ...], store_every: int = 10)
         ).collect()
     }
     forest = Forest(prior, {m: [] for m in prior})
-    start = spark.createDataFrame(list(prior.items()), "model string, margin double")
-    rows = _stored(rows.join(F.broadcast(start), "model"), "rows")
+    start = local_table(
+        spark, [{"model": m, "margin": v} for m, v in prior.items()], pa.schema([("model", pa.string()), ("margin", pa.float64())])
+    )
+    # Even, full-width partitions: level jobs are CPU-bound and re-read them.
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = _stored(rows.join(F.broadcast(start), "model").repartition(width, "model", "bins"), "rows")
     since = 0
     for step in range(first.iterations):
         current = {m: _empty(depth) for m in prior}
         for level in range(depth):
             state = _state(spark, forest, current, since)
-            scored = rows.join(F.broadcast(state), "model").withColumn(
-                "_m", _margin(F.col("margin"), F.col("trees"), F.col("bins"), depth)
-            )
+            scored = rows.join(F.broadcast(state), "model").withColumn("m", _margin("margin", depth))
             grown = 0
             for r in _best_splits(scored, depth):
                 tree, node = current[r["model"]], r["node"]
@@ -203,7 +204,7 @@ def fit(train: DataFrame, settings: tuple[Setting, ...], store_every: int = 10)
         if (step + 1) % store_every == 0 and step + 1 < first.iterations:
             state = _state(spark, forest, current, since)
             rows = _stored(rows.join(F.broadcast(state), "model").withColumn(
-                "margin", _margin(F.col("margin"), F.col("trees"), F.col("bins"), depth)
+                "margin", _margin("margin", depth)
             ).drop("trees", "open"), "rows")
             since = step + 1
     return forest, edges
@@ -213,13 +214,13 @@ def predict(rows: DataFrame, forest: Forest, edges: DataFrame, depth: int) -> Da
     """Adds ``ml_score`` = P(outperform) to rows keyed by cutoff and setting."""
     spark = rows.sparkSession
     empty = {m: _empty(depth) for m in forest.prior}
-    state = _state(spark, forest, empty, 0).drop("open").join(
-        spark.createDataFrame(list(forest.prior.items()), "model string, prior double"), "model"
+    prior = local_table(
+        spark, [{"model": m, "prior": v} for m, v in forest.prior.items()], pa.schema([("model", pa.string()), ("prior", pa.float64())])
     )
+    state = _state(spark, forest, empty, 0).drop("open").join(prior, "model")
     # Broadcast: tree parameters, bounded by models x iterations.
     out = _binned(rows, edges).withColumn("model", _model()).join(F.broadcast(state), "model")
-    margin = _margin(F.col("prior"), F.col("trees"), F.col("bins"), depth)
-    return out.withColumn("ml_score", 1.0 / (1.0 + F.exp(-margin))).drop("trees", "prior", "bins", "model")
+    return out.withColumn("ml_score", 1.0 / (1.0 + F.exp(-_margin("prior", depth)))).drop("trees", "prior", "bins", "model")
 
 
 def walk_forward_scores(dataset: DataFrame, cutoffs: DataFrame, settings: tuple[Setting, ...] = (Setting(),)) -> DataFrame:

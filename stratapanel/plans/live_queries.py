@@ -48,10 +48,13 @@ frag("ctr", """SELECT *, 5 + 10 * sqrt(trade_as_pct_adv / 0.01) AS cost_bps_per_
 frag("cper0", """SELECT strategy, timing, aum, seq, max(signal_date) AS signal_date, max(date) AS valuation_date, sum(target_weight * asset_return) AS gross_return,
   CASE WHEN seq = 1 THEN 1.0 ELSE sum(abs(target_weight - pretrade_weight)) / 2 END AS turnover, sum(estimated_cost_dollars) / aum AS c FROM ctr GROUP BY 1, 2, 3, 4""")
 frag("cper", """SELECT *, gross_return - turnover * 0.001 AS constant_10bps_return, c * 10000 AS estimated_cost_bps, gross_return - c AS diagnostic_net_return, seq = 1 AS initial_deployment FROM cper0""")
+DOLLARS = ("position_dollars", "trade_dollars", "estimated_cost_dollars")
 register(
     "b14_trade_diagnostics", lambda s, d: capacity_trades(s, d).select(
-        "strategy", "timing", "aum", "signal_date", "ticker", "trade_weight", "trade_as_pct_adv", "cost_bps_per_traded_dollar", "position_dollars", "trade_dollars", "estimated_cost_dollars"),
-    out("ctr", "strategy timing signal_date ticker", "aum trade_weight trade_as_pct_adv cost_bps_per_traded_dollar position_dollars trade_dollars estimated_cost_dollars"),
+        "strategy", "timing", "aum", "signal_date", "ticker", "trade_weight", "trade_as_pct_adv", "cost_bps_per_traded_dollar",
+        *[F.round(c, 2).alias(c) for c in DOLLARS]),  # whole cents
+    out("(SELECT * REPLACE (" + ", ".join(f"round({c}, 2) AS {c}" for c in DOLLARS) + ") FROM ctr)", "strategy timing signal_date ticker",
+        "aum trade_weight trade_as_pct_adv cost_bps_per_traded_dollar position_dollars trade_dollars estimated_cost_dollars"),
 )
 PERIODS = lambda s, d: K.capacity_periods(capacity_trades(s, d))
 register(
