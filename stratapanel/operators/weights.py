@@ -178,20 +178,15 @@ def _best_weights(returns, method, cap, rf, frequency):
         x = _bounded_minimum(sigma, np.exp(log_tau) * mu, cap)
         return (mu @ x) / np.sqrt(max(x @ sigma @ x, 1e-18)), x
 
-    # Sharpe is unimodal along the frontier: golden-section on risk tolerance.
-    lo, hi, g = -12.0, 8.0, (5**0.5 - 1) / 2
-    a, b = hi - g * (hi - lo), lo + g * (hi - lo)
-    fa, fb = at(a)[0], at(b)[0]
-    for _ in range(40):
-        if fa >= fb:
-            hi, b, fb = b, a, fa
-            a = hi - g * (hi - lo)
-            fa = at(a)[0]
-        else:
-            lo, a, fa = a, b, fb
-            b = lo + g * (hi - lo)
-            fb = at(b)[0]
-    return at((lo + hi) / 2)[1]
+    # Sharpe is unimodal along the frontier but flat at its ends: bracket the
+    # best risk tolerance on a grid, then refine by golden section.
+    grid = np.linspace(-12.0, 8.0, 41)
+    k = int(np.argmax([at(t)[0] for t in grid]))
+    lo, hi, g = grid[max(k - 1, 0)], grid[min(k + 1, 40)], (5**0.5 - 1) / 2
+    while hi - lo > 1e-5:
+        a, b = hi - g * (hi - lo), lo + g * (hi - lo)
+        lo, hi = (lo, b) if at(a)[0] >= at(b)[0] else (a, hi)
+    return max((at(t) for t in (lo, hi, grid[k])), key=lambda v: v[0])[1]
 
 
 def spread(rows: DataFrame, keys) -> DataFrame:

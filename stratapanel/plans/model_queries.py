@@ -24,6 +24,10 @@ def cutoffs(s, d, start=None, end=None) -> DataFrame:
     return U.cutoff_eligibility(B.supplier_dataset(s, d), 36, start, end).where("eligible").select("prediction_date")
 
 
+def brand_cutoffs(s, d) -> DataFrame:
+    return U.cutoff_eligibility(B.brand_dataset(s, d), 36).where("eligible").select("prediction_date")
+
+
 @B.shared
 def model_scores(s, d) -> DataFrame:
     return ML.walk_forward_scores(B.supplier_dataset(s, d), cutoffs(s, d), (BASE,))
