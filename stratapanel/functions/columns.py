@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 ZERO_TOLERANCE = 1e-8
 
@@ -81,6 +81,11 @@ def joined(array: Column, separator: str = "|") -> Column:
     return F.when(F.size(array) > 0, F.array_join(array, separator))
 
 
+def attach(df: DataFrame, one: DataFrame) -> DataFrame:
+    """Add the columns of a one-row frame as scalar subqueries (no join)."""
+    return df.select("*", *[one.select(c).scalar().alias(c) for c in one.columns])
+
+
 def sorted_json(map_column: Column) -> Column:
     """JSON text of a map with keys in order."""
     return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(map_column))))

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from stratapanel.functions.columns import count_if, message_if, share_if
+from stratapanel.functions.columns import attach, count_if, message_if, share_if
 from stratapanel.operators.ledger import trades, turnover_from_trades
 from stratapanel.operators.metrics import performance
 from stratapanel.operators.quality import duplicates, require_columns
@@ -68,14 +68,14 @@ def paired_schedule(positions: DataFrame, panel: DataFrame, adv: DataFrame, stra
         F.count_distinct("date").alias("_ends"),
     ).where(F.col("_n") == strategies)
     names = panel.agg(F.count_distinct("ticker").alias("_all"))
-    ready = adv.groupBy("date").agg(F.count("adv").alias("_ok")).join(F.broadcast(names)).where(
+    ready = attach(adv.groupBy("date").agg(F.count("adv").alias("_ok")), names).where(
         F.col("_ok") >= F.col("_all")
     ).agg(F.min("date").alias("_start"))
-    out = (
+    dated = (
         shared.join(F.broadcast(cal.select(F.col("date").alias("signal_date"), F.col("_next").alias("next_entry"))), "signal_date", "left")
         .join(F.broadcast(cal.select(F.col("date").alias("realization_date"), F.col("_next").alias("next_exit"))), "realization_date", "left")
-        .join(F.broadcast(ready))
     )
+    out = attach(dated, ready)
     reason = (
         F.when(F.col("_ends") > 1, F.raise_error(F.lit("Strategy realization dates disagree")))
         .when(F.col("_start").isNull() | (F.col("signal_date") < F.col("_start")), "before_complete_liquidity_history")

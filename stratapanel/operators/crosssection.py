@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from stratapanel.functions.columns import count_if, flag, message_if, pearson, ratio, share_if
+from stratapanel.functions.columns import attach, count_if, flag, message_if, pearson, ratio, share_if
 from stratapanel.operators.metrics import performance
 from stratapanel.operators.ranking import quantiles, ranked, top_n
 from stratapanel.operators.timeseries import forward_returns
@@ -194,7 +194,7 @@ def sector_attribution(exposure: DataFrame, scores: DataFrame, n: int = 25) -> D
         F.avg("half_l1").alias("average_sector_concentration_half_l1"),
         pearson(F.col("half_l1"), F.col("spread")).alias("concentration_topn_spread_correlation"),
     )
-    return overall.join(F.broadcast(dates)).join(F.broadcast(by_sector))
+    return attach(attach(overall, dates), by_sector)
 
 
 def current_sector_exposure(ranked_now: DataFrame, metadata: DataFrame, n: int, wide=None) -> DataFrame:

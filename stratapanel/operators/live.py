@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from stratapanel.functions.columns import attach
 from stratapanel.operators.ledger import one_way_cost
 from stratapanel.operators.ranking import ranked, top_n
 from stratapanel.operators.timeseries import calendar, change, lagged, on_calendar
@@ -18,14 +19,14 @@ def momentum_now(monthly: DataFrame, tickers: DataFrame, wide=None) -> DataFrame
     """
     sessions = calendar(monthly)
     last = sessions.agg(F.max("t").alias("_t"), F.max("date").alias("signal_date"))
-    keyed = on_calendar(monthly, sessions).join(F.broadcast(last))
+    keyed = attach(on_calendar(monthly, sessions), last)
     back = F.col("_t") - F.col("t")
     at = lambda k: F.max(F.when(back == k, F.col("close")))
     agg = keyed.where(back.isin(0, 1, 3, 12)).groupBy("ticker").agg(
         (F.try_divide(at(0), at(3)) - 1.0).alias("momentum_3m"),
         (F.try_divide(at(1), at(12)) - 1.0).alias("momentum_12_1"),
     )
-    out = tickers.select("ticker").join(agg, "ticker", "left").join(F.broadcast(last.select("signal_date")))
+    out = attach(tickers.select("ticker").join(agg, "ticker", "left"), last.select("signal_date"))
     out = ranked(out, ("signal_date",), "momentum_3m", "rank_3m", descending=True, wide=wide)
     return ranked(out, ("signal_date",), "momentum_12_1", "rank_12_1", descending=True, wide=wide).select(
         "ticker", "signal_date", "momentum_3m", "rank_3m", "momentum_12_1", "rank_12_1"
@@ -169,7 +170,7 @@ def consensus(portfolios: DataFrame, signals: DataFrame, predictions: DataFrame,
     scaled = [F.try_divide(F.col(n), F.col(f"_m{n}")) for n in names]
     known = sum((F.when(s.isNotNull(), 1).otherwise(0) for s in scaled[1:]), F.when(scaled[0].isNotNull(), 1).otherwise(0))
     total = sum((F.coalesce(s, F.lit(0.0)) for s in scaled[1:]), F.coalesce(scaled[0], F.lit(0.0)))
-    return ranks.join(F.broadcast(top)).join(held, "ticker", "left").select(
+    return attach(ranks, top).join(held, "ticker", "left").select(
         "ticker", *[F.coalesce(c, F.lit(False)).alias(c) for c in strategies],
         *[F.coalesce(c, F.lit(0.0)).alias(c) for c in weights],
         F.coalesce("_n", F.lit(0).cast("bigint")).alias("number_strategies_selecting_or_holding"),

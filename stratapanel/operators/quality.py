@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from stratapanel.functions.columns import joined, reasons
+from stratapanel.functions.columns import attach, joined, reasons
 from stratapanel.operators.timeseries import FEATURES
 
 PANEL_COLUMNS = (
@@ -183,12 +183,12 @@ def corporate_action_flags(panel: DataFrame, threshold: float = 0.05) -> DataFra
 def date_coverage(panel: DataFrame, tickers: DataFrame, requested: str) -> DataFrame:
     """(date, covered, members): distinct validly priced members per session."""
     members = tickers.agg(F.count_distinct("ticker").alias("members"))
-    return (
+    covered = (
         panel.where((F.col("date") <= F.lit(requested).cast("date")) & (F.col("adjusted_close") > 0))
         .join(tickers.select(F.col("ticker").alias("canonical_ticker")), "canonical_ticker", "left_semi")
         .groupBy("date").agg(F.count_distinct("canonical_ticker").alias("covered"))
-        .join(F.broadcast(members))
     )
+    return attach(covered, members)
 
 
 def resolve_common_date(panel: DataFrame, tickers: DataFrame, requested: str, minimum: float = 0.95) -> DataFrame:
@@ -212,7 +212,7 @@ def acquisition_status(panel: DataFrame, mapping: DataFrame, resolved: Column |
     )
     n = F.coalesce("observation_count", F.lit(0).cast("bigint"))
     late = F.lit(False) if resolved is None else F.coalesce(F.col("last_available_date") < resolved, F.lit(False))
-    return mapping.join(agg, "canonical_ticker", "left").join(F.broadcast(expected)).select(
+    return attach(mapping.join(agg, "canonical_ticker", "left"), expected).select(
         "canonical_ticker", "provider_ticker", "first_available_date", "last_available_date",
         n.alias("observation_count"),
         F.coalesce(1.0 - F.try_divide(n, F.col("_expected")), F.lit(1.0)).alias("missing_ratio"),
@@ -253,7 +253,7 @@ def load_gaps(
 
     parts = [row(requested.join(present, "ticker", "left_anti"), "never_loaded", lo, hi)]
     bounds = known.agg(F.min("_min").alias("_first"), F.min("_max").alias("_extend"), F.max("_max").alias("_last"))
-    known = known.select("ticker").join(F.broadcast(bounds))
+    known = attach(known.select("ticker"), bounds)
     if prior_start is None or start < prior_start:
         stop = F.date_sub(F.col("_first") if prior_start is None else F.lit(prior_start).cast("date"), 1)
         parts.append(row(known, "earlier_prefix", lo, stop))
@@ -285,16 +285,16 @@ def snapshot_bounds(panel: DataFrame, benchmark: DataFrame, cutoff: str | None =
         inside = df if cutoff is None else df.where(F.col("date") <= F.lit(cutoff).cast("date"))
         return inside.agg(F.max("date").alias(name))
 
-    return latest(panel, "_p").join(F.broadcast(latest(benchmark, "_b"))).select(
+    return attach(latest(panel, "_p"), latest(benchmark, "_b")).select(
         F.least("_p", "_b").alias("as_of")
     )
 
 
 def snapshot(panel: DataFrame, benchmark: DataFrame, cutoff: str | None = None) -> DataFrame:
     """Panel truncated once, at the snapshot boundary."""
-    bound = F.broadcast(snapshot_bounds(panel, benchmark, cutoff))
+    bound = snapshot_bounds(panel, benchmark, cutoff).scalar()
     out = panel if cutoff is None else panel.where(F.col("date") <= F.lit(cutoff).cast("date"))
-    return out.join(bound, F.col("date") <= F.col("as_of")).drop("as_of")
+    return out.where(F.col("date") <= bound)
 
 
 def future_rows(df: DataFrame, cutoff: Column, column: str = "date") -> DataFrame:
@@ -365,15 +365,16 @@ def screen_investability(
 def current_features(requested: DataFrame, dataset: DataFrame, eligibility: DataFrame) -> DataFrame:
     """Feature row at the last signal date with validity and reason."""
     last = dataset.agg(F.max("date").alias("signal_date"))
-    current = dataset.join(F.broadcast(last), F.col("date") == F.col("signal_date")).select("ticker", *FEATURES)
+    current = dataset.where(F.col("date") == last.scalar()).select("ticker", *FEATURES)
     complete = F.lit(True)
     for f in FEATURES:
         complete = complete & F.col(f).isNotNull()
     valid = F.coalesce("eligible", F.lit(False)) & complete
+    known = requested.select("ticker").join(current, "ticker", "left").join(
+        eligibility.select("ticker", "eligible", "reason"), "ticker", "left"
+    )
     return (
-        requested.select("ticker").join(current, "ticker", "left")
-        .join(eligibility.select("ticker", "eligible", "reason"), "ticker", "left")
-        .join(F.broadcast(last))
+        attach(known, last)
         .select(
             "ticker", "signal_date", *FEATURES, valid.alias("feature_valid"),
             F.when(~valid, F.coalesce("reason", F.lit("insufficient_or_missing_feature_history"))).alias("invalid_reason"),
@@ -398,7 +399,7 @@ def feature_coverage(dataset: DataFrame, members: DataFrame, monthly: DataFrame)
     total = members.agg(F.count_distinct("ticker").alias("universe_members"))
     priced = monthly.where(F.col("close").isNotNull()).join(members.select("ticker"), "ticker", "left_semi")
     counts = priced.groupBy("date").agg(F.count(F.lit(1)).alias("_a"))
-    return _coverage(monthly.select("date").distinct(), counts, dataset).join(F.broadcast(total)).select(
+    return attach(_coverage(monthly.select("date").distinct(), counts, dataset), total).select(
         "date", "universe_members", "eligible_members", "feature_complete", "feature_missing", "prediction_eligible"
     )
 
@@ -444,7 +445,7 @@ def ticker_feature_diagnostics(dataset: DataFrame, members: DataFrame, prices: D
     rows = dataset.groupBy("ticker").agg(F.count(F.lit(1)).alias("_c"))
     seen = prices.groupBy("ticker").agg(F.count("close").alias("_p"))
     c = F.coalesce("_c", zero)
-    return members.select("ticker").join(seen, "ticker", "left").join(rows, "ticker", "left").join(F.broadcast(expected)).select(
+    return attach(members.select("ticker").join(seen, "ticker", "left").join(rows, "ticker", "left"), expected).select(
         "ticker", F.coalesce("_p", zero).alias("price_observations"), c.alias("feature_complete_rows"),
         F.greatest(zero, F.col("_e") - c).alias("missing_feature_rows_vs_panel"),
     )
@@ -465,7 +466,7 @@ def dataset_summary(dataset: DataFrame, scores: DataFrame) -> DataFrame:
     predicted = scores.agg(
         F.count(F.lit(1)).alias("prediction_rows"), F.count_distinct("date").alias("prediction_dates")
     )
-    return per_date.join(F.broadcast(overall)).join(F.broadcast(predicted))
+    return attach(attach(per_date, overall), predicted)
 
 
 def readiness_funnel(eligibility: DataFrame, scored: DataFrame) -> DataFrame:
@@ -477,6 +478,6 @@ def readiness_funnel(eligibility: DataFrame, scored: DataFrame) -> DataFrame:
         F.count(F.when(ready & F.col("feature_ready"), 1)).alias("feature_ready"),
         F.count(F.when(~F.col("eligible"), 1)).alias("rejected"),
     )
-    return agg.join(F.broadcast(scored.agg(F.count(F.lit(1)).alias("prediction_ready")))).withColumn(
+    return attach(agg, scored.agg(F.count(F.lit(1)).alias("prediction_ready"))).withColumn(
         "coverage_pct", F.col("prediction_ready") / F.col("universe_members")
     )

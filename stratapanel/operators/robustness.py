@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from stratapanel.functions.columns import annual_ratio, share_if
+from stratapanel.functions.columns import annual_ratio, attach, share_if
 from stratapanel.operators.metrics import evaluate
 
 BOOTSTRAP_METRICS = (
@@ -23,7 +23,7 @@ def cost_sensitivity(costed: DataFrame, bench: DataFrame) -> DataFrame:
     extra = {
         "average_turnover": F.avg("turnover"), "total_transaction_cost": F.sum("transaction_cost"),
     }
-    return evaluate(paired, ("strategy", "cost_bps"), extra=extra).join(F.broadcast(own))
+    return attach(evaluate(paired, ("strategy", "cost_bps"), extra=extra), own)
 
 
 def cost_breakpoints(details: DataFrame) -> DataFrame:
@@ -95,10 +95,11 @@ def leave_one_out_details(reruns: DataFrame, baseline: DataFrame, bench: DataFra
 
 
 def _strategy_tickers(base: DataFrame, tickers: DataFrame) -> DataFrame:
-    """Every ticker with each strategy's baseline row (a few rows, broadcast)."""
-    one = base.withColumn("_one", F.lit(1))
-    names = tickers.select(F.col("ticker").alias("removed_ticker")).distinct().withColumn("_one", F.lit(1))
-    return names.join(F.broadcast(one), "_one").drop("_one")
+    """Every ticker with each strategy's baseline row: one short array exploded."""
+    rows = base.agg(F.collect_list(F.struct(*base.columns))).scalar()
+    return tickers.select(F.col("ticker").alias("removed_ticker")).distinct().withColumn("_b", rows).select(
+        "removed_ticker", F.inline("_b")
+    )
 
 
 def leave_one_out_summary(details: DataFrame) -> DataFrame:
@@ -148,12 +149,14 @@ def bootstrap_paths(common: DataFrame, simulations: int = 5000, block_sizes=(6,)
     )
     # Each strategy has its own stream, in name order.
     offset = F.row_number().over(Window.orderBy("strategy")) - 1
+    # Small in, much work: a fixed width keeps the simulations spread out.
+    width = int(common.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     chunks = max(1, min(simulations, 4096) // 64)
     rows = (
         history.withColumn("seed", F.lit(seed) + offset)
         .withColumn("block_size", F.explode(F.array(*[F.lit(b) for b in block_sizes])))
         .withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-        .repartition("strategy", "block_size", "_chunk")
+        .repartition(width, "strategy", "block_size", "_chunk")
         .withColumn("sim", F.explode(F.filter(
             F.sequence(F.lit(0), F.lit(-(-simulations // chunks) - 1)),
             lambda i: i * chunks + F.col("_chunk") < simulations,

@@ -180,10 +180,10 @@ def _best_weights(returns, method, cap, rf, frequency):
 
     # Sharpe is unimodal along the frontier but flat at its ends: bracket the
     # best risk tolerance on a grid, then refine by golden section.
-    grid = np.linspace(-12.0, 8.0, 41)
+    grid = np.linspace(-10.0, 6.0, 25)
     k = int(np.argmax([at(t)[0] for t in grid]))
-    lo, hi, g = grid[max(k - 1, 0)], grid[min(k + 1, 40)], (5**0.5 - 1) / 2
-    while hi - lo > 1e-5:
+    lo, hi, g = grid[max(k - 1, 0)], grid[min(k + 1, 24)], (5**0.5 - 1) / 2
+    while hi - lo > 1e-3:
         a, b = hi - g * (hi - lo), lo + g * (hi - lo)
         lo, hi = (lo, b) if at(a)[0] >= at(b)[0] else (a, hi)
     return max((at(t) for t in (lo, hi, grid[k])), key=lambda v: v[0])[1]
