@@ -9,14 +9,13 @@ the driver, and a single hot date or ticker cannot skew a task.
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stratapanel.operators.timeseries import FEATURES
-from stratapanel.session import shared_folder
+from stratapanel.session import stored
 
 MIN_LEAF_ROWS, MIN_LEAF_HESSIAN = 20, 1e-3
 
@@ -108,13 +107,6 @@ def _binned(df: DataFrame, edges: DataFrame) -> DataFrame:
     return keyed.withColumn("bins", F.array(*[place(f) for f in FEATURES])).drop(*[f"_e_{f}" for f in FEATURES])
 
 
-def _stored(df: DataFrame, name: str) -> DataFrame:
-    """Written table in the shared folder: cuts lineage, survives lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/stratapanel/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _state(spark, forest: Forest, current: dict[str, dict], since: int) -> DataFrame:
     """One row per model: trees not yet in the stored margins, and the open one."""
     return local_table(spark, [
@@ -158,7 +150,7 @@ def fit(train: DataFrame, settings: tuple[Setting, ...], store_every: int = 10)
     first = settings[0]
     depth = max(s.max_depth for s in settings)
     pick = lambda attr: F.create_map(*[x for s in settings for x in (F.lit(s.name), F.lit(getattr(s, attr)))])[F.col("setting")]
-    edges = _stored(_bounds(train.where(F.col("setting") == first.name), first.bins), "edges")
+    edges = stored(_bounds(train.where(F.col("setting") == first.name), first.bins), "edges")
     rows = _binned(train, edges).select(
         _model().alias("model"), F.col("target").cast("double").alias("label"), "bins",
         pick("l2").alias("l2"), pick("max_depth").alias("max_depth"),
@@ -175,7 +167,7 @@ def fit(train: DataFrame, settings: tuple[Setting, ...], store_every: int = 10)
     )
     # Even, full-width partitions: level jobs are CPU-bound and re-read them.
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = _stored(rows.join(F.broadcast(start), "model").repartition(width, "model", "bins"), "rows")
+    rows = stored(rows.join(F.broadcast(start), "model").repartition(width, "model", "bins"), "rows")
     since = 0
     for step in range(first.iterations):
         current = {m: _empty(depth) for m in prior}
@@ -203,7 +195,7 @@ def fit(train: DataFrame, settings: tuple[Setting, ...], store_every: int = 10)
             forest.trees[m].append(tree)
         if (step + 1) % store_every == 0 and step + 1 < first.iterations:
             state = _state(spark, forest, current, since)
-            rows = _stored(rows.join(F.broadcast(state), "model").withColumn(
+            rows = stored(rows.join(F.broadcast(state), "model").withColumn(
                 "margin", _margin("margin", depth)
             ).drop("trees", "open"), "rows")
             since = step + 1

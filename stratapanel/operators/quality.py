@@ -220,19 +220,31 @@ def acquisition_status(panel: DataFrame, mapping: DataFrame, resolved: Column |
     )
 
 
-def keep_last(df: DataFrame, keys: tuple[str, ...], version: str) -> DataFrame:
-    """Newest version per key.
+_FIXED_WIDTH = {"double", "float", "long", "integer", "short", "byte", "boolean", "date", "timestamp", "timestamp_ntz"}
+
+
+def _pick(df: DataFrame, keys: tuple[str, ...], version: str, choose) -> DataFrame:
+    """One row per key by extreme version; versions are unique within a key.
 
-    ``max_by`` on a struct combines on the map side, so the copies of a hot key
-    collapse before the shuffle.
+    Copies of a hot key collapse in the map-side combine.  Fixed-width columns
+    are picked one by one, which keeps the hash aggregation; a struct (needed
+    for text) would sort every map partition first.
     """
-    rest = [c for c in df.columns if c not in keys]
-    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(version)).alias("_r")).select(*keys, "_r.*")
+    rest = [f for f in df.schema.fields if f.name not in keys]
+    if all(f.dataType.typeName() in _FIXED_WIDTH for f in rest):
+        return df.groupBy(*keys).agg(*[choose(f.name, F.col(version)).alias(f.name) for f in rest])
+    names = [f.name for f in rest]
+    return df.groupBy(*keys).agg(choose(F.struct(*names), F.col(version)).alias("_r")).select(*keys, "_r.*")
+
+
+def keep_last(df: DataFrame, keys: tuple[str, ...], version: str) -> DataFrame:
+    """Newest version per key."""
+    return _pick(df, keys, version, F.max_by)
 
 
 def keep_first(df: DataFrame, keys: tuple[str, ...], version: str) -> DataFrame:
-    rest = [c for c in df.columns if c not in keys]
-    return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.col(version)).alias("_r")).select(*keys, "_r.*")
+    """Oldest version per key."""
+    return _pick(df, keys, version, F.min_by)
 
 
 def merge_incremental(existing: DataFrame, additions: DataFrame, keys=("ticker", "date"), version="version") -> DataFrame:
@@ -325,10 +337,7 @@ def snapshot_eligibility(requested: DataFrame, panel: DataFrame, cutoff: Column,
 
 def latest_features(features: DataFrame, as_of: Column) -> DataFrame:
     """Last feature row per ticker at or before a date."""
-    rest = [c for c in features.columns if c != "ticker"]
-    return features.where(F.col("date") <= as_of).groupBy("ticker").agg(
-        F.max_by(F.struct(*rest), "date").alias("_r")
-    ).select("ticker", "_r.*")
+    return keep_last(features.where(F.col("date") <= as_of), ("ticker",), "date")
 
 
 def screen_investability(

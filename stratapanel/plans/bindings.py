@@ -9,13 +9,12 @@ the optimizer exact sizes, column pruning and pushdown.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stratapanel.operators import ledger as L, metrics as M, ranking as R, timeseries as T
-from stratapanel.session import shared_folder
+from stratapanel.session import stored
 from stratapanel.sources import panels as P
 
 STRATEGIES = ("momentum_3m_equal", "momentum_12_1_equal", "ml")
@@ -31,10 +30,7 @@ def shared(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSe
     def get(spark: SparkSession, folder: str) -> DataFrame:
         key = (spark.sparkContext.applicationId, folder.rstrip("/"), build.__name__)
         if key not in _SHARED:
-            frame = build(spark, folder)
-            path = f"{shared_folder(spark)}/stratapanel/{key[0]}/{uuid.uuid4().hex}/{build.__name__}"
-            frame.write.parquet(path)
-            _SHARED[key] = spark.read.schema(frame.schema).parquet(path)
+            _SHARED[key] = stored(build(spark, folder), build.__name__)
         return _SHARED[key]
 
     get.__name__, get.__doc__ = build.__name__, build.__doc__

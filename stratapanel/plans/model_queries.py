@@ -8,10 +8,11 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, functions as F
 
 from stratapanel.operators import ledger as L, models as ML, ranking as R, universe as U
-from stratapanel.plans import bindings as B
+from stratapanel.plans import bindings as B, research as RS
 from stratapanel.plans.oracle_base import ABS_NAMES, ACT_NAMES, evaluated, frag, out, query
 from stratapanel.plans.registry import register
 from stratapanel.session import shared_folder
+from stratapanel.sources import panels as P
 from stratapanel.streaming.merge import read_merged, start_merge
 
 # Few boosting rounds keep the bound queries short; the operator default is 200.
@@ -80,6 +81,18 @@ register(
 )
 
 
+@B.shared
+def daily_suite_ledger(s, d) -> DataFrame:
+    """All five strategies from daily bars: optimised weights and the model."""
+    config = RS.Config(top_n=3, strict=False)
+    days = P.benchmark_days(s, d).join(F.broadcast(B.region_days(s, d).select("date").distinct()), "date", "left_semi")
+    suite = RS.strategy_suite(B.closes(B.region_days(s, d)), days, RS.model_scorer(config, BASE), config)
+    return suite["ledger"]
+
+
+register("b3_daily_suite", daily_suite_ledger)
+
+
 def streamed(s, d) -> DataFrame:
     """Event files arrive as a stream; later versions replace earlier ones."""
     root = f"{shared_folder(s)}/stratapanel/{uuid.uuid4().hex}/stream"

@@ -1,4 +1,4 @@
-"""A spread of bound queries against their oracle; tools_check.py runs them all."""
+"""A spread of bound queries against their oracle; tools/check_queries.py runs them all."""
 
 import os
 
@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 from stratapanel.plans.catalog import ORACLES, QUERIES
-from tools_check import TABLES, canonical
+from tools.check_queries import TABLES, canonical
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 SAMPLE = ["b3_strategy_suite", "b7_leave_one_out", "w2_capped_simplex", "a9_evaluate", "c1_rank_ic", "q9_all_flags", "j1_interval_join", "b17_capacity_ceilings", "t1_stream_merge"]
