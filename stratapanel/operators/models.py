@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stratapanel.operators.timeseries import FEATURES
+from stratapanel.scale import even_width
 from stratapanel.session import stored
 
 MIN_LEAF_ROWS, MIN_LEAF_HESSIAN = 20, 1e-3
@@ -166,8 +167,7 @@ def fit(train: DataFrame, settings: tuple[Setting, ...], store_every: int = 10)
         spark, [{"model": m, "margin": v} for m, v in prior.items()], pa.schema([("model", pa.string()), ("margin", pa.float64())])
     )
     # Even, full-width partitions: level jobs are CPU-bound and re-read them.
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = stored(rows.join(F.broadcast(start), "model").repartition(width, "model", "bins"), "rows")
+    rows = stored(rows.join(F.broadcast(start), "model").repartition(even_width(train), "model", "bins"), "rows")
     since = 0
     for step in range(first.iterations):
         current = {m: _empty(depth) for m in prior}

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stratapanel.functions.columns import annual_ratio, attach, share_if
 from stratapanel.operators.metrics import evaluate
+from stratapanel.scale import even_width
 
 BOOTSTRAP_METRICS = (
     "annual_return", "annual_volatility", "sharpe", "annual_active_return",
@@ -150,7 +151,7 @@ def bootstrap_paths(common: DataFrame, simulations: int = 5000, block_sizes=(6,)
     # Each strategy has its own stream, in name order.
     offset = F.row_number().over(Window.orderBy("strategy")) - 1
     # Small in, much work: a fixed width keeps the simulations spread out.
-    width = int(common.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    width = max(even_width(common), common.sparkSession.sparkContext.defaultParallelism)
     chunks = max(1, min(simulations, 4096) // 64)
     rows = (
         history.withColumn("seed", F.lit(seed) + offset)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from stratapanel.functions.columns import count_if, near_zero
 from stratapanel.operators.timeseries import change, on_calendar
+from stratapanel.scale import even_width
 
 STATUS_EQUAL = "equal"
 STATUS_OPTIMIZED = "optimized"
@@ -190,12 +191,9 @@ def _best_weights(returns, method, cap, rf, frequency):
 
 
 def spread(rows: DataFrame, keys) -> DataFrame:
-    """Hash by group into the session's full shuffle width.
-
-    Small but CPU-heavy groups would otherwise be coalesced into one task.
-    """
-    width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(width, *keys)
+    """Hash by group into a fixed width: small but CPU-heavy groups would
+    otherwise be coalesced into one task."""
+    return rows.repartition(even_width(rows), *keys)
 
 
 def optimized_weights(

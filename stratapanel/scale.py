@@ -6,12 +6,12 @@ job is started.  The two strategies of each choice return the same rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 #: A scan below this many bytes gives date cross-sections one task can sort.
 WIDE_GROUP_BYTES = 8 << 30
-#: Upper bound for a side that may be copied to every executor.
-BROADCAST_BYTES = 64 << 20
+#: Inputs below this need no more partitions than there are cores.
+SMALL_BYTES = 1 << 30
 
 
 def scan_bytes(df: DataFrame) -> int:
@@ -29,8 +29,11 @@ def has_wide_groups(df: DataFrame) -> bool:
     return scan_bytes(df) > _setting(df, "wideGroupBytes", WIDE_GROUP_BYTES)
 
 
-def broadcast_small(df: DataFrame) -> DataFrame:
-    """Broadcast hint behind a size check; otherwise the optimizer decides."""
-    if scan_bytes(df) <= _setting(df, "broadcastBytes", BROADCAST_BYTES):
-        return F.broadcast(df)
-    return df
+def even_width(df: DataFrame) -> int:
+    """Partitions for CPU-heavy rows that must not be coalesced.
+
+    The session's full shuffle width for large inputs, one per core for small.
+    """
+    spark = df.sparkSession
+    full = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return full if scan_bytes(df) > SMALL_BYTES else min(full, spark.sparkContext.defaultParallelism)
