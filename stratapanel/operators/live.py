@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from stratapanel.functions.columns import attach
 from stratapanel.operators.ledger import one_way_cost
 from stratapanel.operators.ranking import ranked, top_n
-from stratapanel.operators.timeseries import calendar, change, lagged, on_calendar
+from stratapanel.operators.timeseries import calendar, momentum, on_calendar
 
 
 def momentum_now(monthly: DataFrame, tickers: DataFrame, wide=None) -> DataFrame:
@@ -48,6 +48,23 @@ def momentum_signals(monthly: DataFrame, tickers: DataFrame, eligibility: DataFr
     )
 
 
+def replay_signals(monthly: DataFrame, start: str, end: str, wide=None) -> DataFrame:
+    """Both signals and ranks as each month end in a range would have seen them.
+
+    Signals only look back, so the as-of date is just the signal's own date: a
+    whole replay is one plan over the panel instead of one truncation per date.
+    """
+    inside = F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date"))
+    three = momentum(monthly, 3, 0, "momentum_3m").select("date", "ticker", "momentum_3m")
+    twelve = momentum(monthly, 12, 1, "momentum_12_1").select("date", "ticker", "momentum_12_1")
+    rows = three.join(twelve, ["date", "ticker"], "full_outer").where(inside)
+    for signal, rank in (("momentum_3m", "rank_3m"), ("momentum_12_1", "rank_12_1")):
+        rows = ranked(rows, ("date",), signal, rank, descending=True, wide=wide).withColumn(
+            rank, F.when(F.col(signal).isNotNull(), F.col(rank))
+        )
+    return rows.withColumnRenamed("date", "as_of")
+
+
 def target_portfolios(rankings: DataFrame, n: int) -> DataFrame:
     """Equal-weight targets from ``(strategy, signal_date, ticker, rank)``."""
     w = Window.partitionBy("strategy").orderBy("rank", "ticker")

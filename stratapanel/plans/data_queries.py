@@ -282,7 +282,7 @@ register(
 
 
 def merged(s, d):
-    rows = P.event_panel(s, d)
+    rows = P.event_panel(s, d)  # two interleaved deliveries that together hold every row
     return Q.merge_incremental(rows.where("version % 2 = 0"), rows.where("version % 2 = 1"))
 
 
@@ -294,11 +294,11 @@ register(
 
 def gaps(s, d):
     rows = P.event_panel(s, d)
-    cached = rows.where((F.col("ticker").cast("bigint") % 3 != 0) & (F.col("date") < day("2024-01-20")))
-    return Q.load_gaps(rows.select("ticker").distinct(), cached, "2023-12-25", "2024-01-31", "2024-01-01", "2024-01-20")
+    cached = rows.where(F.col("date") < day("2024-01-02"))  # users unseen on the first day are missing
+    return Q.load_gaps(rows.select("ticker").distinct(), cached, "2023-12-25", "2024-01-31", "2024-01-01", "2024-01-01")
 
 
-frag("cach", "SELECT ticker, max(date) AS mx FROM ev WHERE CAST(ticker AS BIGINT) % 3 <> 0 AND date < DATE '2024-01-20' GROUP BY 1")
+frag("cach", "SELECT ticker, max(date) AS mx FROM ev WHERE date < DATE '2024-01-02' GROUP BY 1")
 register(
     "q15_load_gaps", gaps,
     query("""SELECT DISTINCT ticker, 'never_loaded' AS gap, DATE '2023-12-25' AS fetch_from, DATE '2024-01-31' AS fetch_to FROM ev WHERE ticker NOT IN (SELECT ticker FROM cach)

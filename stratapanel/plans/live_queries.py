@@ -108,6 +108,15 @@ register(
     "r4_momentum_signals", SIGNALS, out("sig", "ticker signal_date signal_valid invalid_reason", "momentum_3m momentum_12_1", "rank_3m rank_12_1"),
 )
 
+register(
+    "j15_replay_signals", lambda s, d: V.replay_signals(B.closes(B.supplier(s, d)), "1998-01-01", "2001-05-31"),
+    out("""(SELECT date AS as_of, ticker, momentum_3m, momentum_12_1,
+      CASE WHEN momentum_3m IS NOT NULL THEN row_number() OVER (PARTITION BY date ORDER BY momentum_3m DESC NULLS LAST, ticker) END AS rank_3m,
+      CASE WHEN momentum_12_1 IS NOT NULL THEN row_number() OVER (PARTITION BY date ORDER BY momentum_12_1 DESC NULLS LAST, ticker) END AS rank_12_1
+      FROM lag_s WHERE date BETWEEN DATE '1998-01-01' AND DATE '2001-05-31' AND (momentum_3m IS NOT NULL OR momentum_12_1 IS NOT NULL))""",
+        "as_of ticker", "momentum_3m momentum_12_1", "rank_3m rank_12_1"),
+)
+
 
 def predictions(s, d) -> DataFrame:
     now = B.brand_scores(s, d)
