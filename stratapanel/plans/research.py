@@ -2,8 +2,8 @@
 
 Each function takes long frames ``prices(date, ticker, close)`` and
 ``benchmark(date, close)`` and returns named DataFrames.  The suite writes its
-scores and positions (small, but costly to make) once to the shared folder; all
-reports on top stay lazy.  Weightings and score models are plain functions and
+scores, positions, ledger and returns (small, but costly to make) once to the
+shared folder; all reports on top stay lazy.  Weightings and score models are plain functions and
 can be replaced.
 """
 
@@ -79,9 +79,11 @@ def strategy_suite(prices: DataFrame, benchmark: DataFrame, scorer: Scorer, conf
     ledger = L.periods(positions.drop("optimization_status"), cost_bps=config.cost_bps, strict=config.strict).join(
         status, ["strategy", "signal_date"]
     )
+    ledger = stored(ledger, "ledger")
     bench = T.benchmark_returns(bench_monthly)
     own = bench.where(F.col("bench").isNotNull()).select(F.lit("benchmark").alias("strategy"), "date", F.col("bench").alias("ret"))
     common = M.common_period(L.net_returns(ledger).unionByName(own), len(MOMENTUM) + 2)
+    common = stored(common, "common")
     return {"dataset": dataset, "scores": scores, "positions": positions, "ledger": ledger, "bench": bench, "common": common}
 
 
