@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stratapanel.llm import packing, token_files
+from stratapanel.llm import chat_format, packing, quality_rules, secret_scan, store, token_files
 from stratapanel.llm.tokens import tokenizer_path
 
 QUERIES: dict = {}
@@ -31,3 +31,36 @@ def op5_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
     read = token_files.round_trip(table(spark, folder, "documents"), tokenizer_path(), end_id=2)
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op2_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, folder, "documents"))
+    count = lambda k: F.size(F.filter("certain", lambda s: s["kind"] == k)).cast("bigint")
+    return found.select(
+        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+        F.sha2(secret_scan.listed(F.col("certain")), 256).alias("base_sha256"), secret_scan.listed(F.col("spans")).alias("spans"))
+
+
+@query
+def op3_reply_trees(spark: SparkSession, folder: str) -> DataFrame:
+    said = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    read = chat_format.read_back(chat_format.formatted(store.written(chat_format.threads(rows), "threads")))
+    turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        F.col("tree").alias("conv_id"), F.size("turns").cast("bigint").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"),
+        F.length("loss").cast("bigint").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("bigint").alias("formatted_chars"))
+
+
+@query
+def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    judged = quality_rules.judged(table(spark, folder, "documents"))
+    m = F.col("measures")
+    return judged.select(
+        "doc_id", *[m[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
+        ((m["n_words"] < 10) | (100 * m["n_repeat_words"] > 20 * m["n_words"])).alias("base_failed"), "kept")
+
+
+ORACLES["op6_quality_rules"] = quality_rules.ORACLE
