@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stratapanel.llm import chat_format, packing, quality_rules, secret_scan, store, token_files
+from stratapanel.llm import chat_format, html_extract, packing, quality_classifier, quality_rules, secret_scan, store, token_files
 from stratapanel.llm.tokens import tokenizer_path
 
 QUERIES: dict = {}
@@ -64,3 +64,17 @@ def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ORACLES["op6_quality_rules"] = quality_rules.ORACLE
+
+
+@query
+def op7_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    model = quality_classifier.fitted(docs, labels.where(fold != 0).select("doc_id", F.col("quality").alias("label")))
+    scores = quality_classifier.scored(docs, model)
+    return scores.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+@query
+def op8_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return html_extract.extracted(table(spark, folder, "pages")).withColumn("n_chars", F.length("text").cast("bigint"))
