@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stratapanel.llm import chat_format, html_extract, packing, quality_classifier, quality_rules, secret_scan, store, token_files
+from stratapanel.llm import chat_format, decontaminate, html_extract, packing, quality_classifier, quality_rules, secret_scan, store, token_files
 from stratapanel.llm.tokens import tokenizer_path
 
 QUERIES: dict = {}
@@ -78,3 +78,8 @@ def op7_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op8_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return html_extract.extracted(table(spark, folder, "pages")).withColumn("n_chars", F.length("text").cast("bigint"))
+
+
+@query
+def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.regions(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
