@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stratapanel.llm import chat_format, decontaminate, html_extract, packing, quality_classifier, quality_rules, secret_scan, store, token_files
+from stratapanel.llm import chat_format, decontaminate, html_extract, ngram_jaccard, packing, quality_classifier, quality_rules, secret_scan, store, token_files
 from stratapanel.llm.tokens import tokenizer_path
 
 QUERIES: dict = {}
@@ -83,3 +83,8 @@ def op8_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.regions(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query
+def op1_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_jaccard.joined(table(spark, folder, "documents"), words=4, threshold=85)
