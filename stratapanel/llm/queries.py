@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stratapanel.llm import chat_format, decontaminate, html_extract, ngram_jaccard, packing, quality_classifier, quality_rules, secret_scan, store, token_files
+from stratapanel.llm import chat_format, decontaminate, html_extract, ngram_jaccard, packing, quality_classifier, quality_rules, secret_scan, store, suffix_dedup, token_files
 from stratapanel.llm.tokens import tokenizer_path
 
 QUERIES: dict = {}
@@ -88,3 +88,8 @@ def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op1_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_jaccard.joined(table(spark, folder, "documents"), words=4, threshold=85)
+
+
+@query
+def op9_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.deduplicated(table(spark, folder, "documents"), length=50)
