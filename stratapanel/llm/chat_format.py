@@ -60,22 +60,22 @@ def best_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     linked = nodes.join(known, F.col("tree").eqNullSafe(F.col("t2")) & (F.col("parent") == F.col("n2")), "left")
     step = linked.select("tree", "node", F.col("n2").alias("up"), F.lit(1).cast("bigint").alias("n"), F.col("score").alias("total"), F.col("node").alias("top"))
     step = written(step, "jumps")
-    jumps, pending, limit = [step], step.where("up IS NOT NULL").count(), nodes.count().bit_length() + 1
-    while pending and len(jumps) <= limit:
-        far = step.select(F.col("tree").alias("t2"), F.col("node").alias("n2"), F.col("up").alias("up2"), F.col("n").alias("m2"), F.col("total").alias("s2"), F.col("top").alias("top2"))
-        joined = step.join(far, F.col("tree").eqNullSafe(F.col("t2")) & (F.col("up") == F.col("n2")), "left")
-        step = written(joined.select(*key, F.col("up2").alias("up"), (F.col("n") + F.coalesce("m2", F.lit(0))).alias("n"),
-                                     (F.col("total") + F.coalesce("s2", F.lit(0.0))).alias("total"), F.coalesce("top2", "top").alias("top")), "jumps")
-        jumps.append(step)
-        pending = step.where("up IS NOT NULL").count()  # those left on a cycle never end
+    done, pending = step.where("up IS NULL"), step.where("up IS NOT NULL")
+    jumps, limit = [pending], nodes.count().bit_length() + 1
+    while len(jumps) <= limit and not pending.isEmpty():  # those left on a cycle never end
+        # Only messages whose root is not reached yet are joined again.
+        far = done.unionByName(pending).select(F.col("tree").alias("t2"), F.col("node").alias("n2"), F.col("up").alias("up2"), F.col("n").alias("m2"), F.col("total").alias("s2"), F.col("top").alias("top2"))
+        joined = pending.join(far, F.col("tree").eqNullSafe(F.col("t2")) & (F.col("up") == F.col("n2")))
+        step = written(joined.select(*key, F.col("up2").alias("up"), (F.col("n") + F.col("m2")).alias("n"), (F.col("total") + F.col("s2")).alias("total"), F.col("top2").alias("top")), "jumps")
+        done, pending = done.unionByName(step.where("up IS NULL")), step.where("up IS NOT NULL")
+        jumps.append(pending)
     answered = nodes.where("parent IS NOT NULL").select(F.col("tree").alias("t2"), F.col("parent").alias("n2")).distinct()
-    last = step.where("up IS NULL")
-    leaves = last.join(answered, F.col("tree").eqNullSafe(F.col("t2")) & (F.col("node") == F.col("n2")), "left_anti")
+    leaves = done.join(answered, F.col("tree").eqNullSafe(F.col("t2")) & (F.col("node") == F.col("n2")), "left_anti")
     rank = F.row_number().over(W.partitionBy("tree", "top").orderBy(F.desc(F.col("total") / F.col("n")), "node"))
     chosen = leaves.withColumn("rank", rank).where(F.col("rank") <= branches)
     rows = chosen.select("tree", F.col("top").alias("root"), F.col("node").alias("leaf"), "rank", "node", F.col("n").alias("position"))
     for k in range(len(jumps) - 1, -1, -1):  # distances as sums of falling powers of two: each ancestor once
-        far = jumps[k].where("up IS NOT NULL").select(F.col("tree").alias("t2"), F.col("node").alias("n2"), "up")
+        far = jumps[k].select(F.col("tree").alias("t2"), F.col("node").alias("n2"), "up")
         higher = rows.join(far, F.col("tree").eqNullSafe(F.col("t2")) & (F.col("node") == F.col("n2")))
         rows = rows.unionByName(higher.select("tree", "root", "leaf", "rank", F.col("up").alias("node"), (F.col("position") - (1 << k)).alias("position")))
         rows = written(rows, "paths")
