@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from stratapanel.llm.arrow import column, concatenated, slices
 from stratapanel.llm.components import components
-from stratapanel.llm.store import removed, width, written
+from stratapanel.llm.store import removed, unused, width, written
 from stratapanel.llm.words import mixed, shingle_sets
 
 #: Growth of a band's largest size; wide bands waste segments, narrow ones index twice.
@@ -206,5 +206,6 @@ def deduplicated(docs: DataFrame, words: int = 5, threshold: int = 80) -> DataFr
 
     Of rows that repeat one kept id all stay, as they are one document.
     """
-    kept = joined(docs, words, threshold).where("doc_id != component_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, docs["doc_id"] == kept["__id"], "left_anti")
+    copy, = unused(docs, "copy")
+    copies = joined(docs, words, threshold).where("doc_id != component_id").select(F.col("doc_id").alias(copy)).distinct()
+    return docs.join(copies, F.col("doc_id") == F.col(copy), "left_anti")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from stratapanel.llm.arrow import column, slices
-from stratapanel.llm.store import written
+from stratapanel.llm.store import unused, written
 from stratapanel.llm.tokens import encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
@@ -138,10 +138,11 @@ def _best_fit(left: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...]
 
 def pack(pieces: DataFrame, capacity: int, length: str = "length") -> DataFrame:
     """``pieces`` with sequence_id and offset; sequences are filled from 0 without gaps."""
-    spark = pieces.sparkSession
-    stored = written(pieces.withColumn("__part", F.spark_partition_id()).withColumn("__row", F.monotonically_increasing_id()), "pieces")
-    sums = written(stored.groupBy("__part", F.col(length).alias("__length")).agg(F.count(F.lit(1)).alias("__n")), "lengths")
-    counts = {int(r["__length"]): int(r["n"]) for r in sums.groupBy("__length").agg(F.sum("__n").alias("n")).collect()}  # at most ``capacity`` rows
+    kept = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    part_column, row_column, rank_column = unused(pieces, "part", "row", "rank")
+    stored = written(pieces.select(kept).withColumn(part_column, F.spark_partition_id()).withColumn(row_column, F.monotonically_increasing_id()), "pieces")
+    sums = written(stored.groupBy(F.col(part_column).alias("p"), F.col(length).alias("l")).agg(F.count(F.lit(1)).alias("n")), "lengths")
+    counts = {int(r["l"]): int(r["n"]) for r in sums.groupBy("l").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows
     sizes, starts, bases, offsets, ids = [], [], [], [], 0
     used = dict.fromkeys(counts, 0)
     for pattern, times in plan(counts, capacity):
@@ -158,23 +159,22 @@ def pack(pieces: DataFrame, capacity: int, length: str = "length") -> DataFrame:
     def places(batches):
         for batch in batches:
             lengths = column(batch, length).to_numpy(zero_copy_only=False).astype(np.int64)
-            ranks = column(batch, "__rank").to_numpy(zero_copy_only=False)
+            ranks = column(batch, rank_column).to_numpy(zero_copy_only=False)
             at = np.zeros(len(lengths), np.int64)
             for x in np.unique(lengths):
                 mine = lengths == x
                 own = starts[first[x]: first[x + 1]]
                 at[mine] = first[x] + np.searchsorted(own, ranks[mine], side="right") - 1
-            kept = [k for k, name in enumerate(batch.schema.names) if name != "__rank"]
+            others = [k for k, name in enumerate(batch.schema.names) if name != rank_column]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(k) for k in kept), pa.array(bases[at] + ranks - starts[at], pa.int64()), pa.array(offsets[at], pa.int64())],
-                [*(batch.schema.names[k] for k in kept), "sequence_id", "offset"])
-
-    before = F.coalesce(F.sum("__n").over(W.partitionBy("__length").orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    shifts = sums.select(F.col("__part"), F.col("__length"), before.cast("bigint").alias("__before"))
-    inside = F.row_number().over(W.partitionBy("__part", length).orderBy("__row")) - 1
-    ranked = stored.withColumn("__inside", inside)
-    joined = ranked.join(shifts, (ranked["__part"] == shifts["__part"]) & (ranked[length] == shifts["__length"]))
-    kept = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
-    joined = joined.select(*[ranked[c] for c in kept], (F.col("__before") + F.col("__inside")).alias("__rank"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields if f.name != "__rank")
+                [*(batch.column(k) for k in others), pa.array(bases[at] + ranks - starts[at], pa.int64()), pa.array(offsets[at], pa.int64())],
+                [*(batch.schema.names[k] for k in others), "sequence_id", "offset"])
+
+    before = F.coalesce(F.sum("n").over(W.partitionBy("l").orderBy("p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    shifts = sums.select("p", "l", before.cast("bigint").alias("before"))
+    inside = F.row_number().over(W.partitionBy(part_column, length).orderBy(row_column)) - 1
+    ranked = stored.withColumn(rank_column, inside)
+    joined = ranked.join(shifts, (ranked[part_column] == shifts["p"]) & (ranked[length] == shifts["l"]))
+    joined = joined.select(*[ranked[c] for c in kept], (shifts["before"] + ranked[rank_column]).alias(rank_column))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields if f.name != rank_column)
     return joined.mapInArrow(places, f"{schema}, sequence_id long, offset long")

@@ -16,8 +16,7 @@ Words are runs of anything but ASCII white space.  Measures of a text:
 Five-word windows are compared by a 64-bit hash inside one text.  Defined
 results: a null text counts as empty; empty texts are rejected (too few words);
 null or repeated ``doc_id`` rows are judged one by one; an empty table gives no
-rows; other columns are kept and cannot clash, as the measures sit in a struct
-of their own.
+rows; other columns are kept (``judged`` replaces columns named as its results).
 """
 
 from __future__ import annotations

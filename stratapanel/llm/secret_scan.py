@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from stratapanel.llm.arrow import column, slices
-from stratapanel.llm.store import written
+from stratapanel.llm.store import unused, written
 
 #: Code points within which complementary parts belong together.
 REACH = 200
@@ -118,15 +118,16 @@ def redacted(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
 
     Rows meet their spans by a row number that a written copy of the table fixes.
     """
-    fixed = written(docs.withColumn("__row", F.monotonically_increasing_id()), "documents")
-    keyed = fixed.select(F.col("__row").alias("doc_id"), "text")
-    found = scan(keyed).where(F.size("spans") > 0).select(F.col("doc_id").alias("__id"), "spans")
+    row, spans_column = unused(docs, "row", "spans")
+    fixed = written(docs.withColumn(row, F.monotonically_increasing_id()), "documents")
+    keyed = fixed.select(F.col(row).alias("doc_id"), "text")
+    found = scan(keyed).where(F.size("spans") > 0).select(F.col("doc_id").alias("found"), F.col("spans").alias("found_spans"))
 
     def run(batches):
         for batch in batches:
             at = batch.schema.get_field_index("text")
             texts = []
-            for text, spans in zip(batch.column(at).to_pylist(), column(batch, "__spans").to_pylist()):
+            for text, spans in zip(batch.column(at).to_pylist(), column(batch, spans_column).to_pylist()):
                 out, end = [], 0
                 for s in spans or ():
                     if s["end"] <= end:
@@ -135,8 +136,9 @@ def redacted(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
                         out += [text[end: s["start"]], mark]
                     end = s["end"]
                 texts.append(text if not spans else "".join(out) + text[end:])
-            keep = [k for k, n in enumerate(batch.schema.names) if n != "__spans"]
+            keep = [k for k, n in enumerate(batch.schema.names) if n != spans_column]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if k == at else batch.column(k) for k in keep], [batch.schema.names[k] for k in keep])
 
-    joined = fixed.join(found, F.col("__row") == F.col("__id"), "left").select(*docs.columns, F.col("spans").alias("__spans"))
+    joined = fixed.join(found, fixed[row] == found["found"], "left")
+    joined = joined.select(*[fixed[c] for c in docs.columns], found["found_spans"].alias(spans_column))
     return joined.mapInArrow(run, docs.schema)
