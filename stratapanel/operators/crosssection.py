@@ -17,14 +17,14 @@ from stratapanel.operators.universe import with_sector
 QUANTILES = ("Q1", "Q2", "Q3", "Q4", "Q5")
 
 
-def rank_ic(scores: DataFrame, keys=("date",), score="ml_score", ret="future_return", wide=None) -> DataFrame:
+def rank_ic(scores: DataFrame, keys=("date",), score="ml_score", ret="future_return") -> DataFrame:
     """(keys, rank_ic, pearson_ic, realized): Spearman with average tie ranks.
 
     Dates with fewer than two realised pairs, or a constant side, give NULL.
     """
     both = scores.where(F.col(score).isNotNull() & F.col(ret).isNotNull())
-    both = ranked(both, keys, score, "_rx", method="average", wide=wide)
-    both = ranked(both, keys, ret, "_ry", method="average", wide=wide)
+    both = ranked(both, keys, score, "_rx", method="average")
+    both = ranked(both, keys, ret, "_ry", method="average")
     agg = both.groupBy(*keys).agg(
         pearson(F.col("_rx"), F.col("_ry")).alias("rank_ic"),
         pearson(F.col(score), F.col(ret)).alias("pearson_ic"), F.count(F.lit(1)).alias("realized"),
@@ -46,7 +46,7 @@ def _flag_top(scores: DataFrame, keys, n: int, score: str = "ml_score") -> DataF
     return scores.join(chosen, [*keys, "ticker"], "left").withColumn("top", F.coalesce("top", F.lit(False)))
 
 
-def monthly_metrics(scores: DataFrame, keys=("date",), ret="future_return", bench="benchmark_return", n=5, wide=None) -> DataFrame:
+def monthly_metrics(scores: DataFrame, keys=("date",), ret="future_return", bench="benchmark_return", n=5) -> DataFrame:
     """(keys, rank_ic, top_n_hit_rate, top_n_spread) over realised rows."""
     valid = scores.where(F.col("ml_score").isNotNull() & F.col(ret).isNotNull())
     marked = _flag_top(valid, keys, n)
@@ -55,7 +55,7 @@ def monthly_metrics(scores: DataFrame, keys=("date",), ret="future_return", benc
         F.avg(F.when(top, flag(F.col(ret) > F.col(bench)))).alias("top_n_hit_rate"),
         (F.avg(F.when(top, F.col(ret))) - F.avg(ret)).alias("top_n_spread"),
     )
-    ic = rank_ic(valid, keys, ret=ret, wide=wide).select(*keys, "rank_ic")
+    ic = rank_ic(valid, keys, ret=ret).select(*keys, "rank_ic")
     return agg.join(ic, list(keys), "left")
 
 
@@ -76,8 +76,8 @@ def ranking_by_date(scores: DataFrame, n: int = 5, score: str = "ml_score", stri
     return agg.select("date", hit.alias("top_n_hit_rate"), "top_n_spread")
 
 
-def ranking_summary(scores: DataFrame, n: int = 5, score: str = "ml_score", strict: bool = True, wide=None) -> DataFrame:
-    ic = rank_ic(scores, score=score, wide=wide)
+def ranking_summary(scores: DataFrame, n: int = 5, score: str = "ml_score", strict: bool = True) -> DataFrame:
+    ic = rank_ic(scores, score=score)
     merged = ic.join(ranking_by_date(scores, n, score, strict), "date", "left")
     c = F.col("rank_ic")
     return merged.agg(
@@ -94,18 +94,18 @@ def _rolling(column: str | Column, window: int, order: str = "date") -> Column:
     return F.when(F.count(value).over(w) == window, F.avg(value).over(w))
 
 
-def ranking_timeseries(scores: DataFrame, n: int = 5, window: int = 12, score="ml_score", wide=None) -> DataFrame:
+def ranking_timeseries(scores: DataFrame, n: int = 5, window: int = 12, score="ml_score") -> DataFrame:
     """Rank IC, its rolling mean and the top-N hit rate: one row per date, so
     the calendar-ordered frame is short."""
-    ic = rank_ic(scores, score=score, wide=wide).select("date", "rank_ic")
+    ic = rank_ic(scores, score=score).select("date", "rank_ic")
     hits = ranking_by_date(scores, n, score).select("date", "top_n_hit_rate")
     return ic.join(hits, "date", "left").select(
         "date", "rank_ic", _rolling("rank_ic", window).alias("rolling_mean_rank_ic"), "top_n_hit_rate"
     )
 
 
-def diagnostics(scores: DataFrame, n: int = 25, wide=None) -> DataFrame:
-    ic = rank_ic(scores, wide=wide)
+def diagnostics(scores: DataFrame, n: int = 25) -> DataFrame:
+    ic = rank_ic(scores)
     spread = scores.groupBy("date").agg(
         F.stddev_samp("ml_score").alias("score_dispersion"), F.count("ml_score").alias("eligible_securities")
     )
@@ -116,9 +116,9 @@ def diagnostics(scores: DataFrame, n: int = 25, wide=None) -> DataFrame:
     )
 
 
-def quantile_returns(scores: DataFrame, wide=None) -> DataFrame:
+def quantile_returns(scores: DataFrame) -> DataFrame:
     """(date, Q1..Q5, Q5_minus_Q1): buckets from scores, means of outcomes."""
-    q = quantiles(scores, wide=wide).where(F.col("future_return").isNotNull())
+    q = quantiles(scores).where(F.col("future_return").isNotNull())
     mean = lambda k: F.avg(F.when(F.col("quantile_number") == k, F.col("future_return")))
     return q.groupBy("date").agg(*[mean(i).alias(f"Q{i}") for i in range(1, 6)]).withColumn(
         "Q5_minus_Q1", F.col("Q5") - F.col("Q1")
@@ -158,13 +158,13 @@ def long_short(returns: DataFrame, periods: int = 12) -> DataFrame:
     )
 
 
-def sector_exposure(sectored: DataFrame, n: int = 25, wide=None) -> DataFrame:
+def sector_exposure(sectored: DataFrame, n: int = 25) -> DataFrame:
     """(date, sector, universe, top-N, Q5 and active weights), equal weighting.
 
     Input carries ``sector``; sectors are few, so everything after the ranks is
     a small two-level aggregation.
     """
-    q = quantiles(sectored, wide=wide).select("date", "ticker", "sector", "ml_score", "quantile_number")
+    q = quantiles(sectored).select("date", "ticker", "sector", "ml_score", "quantile_number")
     marked = _flag_top(q, ("date",), n)
     counts = marked.groupBy("date", "sector").agg(
         F.count(F.lit(1)).alias("_u"), count_if(F.col("top")).alias("_t"),
@@ -197,8 +197,8 @@ def sector_attribution(exposure: DataFrame, scores: DataFrame, n: int = 25) -> D
     return attach(attach(overall, dates), by_sector)
 
 
-def current_sector_exposure(ranked_now: DataFrame, metadata: DataFrame, n: int, wide=None) -> DataFrame:
-    return sector_exposure(with_sector(ranked_now, metadata), n, wide).select(
+def current_sector_exposure(ranked_now: DataFrame, metadata: DataFrame, n: int) -> DataFrame:
+    return sector_exposure(with_sector(ranked_now, metadata), n).select(
         "sector", F.col("universe_weight").alias("eligible_equal_weight"), F.col("q5_weight").alias("q5_equal_weight"),
         F.col("topn_weight").alias("topn_equal_weight"), F.col("active_sector_weight").alias("topn_active_equal_weight"),
     )
@@ -224,12 +224,12 @@ def stability_rolling(monthly: DataFrame, window: int = 12) -> DataFrame:
     )
 
 
-def signal_decay(scores: DataFrame, monthly: DataFrame, benchmark: DataFrame, horizons=(1, 2, 3), n: int = 5, wide=None) -> DataFrame:
+def signal_decay(scores: DataFrame, monthly: DataFrame, benchmark: DataFrame, horizons=(1, 2, 3), n: int = 5) -> DataFrame:
     """Fixed scores against cumulative returns; the horizon is a key."""
     future = forward_returns(monthly, benchmark, horizons)
     keyed = scores.select("date", "ticker", "ml_score").join(future, ["date", "ticker"])
     m = monthly_metrics(
-        keyed, ("horizon", "date"), ret="horizon_return", bench="horizon_benchmark_return", n=n, wide=wide
+        keyed, ("horizon", "date"), ret="horizon_return", bench="horizon_benchmark_return", n=n
     )
     c = F.col("rank_ic")
     return m.groupBy(F.col("horizon").alias("horizon_months")).agg(
@@ -240,7 +240,7 @@ def signal_decay(scores: DataFrame, monthly: DataFrame, benchmark: DataFrame, ho
     )
 
 
-def score_dispersion(scores: DataFrame, n: int = 5, wide=None) -> DataFrame:
+def score_dispersion(scores: DataFrame, n: int = 5) -> DataFrame:
     s = F.col("ml_score")
     five = top_n(scores.select("date", "ticker", "ml_score"), ("date",), "ml_score", max(5, n)).groupBy("date").agg(
         F.avg(F.when(F.col("rank") <= 5, s)).alias("_five"), F.avg(F.when(F.col("rank") <= n, s)).alias("selected_score_average")
@@ -250,7 +250,7 @@ def score_dispersion(scores: DataFrame, n: int = 5, wide=None) -> DataFrame:
         F.max(s).alias("score_max"), (F.max(s) - F.min(s)).alias("score_range"),
         (F.max(s) - F.median(s)).alias("top_1_minus_median_score"),
     )
-    return agg.join(five, "date").join(monthly_metrics(scores, n=n, wide=wide), "date", "left").select(
+    return agg.join(five, "date").join(monthly_metrics(scores, n=n), "date", "left").select(
         *agg.columns, (F.col("_five") - F.col("score_mean")).alias("top_5_average_minus_universe_average"),
         "selected_score_average", "rank_ic", "top_n_hit_rate", "top_n_spread",
     )

@@ -12,7 +12,7 @@ from stratapanel.operators.ranking import ranked, top_n
 from stratapanel.operators.timeseries import calendar, momentum, on_calendar
 
 
-def momentum_now(monthly: DataFrame, tickers: DataFrame, wide=None) -> DataFrame:
+def momentum_now(monthly: DataFrame, tickers: DataFrame) -> DataFrame:
     """Both momentum signals at the last session with ranks, NULL last.
 
     Reads three sessions per ticker; securities missing at the end stay NULL.
@@ -27,15 +27,15 @@ def momentum_now(monthly: DataFrame, tickers: DataFrame, wide=None) -> DataFrame
         (F.try_divide(at(1), at(12)) - 1.0).alias("momentum_12_1"),
     )
     out = attach(tickers.select("ticker").join(agg, "ticker", "left"), last.select("signal_date"))
-    out = ranked(out, ("signal_date",), "momentum_3m", "rank_3m", descending=True, wide=wide)
-    return ranked(out, ("signal_date",), "momentum_12_1", "rank_12_1", descending=True, wide=wide).select(
+    out = ranked(out, ("signal_date",), "momentum_3m", "rank_3m", descending=True)
+    return ranked(out, ("signal_date",), "momentum_12_1", "rank_12_1", descending=True).select(
         "ticker", "signal_date", "momentum_3m", "rank_3m", "momentum_12_1", "rank_12_1"
     )
 
 
-def momentum_signals(monthly: DataFrame, tickers: DataFrame, eligibility: DataFrame, wide=None) -> DataFrame:
+def momentum_signals(monthly: DataFrame, tickers: DataFrame, eligibility: DataFrame) -> DataFrame:
     """Signals with validity and reason; ranks only where the signal exists."""
-    rows = momentum_now(monthly, tickers, wide).join(
+    rows = momentum_now(monthly, tickers).join(
         eligibility.select("ticker", "eligible", "reason"), "ticker", "left"
     )
     valid = F.col("momentum_3m").isNotNull() & F.col("momentum_12_1").isNotNull() & F.coalesce("eligible", F.lit(False))
@@ -48,7 +48,7 @@ def momentum_signals(monthly: DataFrame, tickers: DataFrame, eligibility: DataFr
     )
 
 
-def replay_signals(monthly: DataFrame, start: str, end: str, wide=None) -> DataFrame:
+def replay_signals(monthly: DataFrame, start: str, end: str) -> DataFrame:
     """Both signals and ranks as each month end in a range would have seen them.
 
     Signals only look back, so the as-of date is just the signal's own date: a
@@ -59,7 +59,7 @@ def replay_signals(monthly: DataFrame, start: str, end: str, wide=None) -> DataF
     twelve = momentum(monthly, 12, 1, "momentum_12_1").select("date", "ticker", "momentum_12_1")
     rows = three.join(twelve, ["date", "ticker"], "full_outer").where(inside)
     for signal, rank in (("momentum_3m", "rank_3m"), ("momentum_12_1", "rank_12_1")):
-        rows = ranked(rows, ("date",), signal, rank, descending=True, wide=wide).withColumn(
+        rows = ranked(rows, ("date",), signal, rank, descending=True).withColumn(
             rank, F.when(F.col(signal).isNotNull(), F.col(rank))
         )
     return rows.withColumnRenamed("date", "as_of")

@@ -1,28 +1,15 @@
 """Cross-sectional ranks, top-N and equal-count quantiles.
 
-A date's cross-section holds the whole universe.  Below a checked scan size one
-task per date sorts it.  Above, the group is split into order-preserving value
-buckets: counts per bucket (small, pre-aggregated) give every bucket its exact
-offset, and only buckets are sorted.  Both ways return identical ranks.
+A date's cross-section is one row per security, so a group is bounded by the
+universe, not by the history; its sort spills and dates spread over the tasks.
+Top-N needs no such sort: only N rows per date and map task travel.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from stratapanel.operators.timeseries import FEATURES
-from stratapanel.scale import has_wide_groups
-
-
-def value_bucket(value: Column) -> Column:
-    """Integer that never decreases as ``value`` grows; about 0.3 % wide."""
-    scale, centre = 256, 1_000_000
-    return (
-        F.when(value > 0, centre + F.floor(scale * F.log2(value)))
-        .when(value < 0, -(centre + F.floor(scale * F.log2(-value))))
-        .otherwise(0)
-        .cast("bigint")
-    )
 
 
 def ranked(
@@ -34,45 +21,25 @@ def ranked(
     descending: bool = False,
     tie: tuple[str, ...] = ("ticker",),
     size: str | None = None,
-    wide: bool | None = None,
 ) -> DataFrame:
-    """Rank of ``value`` within ``keys``; NULL values rank last.
+    """Rank of ``value`` within ``keys``; NULL values rank last, NaN above every number.
 
     ``method``: ``row`` (ties broken by ``tie``), ``min`` or ``average`` (ties
     share a rank).  ``size`` also attaches the number of non-NULL values.
     """
-    wide = has_wide_groups(df) if wide is None else wide
     col = F.col(value)
-    group = list(keys)
-    if wide:
-        null_bucket = -10_000_000 if descending else 10_000_000
-        df = df.withColumn("_bucket", F.when(col.isNull(), null_bucket).otherwise(value_bucket(col)))
-        order = F.desc("_bucket") if descending else F.asc("_bucket")
-        every = Window.partitionBy(*keys)
-        offsets = (
-            df.groupBy(*keys, "_bucket")
-            .agg(F.count(F.lit(1)).alias("_n"), F.count(col).alias("_valid"))
-            .withColumn("_before", F.sum("_n").over(every.orderBy(order)) - F.col("_n"))
-            .withColumn("_size", F.sum("_valid").over(every))
-            .drop("_n", "_valid")
-        )
-        group = [*keys, "_bucket"]
-        df = df.join(offsets, group)
-    w = Window.partitionBy(*group)
+    w = Window.partitionBy(*keys)
     direction = col.desc_nulls_last() if descending else col.asc_nulls_last()
     if method == "row":
         position = F.row_number().over(w.orderBy(direction, *tie))
     else:
         position = F.rank().over(w.orderBy(direction))
         if method == "average":
-            ties = F.count(F.lit(1)).over(Window.partitionBy(*group, value))
-            position = position + (ties - 1) / F.lit(2.0)
-    if wide:
-        position = position + F.col("_before")
+            # The tied rows are the peers of the current row in the same order.
+            peers = F.count(F.lit(1)).over(w.orderBy(direction).rangeBetween(Window.currentRow, Window.currentRow))
+            position = position + (peers - 1) / F.lit(2.0)
     out = df.withColumn(name, position)
-    if size:
-        out = out.withColumn(size, F.col("_size") if wide else F.count(col).over(w))
-    return out.drop("_bucket", "_before", "_size")
+    return out.withColumn(size, F.count(col).over(w)) if size else out
 
 
 def top_n(df: DataFrame, keys: tuple[str, ...], score: str, n: int, rank: str = "rank") -> DataFrame:
@@ -106,10 +73,10 @@ def extremes(df: DataFrame, keys: tuple[str, ...], score: str, n: int) -> DataFr
     return high.unionByName(low).withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-def quantiles(scores: DataFrame, keys=("date",), score: str = "ml_score", buckets: int = 5, wide=None) -> DataFrame:
+def quantiles(scores: DataFrame, keys=("date",), score: str = "ml_score", buckets: int = 5) -> DataFrame:
     """Equal-count assignment ``floor((rank-1) * buckets / n) + 1``, worst first."""
     out = ranked(
-        scores.where(F.col(score).isNotNull()), keys, score, "_row", size="_n", wide=wide
+        scores.where(F.col(score).isNotNull()), keys, score, "_row", size="_n"
     )
     number = (F.floor((F.col("_row") - 1) * buckets / F.col("_n")) + 1).cast("int")
     return out.withColumn("quantile_number", number).withColumn(
@@ -117,28 +84,27 @@ def quantiles(scores: DataFrame, keys=("date",), score: str = "ml_score", bucket
     ).drop("_row", "_n")
 
 
-def score_order(scores: DataFrame, keys=("date",), score: str = "ml_score", name: str = "rank", wide=None) -> DataFrame:
+def score_order(scores: DataFrame, keys=("date",), score: str = "ml_score", name: str = "rank") -> DataFrame:
     """Rank 1 = best score, ticker ascending on ties."""
-    return ranked(scores, keys, score, name, descending=True, wide=wide)
+    return ranked(scores, keys, score, name, descending=True)
 
 
-def percent_rank(df: DataFrame, keys, value: str, name: str, wide=None) -> DataFrame:
-    out = ranked(df, keys, value, "_rank", method="min", size="_n", wide=wide)
+def percent_rank(df: DataFrame, keys, value: str, name: str) -> DataFrame:
+    out = ranked(df, keys, value, "_rank", method="min", size="_n")
     return out.withColumn(
         name, F.coalesce(F.try_divide(F.col("_rank") - 1, F.col("_n") - 1), F.lit(0.0))
     ).drop("_rank", "_n")
 
 
-def baseline_score(dataset: DataFrame, wide=None) -> DataFrame:
+def baseline_score(dataset: DataFrame) -> DataFrame:
     """``ml_score`` = mean percentile of the five features on each date.
 
     A transparent stand-in for the trained ranker wherever only the *use* of a
     score matters.
     """
-    wide = has_wide_groups(dataset) if wide is None else wide
     out = dataset
     for feature in FEATURES:
-        out = percent_rank(out, ("date",), feature, f"_p_{feature}", wide)
+        out = percent_rank(out, ("date",), feature, f"_p_{feature}")
     total = sum((F.col(f"_p_{f}") for f in FEATURES[1:]), F.col(f"_p_{FEATURES[0]}"))
     return out.withColumn("ml_score", total / 5.0).select(
         "date", "target_date", "ticker", "ml_score", "future_return", "benchmark_return", "target"

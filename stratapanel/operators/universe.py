@@ -20,19 +20,30 @@ def active_at(date: Column) -> Column:
     return (F.col("effective_from") <= date) & (F.col("effective_to").isNull() | (F.col("effective_to") > date))
 
 
-def interval_join(dataset: DataFrame, membership: DataFrame, *columns: str) -> DataFrame:
+def _refused(bad: Column, message: str, column: str) -> Column:
+    """``column``, failing the job where ``bad`` holds."""
+    return F.when(bad, F.raise_error(F.concat(F.lit(message), F.coalesce(F.col("ticker"), F.lit("NULL"))))).otherwise(F.col(column)).alias(column)
+
+
+def interval_join(dataset: DataFrame, membership: DataFrame, *columns: str, strict: bool = True) -> DataFrame:
     """Rows whose (ticker, date) lies in a membership interval.
 
     An equi join on ticker with the range as residual predicate: both sides
-    hash on ticker, and a ticker has few intervals.
+    hash on ticker, and a ticker has few intervals.  ``strict`` fails the job
+    where two intervals of a ticker overlap, as a row would come out twice.
     """
     spans = membership.select("ticker", "effective_from", "effective_to", *columns)
+    if strict:
+        later = F.lead("effective_from").over(Window.partitionBy("ticker").orderBy("effective_from"))
+        spans = spans.withColumn("_later", later)
+        bad = F.col("_later") < F.coalesce("effective_to", F.lit("9999-12-31").cast("date"))
+        spans = spans.select("ticker", _refused(bad, "Overlapping membership of ", "effective_from"), "effective_to", *columns)
     return dataset.join(spans, "ticker").where(active_at(F.col("date"))).drop("effective_from", "effective_to")
 
 
 def overlap_violations(dataset: DataFrame, membership: DataFrame) -> DataFrame:
     """(date, ticker) pairs covered by more than one interval."""
-    return duplicates(interval_join(dataset, membership), "date", "ticker")
+    return duplicates(interval_join(dataset, membership, strict=False), "date", "ticker")
 
 
 def members_at(membership: DataFrame, date: str) -> DataFrame:
@@ -82,13 +93,19 @@ def membership_violations(membership: DataFrame) -> DataFrame:
 
 
 def load_membership_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Dated membership file: strict start and source dates, lenient end."""
+    """Dated membership file: strict start and source dates, lenient end.
+
+    Repeated records and intervals that do not end after their start fail the job.
+    """
     raw = spark.read.option("header", True).csv(path)
     require_columns(raw, *MEMBERSHIP_COLUMNS)
-    return raw.select(
+    out = raw.select(
         *[c for c in MEMBERSHIP_COLUMNS[:5]], F.to_date("effective_from").alias("effective_from"),
         F.try_to_date("effective_to").alias("effective_to"), "source", F.to_date("source_date").alias("source_date"),
     )
+    out = out.withColumn("_times", F.count(F.lit(1)).over(Window.partitionBy("index_name", "ticker", "effective_from")))
+    bad = (F.col("_times") > 1) | (F.col("effective_to") <= F.col("effective_from"))
+    return out.select(*[_refused(bad, "Repeated or inverted membership of ", c) if c == "effective_from" else c for c in MEMBERSHIP_COLUMNS])
 
 
 def load_current_membership_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -104,12 +121,16 @@ def universe_hash(members: DataFrame) -> DataFrame:
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
-    """Order-free content hash of any table: xor and sum of row hashes."""
-    h = F.xxhash64(*sorted(df.columns))
-    return df.select(h.alias("h")).agg(
-        F.count(F.lit(1)).alias("row_count"), F.bit_xor("h").alias("hash_xor"),
-        F.sum(F.col("h").cast("decimal(20,0)")).alias("_sum"),
-    ).select("row_count", F.sha2(F.concat_ws(":", F.col("row_count"), F.col("hash_xor"), F.col("_sum")), 256).alias("fingerprint"))
+    """Order-free content hash of any table: sum of the rows' 60-bit SHA-256 prefixes.
+
+    Cells are written as text with a mark of their own for NULL and an escaped
+    separator, so no two different rows read alike.
+    """
+    cells = [F.coalesce(F.concat(F.lit("="), F.replace(F.col(c).cast("string"), F.lit("|"), F.lit("||"))), F.lit("~")) for c in sorted(df.columns)]
+    head = F.substring(F.sha2(F.concat_ws("|;", *cells), 256), 1, 15)
+    number = F.conv(head, 16, 10).cast("decimal(20,0)")
+    return df.select(number.alias("h")).agg(F.count(F.lit(1)).alias("row_count"), F.coalesce(F.sum("h"), F.lit(0)).alias("_sum")).select(
+        "row_count", F.sha2(F.concat_ws(":", F.col("row_count").cast("string"), F.col("_sum").cast("decimal(38,0)").cast("string")), 256).alias("fingerprint"))
 
 
 def with_sector(df: DataFrame, metadata: DataFrame) -> DataFrame:

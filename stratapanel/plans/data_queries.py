@@ -170,7 +170,12 @@ def appended(s, d) -> DataFrame:
 
 
 register("s12_append_once", appended, out("(SELECT *, date AS realization_date FROM pos_led)", "strategy signal_date realization_date", "net_return"))
-register("s13_fingerprint", lambda s, d: U.fingerprint(B.brand(s, d).select("date", "ticker", "close")))
+# The close in whole hundred-thousandths: text of a double differs between engines.
+register(
+    "s13_fingerprint", lambda s, d: U.fingerprint(B.brand(s, d).select("date", "ticker", F.floor(F.col("close") * 100000).cast("bigint").alias("close"))),
+    query("""SELECT count(*) AS row_count, sha256(count(*) || ':' || CAST(coalesce(sum(h), 0) AS VARCHAR)) AS fingerprint FROM (
+      SELECT CAST(('0x' || substr(sha256(concat_ws('|;', coalesce('=' || CAST(CAST(floor(close * 100000) AS BIGINT) AS VARCHAR), '~'), '=' || CAST(date AS VARCHAR), '=' || replace(ticker, '|', '||'))), 1, 15)) AS BIGINT) AS h FROM px_b)"""),
+)
 register(
     "s14_ledger_migration",
     lambda s, d: K2.migrate_ledger(B.suite_positions(s, d).select("strategy", "signal_date", "ticker", F.col("weight").alias("target_weight"))),
@@ -445,8 +450,8 @@ register(
 )
 register(
     "j8_next_session",
-    lambda s, d: U.next_session(B.benchmark(s, d).select("date"), B.nation_days(s, d).where("ticker = 'N3'")),
-    query("SELECT b.date, (SELECT min(date) FROM px_n p WHERE p.ticker = 'N3' AND p.date > b.date) AS next_session FROM bm b"),
+    lambda s, d: U.next_session(B.benchmark(s, d).select("date"), B.nation_days(s, d)),
+    query("SELECT b.date, (SELECT min(date) FROM px_n p WHERE p.date > b.date) AS next_session FROM bm b"),
 )
 CUTS = ("1998-06-30", "1999-06-30", "2000-06-30", "2001-05-31")
 cuts = ", ".join(f"DATE '{c}'" for c in CUTS)

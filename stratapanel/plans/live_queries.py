@@ -109,11 +109,11 @@ register(
 )
 
 register(
-    "j15_replay_signals", lambda s, d: V.replay_signals(B.closes(B.supplier(s, d)), "1998-01-01", "2001-05-31"),
+    "j15_replay_signals", lambda s, d: V.replay_signals(B.closes(B.supplier(s, d)), "1998-01-01", "2001-11-30"),
     out("""(SELECT date AS as_of, ticker, momentum_3m, momentum_12_1,
       CASE WHEN momentum_3m IS NOT NULL THEN row_number() OVER (PARTITION BY date ORDER BY momentum_3m DESC NULLS LAST, ticker) END AS rank_3m,
       CASE WHEN momentum_12_1 IS NOT NULL THEN row_number() OVER (PARTITION BY date ORDER BY momentum_12_1 DESC NULLS LAST, ticker) END AS rank_12_1
-      FROM lag_s WHERE date BETWEEN DATE '1998-01-01' AND DATE '2001-05-31' AND (momentum_3m IS NOT NULL OR momentum_12_1 IS NOT NULL))""",
+      FROM lag_s WHERE date BETWEEN DATE '1998-01-01' AND DATE '2001-11-30' AND (momentum_3m IS NOT NULL OR momentum_12_1 IS NOT NULL))""",
         "as_of ticker", "momentum_3m momentum_12_1", "rank_3m rank_12_1"),
 )
 
@@ -145,11 +145,12 @@ def previous(s, d) -> DataFrame:
     last = B.suite_positions(s, d).where(F.col("strategy") != "ml")
     end = last.agg(F.max("signal_date").alias("signal_date"))
     old = last.join(F.broadcast(end), "signal_date", "left_semi").select("strategy", "signal_date", "ticker", F.col("weight").alias("target_weight"))
-    return V.pretrade_weights(old, B.brand(s, d), F.lit("2001-05-31").cast("date"))
+    newest = B.brand(s, d).agg(F.max("date")).first()[0]
+    return V.pretrade_weights(old, B.brand(s, d), F.lit(newest))
 
 
 frag("prev", """SELECT strategy, ticker, weight * (1 + asset_return) / sum(weight * (1 + asset_return)) OVER (PARTITION BY strategy) AS pretrade_weight FROM pos
-  WHERE strategy <> 'ml' AND signal_date = (SELECT max(signal_date) FROM pos WHERE strategy <> 'ml')""")
+  WHERE strategy <> 'ml' AND asset_return IS NOT NULL AND signal_date = (SELECT max(signal_date) FROM pos WHERE strategy <> 'ml')""")
 register("w8_live_pretrade", previous, out("prev", "strategy ticker", "pretrade_weight"))
 frag("sides", """SELECT coalesce(t.strategy, p.strategy) AS strategy, coalesce(t.ticker, p.ticker) AS ticker, coalesce(t.target_weight, 0) AS target_weight,
   coalesce(p.pretrade_weight, 0) AS pretrade_weight, p.ticker IS NOT NULL AS o FROM tgt t FULL OUTER JOIN prev p ON p.strategy = t.strategy AND p.ticker = t.ticker""")

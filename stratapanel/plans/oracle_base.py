@@ -58,7 +58,6 @@ def pearson(x: str, y: str) -> str:
 
 
 CENTS = "sum(CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT)) / 100.0::DOUBLE"
-WINDOW = "l_shipdate >= TIMESTAMP '1995-06-01' AND l_shipdate < TIMESTAMP '2001-06-01'"
 BAR = (
     f"{CENTS} AS value, sum(l_quantity) AS volume, min(l_extendedprice / l_quantity) AS open, "
     f"{CENTS} / sum(l_quantity) AS close"
@@ -66,11 +65,11 @@ BAR = (
 MONTH = "last_day(CAST(l_shipdate AS DATE))"
 FEATURES = ("momentum_1m", "momentum_3m", "momentum_6m", "volatility_3m", "drawdown_3m")
 
-frag("px_b", f"SELECT {MONTH} AS date, p_brand AS ticker, {BAR} FROM lineitem JOIN part ON l_partkey = p_partkey WHERE {WINDOW} GROUP BY 1, 2")
-frag("px_s", f"SELECT {MONTH} AS date, CAST(l_suppkey AS VARCHAR) AS ticker, {BAR} FROM lineitem WHERE {WINDOW} GROUP BY 1, 2")
+frag("px_b", f"SELECT {MONTH} AS date, p_brand AS ticker, {BAR} FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2")
+frag("px_s", f"SELECT {MONTH} AS date, CAST(l_suppkey AS VARCHAR) AS ticker, {BAR} FROM lineitem GROUP BY 1, 2")
 frag("px_n", f"SELECT CAST(l_shipdate AS DATE) AS date, 'N' || s_nationkey AS ticker, {BAR} FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2")
-frag("px_r", f"SELECT CAST(l_shipdate AS DATE) AS date, r_name AS ticker, {BAR} FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE {WINDOW} GROUP BY 1, 2")
-frag("bm", f"SELECT {MONTH} AS date, {CENTS} / sum(l_quantity) AS close FROM lineitem WHERE {WINDOW} GROUP BY 1")
+frag("px_r", f"SELECT CAST(l_shipdate AS DATE) AS date, r_name AS ticker, {BAR} FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2")
+frag("bm", f"SELECT {MONTH} AS date, {CENTS} / sum(l_quantity) AS close FROM lineitem GROUP BY 1")
 frag("bday", f"SELECT CAST(l_shipdate AS DATE) AS date, {CENTS} / sum(l_quantity) AS close FROM lineitem GROUP BY 1")
 frag("br", "SELECT date, close / lag(close) OVER (ORDER BY date) - 1 AS bench FROM bm")
 frag("mkt", f"""SELECT CAST(l_shipdate AS DATE) AS date, 'N' || s_nationkey AS canonical_ticker,
@@ -182,7 +181,7 @@ def evaluated(name: str, r: str, keys: str, extra: str = "", active: bool = True
 
 
 ledger("pos")
-frag("all_ret", "SELECT strategy, date, net_return AS ret FROM pos_led UNION ALL SELECT 'benchmark', date, bench FROM br WHERE bench IS NOT NULL")
+frag("all_ret", "SELECT strategy, date, net_return AS ret FROM pos_led WHERE net_return IS NOT NULL UNION ALL SELECT 'benchmark', date, bench FROM br WHERE bench IS NOT NULL")
 frag("common", "SELECT * FROM all_ret WHERE date IN (SELECT date FROM all_ret GROUP BY date HAVING count(DISTINCT strategy) = 4)")
 frag("cb", "SELECT c.*, b.ret AS bench FROM common c LEFT JOIN (SELECT date, ret FROM common WHERE strategy = 'benchmark') b ON c.date = b.date")
 evaluated("cev", "cb", "strategy")

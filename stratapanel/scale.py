@@ -1,39 +1,10 @@
-"""Size checks that choose between physical strategies.
-
-Every check reads the size Spark already knows for the files under a plan; no
-job is started.  The two strategies of each choice return the same rows.
-"""
+"""Partition width of CPU-heavy steps."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-#: A scan below this many bytes gives date cross-sections one task can sort.
-WIDE_GROUP_BYTES = 8 << 30
-#: Inputs below this need no more partitions than there are cores.
-SMALL_BYTES = 1 << 30
-
-
-def scan_bytes(df: DataFrame) -> int:
-    """Sum of the sizes of all relations read by ``df`` (an input-size check)."""
-    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-
-
-def _setting(df: DataFrame, name: str, default: int) -> int:
-    return int(df.sparkSession.conf.get(f"spark.stratapanel.{name}", str(default)))
-
-
-def has_wide_groups(df: DataFrame) -> bool:
-    """True when a per-date group may be too large for a single task."""
-    return scan_bytes(df) > _setting(df, "wideGroupBytes", WIDE_GROUP_BYTES)
-
 
 def even_width(df: DataFrame) -> int:
-    """Partitions for CPU-heavy rows that must not be coalesced.
-
-    The session's full shuffle width for large inputs, one per core for small.
-    """
-    spark = df.sparkSession
-    full = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return full if scan_bytes(df) > SMALL_BYTES else min(full, spark.sparkContext.defaultParallelism)
+    """Partitions for CPU-heavy rows that must not be coalesced: the session's shuffle width."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

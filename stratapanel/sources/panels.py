@@ -12,9 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from stratapanel.sources.tables import read_table
 
-MONTHS_FROM = "1995-06-01"
-MONTHS_TO = "2001-06-01"
-
 
 def _lines(spark: SparkSession, folder: str, *extra: str) -> DataFrame:
     return read_table(
@@ -22,14 +19,6 @@ def _lines(spark: SparkSession, folder: str, *extra: str) -> DataFrame:
     )
 
 
-def _in_window(df: DataFrame) -> DataFrame:
-    # On the raw column, so the predicate reaches the Parquet scan.
-    return df.where(
-        (F.col("l_shipdate") >= F.lit(MONTHS_FROM).cast("timestamp_ntz"))
-        & (F.col("l_shipdate") < F.lit(MONTHS_TO).cast("timestamp_ntz"))
-    )
-
-
 def cents(column: str) -> Column:
     """Nearest whole cent of a non-negative amount."""
     return F.floor(F.col(column) * 100 + 0.5)
@@ -59,14 +48,14 @@ def month_end(column: str) -> Column:
 def brand_months(spark: SparkSession, folder: str) -> DataFrame:
     """(date, ticker, value, volume, open, close) by brand and month."""
     part = read_table(spark, folder, "part", "p_partkey", "p_brand")
-    lines = _in_window(_lines(spark, folder, "l_partkey"))
+    lines = _lines(spark, folder, "l_partkey")
     joined = lines.join(part, lines.l_partkey == part.p_partkey)
     return _bars(joined, F.col("p_brand"), month_end("l_shipdate"))
 
 
 def supplier_months(spark: SparkSession, folder: str) -> DataFrame:
     """The same by supplier: the wide-universe panel, no join needed."""
-    lines = _in_window(_lines(spark, folder, "l_suppkey"))
+    lines = _lines(spark, folder, "l_suppkey")
     return _bars(lines, F.col("l_suppkey").cast("string"), month_end("l_shipdate"))
 
 
@@ -93,7 +82,7 @@ def region_days(spark: SparkSession, folder: str) -> DataFrame:
     place = supplier.join(nation, supplier.s_nationkey == nation.n_nationkey).join(
         region, nation.n_regionkey == region.r_regionkey
     ).select("s_suppkey", "r_name")
-    lines = _in_window(_lines(spark, folder, "l_suppkey"))
+    lines = _lines(spark, folder, "l_suppkey")
     return _bars(lines.join(place, lines.l_suppkey == place.s_suppkey), F.col("r_name"), F.to_date("l_shipdate"))
 
 
@@ -141,7 +130,7 @@ def market_panel(spark: SparkSession, folder: str) -> DataFrame:
 
 def benchmark_months(spark: SparkSession, folder: str) -> DataFrame:
     """(date, close) over all line items; one partial aggregate per map task."""
-    lines = _in_window(_lines(spark, folder))
+    lines = _lines(spark, folder)
     return lines.groupBy(month_end("l_shipdate").alias("date")).agg(
         F.try_divide(money(), F.sum("l_quantity")).alias("close")
     )

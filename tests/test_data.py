@@ -130,12 +130,11 @@ def test_rank_ic(spark):
         C.ranking_summary(scores.withColumn("target", F.when(F.col("ticker") == "A", 1)), 1).collect()
 
 
-def test_wide_rank_ic_matches(spark):
+def test_rank_ic_matches_average_ranks(spark):
     rng = np.random.default_rng(4)
     rows = [("d", f"t{i}", float(round(x, 1)), float(y)) for i, (x, y) in enumerate(zip(rng.normal(size=150), rng.normal(size=150)))]
     scores = spark.createDataFrame(rows, "date string, ticker string, ml_score double, future_return double")
-    a, b = (C.rank_ic(scores, wide=w).collect()[0]["rank_ic"] for w in (False, True))
-    assert a == pytest.approx(b)
+    a = C.rank_ic(scores).collect()[0]["rank_ic"]
     import pandas as pd
 
     assert a == pytest.approx(pd.Series([r[2] for r in rows]).rank().corr(pd.Series([r[3] for r in rows]).rank()))
@@ -219,3 +218,29 @@ def test_stream_merge_is_exactly_once(spark, tmp_path):
 
 def test_shared_folder_is_stable(spark):
     assert shared_folder(spark) == shared_folder(spark)
+
+
+def test_overlapping_membership_fails_the_join(spark):
+    import datetime as dt
+
+    from stratapanel.operators import universe as U
+
+    d = dt.date
+    rows = spark.createDataFrame([(d(2020, 5, 31), "A")], "date date, ticker string")
+    spans = lambda end: spark.createDataFrame([("A", d(2020, 1, 1), end), ("A", d(2020, 4, 1), None)], "ticker string, effective_from date, effective_to date")
+    assert U.interval_join(rows, spans(d(2020, 4, 1))).count() == 1
+    with pytest.raises(Exception, match="Overlapping membership of A"):
+        U.interval_join(rows, spans(None)).collect()
+    assert U.overlap_violations(rows, spans(None)).count() == 1
+
+
+def test_membership_file_refuses_repeated_and_inverted_records(spark, tmp_path):
+    from stratapanel.operators import universe as U
+
+    head = ",".join(U.MEMBERSHIP_COLUMNS)
+    for name, lines in (("twice", ["I,A,n,s,i,2020-01-01,,x,2020-01-01"] * 2), ("inverted", ["I,A,n,s,i,2020-01-01,2020-01-01,x,2020-01-01"])):
+        (tmp_path / name).write_text("\n".join([head, *lines]))
+        with pytest.raises(Exception, match="Repeated or inverted membership of A"):
+            U.load_membership_csv(spark, str(tmp_path / name)).collect()
+    (tmp_path / "good").write_text("\n".join([head, "I,A,n,s,i,2020-01-01,,x,2020-01-01"]))
+    assert U.load_membership_csv(spark, str(tmp_path / "good")).count() == 1
