@@ -133,7 +133,10 @@ def judged(df: DataFrame, rules=RULES, text: str = "text") -> DataFrame:
     order = estimated_order(df, rules, text)
     needed = tuple(m for m in MEASURES if any(m in _needs(r) for r in rules))
     out = measured(df.drop("measures", "rejected_by", "kept"), text, needed).withColumn("rejected_by", verdict(order))
-    return out.withColumn("kept", F.col("rejected_by").isNull())
+    # A generator's row: a filter on it stays above, or Spark would put the measures' formulas into the filter, again and again.
+    columns = [*(F.col(f"`{c}`") for c in out.columns), F.col("rejected_by").isNull().alias("kept")]
+    return out.select(F.inline(F.array(F.struct(*columns))))
+
 
 
 ORACLE = """
