@@ -31,15 +31,20 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from stratapanel.llm.arrow import column, concatenated, slices
-from stratapanel.llm.store import removed, width, written
-from stratapanel.llm.words import _LETTER, mixed
+from stratapanel.llm.store import width, written
+from stratapanel.llm.words import _LETTER, _powers, mixed
 
 GRAM = 16
-#: Bytes of owners, or of fragments, that one group of a shuffle holds about.
-BUCKET_BYTES = 16 << 20
+#: Bytes of text whose owners or fragments one group of a shuffle holds about.
+GROUP_TEXT = 4 << 20
+#: Bytes of fragments whose suffixes are sorted at once (more, where one owner has more).
+SORTED_BYTES = 1 << 19
+#: Bytes of text that are looked through for fragments at once.
+SLICE = 1 << 20
 #: Bytes of text in which owners are looked for at once.
 SEGMENT = 1 << 22
 
@@ -100,40 +105,57 @@ def _runs(*keys: np.ndarray) -> np.ndarray:
     return new
 
 
+def _short(owners: np.ndarray) -> np.ndarray:
+    """The low half of an owner's hash: with the bucket, which the high half gives, it is told apart well enough for a first sieve."""
+    return owners.astype(np.uint32)
+
+
 def _owners(docs: DataFrame, length: int, buckets: int) -> DataFrame:
-    """bucket, owners, docs (an owner's smallest document in a slice), shared there; bucket null: doc_id and owners that a smaller document of its slice has."""
+    """Owners met in each slice, sent once each with their smallest document there.
+
+    bucket, docs and counts (of the owners that follow for each document),
+    owners, shared (by several documents of the slice).  bucket below 0: doc_id
+    and the owners that a smaller document of its slice has too, dealt by doc_id.
+    """
 
     def run(batches):
-        for part in slices(batches, "text"):
-            ids = column(part, "doc_id").to_numpy(zero_copy_only=False)
+        for part in slices(batches, "text", SLICE):
+            ids = column(part, "doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
             text, _, _, owner = fragments(*concatenated(column(part, "text")), length)
             order = np.lexsort((ids[text], owner))
             owner, doc = owner[order], ids[text][order]
             pair = _runs(owner, doc)
             owner, doc = owner[pair], doc[pair]
             least = _runs(owner)
-            rows = []
-            place = _buckets(owner[least], buckets)  # rising, as owners are sorted
-            cuts = np.flatnonzero(_runs(place))
             shared = np.diff(np.append(np.flatnonzero(least), len(owner))) > 1
+            first, holder = owner[least], doc[least]
+            place = _buckets(first, buckets)
+            order = np.lexsort((holder, place))  # by document inside a bucket: long runs, little to send
+            first, holder, shared, place = first[order], holder[order], shared[order], place[order]
+            rows, cuts = [], np.flatnonzero(_runs(place))
             for a, b in zip(cuts, np.append(cuts[1:], len(place))):
-                rows.append((int(place[a]), None, owner[least][a:b].tobytes(), doc[least][a:b].astype(np.int64).tobytes(), shared[a:b].tobytes()))
+                heads = np.flatnonzero(_runs(holder[a:b]))
+                counts = np.diff(np.append(heads, b - a)).astype(np.int32)
+                rows.append((int(place[a]), None, holder[a:b][heads].tobytes(), counts.tobytes(), _short(first[a:b]).tobytes(), np.packbits(shared[a:b]).tobytes()))
             owner, doc = owner[~least], doc[~least]
             order = np.argsort(doc, kind="stable")
-            owner, doc = owner[order], doc[order]
+            owner, doc = _short(owner[order]), doc[order]
             cuts = np.flatnonzero(_runs(doc))
-            rows += [(None, int(doc[a]), owner[a:b].tobytes(), b"", b"") for a, b in zip(cuts, np.append(cuts[1:], len(doc)))]
-            bucket, one, owners, names, flags = zip(*rows) if rows else ((),) * 5
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(bucket, pa.int64()), pa.array(one, pa.int64()), pa.array(owners, pa.binary()), pa.array(names, pa.binary()), pa.array(flags, pa.binary())],
-                ["bucket", "doc_id", "owners", "docs", "shared"])
+            rows += [(-1 - int(doc[a]) % buckets, int(doc[a]), b"", b"", owner[a:b].tobytes(), b"") for a, b in zip(cuts, np.append(cuts[1:], len(doc)))]
+            columns = zip(*rows) if rows else ((),) * 6
+            names = ["bucket", "doc_id", "docs", "counts", "owners", "shared"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k < 2 else pa.binary()) for k, c in enumerate(columns)], names)
 
-    return docs.mapInArrow(run, "bucket long, doc_id long, owners binary, docs binary, shared binary")
+    return docs.mapInArrow(run, "bucket long, doc_id long, docs binary, counts binary, owners binary, shared binary")
 
 
 def _met(table: pa.Table) -> pa.Table:
     """(doc_id, owners) of the owners that more than one document holds."""
-    owner, doc, shared = (np.frombuffer(b"".join(table[c].to_pylist()), t) for c, t in (("owners", np.uint64), ("docs", np.int64), ("shared", bool)))
+    if table["bucket"][0].as_py() < 0:
+        return table.select(["doc_id", "owners"])
+    owner, heads, counts = (np.frombuffer(b"".join(table[c].to_pylist()), t) for c, t in (("owners", np.uint32), ("docs", np.int64), ("counts", np.int32)))
+    doc = np.repeat(heads, counts)
+    shared = np.concatenate([np.unpackbits(np.frombuffer(s, np.uint8), count=len(o) // 4).astype(bool) for s, o in zip(table["shared"].to_pylist(), table["owners"].to_pylist())])
     order = np.lexsort((doc, owner))
     owner, doc, shared = owner[order], doc[order], shared[order]
     new = _runs(owner)
@@ -148,54 +170,110 @@ def _met(table: pa.Table) -> pa.Table:
     return pa.table({"doc_id": pa.array(doc[cuts], pa.int64()), "owners": pa.array([owner[a:b].tobytes() for a, b in zip(cuts, np.append(cuts[1:], len(doc)))], pa.binary())})
 
 
-def _fragments(docs: DataFrame, length: int, buckets: int) -> DataFrame:
-    """Shared fragments of ``docs`` (row, doc_id, text, owners) by bucket; bucket null: spans lost to a smaller document of the slice."""
-    names = ["bucket", "owners", "docs", "rows", "starts", "sizes", "bytes"]
+#: A shuffled batch of fragments: documents and hashes of their texts with the number of fragments that follow for each; then the fragments.
+PACKED = {"docs": np.int64, "marks": np.int64, "counts": np.int32, "owners": np.uint64, "starts": np.int32, "sizes": np.uint16, "bytes": np.uint8}
+
+
+def _packed(docs: DataFrame) -> DataFrame:
+    """doc_id, mark (hash of the text), packed (the text's bytes, compressed for its way through the shuffles)."""
 
     def run(batches):
+        press = zstandard.ZstdCompressor(level=3).compress
         for part in slices(batches, "text"):
-            ids, row = (column(part, c).to_numpy(zero_copy_only=False) for c in ("doc_id", "row"))
-            raw, offsets = concatenated(column(part, "text"))
+            packed = [press(t.encode()) for t in column(part, "text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([column(part, "doc_id"), column(part, "mark"), pa.array(packed, pa.binary())], ["doc_id", "mark", "packed"])
+
+    return docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(run, "doc_id long, mark long, packed binary")
+
+
+def _texts(packed: pa.Array) -> list[bytes]:
+    unpress = zstandard.ZstdDecompressor().decompress
+    return [unpress(p) for p in packed.to_pylist()]
+
+
+def _fragments(docs: DataFrame, length: int, buckets: int) -> DataFrame:
+    """Shared fragments of ``docs`` (doc_id, mark, packed, owners) by bucket; bucket below 0: what a smaller document of the slice has too, dealt by document."""
+
+    def packed(pick, doc, mark, owner, start, size, body):
+        heads = np.flatnonzero(_runs(doc[pick], mark[pick]))
+        counts = np.diff(np.append(heads, len(pick)))
+        values = (doc[pick][heads], mark[pick][heads], counts, owner[pick] if len(owner) else owner, start[pick], size[pick], body)
+        out = [v.astype(t).tobytes() for v, t in zip(values, PACKED.values())]
+        return [*out[:-1], zstandard.compress(out[-1], 3)]
+
+    def run(batches):
+        for part in slices(batches, "packed", SLICE // 4):
+            ids, marks = (column(part, c).to_numpy(zero_copy_only=False) for c in ("doc_id", "mark"))
+            raw, offsets = concatenated(pa.array(_texts(column(part, "packed")), pa.binary()).cast(pa.string()))
             text, first, last, owner = fragments(raw, offsets, length)
             keep, edges = np.zeros(len(text), bool), np.searchsorted(text, np.arange(part.num_rows + 1))
             for k, known in enumerate(column(part, "owners").to_pylist()):
                 if edges[k] < edges[k + 1]:
-                    keep[edges[k]: edges[k + 1]] = np.isin(owner[edges[k]: edges[k + 1]], np.frombuffer(b"".join(known), np.uint64))
+                    keep[edges[k]: edges[k + 1]] = np.isin(_short(owner[edges[k]: edges[k + 1]]), np.frombuffer(b"".join(known), np.uint32))
             text, first, last, owner = (x[keep] for x in (text, first, last, owner))
             size = last - first + length
-            marks = _digests(raw, first, size)
-            order = np.lexsort((ids[text], marks, size, owner))
-            text, first, size, owner, marks = (x[order] for x in (text, first, size, owner, marks))
-            least = _runs(owner, size, marks)
-            doc = ids[text]
+            digest = _digests(raw, first, size)
+            order = np.lexsort((ids[text], digest, size, owner))
+            text, first, size, owner, digest = (x[order] for x in (text, first, size, owner, digest))
+            least = _runs(owner, size, digest)
+            doc, mark, start = ids[text], marks[text], first - offsets[text]
             lost = ~least & (doc > doc[np.flatnonzero(least)][np.cumsum(least) - 1]) if len(doc) else least
-            send = ~lost
-            starts = first - offsets[text]
             out = []
-            bucket = _buckets(owner, buckets)
-            at = np.flatnonzero(send)
-            cuts = np.flatnonzero(_runs(bucket[at]))
+            at = np.flatnonzero(~lost)
+            bucket = _buckets(owner[at], buckets)
+            order = np.lexsort((mark[at], doc[at], bucket))
+            at, bucket = at[order], bucket[order]
+            cuts = np.flatnonzero(_runs(bucket))
             for a, b in zip(cuts, np.append(cuts[1:], len(at))):
                 pick = at[a:b]
-                body = raw[np.repeat(first[pick] - (np.cumsum(size[pick]) - size[pick]), size[pick]) + np.arange(size[pick].sum())]
-                out.append((int(bucket[pick[0]]), owner[pick].tobytes(), doc[pick].astype(np.int64).tobytes(), row[text[pick]].astype(np.int64).tobytes(), starts[pick].astype(np.int64).tobytes(), size[pick].astype(np.int32).tobytes(), body.tobytes()))
-            if lost.any():
-                out.append((None, b"", b"", row[text[lost]].astype(np.int64).tobytes(), starts[lost].astype(np.int64).tobytes(), size[lost].astype(np.int32).tobytes(), b""))
-            columns = zip(*out) if out else ((),) * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if n == "bucket" else pa.binary()) for n, c in zip(names, columns)], names)
+                n = size[pick]
+                body = raw[np.repeat(first[pick] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+                out.append([int(bucket[a]), *packed(pick, doc, mark, owner, start, size, body)])
+            at = np.flatnonzero(lost)
+            order = np.lexsort((mark[at], doc[at], doc[at] % buckets))
+            at = at[order]
+            cuts = np.flatnonzero(_runs(doc[at] % buckets))
+            for a, b in zip(cuts, np.append(cuts[1:], len(at))):
+                out.append([-1 - int(doc[at[a]] % buckets), *packed(at[a:b], doc, mark, owner[:0], start, size, raw[:0])])
+            columns = zip(*out) if out else ((),) * 8
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k else pa.int64()) for k, c in enumerate(columns)], ["bucket", *PACKED])
 
-    return docs.mapInArrow(run, "bucket long, owners binary, docs binary, rows binary, starts binary, sizes binary, bytes binary")
+    return docs.mapInArrow(run, "bucket long, " + ", ".join(f"{c} binary" for c in PACKED))
 
 
-def _digests(raw: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """64-bit digest of the bytes of each fragment."""
-    from stratapanel.llm.words import _powers
+def _unpacked(table) -> list[np.ndarray]:
+    """doc, mark, owner, start, size of each fragment of the rows, and all their bytes."""
+    joined = {c: np.frombuffer(b"".join(_texts(table.column(c)) if c == "bytes" else table.column(c).to_pylist()), t) for c, t in PACKED.items()}
+    counts = joined["counts"]
+    return [np.repeat(joined["docs"], counts), np.repeat(joined["marks"], counts), joined["owners"], joined["starts"].astype(np.int64), joined["sizes"].astype(np.int64), joined["bytes"]]
+
 
-    if not len(first):
-        return np.zeros(0, np.uint64)
-    up, down = _powers(1 << max(1, (len(raw) - 1).bit_length()))
-    total = np.append(np.uint64(0), np.cumsum(_LETTER[raw] * up[: len(raw)]))
-    return mixed((total[first + size] - total[first]) * down[first])
+def _ranges(doc, mark, first, last) -> pa.Table:
+    """(doc_id, mark, lost): the ranges of starts of each text, as pairs of 32-bit integers."""
+    order = np.lexsort((mark, doc))
+    doc, mark, pairs = doc[order], mark[order], np.stack([first, last], 1)[order].astype(np.int32)
+    cuts = np.flatnonzero(_runs(doc, mark))
+    spans = [pairs[a:b].tobytes() for a, b in zip(cuts, np.append(cuts[1:], len(doc)))]
+    return pa.table({"doc_id": pa.array(doc[cuts], pa.int64()), "mark": pa.array(mark[cuts], pa.int64()), "lost": pa.array(spans, pa.binary())})
+
+
+def _digests(raw: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64-bit digest of the bytes of each fragment (in any order, within ``raw``)."""
+    out = np.zeros(len(first), np.uint64)
+    order = np.argsort(first, kind="stable")
+    ends = np.maximum.accumulate((first + size)[order]) if len(order) else first
+    up, down = _powers(1 << 20)
+    at = 0
+    while at < len(order):  # stretches short enough for the powers at hand
+        base = int(first[order[at]])
+        stop = at + int(np.searchsorted(ends[at:], base + len(up), side="right"))
+        if stop == at:
+            raise ValueError("a fragment longer than a stretch")
+        pick = order[at:stop]
+        total = np.append(np.uint64(0), np.cumsum(_LETTER[raw[base: int(ends[stop - 1])]] * up[: int(ends[stop - 1]) - base]))
+        out[pick] = mixed((total[first[pick] + size[pick] - base] - total[first[pick] - base]) * down[first[pick] - base])
+        at = stop
+    return out
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
@@ -277,63 +355,73 @@ def first_holders(text: np.ndarray, starts: np.ndarray, holders: np.ndarray, len
     return out
 
 
+def _within(many: np.ndarray, raw: np.ndarray, doc: np.ndarray, size: np.ndarray, begin: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(fragment, first, last): runs of starts inside the fragments ``many`` that a fragment of a smaller document among them holds too."""
+    n = size[many]
+    places = np.cumsum(n + 1) - (n + 1)
+    text = np.zeros(int((n + 1).sum()), np.uint8)
+    inner = np.arange(n.sum())
+    text[np.repeat(places - (np.cumsum(n) - n), n) + inner] = raw[np.repeat(begin[many] - (np.cumsum(n) - n), n) + inner] + 1  # UTF-8 has no byte 255
+    count = n - length + 1
+    which = np.repeat(np.arange(len(many)), count)
+    inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    gone = first_holders(text, places[which] + inner, doc[many][which], length) < doc[many][which]
+    which, inner = which[gone], inner[gone]
+    new = _runs(which)
+    new[1:] |= inner[1:] != inner[:-1] + 1
+    a = np.flatnonzero(new)
+    b = np.append(a[1:], len(which)) - 1 if len(a) else a
+    return many[which[a]], inner[a], inner[b]
+
+
 def _lost(table: pa.Table, length: int) -> pa.Table:
-    """(row, first, last) of the starts of strings that a smaller document holds."""
-    joined = {c: b"".join(table[c].to_pylist()) for c in ("owners", "docs", "rows", "starts", "sizes", "bytes")}
-    owner, doc, row, start = (np.frombuffer(joined[c], t) for c, t in (("owners", np.uint64), ("docs", np.int64), ("rows", np.int64), ("starts", np.int64)))
-    size = np.frombuffer(joined["sizes"], np.int32).astype(np.int64)
-    raw = np.frombuffer(joined["bytes"], np.uint8)
+    """(doc_id, mark, lost) of the starts of strings that a smaller document holds."""
+    doc, mark, owner, start, size, raw = _unpacked(table)
+    if table["bucket"][0].as_py() < 0:
+        return _ranges(doc, mark, start, start + size - length)
     begin = np.cumsum(size) - size
-    marks = _digests(raw, begin, size)
-    order = np.lexsort((doc, marks, size, owner))
-    owner, doc, row, start, size, begin, marks = (x[order] for x in (owner, doc, row, start, size, begin, marks))
-    new = _runs(owner, size, marks)
+    digest = _digests(raw, begin, size)
+    order = np.lexsort((doc, digest, size, owner))
+    doc, mark, owner, start, size, begin, digest = (x[order] for x in (doc, mark, owner, start, size, begin, digest))
+    new = _runs(owner, size, digest)
     head = np.flatnonzero(new)
     group = np.cumsum(new) - 1
     least = doc[head][group]
     whole = doc > least
-    rows, firsts, lasts = [row[whole]], [start[whole]], [(start + size - length)[whole]]
+    pick, firsts, lasts = [np.flatnonzero(whole)], [start[whole]], [(start + size - length)[whole]]
 
-    # Owners with different fragments: one text of all of them, each once.
+    # Owners with different fragments: one text of all of them, each once, a bounded part of the owners at a time.
     sole = np.bincount(np.cumsum(_runs(owner[head])) - 1)
     many = head[np.repeat(sole > 1, sole)]
-    if len(many):
-        n = size[many]
-        places = np.cumsum(n + 1) - (n + 1)
-        text = np.zeros(int((n + 1).sum()), np.uint8)
-        inside = np.repeat(places - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        text[inside] = raw[np.repeat(begin[many] - (np.cumsum(n) - n), n) + np.arange(n.sum())] + 1  # UTF-8 has no byte 255
-        count = n - length + 1
-        which = np.repeat(np.arange(len(many)), count)
-        inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        held = first_holders(text, places[which] + inner, doc[many][which], length)
-        gone = held < doc[many][which]
-        which, inner = which[gone], inner[gone]
-        new = _runs(which) if len(which) else np.zeros(0, bool)
-        if len(which):
-            new[1:] |= inner[1:] != inner[:-1] + 1
-        a = np.flatnonzero(new)
-        b = np.append(a[1:], len(which)) - 1
+    letters = np.cumsum(size[many] + 1)
+    begins = np.flatnonzero(_runs(owner[many])) if len(many) else np.zeros(0, np.int64)
+    mates = np.flatnonzero(~whole)
+    at = 0
+    while at < len(many):
+        upto = np.searchsorted(letters, (letters[at - 1] if at else 0) + SORTED_BYTES)
+        stop = begins[np.searchsorted(begins, max(upto, at + 1))] if max(upto, at + 1) <= begins[-1] else len(many)
+        found = _within(many[at:stop], raw, doc, size, begin, length)
+        which, first, last = found
         # Every row whose document is the fragment's smallest shares these runs (repeated rows of one id).
-        mates = np.flatnonzero(~whole)
-        by_head = np.searchsorted(group[mates], group[many])
-        upto = np.searchsorted(group[mates], group[many], side="right")
-        if len(a):
-            times = (upto - by_head)[which[a]]
-            run = np.repeat(np.arange(len(a)), times)
-            mate = mates[np.repeat(by_head[which[a]] - (np.cumsum(times) - times), times) + np.arange(times.sum())]
-            rows.append(row[mate]), firsts.append(start[mate] + inner[a][run]), lasts.append(start[mate] + inner[b][run])
-    return pa.table({"row": np.concatenate(rows), "first": np.concatenate(firsts), "last": np.concatenate(lasts)})
+        low, high = (np.searchsorted(group[mates], group[which], side=x) for x in ("left", "right"))
+        times = high - low
+        run = np.repeat(np.arange(len(which)), times)
+        mate = mates[np.repeat(low - (np.cumsum(times) - times), times) + np.arange(times.sum())]
+        pick.append(mate), firsts.append(start[mate] + first[run]), lasts.append(start[mate] + last[run])
+        at = stop
+    pick = np.concatenate(pick)
+    return _ranges(doc[pick], mark[pick], np.concatenate(firsts), np.concatenate(lasts))
 
 
 def _cut(docs: DataFrame, length: int) -> DataFrame:
-    """doc_id, mark, kept, n_removed, n_spans from (doc_id, mark, text, lost)."""
+    """doc_id, mark, kept, n_removed, n_spans from (doc_id, mark, packed, lost)."""
 
     def run(batches):
-        for part in slices(batches, "text"):
+        for part in slices(batches, "packed"):
             kept, gone, spans = [], [], []
-            for text, lost in zip(column(part, "text").to_pylist(), column(part, "lost").to_pylist()):
-                raw, ranges = text.encode(), sorted((x["first"], x["last"] + length) for x in lost)
+            for raw, lost in zip(_texts(column(part, "packed")), column(part, "lost").to_pylist()):
+                pairs = np.frombuffer(b"".join(lost), np.int32).reshape(-1, 2)
+                ranges = sorted(zip(pairs[:, 0].tolist(), (pairs[:, 1] + length).tolist()))
                 out, end, count, total = [], 0, 0, 0
                 for a, b in ranges:
                     if not count or a > end:
@@ -347,7 +435,7 @@ def _cut(docs: DataFrame, length: int) -> DataFrame:
                 [column(part, "doc_id"), column(part, "mark"), pa.array(kept, pa.binary()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64())],
                 ["doc_id", "mark", "kept", "n_removed", "n_spans"])
 
-    return docs.select("doc_id", "mark", "text", "lost").mapInArrow(run, "doc_id long, mark long, kept binary, n_removed long, n_spans long")
+    return docs.select("doc_id", "mark", "packed", "lost").mapInArrow(run, "doc_id long, mark long, kept binary, n_removed long, n_spans long")
 
 
 def repeats_cut(docs: DataFrame, length: int = 50) -> DataFrame:
@@ -356,32 +444,19 @@ def repeats_cut(docs: DataFrame, length: int = 50) -> DataFrame:
         raise ValueError(f"length must be {2 * GRAM} or more")
     mine = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("bigint"), "text")
     size = mine.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
-    share = 2 / (length - GRAM + 2)  # of all bytes, about, that own a fragment
-    buckets = max(width(docs.sparkSession), int(size * share * 16 / BUCKET_BYTES))
-    owners = written(_owners(mine, length, buckets), "owners")
-    dealt = owners.where("bucket IS NOT NULL").groupBy("bucket").applyInArrow(_met, "doc_id long, owners binary")
-    local = owners.where("bucket IS NULL").select("doc_id", "owners")
-    lists = local.unionByName(dealt).groupBy("doc_id").agg(F.collect_list("owners").alias("owners"))
-    named = lists.select(F.col("doc_id").alias("__id"), "owners")
-    held = mine.join(named, F.col("doc_id") == F.col("__id")).select("doc_id", F.xxhash64("text").alias("mark"), "text", "owners")
-    held = written(held.withColumn("row", F.monotonically_increasing_id()), "sharing")
-    removed(docs.sparkSession, owners)
-
-    parts = written(_fragments(held.select("row", "doc_id", "text", "owners"), length, buckets), "fragments")
-    lost = parts.where("bucket IS NOT NULL").groupBy("bucket").applyInArrow(lambda t: _lost(t, length), "row long, first long, last long")
-
-    def at_once(batches):
-        for batch in batches:
-            for k in range(batch.num_rows):
-                row, start = (np.frombuffer(column(batch, c)[k].as_py(), np.int64) for c in ("rows", "starts"))
-                size = np.frombuffer(column(batch, "sizes")[k].as_py(), np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(start), pa.array(start + size - length)], ["row", "first", "last"])
-
-    local = parts.where("bucket IS NULL").select("rows", "starts", "sizes").mapInArrow(at_once, "row long, first long, last long")
-    lost = written(lost.unionByName(local).groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("lost")), "lost")
-    removed(docs.sparkSession, parts)
-    named = lost.select(F.col("row").alias("__row"), "lost")
-    return _cut(held.select("row", "doc_id", "mark", "text").join(named, F.col("row") == F.col("__row")), length)
+    buckets = max(width(docs.sparkSession), size // GROUP_TEXT)
+    dealt = _owners(mine, length, buckets).groupBy("bucket").applyInArrow(_met, "doc_id long, owners binary")
+    lists = dealt.groupBy("doc_id").agg(F.collect_list("owners").alias("owners"))
+    named = lists.select(F.col("doc_id").alias("holder"), "owners")
+    texts = _packed(mine)
+    held = texts.join(named.hint("merge"), F.col("doc_id") == F.col("holder")).select("doc_id", "mark", "packed", "owners")
+    parts = _fragments(held, length, buckets)
+    lost = parts.groupBy("bucket").applyInArrow(lambda t: _lost(t, length), "doc_id long, mark long, lost binary")
+    lost = lost.groupBy("doc_id", "mark").agg(F.collect_list("lost").alias("lost"))
+    lost = written(lost.select(F.col("doc_id").alias("i"), F.col("mark").alias("m"), "lost"), "lost")
+    # Shuffled at every size: the plan that large tables need.
+    whole = texts.join(lost.hint("merge"), (F.col("doc_id") == F.col("i")) & (F.col("mark") == F.col("m")))
+    return written(_cut(whole, length), "cut")
 
 
 def deduplicated(docs: DataFrame, length: int = 50) -> DataFrame:
