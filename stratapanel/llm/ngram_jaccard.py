@@ -157,7 +157,8 @@ def _linked(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     left = sets.select(F.col("id").alias("ia"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("id").alias("ib"), F.col("shingles").alias("sb"))
     sizes = F.size("sa") + F.size("sb")
-    near = pairs.join(left, F.col("a") == F.col("ia")).join(right, F.col("b") == F.col("ib"))
+    # Shuffled at every size: the plan that large tables need, and sets of a shuffle once made are used again.
+    near = pairs.join(left.hint("merge"), F.col("a") == F.col("ia")).join(right.hint("merge"), F.col("b") == F.col("ib"))
     near = near.where(F.least(F.size("sa"), F.size("sb")) * 100 >= F.greatest(F.size("sa"), F.size("sb")) * threshold)
     both = F.size(F.array_intersect("sa", "sb"))
     return near.where(both * 100 >= (sizes - both) * threshold).select("a", "b").distinct()
@@ -235,7 +236,7 @@ def joined(docs: DataFrame, words: int = 5, threshold: int = 80) -> DataFrame:
 
     pairs = written(_near(met.where("id > least").select(F.col("least").alias("a"), F.col("id").alias("b"), number), sizes, threshold), "pairs")
     wanted = written(met.select(F.col("id").alias("wanted")).distinct(), "wanted")
-    sets = written(_sets(docs.join(wanted, F.col("doc_id") == F.col("wanted"), "left_semi"), words), "sets", "none")
+    sets = written(_sets(docs.join(wanted.hint("merge"), F.col("doc_id") == F.col("wanted"), "left_semi"), words), "sets", "none")
     copies = rows.where("first IS NOT NULL").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
     links = written(_linked(pairs, sets, threshold).unionByName(copies), "links")
     found = components(links)
@@ -245,7 +246,7 @@ def joined(docs: DataFrame, words: int = 5, threshold: int = 80) -> DataFrame:
     held = met.select("mark", "id").join(label, F.col("id") == F.col("i"), "left").select("mark", "id", F.coalesce("component", "id").alias("part"))
     spread = held.groupBy("mark").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select(F.col("mark").alias("m"))
     open_ids = written(_open(held.join(spread, F.col("mark") == F.col("m")).select("id", "part", number), sizes, threshold), "open")
-    more = _rarely_shared(sets.join(open_ids, F.col("id") == F.col("o")).select("id", "part", "shingles"), threshold)
+    more = _rarely_shared(sets.join(open_ids.hint("merge"), F.col("id") == F.col("o")).select("id", "part", "shingles"), threshold)
     tested = pairs.select(F.col("a").alias("ta"), F.col("b").alias("tb"))
     more = written(more.join(tested, (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb")), "left_anti"), "pairs")
     fresh = written(_linked(more, sets, threshold), "links")
