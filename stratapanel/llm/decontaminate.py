@@ -31,6 +31,7 @@ from stratapanel.llm.arrow import column, slices
 Q, WINDOW, EDIT_SHARE = 14, 80, 20
 BLOCK = 2_000_000
 GAP = 0x110000  # beside every text: no character
+FAR = 1 << 20  # cost of a GAP: above every budget of edits
 SPACES = np.array([9, 10, 11, 12, 13, 32], np.uint32)
 
 
@@ -152,7 +153,10 @@ class Index:
 
 
 def aligned(query: np.ndarray, begin: np.ndarray, size: int, text: np.ndarray, first: np.ndarray, width: int):
-    """Least edits, start and end of each query window in the text, along the ``width`` diagonals from ``first`` on."""
+    """Least edits, start and end of each query window in the text, along the ``width`` diagonals from ``first`` on.
+
+    No letter stands for a GAP and none is passed over, so what is found within a budget lies in one text.
+    """
     padded = np.concatenate([np.full(1, GAP, text.dtype), text, np.full(1, GAP, text.dtype)])
     step = np.arange(width + 1)
     cost = np.zeros((len(begin), width + 1), np.int32)
@@ -160,15 +164,19 @@ def aligned(query: np.ndarray, begin: np.ndarray, size: int, text: np.ndarray, f
     for i in range(size):
         here = padded[np.clip(first[:, None] + i + step + 1, 0, len(padded) - 1)]
         letter = query[begin + i][:, None]
-        new = cost + ((here != letter) | (here == GAP))
+        gap = (here == GAP) * np.int32(FAR)
+        new = cost + np.maximum(here != letter, gap)
         origin = start.copy()
         skip = cost[:, 1:] + 1  # the query's letter is missing in the text
         less = skip < new[:, :-1]
         new[:, :-1][less], origin[:, :-1][less] = skip[less], start[:, 1:][less]
-        level = new - step  # a letter too many in the text: one edit a step to the right
+        # A letter too many in the text: one edit a step to the right, over the letter that stands there.
+        gap[:, 0] = 0
+        right = step + np.cumsum(gap, 1)
+        level = new - right
         best = np.minimum.accumulate(level, 1)
         at = np.maximum.accumulate(np.where(level == best, step, 0), 1)
-        cost, start = best + step, np.take_along_axis(origin, at, 1)
+        cost, start = np.minimum(best + right, FAR), np.take_along_axis(origin, at, 1)
     best = cost.argmin(1)
     pick = np.arange(len(begin))
     begins = np.clip(start[pick, best], 0, len(text))

@@ -180,6 +180,18 @@ def test_regions_and_cleaning(spark):
     assert decontaminate.regions(table, bench.limit(0)).count() == 0 and decontaminate.cleaned(table.limit(0), bench).count() == 0
 
 
+def test_alignment_stays_inside_one_text():
+    item = "Q: What is the name of the long river that runs from the northern hills to the sea near town?"[:80]
+    index = decontaminate.Index([item])
+    for cut in (1, 3, 4):
+        for before in ("a clean neighbour of the text", item[:cut], "", None):
+            found = index.matches([before, item[cut:], before])
+            assert {m[0] for m in found} == {1} and {m[2] for m in found} == {0}, (cut, before)
+        found = index.matches(["x " + item[:-cut], item[-cut:] + " a clean neighbour"])
+        assert [(m[0], m[2], m[3]) for m in found] == [(0, 2, 82 - cut)], cut
+    assert index.matches([item[:40], item[40:]]) == []  # two texts are no passage
+
+
 def test_benchmark_is_read_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK", 100)
     items = [f"the {k} item number {k} says something of its own about {k * 37} and nothing else, and then ends {k} times" for k in range(4)]
