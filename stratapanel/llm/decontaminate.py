@@ -1,13 +1,18 @@
 """Benchmark decontamination by the q-gram lemma and banded alignment.
 
 Texts are compared as code points, in lower case and with each run of ASCII
-white space as one space.  A benchmark item is cut into windows of ``WINDOW``
-characters, half overlapping; one that occurs in a text with at most one edit
-per ``EDIT_SHARE`` characters shares ``len - q + 1 - edits * q`` of its q-grams
-with it, all inside ``edits + 1`` neighbouring diagonals.  Every q-gram of every
-text is looked up; hits are counted in overlapping diagonal bands twice that
-wide; bands that reach the bound are kept and verified by banded alignment, and
-verified windows of one item that touch are one region.
+white space as one space.  A benchmark item has windows of each of the lengths
+``WINDOWS``, one every ``STRIDE`` characters and one at its end (an item shorter
+than that is one window); one that occurs in a text with at most one edit per
+``EDIT_SHARE`` characters shares ``len - q + 1 - edits * q`` of its q-grams with
+it, all inside ``edits + 1`` neighbouring diagonals.  So a passage is found
+wherever it begins in the item if it holds 54 of the item's characters with at
+most 2 edits, or 84 with at most 4.
+
+Every q-gram of every text is looked up in the items; hits are counted in
+overlapping diagonal bands twice that wide, first for the item as a whole, then
+for its windows; windows that reach the bound in a band are verified by banded
+alignment, and verified windows of one item that touch are one region.
 
 The items are a stated query set: they are read in blocks of ``BLOCK`` characters
 at most, and each block's index is broadcast to one pass over the texts.
@@ -28,10 +33,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from stratapanel.llm.arrow import column, slices
 
-Q, WINDOW, EDIT_SHARE = 14, 80, 20
+Q, EDIT_SHARE = 14, 20
+WINDOWS, STRIDE = (50, 80), 5
 BLOCK = 2_000_000
 GAP = 0x110000  # beside every text: no character
 FAR = 1 << 20  # cost of a GAP: above every budget of edits
+#: Hits whose windows are counted at once, and windows aligned at once.
+HITS, ALIGNED = 100_000, 10_000
 SPACES = np.array([9, 10, 11, 12, 13, 32], np.uint32)
 
 
@@ -80,55 +88,101 @@ def grams(codes: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Q-grams of the windows of one block of items."""
+    """Q-grams and windows of one block of items."""
 
     def __init__(self, texts: list[str | None]):
         codes, row, _ = normal(texts)
         sizes = np.bincount(row[codes != GAP], minlength=len(texts)) if len(codes) else np.zeros(len(texts), int)
-        first = np.searchsorted(row, np.arange(len(texts)))
-        self.codes, windows = codes, []
-        for item, (begin, size) in enumerate(zip(first, sizes)):
-            if size < 2 * Q:
-                continue
-            starts = list(range(0, max(1, size - WINDOW + 1), WINDOW // 2))
-            if size > WINDOW and starts[-1] != size - WINDOW:
-                starts.append(size - WINDOW)
-            windows += [(item, begin + s, min(WINDOW, size)) for s in starts]
-        self.item, self.begin, self.size = (np.array(x, np.int64) for x in zip(*windows)) if windows else (np.zeros(0, np.int64),) * 3
+        self.codes, self.first = codes, np.searchsorted(row, np.arange(len(texts)))
+        # Of each item and window length: the size, the first window's number, how many lie on the stride, how many there are.
+        size = np.stack([np.minimum(sizes, w) for w in WINDOWS])
+        size[1:][size[1:] == size[:-1]] = 0
+        size[:, sizes < 2 * Q] = 0
+        strided = np.where(size > 0, (sizes - size) // STRIDE + 1, 0)
+        count = strided + ((size > 0) & ((sizes - size) % STRIDE > 0))
+        number = (np.cumsum(count) - count.ravel()).reshape(count.shape)
+        self.families = list(zip(size, number, strided, count))
+        self.item = np.repeat(np.tile(np.arange(len(texts)), len(WINDOWS)), count.ravel())
+        self.size = np.repeat(size.ravel(), count.ravel())
+        nth = np.arange(len(self.size)) - np.repeat(number.ravel(), count.ravel())
+        self.begin = self.first[self.item] + np.minimum(nth * STRIDE, sizes[self.item] - self.size)
         self.edits = np.minimum(self.size // EDIT_SHARE, (self.size - Q) // Q)
         self.bound = self.size - Q + 1 - self.edits * Q
+        # What any window of an item needs at least.
+        self.widest, self.least = np.zeros(len(texts), np.int64), np.full(len(texts), 1 << 40)
+        np.maximum.at(self.widest, self.item, self.edits)
+        np.minimum.at(self.least, self.item, self.bound)
         hashes = grams(codes)
-        spans = [np.arange(b, b + n - Q + 1) for b, n in zip(self.begin, self.size)]
-        at = np.concatenate(spans) if spans else np.zeros(0, np.int64)
-        window = np.repeat(np.arange(len(self.size)), self.size - Q + 1)
-        order = np.argsort(hashes[at], kind="stable")
-        self.at, self.window = at[order], window[order]
-        self.hash = hashes[at][order]
+        at = np.arange(len(hashes))
+        owner = row[at]
+        at = at[(at + Q <= (self.first + sizes)[owner]) & (sizes[owner] >= 2 * Q)]
+        at = at[np.argsort(hashes[at], kind="stable")]
+        self.at, self.owner, self.hash = at, row[at], hashes[at]
         self.seen = np.zeros(1 << 22, bool)
         self.seen[self.hash & 0x3FFFFF] = True
 
-    def candidates(self, codes: np.ndarray) -> np.ndarray:
-        """(window, first diagonal of a band) wherever a band holds enough q-grams of a window."""
+    def hits(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(item, place in it, where it would begin in the text) of q-grams whose item has enough of them near its diagonal."""
         hashes = grams(codes)
         place = np.flatnonzero(self.seen[hashes & np.uint32(0x3FFFFF)])
         low = np.searchsorted(self.hash, hashes[place])
-        high = np.searchsorted(self.hash, hashes[place], side="right")
-        count = high - low
+        count = np.searchsorted(self.hash, hashes[place], side="right") - low
         place, low, count = place[count > 0], low[count > 0], count[count > 0]
-        if not len(place):
-            return np.zeros((0, 2), np.int64)
         entry = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())
-        window = self.window[entry]
-        # A diagonal: where the window would begin in the text.
-        diagonal = np.repeat(place, count) - (self.at[entry] - self.begin[window]) + WINDOW
-        band = self.edits[window] + 1
-        wide = int(len(codes) + 2 * WINDOW + 2)
-        keys = window * wide + diagonal // band
-        keys, n = np.unique(np.concatenate([keys, keys - 1]), return_counts=True)  # bands overlap by half
+        item = self.owner[entry]
+        inside = self.at[entry] - self.first[item]
+        diagonal = np.repeat(place, count) - inside
+        # A diagonal below zero: the item's beginning is missing from the first text.
+        band = (diagonal + len(self.codes)) // (self.widest[item] + 1) + 1
+        keys = item * (len(codes) + len(self.codes) + 3) + band
+        both, back, n = np.unique(np.concatenate([keys, keys - 1]), return_inverse=True, return_counts=True)  # bands overlap by half
+        good = n[back] >= np.tile(self.least[item], 2)
+        keep = np.flatnonzero(good[: len(keys)] | good[len(keys):])
+        return item[keep], inside[keep], diagonal[keep]
+
+    def candidates(self, codes: np.ndarray) -> np.ndarray:
+        """(window, first diagonal of a band) wherever a band holds enough q-grams of a window."""
+        item, inside, diagonal = self.hits(codes)
+        if not len(item):
+            return np.zeros((0, 2), np.int64)
+        order = np.lexsort((diagonal, item))
+        item, inside, diagonal = item[order], inside[order], diagonal[order]
+        # Parts that no band reaches across.
+        apart = np.flatnonzero((np.diff(item) > 0) | (np.diff(diagonal) > 2 * (self.edits.max() + 1))) + 1
+        found, start = [], 0
+        while start < len(item):
+            stop = apart[np.searchsorted(apart, start + 1):]
+            more = np.searchsorted(stop, start + HITS, side="right")
+            end = len(item) if not len(stop) or more == len(stop) and len(item) - start <= HITS else int(stop[max(more - 1, 0)])
+            found.append(self._counted(item[start:end], inside[start:end], diagonal[start:end], len(codes)))
+            start = end
+        return np.concatenate(found)
+
+    def _counted(self, item: np.ndarray, inside: np.ndarray, diagonal: np.ndarray, length: int) -> np.ndarray:
+        wide = int(length + 2 * len(self.codes) + 3)
+        keys, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+        def add(window: np.ndarray, diagonal: np.ndarray) -> None:
+            nonlocal keys, n
+            offset = self.begin[window] - self.first[self.item[window]]
+            new = window * wide + (diagonal + offset + len(self.codes)) // (self.edits[window] + 1) + 1
+            new, count = np.unique(np.concatenate([new, new - 1]), return_counts=True)  # bands overlap by half
+            keys, back = np.unique(np.concatenate([keys, new]), return_inverse=True)
+            n = np.bincount(back, np.concatenate([n, count])).astype(np.int64)
+
+        for size, number, strided, count in self.families:
+            own, first, k, every = size[item], number[item], strided[item], count[item]
+            for back in range((max(WINDOWS) - Q) // STRIDE + 1):
+                nth = inside // STRIDE - back
+                ok = (nth >= 0) & (nth < k) & (inside - nth * STRIDE <= own - Q)
+                add((first + nth)[ok], diagonal[ok])
+            last = (first + every - 1)[at_end := every > k]
+            ok = inside[at_end] >= self.begin[last] - self.first[item[at_end]]
+            add(last[ok], diagonal[at_end][ok])
         window = keys // wide
         good = n >= self.bound[window]
         window = window[good]
-        return np.stack([window, (keys[good] % wide) * (self.edits[window] + 1) - WINDOW], 1)
+        return np.stack([window, (keys[good] % wide - 1) * (self.edits[window] + 1) - len(self.codes)], 1)
 
     def matches(self, texts: list[str | None]) -> list[tuple[int, int, int, int, int]]:
         """(text, item, start, end, edits) of the regions found; offsets are code points of the given text."""
@@ -136,13 +190,14 @@ class Index:
         found = self.candidates(codes)
         out = []
         for size in np.unique(self.size[found[:, 0]]):
-            own = found[self.size[found[:, 0]] == size]
-            edits = int(self.edits[own[0, 0]])
-            cost, start, end = aligned(self.codes, self.begin[own[:, 0]], int(size), codes, own[:, 1] - edits, 4 * (edits + 1))
-            ok = cost <= edits
-            for w, c, s, e in zip(own[ok, 0], cost[ok], start[ok], end[ok]):
-                if e > s:
-                    out.append((int(row[s]), int(self.item[w]), int(place[s]), int(place[e - 1]) + 1, int(c)))
+            every = found[self.size[found[:, 0]] == size]
+            edits = int(self.edits[every[0, 0]])
+            for own in np.split(every, range(ALIGNED, len(every), ALIGNED)):
+                cost, start, end = aligned(self.codes, self.begin[own[:, 0]], int(size), codes, own[:, 1] - edits, 4 * (edits + 1))
+                ok = cost <= edits
+                for w, c, s, e in zip(own[ok, 0], cost[ok], start[ok], end[ok]):
+                    if e > s:
+                        out.append((int(row[s]), int(self.item[w]), int(place[s]), int(place[e - 1]) + 1, int(c)))
         merged: list[list[int]] = []
         for t, i, s, e, c in sorted(set(out)):
             if merged and merged[-1][:2] == [t, i] and s <= merged[-1][3]:

@@ -192,6 +192,27 @@ def test_alignment_stays_inside_one_text():
     assert index.matches([item[:40], item[40:]]) == []  # two texts are no passage
 
 
+def test_passages_are_found_wherever_they_begin(monkeypatch):
+    rng = random.Random(8)
+    item = " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 8))) for _ in range(30))
+    other = " ".join("".join(rng.choice("klmnopqrst") for _ in range(rng.randrange(2, 8))) for _ in range(20))
+    index = decontaminate.Index([other, item])
+    for size, edits in ((54, 0), (54, 2), (84, 4)):
+        texts = []
+        for start in range(len(item) - size + 1):
+            part = list(item[start: start + size])
+            for at in rng.sample(range(size), edits):
+                part[at] = rng.choice(["", "!", part[at] + "!"])
+            texts.append(other[:30] + " | " + "".join(part) + " | " + other[-30:])
+        found = index.matches(texts)
+        assert {m[0] for m in found if m[1] == 1} == set(range(len(texts))), (size, edits)
+        monkeypatch.setattr(decontaminate, "HITS", 50)
+        monkeypatch.setattr(decontaminate, "ALIGNED", 7)
+        assert index.matches(texts[:15]) == [m for m in found if m[0] < 15]
+        monkeypatch.undo()
+    assert index.matches([item[k: k + 47] for k in range(0, 80, 7)]) == []  # three letters short of a window
+
+
 def test_benchmark_is_read_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK", 100)
     items = [f"the {k} item number {k} says something of its own about {k * 37} and nothing else, and then ends {k} times" for k in range(4)]
