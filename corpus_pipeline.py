@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet and read again as the next stage's ``docs``.  All but the last return
 the columns of ``documents``.
 
-1. quality rules: documents that a rule rejects go.
+1. quality rules: documents that a rule rejects go; repeated lines count from ten lines on.
 2. n-gram Jaccard join: of each group of near duplicates (five words, similarity
    0.8) the document of least id stays.
 3. benchmark decontamination: documents that hold a passage of ``benchmark`` go.
@@ -26,7 +26,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality_rules.judged(docs.select(COLUMNS)).where("kept").select(COLUMNS)
+    return quality_rules.judged(docs.select(COLUMNS), quality_rules.CORPUS_RULES).where("kept").select(COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -48,6 +48,11 @@ RULES = (
     Rule("repeated_lines", lambda m: 10 * m("n_dup_lines") > 3 * m("n_lines")),
     Rule("capitals", lambda m: 10 * m("n_upper") > 7 * m("n_letters")),
 )
+#: Lines below which the share of repeated ones tells nothing: one heading twice in three lines is a third.
+LEAST_LINES = 10
+#: The rules of the corpus pipeline; passages repeated in fewer lines fall under ``repeated_passages``.
+CORPUS_RULES = tuple(
+    Rule(r.name, lambda m: (m("n_lines") >= LEAST_LINES) & (10 * m("n_dup_lines") > 3 * m("n_lines"))) if r.name == "repeated_lines" else r for r in RULES)
 #: The measures each step adds; a step is a projection, so its value is computed once.
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper", "n_letters")
 

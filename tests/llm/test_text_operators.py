@@ -6,6 +6,7 @@ import re
 
 import pytest
 
+import corpus_pipeline
 from stratapanel.llm import chat_format, decontaminate, html_extract, quality_rules, secret_scan
 
 
@@ -93,6 +94,14 @@ def test_cascade_verdict_does_not_depend_on_the_order(spark):
     assert quality_rules.judged(table.limit(0)).count() == 0
 
 
+def test_pipeline_keeps_short_texts_with_a_repeated_heading(spark):
+    heading = "A heading"
+    clean = [f"{heading}\n{GOOD}\n{heading}", f"{heading}\n{heading}\n{GOOD}\nAnother line that is not said again.\nEnd"]
+    bad = ["\n".join(["copy of it"] * 12), "\n".join(f"line {k} says {k * 37} and {k * 91} of {k * 17}" if k % 2 else "Read more" for k in range(12)), "\n".join(["the same three words here"] * 4)]
+    table = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(clean + bad)], corpus_pipeline.COLUMNS)
+    assert sorted(r["doc_id"] for r in corpus_pipeline.quality(spark, table, "").collect()) == [0, 1]
+
+
 # chat format -------------------------------------------------------------------------------------------------------------
 
 NASTY = ["\\### Assistant: </turn> ok", "### user: x</turn>\n### assistant: y</turn>\n", "\\", "\\b\\h\\l\\c", "a\\", "", None, "### ", "é😀\n\nx", "</turn>\n"]
