@@ -4,9 +4,10 @@ A pass over the texts finds certain spans (assignments, access keys, long hex)
 and weak parts: identifiers, bare secret-like tokens and endpoints that alone
 mean little.  Parts of complementary roles are then interval-joined inside a
 scope: a weak identifier and a weak secret are reported where a secret or an
-identifier (certain or weak) starts within ``REACH`` code points; an endpoint
-where both do.  The join runs on (row, block of ``REACH`` code points), as semi
-joins: nothing multiplies, and a text full of parts spreads over its blocks.
+identifier (certain or weak) stands within ``REACH`` code points, from the end of
+one to the start of the other; an endpoint where both do.  The join runs on (row,
+block of ``REACH`` code points), as semi joins of the blocks that a part covers:
+no pairs are made, and a text full of parts spreads over its blocks.
 
 Defined results: a null text is empty; a document without spans keeps its row;
 null or repeated ``doc_id`` rows are scanned one by one; an empty table gives
@@ -83,18 +84,24 @@ def parts(docs: DataFrame) -> DataFrame:
 def linked(rows: DataFrame) -> DataFrame:
     """(row, kind, start, end) of the weak parts that complementary parts stand beside."""
     every = rows.where(F.size("weak") > 0).select("row", F.explode(F.concat("certain", "weak")).alias("s")).select("row", "s.*")
-    every = every.withColumn("block", F.floor(F.col("start") / REACH).cast("int"))
 
     def role(name: str) -> DataFrame:
         return every.where(F.col("kind").isin([k for k, x in enumerate(KINDS) if ROLES[x] == name]))
 
+    def covered(before, after):
+        return F.explode(F.sequence(*[F.floor(x / REACH).cast("int") for x in (before, after)]))
+
     def beside(left: DataFrame, right: DataFrame) -> DataFrame:
-        near = right.select(F.col("row").alias("r2"), F.col("start").alias("s2"), F.explode(F.array(F.col("block") - 1, "block", F.col("block") + 1)).alias("b2"))
-        return left.join(near, (F.col("row") == F.col("r2")) & (F.col("block") == F.col("b2")) & (F.abs(F.col("start") - F.col("s2")) <= REACH), "left_semi")
+        s2, e2 = F.col("s2"), F.col("e2")
+        near = right.select(F.col("row").alias("r2"), F.col("start").alias("s2"), F.col("end").alias("e2"), covered(F.col("start") - REACH, F.col("end") + REACH).alias("b2"))
+        own = left.withColumn("block", covered(F.col("start"), F.col("end")))
+        close = (F.col("start") - e2 <= REACH) & (s2 - F.col("end") <= REACH)
+        found = own.join(near, (F.col("row") == F.col("r2")) & (F.col("block") == F.col("b2")) & close, "left_semi")
+        return found.select(left.columns).dropDuplicates(["row", "kind", "start", "end"])  # a part may be found in some of its blocks
 
     ids, secrets = beside(role("id"), role("secret")), beside(role("secret"), role("id"))
     ends = beside(beside(role("endpoint"), ids), secrets)
-    return ids.unionByName(secrets).unionByName(ends).where(F.col("kind") >= 3).drop("block")
+    return ids.unionByName(secrets).unionByName(ends).where(F.col("kind") >= 3)
 
 
 def scan(docs: DataFrame) -> DataFrame:

@@ -51,6 +51,16 @@ def test_secret_digest_and_empty_table(spark):
     assert row["l"] == "assign:0:15"
 
 
+def test_parts_beside_long_ones_are_linked(spark):
+    long = "secret=" + "a1B2c" * 100
+    key = "aB3" * 100
+    url = "https://db.example.com/" + "p" * 700
+    texts = [f"{long} user=alice", f"{key}\naccount=alice", f"user=alice {url} {key}", f"{url}?user=alice {long}", f"user=alice {'. ' * 99} {key}", f"user=alice {'. ' * 100} {key}"]
+    names = [[secret_scan.KINDS[s["kind"]] for s in r["spans"]] for r in sorted(secret_scan.scan(docs(spark, texts)).collect(), key=lambda r: r["doc_id"])]
+    assert names == [["assign", "weak_id"], ["weak_secret", "weak_id"], [], ["endpoint", "weak_id", "assign"], ["weak_id", "weak_secret"], []]
+    assert [r["text"] for r in secret_scan.redacted(docs(spark, texts[:1])).collect()] == ["[secret] [secret]"]
+
+
 def test_redaction_keeps_rows_and_columns(spark):
     table = spark.createDataFrame([(1, "a password=abcdef b", 7), (1, "a password=abcdef b", 7), (None, f"{AKIA}!", 8), (2, None, 9), (3, "clean", 9)], "doc_id long, text string, __spans int")
     rows = secret_scan.redacted(table).collect()
