@@ -3,7 +3,8 @@
 A page becomes a row of text blocks, split at block-level tags; script, style
 and other unread elements hold no text.  A linear classifier over a block's
 tags, class words, links and length gives the cost of calling it content or
-boilerplate: the capacities from the source and to the sink.  Edges between
+boilerplate (an article resets weak class words of its wrappers, ids inside it
+weigh little, a form around most of the prose does not count): the capacities from the source and to the sink.  Edges between
 neighbouring blocks, and between siblings of one parent, make it cost to label
 alike things differently.  The minimum cut is the cheapest labelling; blocks on
 the source's side are the text.
@@ -37,7 +38,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: An open element of the first kind ends where one of its group begins, unless one of the stops lies between.
 ENDS = {"li": ("li", "ul ol menu"), "tr": ("tr", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"),
         "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "option": ("option", "select")}
-BOILER_TAGS = frozenset("nav footer aside form button select menu dialog search fieldset".split())
+BOILER_TAGS = frozenset("nav footer aside button select menu dialog search fieldset".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 BOILER_WORDS = frozenset(
     "ad ads adv advert advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert "
@@ -46,11 +47,18 @@ BOILER_WORDS = frozenset(
     "subscription signup login popup modal overlay paywall pager pagination copyright legal disclaimer search form".split())
 #: Class words that count against an article or main element itself.
 STRICT_WORDS = frozenset("ad ads advert advertisement sponsored promo comment comments reply replies related recommended".split())
+#: Words that an id inside an article is still read for in full; other ids there are mostly anchors of its own sections.
+ID_WORDS = frozenset("ad ads advert advertisement sponsored promo comment comments commentlist disqus respond share sharing social newsletter".split())
+#: Class names that say what stands beside or is missing, not what the element is.
+MODIFIER = re.compile(r"(?:has|with|without|no)[-_]", re.I)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTENT_WORDS = frozenset("article content post entry story body text main".split())
 #: Weights of the classifier, for the log-odds of content.
-BIAS, IN_ARTICLE, PROSE_TAG, CONTENT_CLASS, BOILER_TAG, BOILER_CLASS, LINKED, LENGTH = -0.5, 4.0, 1.5, 1.5, -14.0, -12.0, -5.0, 0.4
+BIAS, IN_ARTICLE, PROSE_TAG, CONTENT_CLASS, BOILER_TAG, BOILER_CLASS, BOILER_ID, LINKED, LENGTH = -0.5, 4.0, 1.5, 1.5, -14.0, -12.0, -3.0, -5.0, 0.4
 ADJACENT, SIBLING = 0.6, 0.8
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th figcaption".split())
+#: A form with so many characters of prose, and half of the page's, is a wrapper of the page.
+WRAPPED = 200
 SPACE = re.compile(r"\s+")
 
 
@@ -59,7 +67,10 @@ class Node:
     tag: str
     parent: Node | None
     boiler_tag: bool = False
-    boiler_class: bool = False
+    boiler_class: bool = False  # by STRICT_WORDS
+    weak_class: bool = False  # by other words; an article inside resets it
+    boiler_id: bool = False
+    form: Node | None = None
     article: bool = False
     content_class: bool = False
 
@@ -76,16 +87,28 @@ def _node(tag: str, attributes: str, parent: Node | None) -> Node:
     node = Node(tag, parent)
     if parent:
         node.boiler_tag, node.boiler_class, node.article, node.content_class = parent.boiler_tag, parent.boiler_class, parent.article, parent.content_class
+        node.weak_class, node.boiler_id, node.form = parent.weak_class, parent.boiler_id, parent.form
     if tag in ("article", "main"):
+        node.weak_class &= node.article
         node.article = True
+    elif tag == "form":
+        node.form = node.form or node
     elif tag in BOILER_TAGS or tag == "header" and not node.article:
         node.boiler_tag = True
     if attributes and tag not in ("html", "body"):
         for name, value, hidden in ATTRIBUTE.findall(attributes):
             name, value = name.lower(), value.strip("\"'")
             if name in ("class", "id"):
-                words = set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()))
-                node.boiler_class |= bool(words & (STRICT_WORDS if tag in ("article", "main") else BOILER_WORDS))
+                own = " ".join(x for x in value.split() if not MODIFIER.match(x))
+                words = set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", own).lower()))
+                if name == "id" and tag in HEADINGS:
+                    pass
+                elif name == "id" and node.article and tag not in ("article", "main"):
+                    node.boiler_class |= bool(words & ID_WORDS)
+                    node.boiler_id |= bool(words & BOILER_WORDS)
+                else:
+                    node.boiler_class |= bool(words & STRICT_WORDS)
+                    node.weak_class |= tag not in ("article", "main", "form") and bool(words & BOILER_WORDS)
                 node.content_class |= bool(words & CONTENT_WORDS)
             elif name == "role":
                 node.boiler_tag |= value.lower() in BOILER_ROLES
@@ -163,14 +186,23 @@ def blocks(page: str) -> list[TextBlock]:
         links += tag == "a"
     for b in found:
         b.text = SPACE.sub(" ", entities.unescape("".join(b.parts))).strip()
-    return [b for b in found if b.text]
+    found = [b for b in found if b.text]
+    prose = lambda b: len(b.text) if b.node.tag in PROSE and not b.linked else 0
+    total, inside = 0, {}
+    for b in found:
+        total += prose(b)
+        inside[id(b.node.form)] = inside.get(id(b.node.form), 0) + prose(b)
+    for b in found:
+        if b.node.form and inside[id(b.node.form)] < max(WRAPPED, total / 2):
+            b.node.boiler_tag = True
+    return found
 
 
 def odds(block: TextBlock) -> float:
     """Log-odds that a block is content."""
     n, length = block.node, sum(map(len, block.parts))
     return (BIAS + IN_ARTICLE * n.article + PROSE_TAG * (n.tag in PROSE) + CONTENT_CLASS * n.content_class + BOILER_TAG * n.boiler_tag
-            + BOILER_CLASS * n.boiler_class + LINKED * block.linked / max(length, 1) + LENGTH * math.log1p(len(block.text)) / 2)
+            + BOILER_CLASS * (n.boiler_class or n.weak_class) + BOILER_ID * n.boiler_id + LINKED * block.linked / max(length, 1) + LENGTH * math.log1p(len(block.text)) / 2)
 
 
 def minimum_cut(gain: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:

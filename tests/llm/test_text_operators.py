@@ -254,6 +254,21 @@ def test_html_content():
     assert html_extract.content(PAGE) == ["Main title", "First & bold line.", "Second é line, unclosed", "one", "two"]
 
 
+def test_wrappers_and_anchors_do_not_cost_the_text():
+    said = [f"Paragraph {k} of the text says something of its own at some length, about {k * 7} things." for k in range(4)]
+    body = "".join(f"<p>{x}</p>" for x in said)
+    beside = "<nav><a href='/'>Home</a></nav><div class='sidebar'><p>Something else to read here.</p></div>"
+    for page in (f"<div class='layout has-sidebar'>{beside}<article>{body}</article></div>", f"<div id='page' class='with-banner'>{beside}<div class='content'>{body}</div></div>",
+                 f"<div class='banner-layout'>{beside}<main>{body}</main></div>", f"<form id='aspnetForm'>{beside}<div>{body}</div><button>Go</button></form>",
+                 f"<article><section id='discussion'>{body}</section></article>", f"<article><section id='related'>{body}</section></article>"):
+        assert html_extract.content(page) == said, page
+    for word in ("search", "legal"):
+        assert html_extract.content(f"<article><h2 id='{word}'>A heading</h2>{body}</article>") == ["A heading", *said]
+    for lost in ("<form><p>Your mail, please, so that we can write.</p></form>", "<div id='comments'><p>Reader says hi, at some length.</p></div>",
+                 "<div class='related'><article><p>Another story that you may like.</p></article></div>", "<section id='related'><a href='/x'>Another story that you may like</a></section>"):
+        assert html_extract.content(f"<article>{body}{lost}</article>") == said, lost
+
+
 @pytest.mark.parametrize("page", [None, "", "<", "<p", "plain text only, long enough to be content of a page", "<p>a<p>b</div></p>", "<script>x", "<!-- x", "<a b='c>d", "&#x110000; &amp &bogus;", "<" * 500])
 def test_broken_html_does_not_fail(page):
     html_extract.content(page)
