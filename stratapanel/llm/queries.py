@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stratapanel.llm import chat_format, decontaminate, html_extract, ngram_jaccard, packing, quality_classifier, quality_rules, secret_scan, store, suffix_dedup, token_files
+from stratapanel.llm import chat_format, conversation_repair, decontaminate, html_extract, ngram_jaccard, packing, quality_classifier, quality_rules, secret_scan, store, suffix_dedup, token_files
 from stratapanel.llm.tokens import tokenizer_path
 
 QUERIES: dict = {}
@@ -93,3 +93,24 @@ def op1_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op9_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.deduplicated(table(spark, folder, "documents"), length=50)
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """``rows`` (conv_id, turn, role, text) with faults planted by crc32 of ``conv_id:turn``; nulls become one space."""
+    spaced = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat(spaced("conv_id"), F.lit(":"), spaced("turn")).cast("binary")) % 20
+    text = F.when(kind == 1, "").when(kind == 2, F.regexp_replace(spaced("text"), "[.!?]", "")).otherwise(spaced("text"))
+    copies = F.when(kind == 0, 0).when(kind == 3, 2).otherwise(1)
+    out = rows.select("conv_id", "turn", F.when(kind == 4, "user").otherwise(spaced("role")).alias("role"), text.alias("text"), copies.alias("copies"))
+    return out.withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).drop("copies", "copy")
+
+
+@query
+def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations")
+    fixed, report = conversation_repair.repaired(damaged(rows))
+    every = rows.select(F.col("conv_id").cast("bigint").alias("original")).distinct()
+    sums = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    found = every.join(report, F.col("original").eqNullSafe(F.col("conv_id")), "left").join(conversation_repair.digests(fixed), F.col("original").eqNullSafe(F.col("conv")), "left")
+    return found.select(F.col("original").alias("conv_id"), *[F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c) for c in sums],
+                        F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
