@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stratapanel.llm import chat_format, conversation_repair, decontaminate, html_extract, ngram_jaccard, packing, quality_classifier, quality_rules, secret_scan, store, suffix_dedup, token_files
+from stratapanel.llm import chat_format, conversation_repair, decontaminate, html_extract, importance_resampling, minhash_forest, ngram_jaccard, packing, quality_classifier, quality_rules, secret_scan, store, suffix_dedup, token_files
 from stratapanel.llm.tokens import tokenizer_path
 
 QUERIES: dict = {}
@@ -114,3 +114,13 @@ def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     found = every.join(report, F.col("original").eqNullSafe(F.col("conv_id")), "left").join(conversation_repair.digests(fixed), F.col("original").eqNullSafe(F.col("conv")), "left")
     return found.select(F.col("original").alias("conv_id"), *[F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c) for c in sums],
                         F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+@query
+def op12_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return importance_resampling.resampled(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query
+def op13_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash_forest.clustered(table(spark, folder, "documents"), words=3, threshold=85)
