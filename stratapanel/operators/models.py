@@ -1,24 +1,43 @@
-"""Walk-forward ranking model: gradient boosting for all cutoffs at once.
-
-One model per (cutoff, setting).  Training rows carry a ``model`` key, and each
-tree level of *every* model is one grouped aggregation: gradient and hessian
-sums per (model, node, feature, bin).  The map-side combine reduces any number
-of rows to models x nodes x features x bins, so only tree parameters ever reach
-the driver, and a single hot date or ticker cannot skew a task.
+"""Walk-forward ranking model: histogram gradient boosting for all cutoffs at once.
+
+One model per (cutoff, setting), each with its own rounds, rate, depth, L2 and
+bins.  Values are placed by a *mergeable sketch*: an integer key of 0.1 %
+relative width.  Keys are counted per target date and feature, summed over the
+dates before each cutoff, and cut at equal counts, so a cutoff's bin edges are
+exact over the keys of its own embargoed rows and no row is sorted.
+
+Training state is a table of *tiles*: the bin codes, labels and an array of
+margins by setting of up to ``TILE_ROWS`` rows under one cutoff.  A tree level
+of *every* model is one job: each task turns its tiles into partial histograms
+(gradient, hessian and count per model, node, feature and bin), which are summed
+per model and searched for the best split.  Only splits reach the driver.  No
+task holds more than a tile and the histograms of its models, whatever the rows
+of a cutoff; every few rounds the margins are written anew, so a lost executor
+costs one level.
+
+The fitted forest is a table of trees (setting, cutoff, round); a date is scored
+by the latest model at or before it.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stratapanel.operators.timeseries import FEATURES
 from stratapanel.scale import even_width
-from stratapanel.session import stored
+from stratapanel.session import dropped, stored
 
-MIN_LEAF_ROWS, MIN_LEAF_HESSIAN = 20, 1e-3
+MIN_LEAF_ROWS, MIN_LEAF_HESSIAN, MIN_GAIN = 20, 1e-3, 1e-12
+#: Gains are compared after rounding to this many places; ties go to the first feature, then the lowest bin.
+GAIN_PLACES = 9
+#: Keys per unit of the natural logarithm, the key of 1.0, and the least magnitude told from zero.
+KEYS_PER_E, KEY_OF_ONE, LEAST = 1000, 25_000, 1e-10
+TILE_ROWS = 50_000
+STORE_EVERY = 10
 
 
 @dataclass(frozen=True)
@@ -30,7 +49,7 @@ class Setting:
     l2: float = 0.0
     iterations: int = 200
     learning_rate: float = 0.05
-    bins: int = 32
+    bins: int = 255
 
 
 # The predeclared grid; order decides exact ties (fixed values).
@@ -40,190 +59,333 @@ CANDIDATES = (
 )
 
 
-@dataclass
-class Forest:
-    """Fitted parameters per model: prior log-odds and trees in heap layout."""
-
-    prior: dict[str, float]
-    trees: dict[str, list[dict]] = field(default_factory=dict)
-
+def sketch_key(value: Column) -> Column:
+    """Integer whose order is that of the values, 0.1 % of relative width; the sketch's cells."""
+    size = F.abs(value)
+    cell = F.ceil(F.least(F.ln(size), F.lit(40.0)) * KEYS_PER_E) + KEY_OF_ONE
+    return F.when(size < LEAST, 0).otherwise(F.signum(value) * cell).cast("int")
 
-_TREE = pa.struct([
-    ("feature", pa.list_(pa.int32())), ("threshold", pa.list_(pa.int32())), ("value", pa.list_(pa.float64())),
-])
 
+def keyed(dataset: DataFrame) -> DataFrame:
+    """``dataset`` with the sketch keys of its features; rows without all of them are left out."""
+    return dataset.dropna(subset=list(FEATURES)).withColumn("keys", F.array(*[sketch_key(F.col(f)) for f in FEATURES]))
 
-def local_table(spark, rows: list[dict], schema: pa.Schema) -> DataFrame:
-    """Driver-side parameters as a local relation (no Python workers)."""
-    return spark.createDataFrame(pa.Table.from_pylist(rows, schema=schema))
 
+def training_sets(dataset: DataFrame, cutoffs: DataFrame) -> DataFrame:
+    """Labelled rows copied to every later cutoff (the calendar bounds their list): expanding, embargoed windows."""
+    listed = cutoffs.agg(F.sort_array(F.collect_set("prediction_date"))).scalar()
+    labelled = dataset.where(F.col("target_date").isNotNull() & F.col("target").isNotNull()).withColumn("_c", listed)
+    return labelled.withColumn("cutoff", F.explode(F.filter("_c", lambda c: c > F.col("target_date")))).drop("_c")
 
-def _empty(depth: int) -> dict:
-    return {"feature": [-1] * 2**depth, "threshold": [0] * 2**depth, "value": [0.0] * 2 ** (depth + 1)}
 
+def bin_edges(dataset: DataFrame, cutoffs: DataFrame, bins: int) -> DataFrame:
+    """(cutoff, feature, edges): ascending keys at which the cumulative count passes a multiple of 1 / ``bins``.
 
-def _node(tree: str, depth: int) -> str:
-    """SQL for the heap number a row's ``bins`` reach in a (partial) tree."""
-    at = f"least(node, {2**depth - 1})"
-    split = f"{tree}.feature[{at}]"
-    return (
-        f"aggregate(array_repeat(0, {depth}), 1, (node, i) -> IF(node < {2**depth} AND {split} >= 0, "
-        f"2 * node + CAST(bins[greatest({split}, 0)] > {tree}.threshold[{at}] AS INT), node))"
-    )
+    Counts per target date are merged over the dates before each cutoff.
+    """
+    labelled = dataset.where(F.col("target_date").isNotNull() & F.col("target").isNotNull())
+    cells = labelled.select("target_date", F.posexplode("keys").alias("feature", "key")).groupBy("target_date", "feature", "key").agg(F.count(F.lit(1)).alias("n"))
+    merged = training_sets(cells.withColumn("target", F.lit(0)), cutoffs).groupBy("cutoff", "feature", "key").agg(F.sum("n").alias("n"))
+    line = Window.partitionBy("cutoff", "feature")
+    upto = F.sum("n").over(line.orderBy("key").rowsBetween(Window.unboundedPreceding, 0))
+    passed = lambda c: F.least(F.expr(f"{c} * {bins} div total"), F.lit(bins - 1))
+    at = merged.withColumn("upto", upto).withColumn("total", F.sum("n").over(line)).withColumn("before", F.col("upto") - F.col("n"))
+    edge = F.when(passed("upto") > passed("before"), F.col("key"))
+    return at.groupBy("cutoff", "feature").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
 
 
-def _margin(start: str, depth: int) -> Column:
-    """Log-odds: ``start`` plus the leaf value of every tree in ``trees``."""
-    return F.expr(f"aggregate(trees, {start}, (acc, t) -> acc + t.value[{_node('t', depth)}])")
+class Trees:
+    """Trees of all models in heap layout, as arrays: split feature (-1: leaf), bin, gain, and value of every node."""
 
+    def __init__(self, models: int, depth: int):
+        self.feature = np.full((models, 2**depth), -1, np.int8)
+        self.bin = np.zeros((models, 2**depth), np.int16)
+        self.gain = np.full((models, 2**depth), np.nan)
+        self.value = np.zeros((models, 2 ** (depth + 1)))
 
-def training_sets(dataset: DataFrame, cutoffs: DataFrame, settings: tuple[Setting, ...]) -> DataFrame:
-    """Embargoed rows per model.  ``cutoffs``: eligible prediction dates.
 
-    The cutoff list is calendar-bounded; a row is copied to the cutoffs it
-    serves, which is what separate expanding windows mean.
-    """
-    listed = cutoffs.agg(F.sort_array(F.collect_set("prediction_date"))).scalar()
-    labelled = dataset.where(F.col("target_date").isNotNull() & F.col("target").isNotNull()).withColumn("_c", listed)
-    rows = labelled.withColumn("cutoff", F.explode(F.filter("_c", lambda c: c > F.col("target_date")))).drop("_c")
-    return rows.withColumn("setting", F.explode(F.array(*[F.lit(s.name) for s in settings])))
+def reached(codes: np.ndarray, feature: np.ndarray, bin_: np.ndarray, depth: int) -> np.ndarray:
+    """Node of one tree that each row of bin codes reaches."""
+    node, rows = np.ones(len(codes), np.int64), np.arange(len(codes))
+    for _ in range(depth):
+        inner = np.minimum(node, len(feature) - 1)
+        split = feature[inner]
+        goes = (split >= 0) & (node < len(feature))
+        node = np.where(goes, 2 * node + (codes[rows, np.maximum(split, 0)] > bin_[inner]), node)
+    return node
 
 
-def _model(cutoff: str = "cutoff", setting: str = "setting") -> Column:
-    return F.concat_ws("|", F.col(cutoff).cast("string"), F.col(setting))
+_F = len(FEATURES)
+_TILE = "cutoff int, bins int, tile long, codes binary, labels binary, margins binary"
+_TILE_NAMES = [c.split()[0] for c in _TILE.split(", ")]
+_HISTOGRAM = "model int, node int, cells binary"
 
 
-def _bounds(train: DataFrame, bins: int) -> DataFrame:
-    """Per cutoff: quantile bin edges of each feature (a mergeable sketch)."""
-    at = F.array(*[F.lit(i / bins) for i in range(1, bins)])
-    return train.groupBy("cutoff").agg(
-        *[F.array_distinct(F.percentile_approx(f, at, F.lit(10_000))).alias(f"_e_{f}") for f in FEATURES]
-    )
+def _tile_arrays(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    codes, labels, margins = (np.frombuffer(batch.column(i)[k].as_buffer(), t) for i, t in ((3, np.uint8), (4, np.uint8), (5, np.float64)))
+    return codes.reshape(-1, _F), labels, margins.reshape(-1, len(labels))
 
 
-def _binned(df: DataFrame, edges: DataFrame) -> DataFrame:
-    # Broadcast: one row of bin edges per cutoff.
-    keyed = df.join(F.broadcast(edges), "cutoff")
-    place = lambda f: F.size(F.filter(f"_e_{f}", lambda e: e < F.col(f)))
-    return keyed.withColumn("bins", F.array(*[place(f) for f in FEATURES])).drop(*[f"_e_{f}" for f in FEATURES])
-
-
-def _state(spark, forest: Forest, current: dict[str, dict], since: int) -> DataFrame:
-    """One row per model: trees not yet in the stored margins, and the open one."""
-    return local_table(spark, [
-        {"model": m, "trees": forest.trees[m][since:], "open": c} for m, c in current.items()
-    ], pa.schema([("model", pa.string()), ("trees", pa.list_(_TREE)), ("open", _TREE)]))
-
-
-_SPLITS = f"""
-WITH stats AS (
-  SELECT model, l2, max_depth, bins, node, 1 / (1 + exp(-m)) - label AS g, exp(-m) / pow(1 + exp(-m), 2) AS h FROM {{rows}}
-), cells AS (
-  SELECT model, l2, max_depth, node, feature, bin, sum(g) AS g, sum(h) AS h, count(*) AS n
-  FROM stats LATERAL VIEW posexplode(bins) AS feature, bin GROUP BY ALL
-), running AS (
-  SELECT *, sum(g) OVER left_of AS lg, sum(h) OVER left_of AS lh, sum(n) OVER left_of AS ln,
-    sum(g) OVER every AS tg, sum(h) OVER every AS th, sum(n) OVER every AS tn
-  FROM cells WINDOW every AS (PARTITION BY model, node, feature), left_of AS (PARTITION BY model, node, feature ORDER BY bin)
-), gains AS (
-  SELECT *, CASE WHEN least(ln, tn - ln) >= {MIN_LEAF_ROWS} AND least(lh, th - lh) >= {MIN_LEAF_HESSIAN} THEN
-    lg * lg / greatest(lh + l2, 1e-12) + (tg - lg) * (tg - lg) / greatest(th - lh + l2, 1e-12) - tg * tg / greatest(th + l2, 1e-12)
-    END AS gain FROM running
-)
-SELECT model, node, max(gain) AS gain, max(l2) AS l2, max(max_depth) AS max_depth, max(tg) AS tg, max(th) AS th,
-  max_by(struct(feature, bin, lg, lh, tg, th), struct(gain, -feature, -bin)) AS s
-FROM gains GROUP BY model, node
-"""
-
-
-def _best_splits(rows: DataFrame, depth: int) -> list:
-    """Best split of each open node: one aggregation over all models.
-
-    The cells left after the map-side combine number models x nodes x features
-    x bins; the result, models x open nodes, is tree parameters only.
+@dataclass(frozen=True)
+class Plan:
+    """What tasks must know of the models: model number = cutoff number x settings + setting number."""
+
+    settings: tuple[Setting, ...]
+
+    @property
+    def depth(self) -> int:
+        return max(s.max_depth for s in self.settings)
+
+    def of(self, bins: int) -> list[int]:
+        return [i for i, s in enumerate(self.settings) if s.bins == bins]
+
+    def margins(self, cutoff: int, bins: int, codes: np.ndarray, margins: np.ndarray, pending: list[Trees]) -> np.ndarray:
+        """Margins by setting with the pending trees' leaf values added."""
+        out = margins.copy()
+        for row, s in enumerate(self.of(bins)):
+            model = cutoff * len(self.settings) + s
+            for trees in pending:
+                out[row] += trees.value[model][reached(codes, trees.feature[model], trees.bin[model], self.depth)]
+        return out
+
+
+def _tiles(rows: DataFrame, plan: Plan, cutoffs: list, edges: dict, prior: np.ndarray) -> DataFrame:
+    """Tiles of (target_date, target, keys); ``edges``: (bins, cutoff number) -> edges by feature."""
+    days = np.array([(c - cutoffs[0]).days for c in cutoffs])
+    every = sorted({s.bins for s in plan.settings})
+
+    def tiled(parts):
+        from pyspark import TaskContext
+
+        at, label, keys = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(at, kind="stable")
+        at, label, keys = at[order], label[order], keys[order]
+        name = TaskContext.get().partitionId()
+        for c, day in enumerate(days):
+            n = int(np.searchsorted(at, day))  # the embargo: labels known before the cutoff only
+            for bins in every if n else ():
+                codes = np.stack([np.searchsorted(edges[bins, c][f], keys[:n, f]) for f in range(_F)], 1).astype(np.uint8)
+                margins = np.full((len(plan.of(bins)), n), prior[c])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([c], pa.int32()), pa.array([bins], pa.int32()), pa.array([name], pa.int64()), pa.array([codes.tobytes()], pa.binary()),
+                     pa.array([label[:n].astype(np.uint8).tobytes()], pa.binary()), pa.array([margins.tobytes()], pa.binary())], _TILE_NAMES)
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).flatten().to_numpy().reshape(-1, _F)))
+                n += batch.num_rows
+            if n >= TILE_ROWS:
+                yield from tiled(held)
+                held, n = [], 0
+        if n:
+            yield from tiled(held)
+
+    day = F.datediff("target_date", F.lit(cutoffs[0])).cast("long")
+    parts = -(-rows.count() // TILE_ROWS)
+    return rows.repartition(max(1, parts)).select(day.alias("at"), F.col("target").cast("long").alias("label"), "keys").mapInArrow(run, _TILE)
+
+
+def histograms(tiles: DataFrame, plan: Plan, pending: list[Trees], current: Trees, level: int) -> DataFrame:
+    """Partial gradient, hessian and count sums of every open node, one row per task, model and node."""
+    first, nodes, depth, wide = 1 << level, 1 << level, plan.depth, max(s.bins for s in plan.settings) + 1
+
+    def run(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k in range(batch.num_rows):
+                cutoff, bins = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
+                codes, labels, margins = _tile_arrays(batch, k)
+                margins = plan.margins(cutoff, bins, codes, margins, pending)
+                flat = codes.astype(np.int64) + np.arange(_F) * wide
+                for row, s in enumerate(plan.of(bins)):
+                    model = cutoff * len(plan.settings) + s
+                    if current is not None and level and (current.feature[model][first >> 1: first] < 0).all():
+                        continue  # nothing of this model was split at the level before
+                    node = reached(codes, current.feature[model], current.bin[model], depth) - first if level else np.zeros(len(codes), np.int64)
+                    open_ = node >= 0
+                    p = 1.0 / (1.0 + np.exp(-margins[row][open_]))
+                    place = (flat[open_] + (node[open_] * _F * wide)[:, None]).ravel()
+                    size = nodes * _F * wide
+                    cells = np.stack([
+                        np.bincount(place, np.repeat(p - labels[open_], _F), size), np.bincount(place, np.repeat(p * (1.0 - p), _F), size), np.bincount(place, minlength=size).astype(np.float64)])
+                    sums[model] = sums[model] + cells if model in sums else cells
+        rows = [(m, first + j, np.ascontiguousarray(c.reshape(3, nodes, -1)[:, j]).tobytes()) for m, c in sums.items() for j in range(nodes) if c.reshape(3, nodes, -1)[2, j].any()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["model", "node", "cells"])
+
+    return tiles.mapInArrow(run, _HISTOGRAM)
+
+
+def best_split(cells: np.ndarray, l2: float) -> dict:
+    """The best split of one node's summed cells (3 x features x bins): totals, and the split where one is allowed."""
+    g, h, n = np.cumsum(cells, axis=2)
+    tg, th, tn = g[0, -1], h[0, -1], n[0, -1]
+    part = lambda a, b: a * a / np.maximum(b + l2, 1e-12)
+    gain = np.round(part(g, h) + part(tg - g, th - h) - part(tg, th), GAIN_PLACES)
+    allowed = (np.minimum(n, tn - n) >= MIN_LEAF_ROWS) & (np.minimum(h, th - h) >= MIN_LEAF_HESSIAN)
+    gain = np.where(allowed, gain, -np.inf)
+    f, b = np.unravel_index(int(np.argmax(gain)), gain.shape)
+    found = bool(gain[f, b] > MIN_GAIN)
+    return {"tg": float(tg), "th": float(th), "feature": int(f) if found else -1, "bin": int(b), "gain": float(gain[f, b]) if found else None, "lg": float(g[f, b]), "lh": float(h[f, b])}
+
+
+_SPLIT = pa.schema([("model", pa.int32()), ("node", pa.int32()), ("tg", pa.float64()), ("th", pa.float64()), ("feature", pa.int32()),
+                    ("bin", pa.int32()), ("gain", pa.float64()), ("lg", pa.float64()), ("lh", pa.float64())])
+_SPLIT_DDL = "model int, node int, tg double, th double, feature int, bin int, gain double, lg double, lh double"
+
+
+def best_splits(partial: DataFrame, plan: Plan) -> pa.Table:
+    """The best split of each open node, over all models: tree parameters only."""
+
+    def search(table: pa.Table) -> pa.Table:
+        sums: dict[tuple[int, int], np.ndarray] = {}
+        for model, node, cells in zip(*(table.column(c) for c in ("model", "node", "cells"))):
+            key, cells = (model.as_py(), node.as_py()), np.frombuffer(cells.as_buffer(), np.float64).reshape(3, _F, -1)
+            sums[key] = sums[key] + cells if key in sums else cells
+        rows = [{"model": m, "node": k} | best_split(c, plan.settings[m % len(plan.settings)].l2) for (m, k), c in sums.items()]
+        return pa.Table.from_pylist(rows, schema=_SPLIT)
+
+    return partial.groupBy("model").applyInArrow(search, _SPLIT_DDL).toArrow()
+
+
+def _priors(rows: DataFrame, cutoffs: list) -> np.ndarray:
+    """Prior log-odds per cutoff from label counts per target date (calendar-bounded)."""
+    counts = rows.groupBy("target_date").agg(F.count(F.lit(1)).alias("n"), F.sum("target").alias("k")).collect()
+    out = []
+    for c in cutoffs:
+        n, k = (sum(r[x] for r in counts if r["target_date"] < c) for x in ("n", "k"))
+        if not 0 < k < n:
+            raise ValueError(f"Training rows of one class, or none, before {c}")
+        out.append(np.log(k / n) - np.log(1 - k / n))
+    return np.array(out)
+
+
+def fit(dataset: DataFrame, cutoffs: DataFrame, settings: tuple[Setting, ...] = (Setting(),), store_every: int = STORE_EVERY) -> DataFrame:
+    """Table of trees: setting, cutoff, prior, round, and feature, threshold (a sketch key), gain and value by node in heap layout.
+
+    Rows of round 0 hold the prior alone.
     """
-    placed = rows.selectExpr("model", "l2", "max_depth", "label", "bins", "m", f"{_node('open', depth)} AS node")
-    return rows.sparkSession.sql(_SPLITS, rows=placed).collect()
-
-
-def fit(train: DataFrame, settings: tuple[Setting, ...], store_every: int = 10) -> tuple[Forest, DataFrame]:
-    """Fit every (cutoff, setting) model; returns the forest and bin edges."""
-    first = settings[0]
-    depth = max(s.max_depth for s in settings)
-    pick = lambda attr: F.create_map(*[x for s in settings for x in (F.lit(s.name), F.lit(getattr(s, attr)))])[F.col("setting")]
-    edges = stored(_bounds(train.where(F.col("setting") == first.name), first.bins), "edges")
-    rows = _binned(train, edges).select(
-        _model().alias("model"), F.col("target").cast("double").alias("label"), "bins",
-        pick("l2").alias("l2"), pick("max_depth").alias("max_depth"),
-    )
-    spark = train.sparkSession
-    prior = {
-        r["model"]: r["prior"] for r in rows.groupBy("model").agg(
-            F.ln(F.avg("label") / (1.0 - F.avg("label"))).alias("prior")
-        ).collect()
-    }
-    forest = Forest(prior, {m: [] for m in prior})
-    start = local_table(
-        spark, [{"model": m, "margin": v} for m, v in prior.items()], pa.schema([("model", pa.string()), ("margin", pa.float64())])
-    )
-    # Even, full-width partitions: level jobs are CPU-bound and re-read them.
-    rows = stored(rows.join(F.broadcast(start), "model").repartition(even_width(train), "model", "bins"), "rows")
+    spark, plan = dataset.sparkSession, Plan(tuple(settings))
+    if max(s.bins for s in settings) > 256:
+        raise ValueError("Bin codes take one byte")
+    labelled = stored(keyed(dataset).where(F.col("target_date").isNotNull() & F.col("target").isNotNull()).select("target_date", "target", "keys"), "labelled")
+    days = [r[0] for r in cutoffs.select("prediction_date").distinct().orderBy("prediction_date").collect()]  # calendar-bounded
+    if not days:
+        return _tree_table(spark, plan, [], np.zeros(0), {}, [])
+    edges = {}
+    for bins in sorted({s.bins for s in settings}):
+        for r in bin_edges(labelled, cutoffs, bins).collect():  # cutoffs x features x bins keys
+            edges.setdefault((bins, days.index(r["cutoff"])), [np.zeros(0, np.int64)] * _F)[r["feature"]] = np.array(r["edges"], np.int64)
+    prior = _priors(labelled, days)
+    tiles = stored(_tiles(labelled, plan, days, edges, prior).repartition(even_width(dataset), "cutoff", "tile"), "tiles")
+    models, depth = len(days) * len(settings), plan.depth
+    done: list[Trees] = []
     since = 0
-    for step in range(first.iterations):
-        current = {m: _empty(depth) for m in prior}
+    for step in range(max(s.iterations for s in settings)):
+        current = Trees(models, depth)
         for level in range(depth):
-            state = _state(spark, forest, current, since)
-            scored = rows.join(F.broadcast(state), "model").withColumn("m", _margin("margin", depth))
             grown = 0
-            for r in _best_splits(scored, depth):
-                tree, node = current[r["model"]], r["node"]
-                if node < 2**level:  # a leaf of an earlier level
+            for r in best_splits(histograms(tiles, plan, done[since:], current, level), plan).to_pylist():
+                model, node, setting = r["model"], r["node"], settings[r["model"] % len(settings)]
+                if step >= setting.iterations:
                     continue
-                leaf = lambda g, h: -first.learning_rate * g / max(h + r["l2"], 1e-12)
+                leaf = lambda g, h: -setting.learning_rate * g / max(h + setting.l2, 1e-12)
                 if level == 0:
-                    tree["value"][node] = leaf(r["tg"], r["th"])
-                if level >= r["max_depth"] or r["gain"] is None or r["gain"] <= 1e-12:
-                    continue
-                s = r["s"]
-                tree["feature"][node], tree["threshold"][node] = s["feature"], s["bin"]
-                tree["value"][2 * node] = leaf(s["lg"], s["lh"])
-                tree["value"][2 * node + 1] = leaf(s["tg"] - s["lg"], s["th"] - s["lh"])
-                grown += 1
+                    current.value[model, node] = leaf(r["tg"], r["th"])
+                if level < setting.max_depth and r["feature"] >= 0:
+                    current.feature[model, node], current.bin[model, node], current.gain[model, node] = r["feature"], r["bin"], r["gain"]
+                    current.value[model, 2 * node] = leaf(r["lg"], r["lh"])
+                    current.value[model, 2 * node + 1] = leaf(r["tg"] - r["lg"], r["th"] - r["lh"])
+                    grown += 1
             if not grown:
                 break
-        for m, tree in current.items():
-            forest.trees[m].append(tree)
-        if (step + 1) % store_every == 0 and step + 1 < first.iterations:
-            state = _state(spark, forest, current, since)
-            rows = stored(rows.join(F.broadcast(state), "model").withColumn(
-                "margin", _margin("margin", depth)
-            ).drop("trees", "open"), "rows")
-            since = step + 1
-    return forest, edges
-
-
-def predict(rows: DataFrame, forest: Forest, edges: DataFrame, depth: int) -> DataFrame:
-    """Adds ``ml_score`` = P(outperform) to rows keyed by cutoff and setting."""
-    spark = rows.sparkSession
-    empty = {m: _empty(depth) for m in forest.prior}
-    prior = local_table(
-        spark, [{"model": m, "prior": v} for m, v in forest.prior.items()], pa.schema([("model", pa.string()), ("prior", pa.float64())])
-    )
-    state = _state(spark, forest, empty, 0).drop("open").join(prior, "model")
-    # Broadcast: tree parameters, bounded by models x iterations.
-    out = _binned(rows, edges).withColumn("model", _model()).join(F.broadcast(state), "model")
-    return out.withColumn("ml_score", 1.0 / (1.0 + F.exp(-_margin("prior", depth)))).drop("trees", "prior", "bins", "model")
-
-
-def walk_forward_scores(dataset: DataFrame, cutoffs: DataFrame, settings: tuple[Setting, ...] = (Setting(),)) -> DataFrame:
-    """Scores of each eligible date by a model that saw only earlier labels."""
-    usable = dataset.dropna(subset=list(FEATURES))
-    forest, edges = fit(training_sets(usable, cutoffs, settings), settings)
-    now = usable.join(F.broadcast(cutoffs.select(F.col("prediction_date").alias("date"))), "date", "left_semi")
-    keyed = now.withColumn("cutoff", F.col("date")).withColumn(
-        "setting", F.explode(F.array(*[F.lit(s.name) for s in settings]))
-    )
-    return predict(keyed, forest, edges, max(s.max_depth for s in settings)).select(
+        done.append(current)
+        if (step + 1) % store_every == 0:
+            fresh = stored(_advanced(tiles, plan, done[since:]), "tiles")
+            dropped(tiles)
+            tiles, since = fresh, step + 1
+    dropped(tiles)
+    return _tree_table(spark, plan, days, prior, edges, done)
+
+
+def _advanced(tiles: DataFrame, plan: Plan, pending: list[Trees]) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                codes, _, margins = _tile_arrays(batch, k)
+                margins = plan.margins(batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), codes, margins, pending)
+                one = batch.slice(k, 1)
+                yield pa.RecordBatch.from_arrays([*(one.column(i) for i in range(5)), pa.array([margins.tobytes()], pa.binary())], _TILE_NAMES)
+
+    return tiles.mapInArrow(run, _TILE)
+
+
+def _tree_table(spark, plan: Plan, days: list, prior: np.ndarray, edges: dict, done: list[Trees]) -> DataFrame:
+    names, cuts, priors, rounds, feature, threshold, gain, value = ([] for _ in range(8))
+    for m in range(len(days) * len(plan.settings)):
+        c, setting = m // len(plan.settings), plan.settings[m % len(plan.settings)]
+        for step, trees in enumerate([None, *done[: setting.iterations]]):
+            names.append(setting.name), cuts.append(days[c]), priors.append(float(prior[c])), rounds.append(step)
+            if trees is None:
+                feature.append([]), threshold.append([]), gain.append([]), value.append([])
+                continue
+            feature.append(trees.feature[m].tolist())
+            threshold.append([int(edges[setting.bins, c][f][b]) if f >= 0 else 0 for f, b in zip(trees.feature[m], trees.bin[m])])
+            gain.append([None if np.isnan(x) else float(x) for x in trees.gain[m]])
+            value.append(trees.value[m].tolist())
+    table = pa.table({
+        "setting": pa.array(names, pa.string()), "cutoff": pa.array(cuts, pa.date32()), "prior": pa.array(priors, pa.float64()), "round": pa.array(rounds, pa.int32()),
+        "feature": pa.array(feature, pa.list_(pa.int32())), "threshold": pa.array(threshold, pa.list_(pa.int32())),
+        "gain": pa.array(gain, pa.list_(pa.float64())), "value": pa.array(value, pa.list_(pa.float64()))})
+    return stored(spark.createDataFrame(table), "trees")
+
+
+def predict(rows: DataFrame, trees: DataFrame) -> DataFrame:
+    """``rows`` (with a date and the features) per setting, with ``cutoff`` (of the latest model at or before the date) and ``ml_score`` = P(outperform).
+
+    Rows before the first model are left out.  The trees are sent to the tasks: models x rounds x nodes numbers.
+    """
+    spark, forest = rows.sparkSession, {}
+    for r in trees.orderBy("setting", "cutoff", "round").toArrow().to_pylist():
+        model = forest.setdefault(r["setting"], {}).setdefault(r["cutoff"], {"prior": r["prior"], "trees": []})
+        if r["round"]:
+            model["trees"].append((np.array(r["feature"], np.int8), np.array(r["threshold"], np.int32), np.array(r["value"])))
+    asof = {s: (np.array(sorted(m), "datetime64[D]"), [m[c] for c in sorted(m)]) for s, m in forest.items()}
+    sent = spark.sparkContext.broadcast(asof)
+    names = list(rows.columns)
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            dates = batch.column(names.index("date")).to_numpy(zero_copy_only=False).astype("datetime64[D]")
+            keys = batch.column(len(names)).flatten().to_numpy().reshape(-1, _F)
+            for setting, (cuts, models) in sent.value.items():
+                which = np.searchsorted(cuts, dates, side="right") - 1
+                margin = np.zeros(batch.num_rows)
+                for w in np.unique(which[which >= 0]):
+                    at = np.flatnonzero(which == w)
+                    own, total = keys[at], np.full(len(at), models[w]["prior"])
+                    for feature, threshold, value in models[w]["trees"]:
+                        total += value[reached(own, feature, threshold, len(feature).bit_length() - 1)]
+                    margin[at] = total
+                known = np.flatnonzero(which >= 0)
+                part = batch.take(pa.array(known))
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[:-1], pa.array([setting] * len(known), pa.string()), pa.array(cuts[which[known]], pa.date32()), pa.array(1.0 / (1.0 + np.exp(-margin[known])), pa.float64())],
+                    [*names, "setting", "cutoff", "ml_score"])
+
+    ready = keyed(rows)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return ready.select(*names, "keys").mapInArrow(run, f"{fields}, setting string, cutoff date, ml_score double")
+
+
+def walk_forward_scores(dataset: DataFrame, cutoffs: DataFrame, settings: tuple[Setting, ...] = (Setting(),), trees: DataFrame | None = None) -> DataFrame:
+    """Scores of each eligible date by a model that saw only earlier labels; ``trees``: models fitted before."""
+    trees = fit(dataset, cutoffs, settings) if trees is None else trees
+    now = dataset.join(F.broadcast(cutoffs.select(F.col("prediction_date").alias("date"))), "date", "left_semi")
+    return predict(now, trees).select(
         F.col("setting").alias("candidate"), "date", "target_date", "ticker", "ml_score", "future_return", "benchmark_return", "target"
     )
 

@@ -24,7 +24,7 @@ def cut(dataset, start=None):
 
 
 def test_embargo(dataset):
-    rows = ML.training_sets(dataset, cut(dataset), (SETTING,))
+    rows = ML.training_sets(dataset, cut(dataset))
     assert rows.where(F.col("target_date") >= F.col("cutoff")).count() == 0
     counts = {r["cutoff"]: r["count"] for r in rows.groupBy("cutoff").count().collect()}
     expected = {r["prediction_date"]: r["training_rows"] for r in U.training_counts(dataset).collect()}
@@ -42,28 +42,98 @@ def test_future_labels_do_not_move_scores(dataset):
     assert a and a == pytest.approx(b)
 
 
-def test_first_split_matches_brute_force(spark):
-    rng = np.random.default_rng(8)
-    n = 400
-    bins = rng.integers(0, 8, (n, 5))
-    y = ((bins[:, 2] > 3) ^ (rng.random(n) < 0.1)).astype(float)
-    rows = spark.createDataFrame(
-        [("m", float(t), [int(v) for v in b], 1.0, 3, 0.0) for t, b in zip(y, bins)],
-        "model string, label double, bins array<int>, l2 double, max_depth int, m double",
-    ).withColumn("open", F.struct(F.array(*[F.lit(-1)] * 8).alias("feature"), F.array(*[F.lit(0)] * 8).alias("threshold"), F.array(*[F.lit(0.0)] * 16).alias("value")))
-    got = ML._best_splits(rows, 3)[0]
-    g, h = 0.5 - y, np.full(n, 0.25)
-
-    def gain(f, b):
-        left = bins[:, f] <= b
-        if min(left.sum(), n - left.sum()) < ML.MIN_LEAF_ROWS:
-            return -np.inf
-        part = lambda m: g[m].sum() ** 2 / (h[m].sum() + 1.0)
-        return part(left) + part(~left) - g.sum() ** 2 / (h.sum() + 1.0)
-
-    best = max((gain(f, b), f, b) for f in range(5) for b in range(8))
-    assert (got["s"]["feature"], got["s"]["bin"]) == (best[1], best[2]) == (2, 3)
-    assert got["gain"] == pytest.approx(best[0])
+def plain_keys(values):
+    size = np.abs(values)
+    with np.errstate(divide="ignore"):
+        cell = np.ceil(np.minimum(np.log(size), 40.0) * 1000) + 25_000
+    return np.where(size < 1e-10, 0, np.sign(values) * cell).astype(int)
+
+
+def plain_edges(keys, bins):
+    """Keys at which the count passes a multiple of n / bins, by sorting."""
+    n, out = len(keys), []
+    for k, c in zip(*np.unique(keys, return_counts=True)):
+        upto = int((keys <= k).sum())
+        if min(upto * bins // n, bins - 1) > min((upto - int(c)) * bins // n, bins - 1):
+            out.append(int(k))
+    return out
+
+
+def plain_boosting(codes, y, setting):
+    """Margins after each round of exhaustive depth-first trees on bin codes."""
+    margin = np.full(len(y), np.log(y.mean() / (1 - y.mean())))
+    for _ in range(setting.iterations):
+        p = 1 / (1 + np.exp(-margin))
+        g, h, step = p - y, p * (1 - p), np.zeros(len(y))
+
+        def grow(rows, level):
+            part = lambda m: g[m].sum() ** 2 / max(h[m].sum() + setting.l2, 1e-12)
+            best = None
+            for f in range(5) if level < setting.max_depth else ():
+                for b in range(setting.bins):
+                    left, right = rows[codes[rows, f] <= b], rows[codes[rows, f] > b]
+                    if min(len(left), len(right)) < ML.MIN_LEAF_ROWS:
+                        continue
+                    gain = round(part(left) + part(right) - part(rows), ML.GAIN_PLACES)
+                    if gain > 1e-12 and (best is None or gain > best[0]):
+                        best = gain, left, right
+            if best:
+                grow(best[1], level + 1), grow(best[2], level + 1)
+            else:
+                step[rows] = -setting.learning_rate * g[rows].sum() / max(h[rows].sum() + setting.l2, 1e-12)
+
+        grow(np.arange(len(y)), 0)
+        margin = margin + step
+    return margin
+
+
+def arrays(dataset):
+    rows = dataset.dropna(subset=list(T.FEATURES)).collect()
+    return rows, np.array([[r[f] for f in T.FEATURES] for r in rows])
+
+
+def test_sketch_edges_match_sorting(dataset):
+    rows, values = arrays(dataset)
+    days = [r[0] for r in cut(dataset).orderBy("prediction_date").collect()]
+    got = {(r["cutoff"], r["feature"]): list(r["edges"]) for r in ML.bin_edges(ML.keyed(dataset), cut(dataset), 16).collect()}
+    for day in days:
+        own = np.array([i for i, r in enumerate(rows) if r["target"] is not None and r["target_date"] is not None and r["target_date"] < day])
+        for f in range(5):
+            assert got[day, f] == plain_edges(plain_keys(values[own, f]), 16)
+
+
+def test_forest_matches_plain_boosting_with_mixed_settings(dataset):
+    """Two settings that differ in everything, and every third cutoff; margins stored each round."""
+    settings = (replace(SETTING, name="a", iterations=4, bins=12, learning_rate=0.3), ML.Setting("b", 2, 2.0, 2, 0.1, 6))
+    days = [r[0] for r in cut(dataset).orderBy("prediction_date").collect()][::3]
+    some = cut(dataset).where(F.col("prediction_date").isin(days))
+    trees = ML.fit(dataset, some, settings, store_every=3)
+    assert {(r["setting"], r["n"]) for r in trees.groupBy("setting", "cutoff").agg(F.max("round").alias("n")).collect()} == {("a", 4), ("b", 2)}
+    got = {(r["candidate"], r["date"], r["ticker"]): r["ml_score"] for r in ML.walk_forward_scores(dataset, some, settings, trees).collect()}
+    rows, values = arrays(dataset)
+    keys = np.stack([plain_keys(values[:, f]) for f in range(5)], 1)
+    for day in days:
+        own = [i for i, r in enumerate(rows) if r["target"] is not None and r["target_date"] is not None and r["target_date"] < day]
+        y = np.array([float(rows[i]["target"]) for i in own])
+        for s in settings:
+            edges = [plain_edges(keys[own, f], s.bins) for f in range(5)]
+            codes = np.stack([np.searchsorted(edges[f], keys[own, f]) for f in range(5)], 1)
+            margin = plain_boosting(codes, y, s)
+            # The forest scores its own training rows as it does new ones.
+            sample = dataset.where(F.col("date") == F.lit(rows[own[-1]]["date"]))
+            model = trees.where((F.col("setting") == s.name) & (F.col("cutoff") == F.lit(day))).withColumn("cutoff", F.lit("1900-01-01").cast("date"))
+            scores = {r["ticker"]: r["ml_score"] for r in ML.predict(sample, model).collect()}
+            for i, m in zip(own, margin):
+                if rows[i]["date"] == rows[own[-1]]["date"]:
+                    assert scores[rows[i]["ticker"]] == pytest.approx(1 / (1 + np.exp(-m)), abs=1e-9)
+            assert any(k[:2] == (s.name, day) for k in got)
+
+
+def test_latest_model_scores_a_date(dataset):
+    days = [r[0] for r in cut(dataset).orderBy("prediction_date").collect()]
+    trees = ML.fit(dataset, cut(dataset).where(F.col("prediction_date").isin(days[0], days[2])), (SETTING,))
+    used = {r["date"]: r["cutoff"] for r in ML.predict(dataset, trees).select("date", "cutoff").distinct().collect()}
+    assert min(used) == days[0] and used[days[1]] == days[0] and used[days[2]] == used[days[3]] == days[2]
 
 
 def test_more_l2_shrinks_scores(dataset):
@@ -73,6 +143,13 @@ def test_more_l2_shrinks_scores(dataset):
     assert spread["shrunk"] < spread["free"]
 
 
+def test_sketch_keys_keep_the_order(spark):
+    values = [-1e9, -2.5, -1.0, -1e-4, -1e-12, 0.0, 1e-11, 1e-9, 0.5, 1.0, 3.0, 1e300, float("inf")]
+    rows = spark.createDataFrame([(float(v),) for v in values], "v double").select("v", ML.sketch_key(F.col("v")).alias("k")).orderBy("v").collect()
+    keys = [r["k"] for r in rows]
+    assert keys == sorted(keys) and keys[4:7] == [0, 0, 0]
+
+
 def test_select_candidate(spark):
     d = month_ends(24, 2021)
     rng = np.random.default_rng(0)
