@@ -191,36 +191,6 @@ def diagnostics(ledger: DataFrame, keys=("strategy",)) -> DataFrame:
     )
 
 
-def leave_one_out(candidates: DataFrame, n: int, keys=("strategy",)) -> DataFrame:
-    """Positions of every universe that lacks one ticker.
-
-    ``candidates`` are ranked rows with ``rank <= n + 1``.  Removing a name that
-    is never among a strategy's top ``n`` changes nothing, so only the removals
-    of ever-selected names are re-run: rows are bounded by
-    (n x periods)^2 whatever the universe size.  The caller gives all other
-    removals the baseline result.
-    """
-    removed = candidates.where(F.col("rank") <= n).select(
-        *keys, F.col("ticker").alias("removed_ticker")
-    ).distinct()
-    kept = candidates.join(removed, list(keys)).where(F.col("ticker") != F.col("removed_ticker"))
-    w = Window.partitionBy(*keys, "removed_ticker", "signal_date").orderBy("rank")
-    chosen = kept.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r", "rank")
-    return equal_weights(chosen, (*keys, "removed_ticker", "signal_date"))
-
-
-def without_tickers(candidates: DataFrame, scenarios: DataFrame, n: int, keys=("strategy", "scenario")) -> DataFrame:
-    """Positions after removing each scenario's ticker set.
-
-    ``candidates`` must reach rank ``n`` + the largest set; ``scenarios`` is
-    ``(strategy, scenario, removed)`` with a bounded array of tickers.
-    """
-    kept = candidates.join(scenarios, "strategy").where(~F.array_contains("removed", F.col("ticker")))
-    w = Window.partitionBy(*keys, "signal_date").orderBy("rank")
-    chosen = kept.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r", "rank", "removed")
-    return equal_weights(chosen, (*keys, "signal_date"))
-
-
 def top_n_scenarios(scores: DataFrame, sizes=(10, 20, 25, 50)) -> DataFrame:
     """Positions for several portfolio sizes from one ranking pass."""
     largest = score_positions(scores, max(sizes)).drop("weight")

@@ -13,7 +13,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stratapanel.operators import ledger as L, metrics as M, ranking as R, timeseries as T
+from stratapanel.operators import attribution as A, ledger as L, metrics as M, ranking as R, scenarios as N, timeseries as T
 from stratapanel.session import stored
 from stratapanel.sources import panels as P
 
@@ -117,18 +117,10 @@ def suite_positions(s, d) -> DataFrame:
 
 
 def suite_candidates(s, d, depth: int) -> DataFrame:
-    """Ranked names down to ``depth`` per strategy and signal, with outcomes."""
+    """Names of the momentum rankings down to ``depth`` per signal, with outcomes; the score is re-ranked, not shifted."""
     months = closes(brand(s, d))
-    scores = brand_scores(s, d).where(F.col("target_date").isNotNull())
-    ranked = R.top_n(scores, ("date",), "ml_score", depth).select(
-        F.lit("ml").alias("strategy"), F.col("date").alias("signal_date"), F.col("target_date").alias("date"),
-        "ticker", "rank", F.col("future_return").alias("asset_return"),
-    )
-    return (
-        L.momentum_selection(months, 3, 0, depth, "momentum_3m_equal")
-        .unionByName(L.momentum_selection(months, 12, 1, depth, "momentum_12_1_equal"))
-        .unionByName(ranked)
-    )
+    return L.momentum_selection(months, 3, 0, depth, "momentum_3m_equal").unionByName(
+        L.momentum_selection(months, 12, 1, depth, "momentum_12_1_equal"))
 
 
 @shared
@@ -167,9 +159,26 @@ def common_ledger(s, d) -> DataFrame:
     return suite_ledger(s, d).join(F.broadcast(common_dates(s, d)), "date", "left_semi")
 
 
+def removals(s, d) -> DataFrame:
+    return N.single_removals(STRATEGIES, brand(s, d))
+
+
 @shared
 def leave_one_out_ledger(s, d) -> DataFrame:
-    return L.periods(L.leave_one_out(suite_candidates(s, d, 6), 5), ("strategy", "removed_ticker"), strict=False)
+    """Ledgers of the removals that change a date, the score re-ranked in each reduced universe."""
+    return N.rerun_ledger(suite_positions(s, d), suite_candidates(s, d, 6), brand_dataset(s, d), removals(s, d), "removed_ticker", 5, 1)
+
+
+def contributor_sets(s, d) -> DataFrame:
+    """The top one, two and three contributors of each strategy."""
+    return A.removal_sets(A.contribution_ranks(common_positions(s, d)))
+
+
+@shared
+def removal_ledger(s, d) -> DataFrame:
+    sets = contributor_sets(s, d).select("strategy", "scenario", "removed")
+    again = N.rerun_ledger(suite_positions(s, d), suite_candidates(s, d, 8), brand_dataset(s, d), sets, "scenario", 5, 3)
+    return N.every_ledger(again, suite_ledger(s, d), sets, "scenario")
 
 
 @shared

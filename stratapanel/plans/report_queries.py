@@ -219,17 +219,12 @@ register(
         "net_arithmetic_contribution positive_contribution_total largest_contributor_contribution top_2_contribution top_3_contribution top_5_contribution "
         "bottom_3_contribution top_1_share top_2_share top_3_share top_5_share positive_contribution_hhi"),
 )
-SETS = lambda s, d: A.removal_sets(A.contribution_ranks(B.common_positions(s, d)))
-
-
-def removal_ledger(s, d):
-    return L.periods(L.without_tickers(B.suite_candidates(s, d, 8), SETS(s, d).drop("removed_contribution"), 5), ("strategy", "scenario"))
-
-
+SETS, removal_ledger = B.contributor_sets, B.removal_ledger
 frag("rmset", "SELECT strategy, s.scenario, list(ticker) AS removed, sum(c) AS lost, string_agg(ticker, '|' ORDER BY rank) AS names FROM crank CROSS JOIN (SELECT unnest([1, 2, 3]) AS scenario) s WHERE rank <= s.scenario GROUP BY 1, 2")
-frag("rmpos", """SELECT *, 1.0 / count(*) OVER (PARTITION BY strategy, scenario, signal_date) AS weight FROM (
-  SELECT c.strategy, r.scenario, c.signal_date, c.date, c.ticker, c.asset_return, row_number() OVER (PARTITION BY c.strategy, r.scenario, c.signal_date ORDER BY c.rk) AS r2
-  FROM cand c JOIN rmset r ON r.strategy = c.strategy WHERE NOT list_contains(r.removed, c.ticker)) WHERE r2 <= 5""")
+frag("rmpos", f"""SELECT *, 1.0 / count(*) OVER (PARTITION BY strategy, scenario, signal_date) AS weight FROM (
+  SELECT c.strategy, c.signal_date, c.date, c.ticker, c.asset_return, r.scenario, row_number() OVER (PARTITION BY c.strategy, r.scenario, c.signal_date ORDER BY c.rk) AS r2
+  FROM cand c JOIN rmset r ON r.strategy = c.strategy WHERE NOT list_contains(r.removed, c.ticker)
+  UNION ALL {S.rescored("scenario", "SELECT r.scenario, d.* FROM ds_b d JOIN rmset r ON r.strategy = 'ml' WHERE NOT list_contains(r.removed, d.ticker)")}) WHERE r2 <= 5""")
 ledger("rmpos", "strategy, scenario")
 register(
     "b8_contributor_removal", lambda s, d: removal_ledger(s, d).select("strategy", "scenario", "signal_date", "date", "gross_return", "turnover", "net_return"),

@@ -136,10 +136,10 @@ def robustness_report(
 def leave_one_out(
     prices: DataFrame, benchmark: DataFrame, runner: Callable[[DataFrame, DataFrame], DataFrame], removed: list[str],
 ) -> DataFrame:
-    """Ledgers of arbitrary re-runs, for strategies whose scores depend on the
-    whole universe (a refitted model): one run per listed ticker, unioned.
+    """Ledgers of arbitrary re-runs, for a model refitted in each universe: one
+    run per listed ticker, unioned (the one loop over studies in this library).
 
-    Momentum strategies use ``ledger.leave_one_out``, which needs no re-runs.
+    Momentum and percentile scores use ``scenarios.rerun_ledger``: one plan.
     """
     out = None
     for ticker in removed:

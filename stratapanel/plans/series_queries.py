@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stratapanel.operators import ledger as L, ranking as R, timeseries as T, weights as W
-from stratapanel.operators import metrics as M, universe as U
+from stratapanel.operators import metrics as M, scenarios as N, universe as U
 from stratapanel.plans import bindings as B
 from stratapanel.plans.oracle_base import FEATURES, evaluated, frag, ledger, momentum_pos, out, query, score_pos
 from stratapanel.plans.registry import register
@@ -309,25 +309,30 @@ LOO_KEYS = ("strategy", "removed_ticker")
 LOO = B.leave_one_out_ledger
 
 
-def _candidates(depth: int) -> str:
-    return " UNION ALL ".join([
-        momentum_pos("momentum_3m_equal", "b", "momentum_3m", depth), momentum_pos("momentum_12_1_equal", "b", "momentum_12_1", depth),
-        score_pos("ml", "b", depth),
-    ])
+# The oracle really re-runs every reduced universe, also those that change nothing: names, ranks and percentiles anew.
+frag("cand", " UNION ALL ".join([
+    momentum_pos("momentum_3m_equal", "b", "momentum_3m", 25), momentum_pos("momentum_12_1_equal", "b", "momentum_12_1", 25)]))
 
 
-# The oracle really re-ranks every reduced universe, also those that change nothing.
-frag("cand", _candidates(25))
-frag("loo", """SELECT *, 1.0 / count(*) OVER (PARTITION BY strategy, removed_ticker, signal_date) AS weight FROM (
+def rescored(key: str, source: str) -> str:
+    """Positions of the percentile score in the universes of ``source`` (key, and ``ds_b`` rows that stay)."""
+    ranks = " + ".join(f"percent_rank() OVER (PARTITION BY {key}, date ORDER BY {c})" for c in FEATURES)
+    return f"""SELECT 'ml' AS strategy, date AS signal_date, target_date AS date, ticker, future_return AS asset_return, {key}, rk AS r2 FROM (
+      SELECT *, row_number() OVER (PARTITION BY {key}, date ORDER BY ml_score DESC, ticker) AS rk, count(future_return) OVER (PARTITION BY {key}, date) AS known
+      FROM (SELECT *, ({ranks}) / 5 AS ml_score FROM ({source}))) WHERE rk <= 5 AND known > 0"""
+
+
+frag("loo", f"""SELECT *, 1.0 / count(*) OVER (PARTITION BY strategy, removed_ticker, signal_date) AS weight FROM (
   SELECT c.strategy, c.signal_date, c.date, c.ticker, c.asset_return, r.ticker AS removed_ticker,
   row_number() OVER (PARTITION BY c.strategy, r.ticker, c.signal_date ORDER BY c.rk) AS r2
-  FROM cand c JOIN tick_b r ON c.ticker <> r.ticker) WHERE r2 <= 5""")
+  FROM cand c JOIN tick_b r ON c.ticker <> r.ticker
+  UNION ALL {rescored("removed_ticker", "SELECT r.ticker AS removed_ticker, d.* FROM ds_b d JOIN tick_b r ON d.ticker <> r.ticker")}) WHERE r2 <= 5""")
 ledger("loo", "strategy, removed_ticker")
 register(
     "b7_leave_one_out",
-    lambda s, d: LOO(s, d).select(*LOO_KEYS, "signal_date", "date", "gross_return", "turnover", "net_return"),
-    out("loo_led", "strategy removed_ticker signal_date date", "gross_return turnover net_return",
-        where="(strategy, removed_ticker) IN (SELECT strategy, ticker FROM pos)"),
+    lambda s, d: N.every_ledger(LOO(s, d), B.suite_ledger(s, d), B.removals(s, d), "removed_ticker").select(
+        *LOO_KEYS, "signal_date", "date", "gross_return", "turnover", "net_return"),
+    out("loo_led", "strategy removed_ticker signal_date date", "gross_return turnover net_return"),
 )
 SIZES = (10, 20, 25, 50)
 frag("tops", """SELECT *, 1.0 / count(*) OVER (PARTITION BY top_n, signal_date) AS weight FROM (

@@ -61,20 +61,6 @@ def test_cost_levels_are_monotone(drift_panel):
     assert total[0] == 0 and total[0] < total[10] < total[100]
 
 
-def test_leave_one_out_equals_brute_force(panel):
-    rng = np.random.default_rng(17)
-    wide = {f"T{i}": list(100 * np.cumprod(1 + rng.normal(0.01, 0.05, 15))) for i in range(8)}
-    p = panel(wide)
-    got = L.periods(L.leave_one_out(L.momentum_selection(p, 3, 0, 4, "m"), 3), ("strategy", "removed_ticker"))
-    got = {(r["removed_ticker"], r["signal_date"]): r["net_return"] for r in got.collect()}
-    base = {r["signal_date"]: r["net_return"] for r in L.periods(L.momentum_positions(p, 3, 0, 3)).collect()}
-    for removed in wide:
-        rerun = L.periods(L.momentum_positions(p.where(F.col("ticker") != removed), 3, 0, 3)).collect()
-        for r in rerun:
-            expected = got.get((removed, r["signal_date"]), base[r["signal_date"]])
-            assert expected == pytest.approx(r["net_return"], abs=1e-12)
-
-
 def bisect_cap(w, cap):
     x = np.clip(np.asarray(w, float), 0, None)
     x = x / x.sum() if x.sum() > 0 else np.full(len(x), 1 / len(x))
