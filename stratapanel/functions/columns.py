@@ -69,6 +69,18 @@ def message_if(condition: Column, message: str, value: Column) -> Column:
     return F.when(condition, F.raise_error(F.lit(message)).cast("double")).otherwise(value)
 
 
+def checked(df: DataFrame, violations: DataFrame, message: str) -> DataFrame:
+    """``df``, but the same job fails where ``violations`` has a row.
+
+    The check is a node of the plan: one counted row that either raises or is
+    filtered out.  So it also runs where ``df`` is empty, which no expression on
+    a row of ``df`` can.
+    """
+    failed = F.when(F.col("_n") > 0, F.raise_error(F.lit(message)).cast("boolean")).otherwise(F.lit(False))
+    none = violations.agg(F.count(F.lit(1)).alias("_n")).where(failed)
+    return df.unionByName(none.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema.fields]))
+
+
 def reasons(*pairs: tuple[Column, str]) -> Column:
     """Array of the texts whose condition holds, in the given order."""
     return F.filter(

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from stratapanel.functions.columns import attach, count_if, message_if, share_if
+from stratapanel.functions.columns import attach, checked, count_if, message_if, share_if
 from stratapanel.operators.ledger import trades, turnover_from_trades
 from stratapanel.operators.metrics import performance
 from stratapanel.operators.quality import duplicates, require_columns
@@ -57,10 +57,12 @@ def liquidity_on_sessions(panel: DataFrame, sessions: DataFrame, tickers: DataFr
     )
 
 
-def paired_schedule(positions: DataFrame, panel: DataFrame, adv: DataFrame, strategies: int) -> DataFrame:
+def paired_schedule(positions: DataFrame, panel: DataFrame, adv: DataFrame, strategies: int, strict: bool = True) -> DataFrame:
     """Shared signals with entry and exit sessions, or the exclusion reason.
 
-    All tables here have one row per session.
+    ``strict`` fails the job without a complete liquidity window, with fewer
+    than two kept periods, or where a kept period does not start at the end of
+    the one before.  All tables here have one row per session.
     """
     cal = calendar(panel).select("date", F.col("next_date").alias("_next"))
     shared = positions.select("strategy", "signal_date", "date").distinct().groupBy("signal_date").agg(
@@ -81,7 +83,18 @@ def paired_schedule(positions: DataFrame, panel: DataFrame, adv: DataFrame, stra
         .when(F.col("_start").isNull() | (F.col("signal_date") < F.col("_start")), "before_complete_liquidity_history")
         .when(F.col("next_entry").isNull() | F.col("next_exit").isNull(), "terminal_next_session_unavailable")
     )
-    return out.select("signal_date", "realization_date", "next_entry", "next_exit", reason.alias("reason"))
+    schedule = out.select("signal_date", "realization_date", "next_entry", "next_exit", reason.alias("reason"))
+    if not strict:
+        return schedule
+    schedule = checked(schedule, ready.where(F.col("_start").isNull()), "INSUFFICIENT_LIQUIDITY_HISTORY: no complete ADV window")
+    return checked_schedule(schedule)
+
+
+def checked_schedule(schedule: DataFrame) -> DataFrame:
+    """``schedule``, failing on fewer than two kept periods and on a gap between kept periods."""
+    few = schedule.agg(F.count(F.when(F.col("reason").isNull(), 1)).alias("_kept")).where("_kept < 2")
+    out = checked(schedule, few, "INSUFFICIENT_PAIRED_EXECUTION_PERIODS")
+    return checked(out, schedule_violations(schedule), "NONCONTIGUOUS_PAIRED_SCHEDULE: cannot skip holding periods")
 
 
 def schedule_violations(schedule: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from stratapanel.functions.columns import attach, joined, reasons
+from stratapanel.functions.columns import attach, checked, joined, reasons
 from stratapanel.operators.timeseries import FEATURES
 
 PANEL_COLUMNS = (
@@ -71,12 +71,24 @@ def mapping_collisions(mapping: DataFrame) -> DataFrame:
     ).where("canonicals > 1")
 
 
-def to_canonical(observations: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Reverse lookup on the provider symbol; ambiguous symbols give no row."""
-    unique = mapping.join(mapping_collisions(mapping), "provider_ticker", "left_anti")
-    return observations.withColumn("provider_ticker", F.upper(F.trim("provider_ticker"))).join(
-        unique, "provider_ticker"
-    )
+def _known(mapping: DataFrame) -> DataFrame:
+    return mapping.join(mapping_collisions(mapping), "provider_ticker", "left_anti")
+
+
+def lookup_violations(observations: DataFrame, mapping: DataFrame) -> DataFrame:
+    """(provider_ticker, n): symbols that the mapping lacks or gives to several canonical tickers."""
+    symbols = observations.select(F.upper(F.trim("provider_ticker")).alias("provider_ticker"))
+    return symbols.join(_known(mapping), "provider_ticker", "left_anti").groupBy("provider_ticker").agg(F.count(F.lit(1)).alias("n"))
+
+
+def to_canonical(observations: DataFrame, mapping: DataFrame, strict: bool = True) -> DataFrame:
+    """Reverse lookup on the provider symbol.
+
+    ``strict`` fails the job on an absent or ambiguous symbol; otherwise such
+    rows are left out (``lookup_violations`` lists them).
+    """
+    found = observations.withColumn("provider_ticker", F.upper(F.trim("provider_ticker"))).join(_known(mapping), "provider_ticker")
+    return checked(found, lookup_violations(observations, mapping), "Provider ticker is absent or ambiguous") if strict else found
 
 
 def duplicates(df: DataFrame, *keys: str) -> DataFrame:

@@ -203,13 +203,17 @@ def labelled_dataset(monthly: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
-def calendar_violations(monthly: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Months whose final session differs between panel and benchmark."""
-    left = month_end_sessions(monthly).select(F.col("date").alias("panel_date"))
-    right = month_end_sessions(benchmark).select(F.col("date").alias("benchmark_date"))
-    return left.join(
-        right, F.trunc("panel_date", "month") == F.trunc("benchmark_date", "month"), "full_outer"
-    ).where(~F.col("panel_date").eqNullSafe(F.col("benchmark_date")))
+def calendar_violations(panel: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(ticker, panel_date, benchmark_date): months whose last observation of a security is not the benchmark's."""
+    month = F.trunc("date", "month").alias("month")
+    own = panel.where(F.col("close").isNotNull()).groupBy("ticker", month).agg(F.max("date").alias("panel_date"))
+    reference = benchmark.groupBy(month).agg(F.max("date").alias("benchmark_date"))
+    # The calendar's months, as one short array for every security.
+    months = reference.agg(F.sort_array(F.collect_list(F.struct("month", "benchmark_date")))).scalar()
+    expected = panel.select("ticker").distinct().withColumn("_m", months).select("ticker", F.inline("_m"))
+    return own.join(expected, ["ticker", "month"], "full_outer").where(
+        ~F.col("panel_date").eqNullSafe(F.col("benchmark_date"))
+    ).select("ticker", "panel_date", "benchmark_date")
 
 
 def average_dollar_volume(panel: DataFrame, window: int = 20) -> DataFrame:

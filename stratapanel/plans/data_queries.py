@@ -219,11 +219,17 @@ register(
 )
 register(
     "q2_reverse_lookup",
-    lambda s, d: Q.to_canonical(symbols(s, d).select(F.replace("ticker", F.lit("."), F.lit("-")).alias("provider_ticker")), MAPPING(s, d)).groupBy(
+    lambda s, d: Q.to_canonical(symbols(s, d).select(F.replace("ticker", F.lit("."), F.lit("-")).alias("provider_ticker")), MAPPING(s, d), strict=False).groupBy(
         "provider_ticker", "canonical_ticker").agg(F.count(F.lit(1)).alias("n")),
     query("""SELECT t.provider_ticker, t.canonical_ticker, count(*) AS n FROM part JOIN tmap t ON t.provider_ticker = upper(replace(p_brand, '#', '-'))
       WHERE t.provider_ticker <> 'BRAND-3' GROUP BY 1, 2"""),
 )
+register(
+    "q2_lookup_violations",
+    lambda s, d: Q.lookup_violations(symbols(s, d).select(F.replace("ticker", F.lit("."), F.lit("-")).alias("provider_ticker")), MAPPING(s, d)),
+    query("""SELECT upper(replace(p_brand, '#', '-')) AS provider_ticker, count(*) AS n FROM part WHERE upper(replace(p_brand, '#', '-')) NOT IN (
+      SELECT provider_ticker FROM tmap GROUP BY 1 HAVING count(*) = 1) GROUP BY 1"""),
+)
 FLAG = "ticker date flag severity"
 dup_sql = "SELECT canonical_ticker AS ticker, date, 'DUPLICATE_DATE' AS flag, CAST(NULL AS DOUBLE) AS value, 'error' AS severity FROM feed GROUP BY 1, 2 HAVING count(*) > 1"
 mono_sql = """SELECT DISTINCT canonical_ticker AS ticker, CAST(NULL AS DATE) AS date, 'NON_MONOTONIC_DATES' AS flag, CAST(NULL AS DOUBLE) AS value, 'error' AS severity
@@ -444,9 +450,10 @@ register(
 )
 register(
     "j5_calendar_agreement",
-    lambda s, d: T.calendar_violations(B.nation_days(s, d).where("ticker = 'N3'"), P.benchmark_days(s, d)),
-    query("""SELECT a.d AS panel_date, b.d AS benchmark_date FROM (SELECT date_trunc('month', date) AS m, max(date) AS d FROM px_n WHERE ticker = 'N3' GROUP BY 1) a
-      FULL OUTER JOIN (SELECT date_trunc('month', date) AS m, max(date) AS d FROM bday GROUP BY 1) b ON a.m = b.m WHERE a.d IS DISTINCT FROM b.d"""),
+    lambda s, d: T.calendar_violations(B.nation_days(s, d), P.benchmark_days(s, d)),
+    query("""SELECT coalesce(a.ticker, k.ticker) AS ticker, a.d AS panel_date, k.d AS benchmark_date FROM (SELECT ticker, date_trunc('month', date) AS m, max(date) AS d FROM px_n WHERE close IS NOT NULL GROUP BY 1, 2) a
+      FULL OUTER JOIN (SELECT t.ticker, b.m, b.d FROM tick_n t CROSS JOIN (SELECT date_trunc('month', date) AS m, max(date) AS d FROM bday GROUP BY 1) b) k ON a.m = k.m AND a.ticker = k.ticker
+      WHERE a.d IS DISTINCT FROM k.d"""),
 )
 register(
     "j8_next_session",
