@@ -14,8 +14,8 @@ A pair goes on if enough of all 63 minima agree: a pair at the threshold falls
 short with odds below 10**-7, and of 21 orders none begins alike with odds below
 10**-8 at 0.85.
 
-Candidates are confirmed on full sets, the best one of every document first, then
-the best between components, then those that still lie between components.  What
+Candidates are confirmed on full sets: one of every document first, then those
+that still lie between components.  What
 large regions leave apart is decided exactly: members of one region in several
 components are joined on their rare shingles (a set must meet a partner among its
 ``n - ceil(threshold * n) + 1`` rarest), so no link between them is lost.
@@ -256,6 +256,19 @@ def _labelled(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return pairs.where("ca != cb")
 
 
+def _merged(label: DataFrame, fresh: DataFrame) -> DataFrame:
+    """``label`` (id, component) with the links ``fresh`` (a, b): components of the components they tie."""
+    if fresh.isEmpty():
+        return label
+    tied = _labelled(fresh, label)
+    above = components(tied.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    # Ends that no link had met before are components of their own.
+    alone = fresh.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(label.select(F.col("id").alias("i")), F.col("id") == F.col("i"), "left_anti")
+    every = label.unionByName(alone.select("id", F.col("id").alias("component")))
+    up = above.select(F.col("id").alias("c"), F.col("component").alias("top"))
+    return written(every.join(up, F.col("component") == F.col("c"), "left").select("id", F.coalesce("top", "component").alias("component")), "labels")
+
+
 def rarely_shared(sets: DataFrame, threshold: int) -> DataFrame:
     """Distinct pairs (a < b) of different parts among ``sets`` (id, part, tokens) that can still link.
 
@@ -315,24 +328,16 @@ def clustered(docs: DataFrame, words: int = 5, threshold: int = 80) -> DataFrame
     sets = written(_sets(texts.join(wanted.hint("merge"), F.col("doc_id") == F.col("w"), "left_semi"), words), "sets")
     removed(spark, nodes)
 
-    best = written(pairs.groupBy("b").agg(F.max_by("a", F.struct(F.col("matches"), -F.col("a"))).alias("a")).select("a", "b"), "best")
-    links = written(links.unionByName(_confirmed(best, sets, threshold)), "links")
-    label, tested = components(links), best
-    for every in (False, True):
-        tried = tested.select(F.col("a").alias("ta"), F.col("b").alias("tb"))
-        left = pairs.join(tried, (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb")), "left_anti")
-        left = written(_labelled(left, label), "left")
-        if left.isEmpty():
-            break
-        if not every:
-            ends = left.select("a", "b", "matches", F.explode(F.array("ca", "cb")).alias("c"))
-            left = ends.groupBy("c").agg(F.max_by(F.struct("a", "b"), F.struct(F.col("matches"), -F.col("a"), -F.col("b"))).alias("p")).select("p.*").distinct()
-        left = written(left.select("a", "b"), "best")
-        fresh = written(_confirmed(left, sets, threshold), "links")
-        tested = tested.unionByName(left)
-        if not fresh.isEmpty():
-            links = links.unionByName(fresh)
-            label = components(links)
+    # A document's first partner: the least of those that agree well, so that links gather round few ids; else the best.
+    well = F.min(F.when(F.col("matches") * 100 >= MINIMA * (threshold + 3), F.col("a")))
+    best = pairs.groupBy("b").agg(F.coalesce(well, F.max_by("a", F.struct(F.col("matches"), -F.col("a")))).alias("a")).select("a", "b")
+    best = written(best, "best")
+    label = components(links.unionByName(_confirmed(best, sets, threshold)))
+
+    tried = best.select(F.col("a").alias("ta"), F.col("b").alias("tb"))
+    left = pairs.join(tried, (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb")), "left_anti")
+    left = written(_labelled(left, label).select("a", "b"), "left")
+    label = _merged(label, written(_confirmed(left, sets, threshold), "links"))
 
     # What large regions leave in several components.
     of = label.select(F.col("id").alias("i"), "component")
@@ -341,11 +346,9 @@ def clustered(docs: DataFrame, words: int = 5, threshold: int = 80) -> DataFrame
     open_ids = written(held.join(apart, F.col("region") == F.col("r")).select(F.col("id").alias("o"), "part").distinct(), "open")
     if not open_ids.isEmpty():
         more = rarely_shared(sets.join(open_ids.hint("merge"), F.col("id") == F.col("o")).select("id", "part", "tokens").dropDuplicates(["id", "tokens"]), threshold)
-        tried = tested.select(F.col("a").alias("ta"), F.col("b").alias("tb"))
-        more = written(more.join(tried, (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb")), "left_anti"), "left")
-        fresh = written(_confirmed(more, sets, threshold), "links")
-        if not fresh.isEmpty():
-            label = components(links.unionByName(fresh))
+        tested = tried.unionByName(left.select(F.col("a").alias("ta"), F.col("b").alias("tb")))
+        more = more.join(tested, (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb")), "left_anti")
+        label = _merged(label, written(_confirmed(more, sets, threshold), "links"))
     removed(spark, sets)
     of = label.select(F.col("id").alias("i"), "component")
     whole = rows.join(of, F.col("node") == F.col("i"), "left").select("doc_id", "n_shingles", F.coalesce("component", "node", "doc_id").alias("component_id"))
