@@ -37,7 +37,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -52,8 +52,8 @@ from stratapanel.llm.words import mixed, shingle_sets
 GROWTH = 1.6
 #: Distinct sets of which a task remembers the first document.
 REMEMBERED = 200_000
-#: Scheme numbers told apart by a signature's low bits (bands grow too fast to need more).
-NUMBERS = 32
+#: Scheme numbers told apart by a signature's low bits, and a set size beyond any: its band is still below ``NUMBERS``.
+NUMBERS, BEYOND = 64, 1 << 40
 
 
 class Scheme:
@@ -67,7 +67,10 @@ class Scheme:
         empty = (self.differ + 1) * math.exp(-largest / GROWTH / (self.differ + 1))
         self.guard = math.ceil(empty + 3 * math.sqrt(empty)) if self.differ else 0
         self.segments = self.differ + 1 + self.guard
-        self.tags = mixed((np.arange(self.segments, dtype=np.uint64) | np.uint64(number << 40)) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1))
+
+    @cached_property
+    def tags(self) -> np.ndarray:
+        return mixed((np.arange(self.segments, dtype=np.uint64) | np.uint64(self.number << 40)) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1))
 
 
 @lru_cache(4)
@@ -98,7 +101,7 @@ def _signatures(tokens: np.ndarray, scheme: Scheme) -> tuple[np.ndarray, int]:
             bare = np.ones(scheme.segments, bool)
             bare[met] = False
             out.append(mixed(scheme.tags[bare]))
-    marks = np.concatenate(out) & ~np.uint64(NUMBERS - 1) | np.uint64(scheme.number % NUMBERS)
+    marks = np.concatenate(out) & ~np.uint64(NUMBERS - 1) | np.uint64(scheme.number)
     return np.unique(marks), empty
 
 
@@ -170,9 +173,9 @@ def _needed(threshold: int, n, partner, band, empty, empty_next):
     Segments that differ hold a difference each, and the others agree; those
     that are empty in the set have no signature.
     """
-    segments = F.array(*[F.lit(s.segments) for s in schemes(threshold, 1 << 22)[:NUMBERS]])
+    segments = F.array(*[F.lit(s.segments) for s in schemes(threshold, BEYOND)])
     allowed = F.floor((n + partner) * (100 - threshold) / (100 + threshold))
-    return F.element_at(segments, F.col("number") + 1) - allowed - F.when(F.col("number") == band % NUMBERS, empty).otherwise(empty_next)
+    return F.element_at(segments, F.col("number") + 1) - allowed - F.when(F.col("number") == band, empty).otherwise(empty_next)
 
 
 def _near(met: DataFrame, sizes: DataFrame, threshold: int) -> DataFrame:
@@ -185,7 +188,7 @@ def _near(met: DataFrame, sizes: DataFrame, threshold: int) -> DataFrame:
 
 def _open(held: DataFrame, sizes: DataFrame, threshold: int) -> DataFrame:
     """Distinct (o, part) of ``held`` (id, part, number: a row for each signature held across parts) with enough of them for any link."""
-    largest = F.array(*[F.lit(s.largest) for s in schemes(threshold, 1 << 22)[:NUMBERS]])
+    largest = F.array(*[F.lit(s.largest) for s in schemes(threshold, BEYOND)])
     counts = held.groupBy("id", "part", "number").agg(F.count(F.lit(1)).alias("shared")).join(sizes.withColumnRenamed("id", "i"), F.col("id") == F.col("i"))
     partner = F.least(F.element_at(largest, F.col("number") + 1), F.floor(F.col("n") * 100 / threshold))
     enough = F.col("shared") >= _needed(threshold, F.col("n"), partner, F.col("band"), F.col("empty"), F.col("empty_next"))
@@ -222,7 +225,9 @@ def _rarely_shared(sets: DataFrame, threshold: int) -> DataFrame:
 def joined(docs: DataFrame, words: int = 5, threshold: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id reachable by links), a row for every row of ``docs``."""
     spark = docs.sparkSession
-    index = written(_indexed(docs, words, threshold), "index", "none")
+    # Signatures outweigh the texts, so they are made twice rather than stored: for sizes, and for the shuffle by signature.
+    # Equal sets of a task are tied by ``copies`` whichever of them either pass signs.
+    index = _indexed(docs, words, threshold)
     rows = written(index.select("doc_id", "n_shingles", "band", "empty", "empty_next", "first"), "sizes")
     # Several texts of one id: no bound holds for all, so none is set.
     bound = lambda c: F.when(F.count(F.lit(1)) > 1, 1 << 30).otherwise(F.max(c)).alias(c)
@@ -231,7 +236,6 @@ def joined(docs: DataFrame, words: int = 5, threshold: int = 80) -> DataFrame:
     own = W.partitionBy("mark")
     met = marks.repartition(width(spark), "mark").select("mark", "id", F.min("id").over(own).alias("least"), F.max("id").over(own).alias("most"))
     met = written(met.where("least < most").select("mark", "id", "least"), "met")
-    removed(spark, index)
     number = F.col("mark").bitwiseAND(NUMBERS - 1).cast("int").alias("number")
 
     pairs = written(_near(met.where("id > least").select(F.col("least").alias("a"), F.col("id").alias("b"), number), sizes, threshold), "pairs")
@@ -252,6 +256,8 @@ def joined(docs: DataFrame, words: int = 5, threshold: int = 80) -> DataFrame:
     fresh = written(_linked(more, sets, threshold), "links")
     if not fresh.isEmpty():
         found = components(links.unionByName(fresh))
+    for table in (met, wanted, sets, pairs, more, open_ids):
+        removed(spark, table)
     label = found.select(F.col("id").alias("i"), "component")
     return rows.join(label, F.col("doc_id") == F.col("i"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
