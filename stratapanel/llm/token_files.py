@@ -64,36 +64,34 @@ def decoded(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
-def tokenized(docs: DataFrame, path: str, end_id: int | None, wide: bool = True) -> DataFrame:
-    """doc_id, ids (binary: little-endian unsigned 32-bit, or 16-bit where not ``wide``) of whole texts."""
-    kind = "<u4" if wide else "<u2"
+TOKENS = "doc_id long, ids binary, times long"
+
+
+def tokenized(docs: DataFrame, path: str, end_id: int | None, size: int) -> DataFrame:
+    """doc_id, ids (binary: little-endian unsigned 16-bit) of whole texts; and, beside them, rows whose ``times`` say how often the task met the id in ``doc_id``."""
+    names = [c.split()[0] for c in TOKENS.split(", ")]
 
     def run(batches):
-        enc = encoder(path)
+        enc, total = encoder(path), np.zeros(size, np.int64)
         end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
         for part in slices(batches, "text"):
             ids = [enc.encode(t) + end for t in column(part, "text").to_pylist()]
-            if not wide:
-                ids = [np.frombuffer(x, "<u4").astype(kind).tobytes() for x in ids]
-            yield pa.RecordBatch.from_arrays([column(part, "doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
-
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id long, ids binary")
-
+            flat = np.frombuffer(b"".join(ids), "<u4")
+            total += np.bincount(flat, minlength=size)
+            bounds = np.zeros(len(ids) + 1, np.int64)
+            np.cumsum([len(x) // 2 for x in ids], out=bounds[1:])
+            narrow = pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(flat.astype("<u2").tobytes())])
+            yield pa.RecordBatch.from_arrays([column(part, "doc_id"), narrow.cast(pa.binary()), pa.nulls(len(ids), pa.int64())], names)
+        met = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(met, pa.int64()), pa.nulls(len(met), pa.binary()), pa.array(total[met], pa.int64())], names)
 
-def frequency_ranks(tokens: DataFrame, size: int) -> np.ndarray:
-    """Ids in order of falling frequency over all rows (ties by id); at most the vocabulary reaches the driver."""
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, TOKENS)
 
-    def count(batches):
-        total = np.zeros(size, np.int64)
-        for batch in batches:
-            for raw in column(batch, "ids"):
-                total += np.bincount(np.frombuffer(raw.as_buffer(), "<u2"), minlength=size)
-        met = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(met, pa.int32()), pa.array(total[met], pa.int64())], ["id", "n"])
 
-    counts = tokens.select("ids").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    rows = counts.orderBy(F.desc("n"), "id").collect()
-    return np.array([r["id"] for r in rows], np.uint32)
+def frequency_ranks(tokens: DataFrame) -> np.ndarray:
+    """Ids in order of falling frequency over all tasks (ties by id); at most the vocabulary reaches the driver."""
+    counts = tokens.where("times IS NOT NULL").groupBy("doc_id").agg(F.sum("times").alias("n"))
+    return np.array([r["doc_id"] for r in counts.orderBy(F.desc("n"), "doc_id").collect()], np.uint32)
 
 
 def write_files(docs: DataFrame, folder: str, path: str, end_id: int | None = None, vocabulary: int = 1 << 16) -> None:
@@ -101,8 +99,8 @@ def write_files(docs: DataFrame, folder: str, path: str, end_id: int | None = No
     if vocabulary > 1 << 16:
         raise ValueError("ids must fit 16 bits")
     spark = docs.sparkSession
-    tokens = written(tokenized(docs, path, end_id, wide=False), "ids")
-    order = frequency_ranks(tokens, vocabulary)
+    tokens = written(tokenized(docs, path, end_id, vocabulary), "ids")
+    order = frequency_ranks(tokens)
     rank = np.zeros(vocabulary, np.uint32)
     rank[order] = np.arange(len(order), dtype=np.uint32)
 
@@ -133,7 +131,7 @@ def write_files(docs: DataFrame, folder: str, path: str, end_id: int | None = No
         if ids:
             yield close()
 
-    ordered = tokens.repartitionByRange(width(spark), "doc_id").sortWithinPartitions("doc_id", "ids")
+    ordered = tokens.where("times IS NULL").select("doc_id", "ids").repartitionByRange(width(spark), "doc_id").sortWithinPartitions("doc_id", "ids")
     ordered.mapInArrow(blocks, BLOCKS).write.option("compression", "none").parquet(f"{folder}/blocks")
     spark.createDataFrame([(i, int(x)) for i, x in enumerate(order)], "rank int, id int").coalesce(1).write.parquet(f"{folder}/ranks")
     removed(spark, tokens)
