@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
-from stratapanel.llm.store import written
+from stratapanel.llm.store import removed, written
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -20,14 +20,22 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("a > b").distinct()
 
 
+def _noted(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """``edges`` written, with their number and a digest of their set, taken while writing."""
+    seen = Observation()
+    digest = F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0))
+    table = written(edges.observe(seen, F.count(F.lit(1)).alias("n"), digest.alias("digest")), "edges")
+    return table, (seen.get["n"], seen.get["digest"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): the least id reachable, for every id of ``edges`` (a, b); loops are ignored, nulls are not allowed."""
-    now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), "edges")
-    mark = lambda e: tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
-    seen = mark(now)
+    spark = edges.sparkSession
+    now, seen = _noted(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct())
     while seen[0]:
-        now = written(_stars(_stars(now, True), False), "edges")
-        new = mark(now)
+        after, new = _noted(_stars(_stars(now, True), False))
+        removed(spark, now)
+        now = after
         if new == seen:
             break
         seen = new
