@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stratapanel.functions.columns import attach, count_if, flag, message_if, pearson, ratio, share_if
 from stratapanel.operators.metrics import performance
-from stratapanel.operators.ranking import quantiles, ranked, top_n
+from stratapanel.operators.ranking import medians, quantiles, ranked_together, top_n
 from stratapanel.operators.timeseries import forward_returns
 from stratapanel.operators.universe import with_sector
 
@@ -23,8 +23,7 @@ def rank_ic(scores: DataFrame, keys=("date",), score="ml_score", ret="future_ret
     Dates with fewer than two realised pairs, or a constant side, give NULL.
     """
     both = scores.where(F.col(score).isNotNull() & F.col(ret).isNotNull())
-    both = ranked(both, keys, score, "_rx", method="average")
-    both = ranked(both, keys, ret, "_ry", method="average")
+    both = ranked_together(both.select(*keys, "ticker", score, ret), tuple(keys), {score: "_rx", ret: "_ry"}, method="average")
     agg = both.groupBy(*keys).agg(
         pearson(F.col("_rx"), F.col("_ry")).alias("rank_ic"),
         pearson(F.col(score), F.col(ret)).alias("pearson_ic"), F.count(F.lit(1)).alias("realized"),
@@ -248,8 +247,9 @@ def score_dispersion(scores: DataFrame, n: int = 5) -> DataFrame:
     agg = scores.where(s.isNotNull()).groupBy("date").agg(
         F.avg(s).alias("score_mean"), F.stddev_samp(s).alias("score_std"), F.min(s).alias("score_min"),
         F.max(s).alias("score_max"), (F.max(s) - F.min(s)).alias("score_range"),
-        (F.max(s) - F.median(s)).alias("top_1_minus_median_score"),
     )
+    middle = medians(scores.select("date", "ticker", "ml_score"), ("date",), "ml_score", "_median")
+    agg = agg.join(middle, "date").withColumn("top_1_minus_median_score", F.col("score_max") - F.col("_median")).drop("_median")
     return agg.join(five, "date").join(monthly_metrics(scores, n=n), "date", "left").select(
         *agg.columns, (F.col("_five") - F.col("score_mean")).alias("top_5_average_minus_universe_average"),
         "selected_score_average", "rank_ic", "top_n_hit_rate", "top_n_spread",

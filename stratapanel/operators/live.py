@@ -7,9 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stratapanel.functions.columns import attach
-from stratapanel.operators.ledger import one_way_cost
-from stratapanel.operators.ranking import ranked, top_n
-from stratapanel.operators.timeseries import calendar, momentum, on_calendar
+from stratapanel.operators.ledger import one_way_cost, periods
+from stratapanel.operators.ranking import ranked_together, top_n
+from stratapanel.operators.timeseries import benchmark_returns, calendar, momentum, on_calendar, outcomes
 
 
 def momentum_now(monthly: DataFrame, tickers: DataFrame) -> DataFrame:
@@ -27,8 +27,8 @@ def momentum_now(monthly: DataFrame, tickers: DataFrame) -> DataFrame:
         (F.try_divide(at(1), at(12)) - 1.0).alias("momentum_12_1"),
     )
     out = attach(tickers.select("ticker").join(agg, "ticker", "left"), last.select("signal_date"))
-    out = ranked(out, ("signal_date",), "momentum_3m", "rank_3m", descending=True)
-    return ranked(out, ("signal_date",), "momentum_12_1", "rank_12_1", descending=True).select(
+    both = {"momentum_3m": "rank_3m", "momentum_12_1": "rank_12_1"}
+    return ranked_together(out, ("signal_date",), both, "row", descending=True).select(
         "ticker", "signal_date", "momentum_3m", "rank_3m", "momentum_12_1", "rank_12_1"
     )
 
@@ -58,11 +58,70 @@ def replay_signals(monthly: DataFrame, start: str, end: str) -> DataFrame:
     three = momentum(monthly, 3, 0, "momentum_3m").select("date", "ticker", "momentum_3m")
     twelve = momentum(monthly, 12, 1, "momentum_12_1").select("date", "ticker", "momentum_12_1")
     rows = three.join(twelve, ["date", "ticker"], "full_outer").where(inside)
-    for signal, rank in (("momentum_3m", "rank_3m"), ("momentum_12_1", "rank_12_1")):
-        rows = ranked(rows, ("date",), signal, rank, descending=True).withColumn(
-            rank, F.when(F.col(signal).isNotNull(), F.col(rank))
-        )
-    return rows.withColumnRenamed("date", "as_of")
+    both = {"momentum_3m": "rank_3m", "momentum_12_1": "rank_12_1"}
+    rows = ranked_together(rows, ("date",), both, "row", descending=True).drop("rank_3m_size", "rank_12_1_size")
+    known = {rank: F.when(F.col(signal).isNotNull(), F.col(rank)) for signal, rank in both.items()}
+    return rows.withColumns(known).withColumnRenamed("date", "as_of")
+
+
+def eligibility_intervals(panel: DataFrame, stale_days: int = 7) -> DataFrame:
+    """(ticker, first, last): spans of days on which a security's latest price is at most ``stale_days`` old.
+
+    One row per change: observations close enough together are one span.
+    """
+    w = Window.partitionBy("ticker").orderBy("date")
+    seen = panel.where(F.col("close").isNotNull()).select("ticker", "date")
+    opens = F.coalesce(F.datediff("date", F.lag("date").over(w)) > stale_days + 1, F.lit(True))
+    spans = seen.withColumn("_span", F.sum(opens.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return spans.groupBy("ticker", "_span").agg(F.min("date").alias("first"), F.date_add(F.max("date"), stale_days).alias("last")).drop("_span")
+
+
+def eligible_as_of(intervals: DataFrame, dates: DataFrame) -> DataFrame:
+    """(as_of, ticker) of each as-of date inside a span; the dates travel as one short array."""
+    listed = dates.agg(F.sort_array(F.collect_set("as_of"))).scalar()
+    inside = F.filter("_dates", lambda d: d.between(F.col("first"), F.col("last")))
+    return intervals.withColumn("_dates", listed).withColumn("as_of", F.explode(inside)).select("as_of", "ticker").distinct()
+
+
+def replay_decisions(monthly: DataFrame, scores: DataFrame, start: str, end: str, n: int = 5, stale_days: int = 7) -> DataFrame:
+    """What every month end in a range would have decided, with the outcome it could not see.
+
+    One plan for all as-of dates: eligibility from spans, signals that only look
+    back, scores of walk-forward models, equal weights for the ``n`` best valid
+    names.  (strategy, as_of, next_as_of, ticker, rank, target_weight,
+    asset_return, eligible_securities); the last date has no outcome.
+    """
+    inside = F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date"))
+    sessions = calendar(monthly).where(inside).select(F.col("date").alias("as_of"))
+    eligible = eligible_as_of(eligibility_intervals(monthly, stale_days), sessions)
+    breadth = eligible.groupBy("as_of").agg(F.count(F.lit(1)).alias("eligible_securities"))
+    signals = replay_signals(monthly, start, end).where("momentum_3m IS NOT NULL AND momentum_12_1 IS NOT NULL").join(eligible, ["as_of", "ticker"], "left_semi")
+    both = F.array(*[F.struct(F.lit(name).alias("strategy"), F.col(rank).cast("bigint").alias("rank")) for name, rank in (("momentum_3m_equal", "rank_3m"), ("momentum_12_1_equal", "rank_12_1"))])
+    momentum_ranks = signals.select("as_of", "ticker", F.inline(both))
+    allowed = scores.where(inside & F.col("ml_score").isNotNull()).withColumnRenamed("date", "as_of").join(eligible, ["as_of", "ticker"], "left_semi")
+    best = top_n(allowed.select("as_of", "ticker", "ml_score"), ("as_of",), "ml_score", n).select("as_of", "ticker", F.lit("ml").alias("strategy"), F.col("rank").cast("bigint").alias("rank"))
+    ranks = momentum_ranks.unionByName(best)
+    w = Window.partitionBy("strategy", "as_of")
+    chosen = ranks.withColumn("_nth", F.row_number().over(w.orderBy("rank", "ticker"))).where(F.col("_nth") <= n).drop("_nth")
+    later = outcomes(monthly).select(F.col("date").alias("as_of"), "ticker", F.col("next_date").alias("next_as_of"), "asset_return")
+    out = chosen.withColumn("target_weight", 1.0 / F.count(F.lit(1)).over(w)).join(later, ["as_of", "ticker"], "left").join(breadth, "as_of")
+    # A realisation lies inside the replay too.
+    seen = F.col("next_as_of") <= F.lit(end).cast("date")
+    return out.select(
+        "strategy", "as_of", F.when(seen, F.col("next_as_of")).alias("next_as_of"), "ticker", "rank", "target_weight",
+        F.when(seen, F.col("asset_return")).alias("asset_return"), "eligible_securities")
+
+
+def replay_evaluation(decisions: DataFrame, benchmark: DataFrame, cost_bps: float = 10.0) -> DataFrame:
+    """Each decision's frozen weights evaluated at the next as-of date, compounded; costs are those of the decision."""
+    positions = decisions.where("next_as_of IS NOT NULL").select(
+        "strategy", F.col("as_of").alias("signal_date"), F.col("next_as_of").alias("date"), "ticker", F.col("target_weight").alias("weight"), "asset_return")
+    led = periods(positions, cost_bps=cost_bps, strict=False).join(F.broadcast(benchmark_returns(benchmark)), "date")
+    net, bench = F.col("net_return"), F.col("bench")
+    w = Window.partitionBy("strategy").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    return led.select(
+        "strategy", "signal_date", F.col("date").alias("realization_date"), "gross_return", "transaction_cost", "net_return", bench.alias("benchmark_return"),
+        (net - bench).alias("active_return"), F.product(1.0 + net).over(w).alias("portfolio_value"), F.product(1.0 + bench).over(w).alias("benchmark_value"))
 
 
 def target_portfolios(rankings: DataFrame, n: int) -> DataFrame:

@@ -1,15 +1,56 @@
 """Cross-sectional ranks, top-N and equal-count quantiles.
 
-A date's cross-section is one row per security, so a group is bounded by the
-universe, not by the history; its sort spills and dates spread over the tasks.
-Top-N needs no such sort: only N rows per date and map task travel.
+A rank is a place in a global order.  Rows are range-partitioned and sorted by
+(keys, value, ticker), which spreads one wide date over as many tasks as it
+needs, and are written once with their partition and place.  Counts per
+partition and key, summed over the partitions before, turn the place into a row
+number; only values that occur more than once are grouped, to share a rank.
+Several values (the five features) are ranked in one pass, with the value's
+number as a leading key.  There is one path at every size.  Top-N needs no such
+sort: only N rows per date and map task travel.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stratapanel.operators.timeseries import FEATURES
+from stratapanel.scale import even_width
+from stratapanel.session import stored
+
+
+def _null_safe(left: DataFrame, right: DataFrame, on: tuple[str, ...], how: str = "inner") -> DataFrame:
+    """Join on equal or both NULL ``on``; the right side's copies are dropped."""
+    other = right.withColumnsRenamed({c: f"_j_{c}" for c in on})
+    same = [F.col(c).eqNullSafe(F.col(f"_j_{c}")) for c in on]
+    return left.join(other, same, how).drop(*[f"_j_{c}" for c in on])
+
+
+def numbered(df: DataFrame, keys: tuple[str, ...], order: list[Column], present: Column, row: str, size: str) -> DataFrame:
+    """``df`` with the row number in ``order`` within ``keys`` and the number of rows where ``present``, sorted by range."""
+    by = [*[F.col(k) for k in keys], *order]
+    placed = stored(
+        df.repartitionByRange(even_width(df), *by).sortWithinPartitions(*by)
+        .withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()), "placed")
+    # One row per partition and key: at most as many as keys and partitions together.
+    counts = placed.groupBy("_part", *keys).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_rows"), F.count(F.when(present, 1)).alias("_known"))
+    group = Window.partitionBy(*keys)
+    before = F.coalesce(F.sum("_rows").over(group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("_part", *keys, "_first", before.alias("_before"), F.sum("_known").over(group).alias(size))
+    joined = _null_safe(placed, offsets, ("_part", *keys))
+    return joined.withColumn(row, F.col("_before") + F.col("_at") - F.col("_first") + 1).drop("_part", "_at", "_first", "_before")
+
+
+def _shared(rows: DataFrame, keys: tuple[str, ...], value: str, row: str, name: str, method: str) -> DataFrame:
+    """Row numbers to ranks that equal values share."""
+    if method == "row":
+        return rows.withColumn(name, F.col(row)).drop(row) if row != name else rows
+    tied = rows.groupBy(*keys, value).agg(F.min(row).alias("_low"), F.count(F.lit(1)).alias("_tied")).where("_tied > 1")
+    out = _null_safe(rows, tied, (*keys, value), "left")
+    rank = F.coalesce("_low", row)
+    if method == "average":
+        rank = rank + (F.coalesce("_tied", F.lit(1)) - 1) / F.lit(2.0)
+    return out.withColumn("_rank", rank).drop("_low", "_tied", row).withColumnRenamed("_rank", name)
 
 
 def ranked(
@@ -28,18 +69,34 @@ def ranked(
     share a rank).  ``size`` also attaches the number of non-NULL values.
     """
     col = F.col(value)
-    w = Window.partitionBy(*keys)
-    direction = col.desc_nulls_last() if descending else col.asc_nulls_last()
-    if method == "row":
-        position = F.row_number().over(w.orderBy(direction, *tie))
-    else:
-        position = F.rank().over(w.orderBy(direction))
-        if method == "average":
-            # The tied rows are the peers of the current row in the same order.
-            peers = F.count(F.lit(1)).over(w.orderBy(direction).rangeBetween(Window.currentRow, Window.currentRow))
-            position = position + (peers - 1) / F.lit(2.0)
-    out = df.withColumn(name, position)
-    return out.withColumn(size, F.count(col).over(w)) if size else out
+    order = [col.desc_nulls_last() if descending else col.asc_nulls_last(), *[F.col(t) for t in tie if t in df.columns]]
+    rows = numbered(df, tuple(keys), order, col.isNotNull(), "_row_number", "_size")
+    out = _shared(rows, tuple(keys), value, "_row_number", name, method)
+    return out.withColumnRenamed("_size", size) if size else out.drop("_size")
+
+
+def ranked_together(
+    df: DataFrame, keys: tuple[str, ...], values: dict[str, str], method: str = "min", size: str = "{}_size", descending: bool = False,
+) -> DataFrame:
+    """Ranks of several values in one sort; ``values``: column -> name of its rank.
+
+    Rows are told apart by ``keys`` and ``ticker``; ``size`` names the count of a value's non-NULL rows.
+    """
+    ids = [*keys, "ticker"]
+    rest = [c for c in df.columns if c not in ids]
+    parts = F.array(*[F.struct(F.lit(i).alias("_which"), F.col(v).cast("double").alias("_value")) for i, v in enumerate(values)])
+    # Other columns travel with the first value only.
+    kept = F.struct(*rest)
+    long = df.select(*ids, kept.alias("_rest"), F.inline(parts)).withColumn("_rest", F.when(F.col("_which") == 0, F.col("_rest")))
+    rows = numbered(long, ("_which", *keys), [F.col("_value").desc_nulls_last() if descending else F.col("_value").asc_nulls_last(), F.col("ticker")], F.col("_value").isNotNull(), "_row", "_n")
+    out = _shared(rows, ("_which", *keys), "_value", "_row", "_rank", method)
+    picked = []
+    for i, (value, name) in enumerate(values.items()):
+        own = F.col("_which") == i
+        picked += [F.max(F.when(own, F.col("_rank"))).alias(name), F.max(F.when(own, F.col("_n"))).alias(size.format(name))]
+    wide = out.groupBy(*ids).agg(F.first("_rest", ignorenulls=True).alias("_rest"), *picked)
+    names = [x for name in values.values() for x in (name, size.format(name))]
+    return wide.select(*ids, "_rest.*", *names).select(*df.columns, *names)
 
 
 def top_n(df: DataFrame, keys: tuple[str, ...], score: str, n: int, rank: str = "rank") -> DataFrame:
@@ -89,11 +146,20 @@ def score_order(scores: DataFrame, keys=("date",), score: str = "ml_score", name
     return ranked(scores, keys, score, name, descending=True)
 
 
+def medians(df: DataFrame, keys: tuple[str, ...], value: str, name: str) -> DataFrame:
+    """(keys, name): exact median of the non-NULL values, picked by row number; no group is gathered."""
+    rows = ranked(df.where(F.col(value).isNotNull()), keys, value, "_row", size="_n")
+    middle = (F.col("_row") == F.expr("(_n + 1) div 2")) | (F.col("_row") == F.expr("_n div 2 + 1"))
+    return rows.where(middle).groupBy(*keys).agg(F.avg(value).alias(name))
+
+
 def percent_rank(df: DataFrame, keys, value: str, name: str) -> DataFrame:
     out = ranked(df, keys, value, "_rank", method="min", size="_n")
-    return out.withColumn(
-        name, F.coalesce(F.try_divide(F.col("_rank") - 1, F.col("_n") - 1), F.lit(0.0))
-    ).drop("_rank", "_n")
+    return out.withColumn(name, _percent("_rank", "_n")).drop("_rank", "_n")
+
+
+def _percent(rank: str, size: str) -> Column:
+    return F.coalesce(F.try_divide(F.col(rank) - 1, F.col(size) - 1), F.lit(0.0))
 
 
 def baseline_score(dataset: DataFrame) -> DataFrame:
@@ -102,10 +168,9 @@ def baseline_score(dataset: DataFrame) -> DataFrame:
     A transparent stand-in for the trained ranker wherever only the *use* of a
     score matters.
     """
-    out = dataset
-    for feature in FEATURES:
-        out = percent_rank(out, ("date",), feature, f"_p_{feature}")
-    total = sum((F.col(f"_p_{f}") for f in FEATURES[1:]), F.col(f"_p_{FEATURES[0]}"))
+    out = ranked_together(dataset, ("date",), {f: f"_r_{f}" for f in FEATURES})
+    parts = [_percent(f"_r_{f}", f"_r_{f}_size") for f in FEATURES]
+    total = sum(parts[1:], parts[0])
     return out.withColumn("ml_score", total / 5.0).select(
         "date", "target_date", "ticker", "ml_score", "future_return", "benchmark_return", "target"
     )

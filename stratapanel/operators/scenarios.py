@@ -24,17 +24,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stratapanel.operators.ledger import periods
-from stratapanel.operators.ranking import ranked
+from stratapanel.operators.ranking import ranked_together
 from stratapanel.operators.timeseries import FEATURES
 
 
 def rank_sums(dataset: DataFrame) -> DataFrame:
     """``dataset`` with each feature's rank less one, their sum, and the date's count."""
-    out = dataset
-    for f in FEATURES:
-        out = ranked(out, ("date",), f, f"_r_{f}", method="min").withColumn(f"_r_{f}", F.col(f"_r_{f}") - 1)
-    total = reduce(lambda a, b: a + b, [F.col(f"_r_{f}") for f in FEATURES])
-    return out.withColumn("_sum", total).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("date")))
+    out = ranked_together(dataset, ("date",), {f: f"_r_{f}" for f in FEATURES}).withColumn("_n", F.col(f"_r_{FEATURES[0]}_size"))
+    out = out.withColumns({f"_r_{f}": F.col(f"_r_{f}") - 1 for f in FEATURES}).drop(*[f"_r_{f}_size" for f in FEATURES])
+    return out.withColumn("_sum", reduce(lambda a, b: a + b, [F.col(f"_r_{f}") for f in FEATURES]))
 
 
 def date_candidates(ranks: DataFrame, n: int, most: int) -> DataFrame:

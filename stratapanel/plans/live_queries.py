@@ -118,6 +118,39 @@ register(
 )
 
 
+REPLAY = ("1999-01-01", "2001-06-30")
+
+
+@B.shared
+def replay(s, d) -> DataFrame:
+    return V.replay_decisions(B.closes(B.supplier(s, d)), B.supplier_scores(s, d), *REPLAY, n=5, stale_days=40)
+
+
+span = "BETWEEN DATE '{}' AND DATE '{}'".format(*REPLAY)
+frag("rep_ok", f"""SELECT DISTINCT c.date AS as_of, p.ticker FROM cal_s c JOIN px_s p ON p.date <= c.date AND date_diff('day', p.date, c.date) <= 40 WHERE c.date {span}""")
+frag("rep_sig", f"""SELECT date AS as_of, ticker, momentum_3m, momentum_12_1, row_number() OVER (PARTITION BY date ORDER BY momentum_3m DESC NULLS LAST, ticker) AS r3,
+  row_number() OVER (PARTITION BY date ORDER BY momentum_12_1 DESC NULLS LAST, ticker) AS r12 FROM lag_s WHERE date {span} AND (momentum_3m IS NOT NULL OR momentum_12_1 IS NOT NULL)""")
+frag("rep_val", "SELECT g.* FROM rep_sig g JOIN rep_ok e ON e.as_of = g.as_of AND e.ticker = g.ticker WHERE momentum_3m IS NOT NULL AND momentum_12_1 IS NOT NULL")
+frag("rep_rank", f"""SELECT 'momentum_3m_equal' AS strategy, as_of, ticker, r3 AS rank FROM rep_val UNION ALL SELECT 'momentum_12_1_equal', as_of, ticker, r12 FROM rep_val
+  UNION ALL SELECT 'ml', date, c.ticker, row_number() OVER (PARTITION BY date ORDER BY ml_score DESC, c.ticker) FROM sc_s c JOIN rep_ok e ON e.as_of = c.date AND e.ticker = c.ticker WHERE date {span} AND ml_score IS NOT NULL""")
+frag("rep_all", f"""SELECT r.strategy, r.as_of, CASE WHEN g.next_date <= DATE '{REPLAY[1]}' THEN g.next_date END AS next_as_of, r.ticker, r.rank, 1.0 / count(*) OVER (PARTITION BY r.strategy, r.as_of) AS target_weight,
+  CASE WHEN g.next_date <= DATE '{REPLAY[1]}' THEN g.future_return END AS asset_return, b.n AS eligible_securities FROM (SELECT *, row_number() OVER (PARTITION BY strategy, as_of ORDER BY rank, ticker) AS nth FROM rep_rank) r
+  JOIN lag_s g ON g.date = r.as_of AND g.ticker = r.ticker JOIN (SELECT as_of, count(*) AS n FROM rep_ok GROUP BY 1) b ON b.as_of = r.as_of WHERE nth <= 5""")
+register(
+    "j15_replay_targets", replay,
+    out("rep_all", "strategy as_of next_as_of ticker", "target_weight asset_return", "rank eligible_securities"),
+)
+frag("rep", "SELECT strategy, as_of AS signal_date, next_as_of AS date, ticker, target_weight AS weight, asset_return FROM rep_all WHERE next_as_of IS NOT NULL")
+ledger("rep")
+register(
+    "j15_replay_evaluation", lambda s, d: V.replay_evaluation(replay(s, d), B.benchmark(s, d)),
+    out("""(SELECT l.strategy, l.signal_date, l.date AS realization_date, gross_return, transaction_cost, net_return, b.bench AS benchmark_return, net_return - b.bench AS active_return,
+      product(1 + net_return) OVER w AS portfolio_value, product(1 + b.bench) OVER w AS benchmark_value FROM rep_led l JOIN br b ON b.date = l.date
+      WINDOW w AS (PARTITION BY l.strategy ORDER BY l.date ROWS UNBOUNDED PRECEDING))""",
+        "strategy signal_date realization_date", "gross_return transaction_cost net_return benchmark_return active_return portfolio_value benchmark_value"),
+)
+
+
 def predictions(s, d) -> DataFrame:
     now = B.brand_scores(s, d)
     last = now.agg(F.max("date").alias("date"))
