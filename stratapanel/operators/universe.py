@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from stratapanel.functions.columns import joined
+from stratapanel.functions.columns import attach, joined
 from stratapanel.operators.quality import duplicates, require_columns
 from stratapanel.operators.timeseries import calendar
 
@@ -25,12 +25,39 @@ def _refused(bad: Column, message: str, column: str) -> Column:
     return F.when(bad, F.raise_error(F.concat(F.lit(message), F.coalesce(F.col("ticker"), F.lit("NULL"))))).otherwise(F.col(column)).alias(column)
 
 
+#: Widths in days of the calendar's aligned buckets; each is a multiple of the one before.
+BUCKET_DAYS = (16, 256, 4096)
+
+
+def _pieces(first: Column, last: Column, level: int = 0) -> Column:
+    """Array of (level, bucket) that covers the day numbers ``first`` to ``last`` (both included) with aligned buckets.
+
+    Wide buckets that lie inside, and narrower ones at both ends; the narrowest
+    may reach over an end.  The pieces never overlap.
+    """
+    width = BUCKET_DAYS[level]
+    low, high = F.floor(first / width), F.floor(last / width)
+    run = lambda a, b: F.when(a <= b, F.transform(F.sequence(F.least(a, b), b), lambda k: F.struct(F.lit(level).alias("level"), k.alias("bucket")))).otherwise(
+        F.filter(F.array(F.struct(F.lit(level).alias("level"), a.alias("bucket"))), lambda x: F.lit(False)))
+    if level + 1 == len(BUCKET_DAYS):
+        return run(low, high)
+    per = BUCKET_DAYS[level + 1] // width
+    # Whole wider buckets between the two ends.
+    up, down = F.ceil(low / per), F.floor((high + 1) / per) - 1
+    ends = F.concat(run(low, up * per - 1), run((down + 1) * per, high))
+    inner = _pieces(up * per * width, (down + 1) * per * width - 1, level + 1)
+    return F.when(up <= down, F.concat(ends, inner)).otherwise(run(low, high))
+
+
 def interval_join(dataset: DataFrame, membership: DataFrame, *columns: str, strict: bool = True) -> DataFrame:
     """Rows whose (ticker, date) lies in a membership interval.
 
-    An equi join on ticker with the range as residual predicate: both sides
-    hash on ticker, and a ticker has few intervals.  ``strict`` fails the job
-    where two intervals of a ticker overlap, as a row would come out twice.
+    An equi join on (ticker, level, bucket): an interval is covered by aligned
+    calendar buckets of a few widths, a row lies in one bucket of each, and an
+    interval meets a row in one piece only.  So a ticker with many intervals is
+    split by time, and rows are compared with the intervals near them.
+    ``strict`` fails the job where two intervals of a ticker overlap, as a row
+    would come out twice.
     """
     spans = membership.select("ticker", "effective_from", "effective_to", *columns)
     if strict:
@@ -38,7 +65,17 @@ def interval_join(dataset: DataFrame, membership: DataFrame, *columns: str, stri
         spans = spans.withColumn("_later", later)
         bad = F.col("_later") < F.coalesce("effective_to", F.lit("9999-12-31").cast("date"))
         spans = spans.select("ticker", _refused(bad, "Overlapping membership of ", "effective_from"), "effective_to", *columns)
-    return dataset.join(spans, "ticker").where(active_at(F.col("date"))).drop("effective_from", "effective_to")
+    # Open and long intervals are cut at the dates that ask.
+    asked = dataset.agg(F.min(F.unix_date("date")).cast("bigint").alias("_low"), F.max(F.unix_date("date")).cast("bigint").alias("_high"))
+    spans = attach(spans, asked)
+    first = F.greatest(F.unix_date("effective_from").cast("bigint"), F.col("_low"))
+    last = F.least(F.coalesce(F.unix_date("effective_to").cast("bigint") - 1, F.col("_high")), F.col("_high"))
+    spans = spans.withColumn("_first", first).withColumn("_last", last).where("_first <= _last")
+    spans = spans.select("ticker", "effective_from", "effective_to", *columns, F.inline(_pieces(F.col("_first"), F.col("_last"))))
+    day = F.unix_date("date")
+    keys = F.array(*[F.struct(F.lit(i).alias("level"), F.floor(day / w).cast("bigint").alias("bucket")) for i, w in enumerate(BUCKET_DAYS)])
+    rows = dataset.select("*", F.inline(keys))
+    return rows.join(spans, ["ticker", "level", "bucket"]).where(active_at(F.col("date"))).drop("effective_from", "effective_to", "level", "bucket")
 
 
 def overlap_violations(dataset: DataFrame, membership: DataFrame) -> DataFrame:

@@ -216,6 +216,36 @@ def test_stream_merge_is_exactly_once(spark, tmp_path):
     assert {(r["ticker"], r["value"]) for r in read_merged(spark, str(tmp_path / "compact")).collect()} == want
 
 
+def test_streaming_merge_touches_its_months_only_and_expires_old_keys(spark, tmp_path):
+    schema = "date date, ticker string, value double, version long"
+    root, source = str(tmp_path / "root"), str(tmp_path / "in")
+    files = lambda month: sorted((tmp_path / "root" / "table" / f"month={month}").glob("*.parquet"))
+
+    def batch(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        start_merge(spark.readStream.schema(schema).parquet(source), root, expiry="60 days").awaitTermination()
+        return {(r["ticker"], r["date"], r["value"]) for r in read_merged(spark, root).collect()}
+
+    batch([(D(2024, 1, 5), "A", 1.0, 1), (D(2024, 2, 5), "A", 2.0, 1)])
+    old = files("2024-01-01")
+    got = batch([(D(2024, 2, 5), "A", 3.0, 2), (D(2024, 2, 6), "B", 4.0, 1)])
+    assert got == {("A", D(2024, 1, 5), 1.0), ("A", D(2024, 2, 5), 3.0), ("B", D(2024, 2, 6), 4.0)}
+    assert files("2024-01-01") == old
+    # A late version inside the expiry is compared with the state of earlier batches.
+    got = batch([(D(2024, 2, 5), "A", 9.0, 1), (D(2024, 9, 5), "A", 5.0, 1)])
+    assert ("A", D(2024, 2, 5), 3.0) in got and ("A", D(2024, 9, 5), 5.0) in got
+    # The next batch sees the watermark of the one before: a key that old is closed.
+    got = batch([(D(2024, 1, 5), "A", 7.0, 9), (D(2024, 9, 6), "B", 6.0, 1)])
+    assert ("A", D(2024, 1, 5), 1.0) in got and ("B", D(2024, 9, 6), 6.0) in got
+    # A new checkpoint replays every file onto the same table.
+    import shutil
+
+    shutil.copytree(root + "/table", str(tmp_path / "again" / "table"))
+    start_merge(spark.readStream.schema(schema).parquet(source), str(tmp_path / "again")).awaitTermination()
+    rows = {(r["ticker"], r["date"], r["value"]) for r in read_merged(spark, str(tmp_path / "again")).collect()}
+    assert ("A", D(2024, 1, 5), 7.0) in rows and ("A", D(2024, 2, 5), 3.0) in rows and len(rows) == 5
+
+
 def test_shared_folder_is_stable(spark):
     assert shared_folder(spark) == shared_folder(spark)
 
@@ -244,3 +274,19 @@ def test_membership_file_refuses_repeated_and_inverted_records(spark, tmp_path):
             U.load_membership_csv(spark, str(tmp_path / name)).collect()
     (tmp_path / "good").write_text("\n".join([head, "I,A,n,s,i,2020-01-01,,x,2020-01-01"]))
     assert U.load_membership_csv(spark, str(tmp_path / "good")).count() == 1
+
+
+def test_intervals_by_calendar_buckets_against_all_pairs(spark):
+    """A hot ticker with many intervals, long and open ones, edges on bucket bounds, and a date before the epoch."""
+    rng = np.random.default_rng(3)
+    day = lambda k: dt.date(1970, 1, 1) + dt.timedelta(days=int(k))
+    spans = [("hot", day(k * 7), day(k * 7 + 5), k) for k in range(600)]
+    spans += [("long", day(-5000), day(9000), -1), ("open", day(255), None, -2), ("edge", day(4096), day(8192), -3), ("one", day(16), day(17), -4), ("none", day(40), day(40), -5)]
+    rows = [(t, day(k)) for t in ("hot", "long", "open", "edge", "one", "none") for k in {*rng.integers(-6000, 10_000, 150).tolist(), 15, 16, 17, 254, 255, 256, 4095, 4096, 8191, 8192}]
+    members = spark.createDataFrame(spans, "ticker string, effective_from date, effective_to date, mark int")
+    dataset = spark.createDataFrame(rows, "ticker string, date date")
+    got = sorted(tuple(r) for r in U.interval_join(dataset, members, "mark").select("ticker", "date", "mark").collect())
+    assert got == sorted((t, d, m) for t, d in rows for s, a, b, m in spans if s == t and a <= d and (b is None or d < b))
+    again = members.unionByName(members.where("mark < 0"))
+    assert U.interval_join(dataset, again, "mark", strict=False).where("mark = -1").count() == 2 * sum(m == -1 for _, _, m in got)
+    assert U.interval_join(dataset.limit(0), members).count() == 0 and U.interval_join(dataset, members.limit(0)).count() == 0
