@@ -51,7 +51,7 @@ def main() -> None:
     timed("panels", lambda: [f(spark, folder) for f in (B.brand, B.supplier, B.nation_days, B.region_days, B.market, B.benchmark)])
     for name in HEADLINES:
         timed(name, lambda: full(QUERIES[name](spark, folder)))
-    timed("bootstrap_5000x3_blocks", lambda: full(X.bootstrap_summary(RQ.PATHS(spark, folder, RQ.BLOCKS, 5000))))
+    timed("bootstrap_5000x3_blocks", lambda: full(X.bootstrap_summary(X.bootstrap_paths(B.common(spark, folder), 5000, RQ.BLOCKS, RQ.SEED))))
     timed("walk_forward_model", lambda: full(ML.walk_forward_scores(B.brand_dataset(spark, folder), MQ.brand_cutoffs(spark, folder), (MQ.BASE,))))
     print(json.dumps({
         "metric": "headline_queries_total", "value": round(sum(times.values()), 3), "unit": "sec",

@@ -37,6 +37,8 @@ GAIN_PLACES = 9
 #: Keys per unit of the natural logarithm, the key of 1.0, and the least magnitude told from zero.
 KEYS_PER_E, KEY_OF_ONE, LEAST = 1000, 25_000, 1e-10
 TILE_ROWS = 50_000
+#: Rows x models that a task works on at least.
+TASK_ROWS = 100_000
 STORE_EVERY = 10
 
 
@@ -249,16 +251,14 @@ def best_splits(partial: DataFrame, plan: Plan) -> pa.Table:
     return partial.groupBy("model").applyInArrow(search, _SPLIT_DDL).toArrow()
 
 
-def _priors(rows: DataFrame, cutoffs: list) -> np.ndarray:
-    """Prior log-odds per cutoff from label counts per target date (calendar-bounded)."""
-    counts = rows.groupBy("target_date").agg(F.count(F.lit(1)).alias("n"), F.sum("target").alias("k")).collect()
-    out = []
-    for c in cutoffs:
-        n, k = (sum(r[x] for r in counts if r["target_date"] < c) for x in ("n", "k"))
+def _priors(rows: DataFrame, cutoffs: list) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Training rows and positives of each cutoff, and its prior log-odds, from counts per target date (calendar-bounded)."""
+    dates = rows.groupBy("target_date").agg(F.count(F.lit(1)).alias("n"), F.sum("target").alias("k")).collect()
+    counts = [tuple(sum(r[x] for r in dates if r["target_date"] < c) for x in ("n", "k")) for c in cutoffs]
+    for c, (n, k) in zip(cutoffs, counts):
         if not 0 < k < n:
             raise ValueError(f"Training rows of one class, or none, before {c}")
-        out.append(np.log(k / n) - np.log(1 - k / n))
-    return np.array(out)
+    return counts, np.array([np.log(k / n) - np.log(1 - k / n) for n, k in counts])
 
 
 def fit(dataset: DataFrame, cutoffs: DataFrame, settings: tuple[Setting, ...] = (Setting(),), store_every: int = STORE_EVERY) -> DataFrame:
@@ -277,8 +277,11 @@ def fit(dataset: DataFrame, cutoffs: DataFrame, settings: tuple[Setting, ...] =
     for bins in sorted({s.bins for s in settings}):
         for r in bin_edges(labelled, cutoffs, bins).collect():  # cutoffs x features x bins keys
             edges.setdefault((bins, days.index(r["cutoff"])), [np.zeros(0, np.int64)] * _F)[r["feature"]] = np.array(r["edges"], np.int64)
-    prior = _priors(labelled, days)
-    tiles = stored(_tiles(labelled, plan, days, edges, prior).repartition(even_width(dataset), "cutoff", "tile"), "tiles")
+    counts, prior = _priors(labelled, days)
+    # Tasks enough for the work of a level: a row under a model is a few microseconds.
+    work = sum(n for n, _ in counts) * len(settings)
+    tasks = max(1, min(even_width(dataset), -(-work // TASK_ROWS)))
+    tiles = stored(_tiles(labelled, plan, days, edges, prior).repartition(tasks, "cutoff", "tile"), "tiles")
     models, depth = len(days) * len(settings), plan.depth
     done: list[Trees] = []
     since = 0

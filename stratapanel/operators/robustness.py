@@ -201,9 +201,10 @@ def bootstrap_paths(common: DataFrame, simulations: int = 5000, block_sizes=(6,)
     )
 
 
-def bootstrap_summary(paths: DataFrame) -> DataFrame:
+def bootstrap_summary(paths: DataFrame, observed: DataFrame | None = None) -> DataFrame:
+    """Distribution of the simulated metrics; with ``observed`` (strategy, sharpe) also the realised Sharpe beside it."""
     q = lambda p: F.percentile("sharpe", F.lit(p))
-    return paths.groupBy("strategy", "block_size").agg(
+    out = paths.groupBy("strategy", "block_size").agg(
         F.count(F.lit(1)).alias("simulations"), F.median("sharpe").alias("median_sharpe"),
         q(0.05).alias("sharpe_p5"), q(0.95).alias("sharpe_p95"),
         share_if(F.col("annual_return") > F.col("benchmark_annual_return")).alias("p_annual_return_above_benchmark"),
@@ -212,6 +213,9 @@ def bootstrap_summary(paths: DataFrame) -> DataFrame:
         share_if(F.col("information_ratio") > 0).alias("p_information_ratio_positive"),
         share_if(F.col("sharpe") > 1).alias("p_sharpe_above_1"),
     )
+    if observed is None:
+        return out
+    return out.join(F.broadcast(observed.select("strategy", F.col("sharpe").alias("observed_sharpe"))), "strategy", "left")
 
 
 def bootstrap_intervals(paths: DataFrame, observed: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Frames the queries share: panels, datasets, scores and the strategy suite.
 
 A panel is the one reduction of the big scan; reports then read it many times.
-So each shared frame is computed once per session and folder, written as a
+So each shared frame is computed once per session and state of the folder, written as a
 Parquet table to the cluster's shared folder and read back.  That cuts the
 lineage (short plans, nothing to recompute when an executor is lost) and gives
 the optimizer exact sizes, column pruning and pushdown.
@@ -22,13 +22,22 @@ SUBPERIODS = [
     ("period_1", "1995-01-01", "1996-12-31"), ("period_2", "1997-01-01", "1998-12-31"),
     ("period_3", "1999-01-01", "1999-12-31"), ("period_4", "2000-01-01", "2001-12-31"),
 ]
-_SHARED: dict[tuple[str, str, str], DataFrame] = {}
+_SHARED: dict[tuple, DataFrame] = {}
+
+
+def stamp(spark: SparkSession, folder: str) -> int:
+    """Changes when a file of the folder does: names, sizes and times of what lies in it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        return 0
+    return hash(tuple((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files.listStatus(path)))
 
 
 def shared(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     """Compute the frame on first use in a session and keep it as a table."""
     def get(spark: SparkSession, folder: str) -> DataFrame:
-        key = (spark.sparkContext.applicationId, folder.rstrip("/"), build.__name__)
+        key = (spark.sparkContext.applicationId, folder.rstrip("/"), stamp(spark, folder), f"{build.__module__}.{build.__name__}")
         if key not in _SHARED:
             _SHARED[key] = stored(build(spark, folder), build.__name__)
         return _SHARED[key]

@@ -98,7 +98,12 @@ register(
 )
 
 # --- live tables ------------------------------------------------------------
-SIGNALS = lambda s, d: V.momentum_signals(B.closes(B.brand(s, d)), D.brands(s, d), D.ELIGIBLE(s, d))
+@B.shared
+def signals(s, d) -> DataFrame:
+    return V.momentum_signals(B.closes(B.brand(s, d)), D.brands(s, d), D.ELIGIBLE(s, d))
+
+
+SIGNALS = signals
 frag("now", """SELECT k.ticker, (SELECT max(date) FROM px_b) AS signal_date, g.momentum_3m, g.momentum_12_1 FROM breq k LEFT JOIN lag_b g ON g.ticker = k.ticker AND g.date = (SELECT max(date) FROM px_b)""")
 frag("nowr", """SELECT *, row_number() OVER (ORDER BY momentum_3m DESC NULLS LAST, ticker) AS r3, row_number() OVER (ORDER BY momentum_12_1 DESC NULLS LAST, ticker) AS r12 FROM now""")
 frag("sig", f"""SELECT n.ticker, n.signal_date, n.momentum_3m, CASE WHEN n.momentum_3m IS NOT NULL THEN r3 END AS rank_3m, n.momentum_12_1, CASE WHEN n.momentum_12_1 IS NOT NULL THEN r12 END AS rank_12_1,
@@ -151,6 +156,7 @@ register(
 )
 
 
+@B.shared
 def predictions(s, d) -> DataFrame:
     now = B.brand_scores(s, d)
     last = now.agg(F.max("date").alias("date"))
@@ -160,6 +166,7 @@ def predictions(s, d) -> DataFrame:
 frag("pred", "SELECT ticker, date, ml_score, row_number() OVER (ORDER BY ml_score DESC, ticker) AS ml_rank FROM sc_b WHERE date = (SELECT max(date) FROM sc_b)")
 
 
+@B.shared
 def targets(s, d) -> DataFrame:
     sig = SIGNALS(s, d).where("signal_valid")
     part = lambda name, rank: sig.select(F.lit(name).alias("strategy"), "signal_date", "ticker", F.col(rank).alias("rank"))
@@ -173,6 +180,7 @@ frag("tgt", """SELECT strategy, signal_date, ticker, 0.2 AS target_weight, rank
 register("b10_target_portfolios", targets, out("tgt", "strategy signal_date ticker optimization_status", "target_weight", "rank_or_reason"))
 
 
+@B.shared
 def previous(s, d) -> DataFrame:
     """Last evaluated decision of each strategy but one, drifted to the last date."""
     last = B.suite_positions(s, d).where(F.col("strategy") != "ml")

@@ -361,6 +361,7 @@ frag("lood", "SELECT e.*, " + ", ".join(f"b.{m} AS baseline_{m}, e.{m} - b.{m} A
      + " FROM looe e JOIN loobe b ON b.strategy = e.strategy AND b.removed_ticker = e.removed_ticker")
 
 
+@B.shared
 def loo_details(s, d):
     dates = F.broadcast(B.common_dates(s, d))
     again = S.LOO(s, d).join(dates, "date", "left_semi").select(*S.LOO_KEYS, "date", F.col("net_return").alias("ret"))
@@ -407,26 +408,39 @@ register("a35_block_indices", indices, out("bidx", "strategy", "", "sim pos idx"
 frag("bpath", "SELECT x.strategy, x.block_size, x.sim, x.pos AS date, h.s AS ret, h.b AS bench FROM bidx x JOIN hist_b h ON h.strategy = x.strategy AND h.i = x.idx")
 evaluated("bev", "bpath", "strategy, block_size, sim", f""", pow(product(1 + bench), 12.0 / count(*)) - 1 AS benchmark_annual_return,
   {ratio('avg(bench)', 'stddev_samp(bench)')} * sqrt(12) AS benchmark_sharpe""")
-PATHS = lambda s, d, blocks=(6,), sims=SIMULATIONS: X.bootstrap_paths(B.common(s, d), sims, blocks, SEED)
+
+
+@B.shared
+def bootstrap(s, d):
+    """Every simulation of every block size, run once for all reports."""
+    return X.bootstrap_paths(B.common(s, d), SIMULATIONS, BLOCKS, SEED)
+
+
+@B.shared
+def observed(s, d):
+    return M.evaluate(with_bench(s, d))
+
+
+PATHS = lambda s, d: bootstrap(s, d).where("block_size = 6")
 BOOT = "annual_return annual_volatility sharpe annual_active_return tracking_error information_ratio max_drawdown benchmark_annual_return benchmark_sharpe"
 register("a36_block_bootstrap", PATHS, out("bev", "strategy", BOOT, "block_size sim", where="block_size = 6"))
 share = lambda c: f"avg(CASE WHEN {c} THEN 1.0 ELSE 0 END)"
-frag("bsum", f"""SELECT strategy, block_size, count(*) AS simulations, median(sharpe) AS median_sharpe, quantile_cont(sharpe, 0.05) AS sharpe_p5, quantile_cont(sharpe, 0.95) AS sharpe_p95,
+frag("bsum", f"""SELECT strategy, block_size, count(*) AS simulations, (SELECT sharpe FROM cev WHERE cev.strategy = bev.strategy) AS observed_sharpe, median(sharpe) AS median_sharpe, quantile_cont(sharpe, 0.05) AS sharpe_p5, quantile_cont(sharpe, 0.95) AS sharpe_p95,
   {share('annual_return > benchmark_annual_return')} AS p_annual_return_above_benchmark, {share('annual_active_return > 0')} AS p_active_return_positive,
   {share('sharpe > benchmark_sharpe')} AS p_sharpe_above_benchmark, {share('information_ratio > 0')} AS p_information_ratio_positive, {share('sharpe > 1')} AS p_sharpe_above_1
   FROM bev GROUP BY 1, 2""")
-BSUM = "median_sharpe sharpe_p5 sharpe_p95 p_annual_return_above_benchmark p_active_return_positive p_sharpe_above_benchmark p_information_ratio_positive p_sharpe_above_1"
-register("a37_bootstrap_summary", lambda s, d: X.bootstrap_summary(PATHS(s, d)), out("bsum", "strategy", BSUM, "block_size simulations", where="block_size = 6"))
+BSUM = "observed_sharpe median_sharpe sharpe_p5 sharpe_p95 p_annual_return_above_benchmark p_active_return_positive p_sharpe_above_benchmark p_information_ratio_positive p_sharpe_above_1"
+register("a37_bootstrap_summary", lambda s, d: X.bootstrap_summary(PATHS(s, d), observed(s, d)), out("bsum", "strategy", BSUM, "block_size simulations", where="block_size = 6"))
 frag("blong", " UNION ALL ".join(f"SELECT strategy, block_size, '{m}' AS metric, {m} AS x FROM bev WHERE block_size = 6" for m in X.BOOTSTRAP_METRICS))
 frag("bobs", " UNION ALL ".join(f"SELECT strategy, '{m}' AS metric, {m} AS observed FROM cev" for m in X.BOOTSTRAP_METRICS))
 quants = ", ".join(f"quantile_cont(x, {p}) AS {n}" for p, n in X.PERCENTILES)
 register(
-    "a37_bootstrap_intervals", lambda s, d: X.bootstrap_intervals(PATHS(s, d), M.evaluate(with_bench(s, d))),
+    "a37_bootstrap_intervals", lambda s, d: X.bootstrap_intervals(PATHS(s, d), observed(s, d)),
     out(f"""(SELECT l.strategy, l.block_size, l.metric, max(o.observed) AS observed, avg(x) AS mean, median(x) AS median, stddev_samp(x) AS std, {quants}
       FROM blong l JOIN bobs o ON o.strategy = l.strategy AND o.metric = l.metric GROUP BY 1, 2, 3)""",
         "strategy metric", "observed mean median std " + " ".join(n for _, n in X.PERCENTILES), "block_size"),
 )
-register("a38_block_sensitivity", lambda s, d: X.bootstrap_summary(PATHS(s, d, BLOCKS)), out("bsum", "strategy", BSUM, "block_size simulations"))
+register("a38_block_sensitivity", lambda s, d: X.bootstrap_summary(bootstrap(s, d), observed(s, d)), out("bsum", "strategy", BSUM, "block_size simulations"))
 
 # --- J: alignment and scorecard --------------------------------------------
 register("j6_common_period", lambda s, d: B.common(s, d), out("common", "strategy date", "ret"))
@@ -439,7 +453,7 @@ register(
 
 def scorecard(s, d):
     c = B.common(s, d)
-    base = M.evaluate(with_bench(s, d)).where("strategy <> 'benchmark'")
+    base = observed(s, d).where("strategy <> 'benchmark'")
     positions = B.suite_positions(s, d)
     return X.scorecard(
         base, X.leave_one_out_summary(loo_details(s, d)), M.subperiod_stability(SUB(s, d)),

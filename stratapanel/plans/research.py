@@ -125,7 +125,7 @@ def robustness_report(
         "execution": X.execution_sensitivity(X.aligned_pair(L.net_returns(kept), late, bench)),
         "subperiods": sub, "subperiod_stability": M.subperiod_stability(sub),
         "rolling": rolling, "rolling_summary": M.rolling_summary(rolling),
-        "bootstrap": X.bootstrap_summary(paths),
+        "bootstrap": X.bootstrap_summary(paths, M.evaluate(M.benchmark_column(common))),
         "outliers": M.outlier_diagnostics(common), "outlier_counterfactuals": M.outlier_counterfactuals(common),
         "contribution": A.contribution_concentration(positions.join(dates, "date", "left_semi")),
         "weight_stability": stability, "weight_stability_summary": A.stability_summary(stability),
