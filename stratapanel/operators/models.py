@@ -10,7 +10,7 @@ Training state is a table of *tiles*: the bin codes, labels and an array of
 margins by setting of up to ``TILE_ROWS`` rows under one cutoff.  A tree level
 of *every* model is one job: each task turns its tiles into partial histograms
 (gradient, hessian and count per model, node, feature and bin), which are summed
-per model and searched for the best split.  Only splits reach the driver.  No
+per model (where a cutoff has more than one tile) and searched for the best split.  Only splits reach the driver.  No
 task holds more than a tile and the histograms of its models, whatever the rows
 of a cutoff; every few rounds the margins are written anew, so a lost executor
 costs one level.
@@ -39,7 +39,7 @@ KEYS_PER_E, KEY_OF_ONE, LEAST = 1000, 25_000, 1e-10
 TILE_ROWS = 50_000
 #: Rows x models that a task works on at least.
 TASK_ROWS = 100_000
-STORE_EVERY = 10
+STORE_EVERY = 4
 
 
 @dataclass(frozen=True)
@@ -151,7 +151,7 @@ class Plan:
         return out
 
 
-def _tiles(rows: DataFrame, plan: Plan, cutoffs: list, edges: dict, prior: np.ndarray) -> DataFrame:
+def _tiles(rows: DataFrame, plan: Plan, cutoffs: list, edges: dict, prior: np.ndarray, parts: int) -> DataFrame:
     """Tiles of (target_date, target, keys); ``edges``: (bins, cutoff number) -> edges by feature."""
     days = np.array([(c - cutoffs[0]).days for c in cutoffs])
     every = sorted({s.bins for s in plan.settings})
@@ -185,15 +185,14 @@ def _tiles(rows: DataFrame, plan: Plan, cutoffs: list, edges: dict, prior: np.nd
             yield from tiled(held)
 
     day = F.datediff("target_date", F.lit(cutoffs[0])).cast("long")
-    parts = -(-rows.count() // TILE_ROWS)
-    return rows.repartition(max(1, parts)).select(day.alias("at"), F.col("target").cast("long").alias("label"), "keys").mapInArrow(run, _TILE)
+    return rows.repartition(parts).select(day.alias("at"), F.col("target").cast("long").alias("label"), "keys").mapInArrow(run, _TILE)
 
 
-def histograms(tiles: DataFrame, plan: Plan, pending: list[Trees], current: Trees, level: int) -> DataFrame:
-    """Partial gradient, hessian and count sums of every open node, one row per task, model and node."""
+def _level(plan: Plan, pending: list[Trees], current: Trees, level: int):
+    """A task's work on one level: sums of gradient, hessian and count by model, then (3, nodes, features x bins)."""
     first, nodes, depth, wide = 1 << level, 1 << level, plan.depth, max(s.bins for s in plan.settings) + 1
 
-    def run(batches):
+    def sums_of(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k in range(batch.num_rows):
@@ -203,7 +202,7 @@ def histograms(tiles: DataFrame, plan: Plan, pending: list[Trees], current: Tree
                 flat = codes.astype(np.int64) + np.arange(_F) * wide
                 for row, s in enumerate(plan.of(bins)):
                     model = cutoff * len(plan.settings) + s
-                    if current is not None and level and (current.feature[model][first >> 1: first] < 0).all():
+                    if level and (current.feature[model][first >> 1: first] < 0).all():
                         continue  # nothing of this model was split at the level before
                     node = reached(codes, current.feature[model], current.bin[model], depth) - first if level else np.zeros(len(codes), np.int64)
                     open_ = node >= 0
@@ -213,8 +212,22 @@ def histograms(tiles: DataFrame, plan: Plan, pending: list[Trees], current: Tree
                     cells = np.stack([
                         np.bincount(place, np.repeat(p - labels[open_], _F), size), np.bincount(place, np.repeat(p * (1.0 - p), _F), size), np.bincount(place, minlength=size).astype(np.float64)])
                     sums[model] = sums[model] + cells if model in sums else cells
-        rows = [(m, first + j, np.ascontiguousarray(c.reshape(3, nodes, -1)[:, j]).tobytes()) for m, c in sums.items() for j in range(nodes) if c.reshape(3, nodes, -1)[2, j].any()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["model", "node", "cells"])
+        for model, cells in sums.items():
+            cells = cells.reshape(3, nodes, -1)
+            for j in range(nodes):
+                if cells[2, j].any():
+                    yield model, first + j, np.ascontiguousarray(cells[:, j])
+
+    return sums_of
+
+
+def histograms(tiles: DataFrame, plan: Plan, pending: list[Trees], current: Trees, level: int) -> DataFrame:
+    """Partial sums of every open node, one row per task, model and node."""
+    work = _level(plan, pending, current, level)
+
+    def run(batches):
+        rows = list(work(batches))
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2].tobytes() for r in rows], pa.binary())], ["model", "node", "cells"])
 
     return tiles.mapInArrow(run, _HISTOGRAM)
 
@@ -237,20 +250,30 @@ _SPLIT = pa.schema([("model", pa.int32()), ("node", pa.int32()), ("tg", pa.float
 _SPLIT_DDL = "model int, node int, tg double, th double, feature int, bin int, gain double, lg double, lh double"
 
 
+def _searched(sums, plan: Plan) -> pa.Table:
+    rows = [{"model": m, "node": k} | best_split(c.reshape(3, _F, -1), plan.settings[m % len(plan.settings)].l2) for m, k, c in sums]
+    return pa.Table.from_pylist(rows, schema=_SPLIT)
+
+
 def best_splits(partial: DataFrame, plan: Plan) -> pa.Table:
     """The best split of each open node, over all models: tree parameters only."""
 
     def search(table: pa.Table) -> pa.Table:
         sums: dict[tuple[int, int], np.ndarray] = {}
         for model, node, cells in zip(*(table.column(c) for c in ("model", "node", "cells"))):
-            key, cells = (model.as_py(), node.as_py()), np.frombuffer(cells.as_buffer(), np.float64).reshape(3, _F, -1)
+            key, cells = (model.as_py(), node.as_py()), np.frombuffer(cells.as_buffer(), np.float64)
             sums[key] = sums[key] + cells if key in sums else cells
-        rows = [{"model": m, "node": k} | best_split(c, plan.settings[m % len(plan.settings)].l2) for (m, k), c in sums.items()]
-        return pa.Table.from_pylist(rows, schema=_SPLIT)
+        return _searched(((*k, c) for k, c in sums.items()), plan)
 
     return partial.groupBy("model").applyInArrow(search, _SPLIT_DDL).toArrow()
 
 
+def whole_splits(tiles: DataFrame, plan: Plan, pending: list[Trees], current: Trees, level: int) -> pa.Table:
+    """The same where a cutoff's rows are one tile: a task's sums are whole, and are searched where they are made."""
+    work = _level(plan, pending, current, level)
+    return tiles.mapInArrow(lambda batches: iter(_searched(work(batches), plan).to_batches()), _SPLIT_DDL).toArrow()
+
+
 def _priors(rows: DataFrame, cutoffs: list) -> tuple[list[tuple[int, int]], np.ndarray]:
     """Training rows and positives of each cutoff, and its prior log-odds, from counts per target date (calendar-bounded)."""
     dates = rows.groupBy("target_date").agg(F.count(F.lit(1)).alias("n"), F.sum("target").alias("k")).collect()
@@ -281,7 +304,8 @@ def fit(dataset: DataFrame, cutoffs: DataFrame, settings: tuple[Setting, ...] =
     # Tasks enough for the work of a level: a row under a model is a few microseconds.
     work = sum(n for n, _ in counts) * len(settings)
     tasks = max(1, min(even_width(dataset), -(-work // TASK_ROWS)))
-    tiles = stored(_tiles(labelled, plan, days, edges, prior).repartition(tasks, "cutoff", "tile"), "tiles")
+    parts = max(1, -(-labelled.count() // TILE_ROWS))
+    tiles = stored(_tiles(labelled, plan, days, edges, prior, parts).repartition(tasks, "cutoff", "tile"), "tiles")
     models, depth = len(days) * len(settings), plan.depth
     done: list[Trees] = []
     since = 0
@@ -289,7 +313,9 @@ def fit(dataset: DataFrame, cutoffs: DataFrame, settings: tuple[Setting, ...] =
         current = Trees(models, depth)
         for level in range(depth):
             grown = 0
-            for r in best_splits(histograms(tiles, plan, done[since:], current, level), plan).to_pylist():
+            pending = done[since:]
+            found = whole_splits(tiles, plan, pending, current, level) if parts == 1 else best_splits(histograms(tiles, plan, pending, current, level), plan)
+            for r in found.to_pylist():
                 model, node, setting = r["model"], r["node"], settings[r["model"] % len(settings)]
                 if step >= setting.iterations:
                     continue

@@ -102,10 +102,12 @@ def test_sketch_edges_match_sorting(dataset):
             assert got[day, f] == plain_edges(plain_keys(values[own, f]), 16)
 
 
-def test_forest_matches_plain_boosting_with_mixed_settings(dataset):
-    """Two settings that differ in everything, and every third cutoff; margins stored each round."""
+@pytest.mark.parametrize("tile_rows", [50, 50_000])
+def test_forest_matches_plain_boosting_with_mixed_settings(dataset, monkeypatch, tile_rows):
+    """Several tiles a cutoff and one. Two settings that differ in everything, and every third cutoff; margins stored each round."""
+    monkeypatch.setattr(ML, "TILE_ROWS", tile_rows)
     settings = (replace(SETTING, name="a", iterations=4, bins=12, learning_rate=0.3), ML.Setting("b", 2, 2.0, 2, 0.1, 6))
-    days = [r[0] for r in cut(dataset).orderBy("prediction_date").collect()][::3]
+    days = [r[0] for r in cut(dataset).orderBy("prediction_date").collect()][::6]
     some = cut(dataset).where(F.col("prediction_date").isin(days))
     trees = ML.fit(dataset, some, settings, store_every=3)
     assert {(r["setting"], r["n"]) for r in trees.groupBy("setting", "cutoff").agg(F.max("round").alias("n")).collect()} == {("a", 4), ("b", 2)}
