@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from stratapanel.llm.arrow import column, concatenated, slices
 from stratapanel.llm.components import components
-from stratapanel.llm.store import removed, unused, width, written
+from stratapanel.llm.store import removed, settled, unused, width, written
 from stratapanel.llm.words import mixed, shingle_sets
 
 #: Growth of a band's largest size; wide bands waste segments, narrow ones index twice.
@@ -236,6 +236,7 @@ def joined(docs: DataFrame, words: int = 5, threshold: int = 80) -> DataFrame:
     own = W.partitionBy("mark")
     met = marks.repartition(width(spark), "mark").select("mark", "id", F.min("id").over(own).alias("least"), F.max("id").over(own).alias("most"))
     met = written(met.where("least < most").select("mark", "id", "least"), "met")
+    settled(spark)
     number = F.col("mark").bitwiseAND(NUMBERS - 1).cast("int").alias("number")
 
     pairs = written(_near(met.where("id > least").select(F.col("least").alias("a"), F.col("id").alias("b"), number), sizes, threshold), "pairs")
@@ -243,6 +244,7 @@ def joined(docs: DataFrame, words: int = 5, threshold: int = 80) -> DataFrame:
     sets = written(_sets(docs.join(wanted.hint("merge"), F.col("doc_id") == F.col("wanted"), "left_semi"), words), "sets", "none")
     copies = rows.where("first IS NOT NULL").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
     links = written(_linked(pairs, sets, threshold).unionByName(copies), "links")
+    settled(spark)
     found = components(links)
 
     # What the least ids have not tied together: members of one signature in several components.
