@@ -107,6 +107,21 @@ def test_signatures_meet_in_crowded_segments():
             assert len(np.intersect1d(ngram_jaccard.signatures(a, threshold)[0], ngram_jaccard.signatures(b, threshold)[0]))
 
 
+@pytest.mark.parametrize("threshold", [80, 85, 90])
+def test_schemes_cover_sets_of_any_size(threshold):
+    """Every band has its own number in a signature's low bits, and a place in the tables that are looked up by it."""
+    every = ngram_jaccard.schemes(threshold, ngram_jaccard.BEYOND)
+    assert len(every) <= ngram_jaccard.NUMBERS and every[-1].largest >= ngram_jaccard.BEYOND
+    assert [s.number for s in every] == list(range(len(every)))
+    if threshold != 85:
+        return
+    tokens = np.unique(np.random.default_rng(6).integers(0, 1 << 63, 4_500_000, dtype=np.uint64) * np.uint64(2))
+    near = tokens[: -len(tokens) // 100]
+    a, number, _, other = ngram_jaccard.signatures(tokens, threshold)
+    assert number + 1 < len(every) and {int(x) & (ngram_jaccard.NUMBERS - 1) for x in a[:1000]} <= {number, number + 1}
+    assert len(np.intersect1d(a, ngram_jaccard.signatures(near, threshold)[0])) > 0
+
+
 def test_links_beyond_the_least_id_are_found(spark):
     """A chain in which the least member of a signature links with few of the others."""
     rng = random.Random(9)
