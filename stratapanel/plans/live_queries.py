@@ -13,7 +13,14 @@ CONFIG = K.ExecutionConfig(adv_window=3)
 
 # --- capacity ---------------------------------------------------------------
 ADV = lambda s, d: T.average_dollar_volume(B.brand(s, d).withColumnRenamed("close", "raw_close"), 3)
-SCHEDULE = lambda s, d: K.paired_schedule(B.suite_positions(s, d), B.brand(s, d), ADV(s, d), 3)
+
+
+@B.shared
+def schedule(s, d) -> DataFrame:
+    return K.paired_schedule(B.suite_positions(s, d), B.brand(s, d), ADV(s, d), 3)
+
+
+SCHEDULE = schedule
 frag("sch0", "SELECT signal_date, min(date) AS realization_date FROM pos GROUP BY 1 HAVING count(DISTINCT strategy) = 3")
 frag("sch", """SELECT s.signal_date, s.realization_date, a.next_date AS next_entry, b.next_date AS next_exit,
   CASE WHEN s.signal_date < (SELECT min(date) FROM (SELECT date FROM adv_b GROUP BY 1 HAVING count(adv) = (SELECT count(*) FROM tick_b))) THEN 'before_complete_liquidity_history'

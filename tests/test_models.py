@@ -44,9 +44,9 @@ def test_future_labels_do_not_move_scores(dataset):
 
 def plain_keys(values):
     size = np.abs(values)
-    with np.errstate(divide="ignore"):
+    with np.errstate(divide="ignore", invalid="ignore"):
         cell = np.ceil(np.minimum(np.log(size), 40.0) * 1000) + 25_000
-    return np.where(size < 1e-10, 0, np.sign(values) * cell).astype(int)
+    return np.where(size < 1e-10, 0, np.sign(values) * np.where(size < 1e-10, 0, cell)).astype(int)
 
 
 def plain_edges(keys, bins):
