@@ -10,7 +10,8 @@ Training state is a table of *tiles*: the bin codes, labels and an array of
 margins by setting of up to ``TILE_ROWS`` rows under one cutoff.  A tree level
 of *every* model is one job: each task turns its tiles into partial histograms
 (gradient, hessian and count per model, node, feature and bin), which are summed
-per model (where a cutoff has more than one tile) and searched for the best split.  Only splits reach the driver.  No
+per model and searched for the best split.  Where every cutoff is one tile there
+is nothing to sum, and a job makes all levels.  Only splits reach the driver.  No
 task holds more than a tile and the histograms of its models, whatever the rows
 of a cutoff; every few rounds the margins are written anew, so a lost executor
 costs one level.
@@ -188,46 +189,43 @@ def _tiles(rows: DataFrame, plan: Plan, cutoffs: list, edges: dict, prior: np.nd
     return rows.repartition(parts).select(day.alias("at"), F.col("target").cast("long").alias("label"), "keys").mapInArrow(run, _TILE)
 
 
-def _level(plan: Plan, pending: list[Trees], current: Trees, level: int):
-    """A task's work on one level: sums of gradient, hessian and count by model, then (3, nodes, features x bins)."""
-    first, nodes, depth, wide = 1 << level, 1 << level, plan.depth, max(s.bins for s in plan.settings) + 1
+def _cells(codes: np.ndarray, labels: np.ndarray, margin: np.ndarray, feature: np.ndarray, bin_: np.ndarray, level: int, depth: int, wide: int) -> np.ndarray | None:
+    """Gradient, hessian and count of each open node of a level: (3, nodes, features x bins), or None where the level before split nothing."""
+    first = 1 << level
+    if level and (feature[first >> 1: first] < 0).all():
+        return None
+    node = reached(codes, feature, bin_, depth) - first if level else np.zeros(len(codes), np.int64)
+    open_ = node >= 0
+    p = 1.0 / (1.0 + np.exp(-margin[open_]))
+    place = (codes[open_].astype(np.int64) + np.arange(_F) * wide + (node[open_] * _F * wide)[:, None]).ravel()
+    size = first * _F * wide
+    g, h = np.repeat(p - labels[open_], _F), np.repeat(p * (1.0 - p), _F)
+    return np.stack([np.bincount(place, g, size), np.bincount(place, h, size), np.bincount(place, minlength=size).astype(np.float64)]).reshape(3, first, -1)
 
-    def sums_of(batches):
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k in range(batch.num_rows):
-                cutoff, bins = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
-                codes, labels, margins = _tile_arrays(batch, k)
-                margins = plan.margins(cutoff, bins, codes, margins, pending)
-                flat = codes.astype(np.int64) + np.arange(_F) * wide
-                for row, s in enumerate(plan.of(bins)):
-                    model = cutoff * len(plan.settings) + s
-                    if level and (current.feature[model][first >> 1: first] < 0).all():
-                        continue  # nothing of this model was split at the level before
-                    node = reached(codes, current.feature[model], current.bin[model], depth) - first if level else np.zeros(len(codes), np.int64)
-                    open_ = node >= 0
-                    p = 1.0 / (1.0 + np.exp(-margins[row][open_]))
-                    place = (flat[open_] + (node[open_] * _F * wide)[:, None]).ravel()
-                    size = nodes * _F * wide
-                    cells = np.stack([
-                        np.bincount(place, np.repeat(p - labels[open_], _F), size), np.bincount(place, np.repeat(p * (1.0 - p), _F), size), np.bincount(place, minlength=size).astype(np.float64)])
-                    sums[model] = sums[model] + cells if model in sums else cells
-        for model, cells in sums.items():
-            cells = cells.reshape(3, nodes, -1)
-            for j in range(nodes):
-                if cells[2, j].any():
-                    yield model, first + j, np.ascontiguousarray(cells[:, j])
-
-    return sums_of
+
+def _margins_of(batches, plan: Plan, pending: list[Trees]):
+    """(model, its setting's number, codes, labels, margins) of every tile and setting."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            cutoff, bins = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
+            codes, labels, margins = _tile_arrays(batch, k)
+            margins = plan.margins(cutoff, bins, codes, margins, pending)
+            for row, s in enumerate(plan.of(bins)):
+                yield cutoff * len(plan.settings) + s, s, codes, labels, margins[row]
 
 
 def histograms(tiles: DataFrame, plan: Plan, pending: list[Trees], current: Trees, level: int) -> DataFrame:
     """Partial sums of every open node, one row per task, model and node."""
-    work = _level(plan, pending, current, level)
+    depth, wide = plan.depth, max(s.bins for s in plan.settings) + 1
 
     def run(batches):
-        rows = list(work(batches))
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2].tobytes() for r in rows], pa.binary())], ["model", "node", "cells"])
+        sums: dict[int, np.ndarray] = {}
+        for model, _, codes, labels, margin in _margins_of(batches, plan, pending):
+            cells = _cells(codes, labels, margin, current.feature[model], current.bin[model], level, depth, wide)
+            if cells is not None:
+                sums[model] = sums[model] + cells if model in sums else cells
+        rows = [(m, (1 << level) + j, np.ascontiguousarray(c[:, j]).tobytes()) for m, c in sums.items() for j in range(1 << level) if c[2, j].any()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["model", "node", "cells"])
 
     return tiles.mapInArrow(run, _HISTOGRAM)
 
@@ -250,11 +248,6 @@ _SPLIT = pa.schema([("model", pa.int32()), ("node", pa.int32()), ("tg", pa.float
 _SPLIT_DDL = "model int, node int, tg double, th double, feature int, bin int, gain double, lg double, lh double"
 
 
-def _searched(sums, plan: Plan) -> pa.Table:
-    rows = [{"model": m, "node": k} | best_split(c.reshape(3, _F, -1), plan.settings[m % len(plan.settings)].l2) for m, k, c in sums]
-    return pa.Table.from_pylist(rows, schema=_SPLIT)
-
-
 def best_splits(partial: DataFrame, plan: Plan) -> pa.Table:
     """The best split of each open node, over all models: tree parameters only."""
 
@@ -263,15 +256,29 @@ def best_splits(partial: DataFrame, plan: Plan) -> pa.Table:
         for model, node, cells in zip(*(table.column(c) for c in ("model", "node", "cells"))):
             key, cells = (model.as_py(), node.as_py()), np.frombuffer(cells.as_buffer(), np.float64)
             sums[key] = sums[key] + cells if key in sums else cells
-        return _searched(((*k, c) for k, c in sums.items()), plan)
+        rows = [{"model": m, "node": k} | best_split(c.reshape(3, _F, -1), plan.settings[m % len(plan.settings)].l2) for (m, k), c in sums.items()]
+        return pa.Table.from_pylist(rows, schema=_SPLIT)
 
     return partial.groupBy("model").applyInArrow(search, _SPLIT_DDL).toArrow()
 
 
-def whole_splits(tiles: DataFrame, plan: Plan, pending: list[Trees], current: Trees, level: int) -> pa.Table:
-    """The same where a cutoff's rows are one tile: a task's sums are whole, and are searched where they are made."""
-    work = _level(plan, pending, current, level)
-    return tiles.mapInArrow(lambda batches: iter(_searched(work(batches), plan).to_batches()), _SPLIT_DDL).toArrow()
+def whole_trees(tiles: DataFrame, plan: Plan, pending: list[Trees]) -> pa.Table:
+    """Splits of all levels at once where a cutoff's rows are one tile: a tile's sums are whole there, so its next level follows in place."""
+    depth, wide = plan.depth, max(s.bins for s in plan.settings) + 1
+
+    def run(batches):
+        for model, s, codes, labels, margin in _margins_of(batches, plan, pending):
+            feature, bin_, rows = np.full(1 << depth, -1, np.int8), np.zeros(1 << depth, np.int16), []
+            for level in range(plan.settings[s].max_depth):
+                cells = _cells(codes, labels, margin, feature, bin_, level, depth, wide)
+                for j in range(1 << level) if cells is not None else ():
+                    if cells[2, j].any():
+                        node, found = (1 << level) + j, best_split(cells[:, j].reshape(3, _F, -1), plan.settings[s].l2)
+                        feature[node], bin_[node] = found["feature"], found["bin"]
+                        rows.append({"model": model, "node": node} | found)
+            yield from pa.Table.from_pylist(rows, schema=_SPLIT).to_batches()
+
+    return tiles.mapInArrow(run, _SPLIT_DDL).toArrow()
 
 
 def _priors(rows: DataFrame, cutoffs: list) -> tuple[list[tuple[int, int]], np.ndarray]:
@@ -284,6 +291,24 @@ def _priors(rows: DataFrame, cutoffs: list) -> tuple[list[tuple[int, int]], np.n
     return counts, np.array([np.log(k / n) - np.log(1 - k / n) for n, k in counts])
 
 
+def _grow(trees: Trees, found: pa.Table, settings: tuple[Setting, ...], step: int) -> int:
+    """Enter the found splits, parents first; how many nodes were split."""
+    grown = 0
+    for r in found.sort_by([("model", "ascending"), ("node", "ascending")]).to_pylist():
+        model, node, setting = r["model"], r["node"], settings[r["model"] % len(settings)]
+        if step >= setting.iterations:
+            continue
+        leaf = lambda g, h: -setting.learning_rate * g / max(h + setting.l2, 1e-12)
+        if node == 1:
+            trees.value[model, node] = leaf(r["tg"], r["th"])
+        if node < 1 << setting.max_depth and r["feature"] >= 0:
+            trees.feature[model, node], trees.bin[model, node], trees.gain[model, node] = r["feature"], r["bin"], r["gain"]
+            trees.value[model, 2 * node] = leaf(r["lg"], r["lh"])
+            trees.value[model, 2 * node + 1] = leaf(r["tg"] - r["lg"], r["th"] - r["lh"])
+            grown += 1
+    return grown
+
+
 def fit(dataset: DataFrame, cutoffs: DataFrame, settings: tuple[Setting, ...] = (Setting(),), store_every: int = STORE_EVERY) -> DataFrame:
     """Table of trees: setting, cutoff, prior, round, and feature, threshold (a sketch key), gain and value by node in heap layout.
 
@@ -310,25 +335,13 @@ def fit(dataset: DataFrame, cutoffs: DataFrame, settings: tuple[Setting, ...] =
     done: list[Trees] = []
     since = 0
     for step in range(max(s.iterations for s in settings)):
-        current = Trees(models, depth)
-        for level in range(depth):
-            grown = 0
-            pending = done[since:]
-            found = whole_splits(tiles, plan, pending, current, level) if parts == 1 else best_splits(histograms(tiles, plan, pending, current, level), plan)
-            for r in found.to_pylist():
-                model, node, setting = r["model"], r["node"], settings[r["model"] % len(settings)]
-                if step >= setting.iterations:
-                    continue
-                leaf = lambda g, h: -setting.learning_rate * g / max(h + setting.l2, 1e-12)
-                if level == 0:
-                    current.value[model, node] = leaf(r["tg"], r["th"])
-                if level < setting.max_depth and r["feature"] >= 0:
-                    current.feature[model, node], current.bin[model, node], current.gain[model, node] = r["feature"], r["bin"], r["gain"]
-                    current.value[model, 2 * node] = leaf(r["lg"], r["lh"])
-                    current.value[model, 2 * node + 1] = leaf(r["tg"] - r["lg"], r["th"] - r["lh"])
-                    grown += 1
-            if not grown:
-                break
+        current, pending = Trees(models, depth), done[since:]
+        if parts == 1:
+            _grow(current, whole_trees(tiles, plan, pending), settings, step)
+        else:
+            for level in range(depth):
+                if not _grow(current, best_splits(histograms(tiles, plan, pending, current, level), plan), settings, step):
+                    break
         done.append(current)
         if (step + 1) % store_every == 0:
             fresh = stored(_advanced(tiles, plan, done[since:]), "tiles")
