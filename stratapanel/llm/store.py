@@ -29,11 +29,6 @@ def removed(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def settled(spark: SparkSession) -> None:
-    """Let the JVM collect plans that nothing refers to any more: only then are the shuffle files of finished steps deleted."""
-    spark.sparkContext._jvm.System.gc()
-
-
 def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
