@@ -5,9 +5,11 @@ A text's UTF-8 bytes are cut into chunks of ``CHUNK`` bytes that overlap by
 are max-pooled inside each chunk; the chunks' maxima are averaged, and maximised,
 over the document, and combined into one probability.
 
-The network is trained here, on ``TRAIN_ROWS`` labelled rows at most (those with
-the smallest hash of their id) and ``TRAIN_CHUNKS`` chunks of each: a bounded
-sample by parameter.  Scoring reads every byte and nothing but the text.
+The network is trained here, on a sample of labelled rows bounded by parameters:
+``TRAIN_ROWS`` rows at most, by the smallest hash of their id, passing over rows
+whose text would bring the sample over ``TRAIN_BYTES``.  All chunks of the chosen
+texts are used.  Scoring reads every byte and nothing but the text; chunks are
+cut and pooled ``POOLED`` at a time, whatever a text's length.
 
 Defined results: null and empty texts are one chunk of padding, and get a score;
 null or repeated ids are scored row by row; without labels the score is 0.5;
@@ -25,27 +27,28 @@ from stratapanel.llm.arrow import column, concatenated, slices
 
 CHUNK, OVERLAP = 512, 64
 TAPS, STRIDE, WIDTH, FILTERS = 8, 2, 6, 16
-TRAIN_ROWS, TRAIN_CHUNKS, EPOCHS, BATCH, RATE, SEED = 2500, 4, 12, 64, 0.01, 7
+TRAIN_ROWS, TRAIN_BYTES, EPOCHS, BATCH, RATE, SEED = 2500, 32 << 20, 12, 64, 0.01, 7
+#: Chunks cut and pooled at once.
+POOLED = 256
 #: Bytes of text scored at once.
 SCORED_BYTES = 1 << 18
 
 
-def chunk_starts(size: int) -> np.ndarray:
-    """Starts of the overlapping chunks that cover ``size`` bytes; one chunk at least."""
-    step = CHUNK - OVERLAP
-    return np.arange(max(1, -(-(size - OVERLAP) // step)), dtype=np.int64) * step
+def chunk_counts(offsets: np.ndarray) -> np.ndarray:
+    """Number of overlapping chunks that cover each text; one at least."""
+    return np.maximum(1, -(-(np.diff(offsets) - OVERLAP) // (CHUNK - OVERLAP)))
 
 
-def chunked(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(chunks x CHUNK) bytes, zero beyond a text's end, and each chunk's document."""
-    sizes = np.diff(offsets)
-    starts = [chunk_starts(int(s)) for s in sizes]
-    doc = np.repeat(np.arange(len(sizes)), [len(s) for s in starts])
-    begin = np.concatenate(starts) + offsets[doc]
+def chunked(raw: np.ndarray, offsets: np.ndarray, counts: np.ndarray, start: int, stop: int) -> tuple[np.ndarray, np.ndarray]:
+    """(chunks x CHUNK) bytes, zero beyond a text's end, and each one's document, of the chunks numbered from ``start`` to ``stop``."""
+    ends = np.cumsum(counts)
+    number = np.arange(start, min(stop, int(ends[-1])))
+    doc = np.searchsorted(ends, number, side="right")
+    begin = offsets[doc] + (number - (ends - counts)[doc]) * (CHUNK - OVERLAP)
+    if not len(raw):
+        return np.zeros((len(doc), CHUNK), np.uint8), doc
     at = begin[:, None] + np.arange(CHUNK)
-    inside = at < offsets[doc + 1][:, None]
-    padded = np.append(raw, np.uint8(0))
-    return np.where(inside, padded[np.minimum(at, len(raw))], 0).astype(np.uint8), doc
+    return np.where(at < offsets[doc + 1][:, None], raw[np.minimum(at, len(raw) - 1)], 0).astype(np.uint8), doc
 
 
 class Network:
@@ -67,9 +70,24 @@ class Network:
 
     def pooled(self, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Each chunk's maximum of each filter, and where it stands."""
-        out = self.responses(chunks).reshape(len(chunks), -1, FILTERS)
-        at = out.argmax(1)
-        return np.take_along_axis(out, at[:, None], 1)[:, 0], at
+        parts = []
+        for k in range(0, len(chunks), POOLED):
+            out = self.responses(chunks[k: k + POOLED]).reshape(len(chunks[k: k + POOLED]), -1, FILTERS)
+            at = out.argmax(1)
+            parts.append((np.take_along_axis(out, at[:, None], 1)[:, 0], at))
+        return tuple(np.concatenate(x) for x in zip(*parts))
+
+    def features(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Mean and maximum over each text's chunks, kept as running sums and maxima."""
+        counts = chunk_counts(offsets)
+        total, most = np.zeros((len(counts), FILTERS)), np.zeros((len(counts), FILTERS), np.float32)
+        for k in range(0, int(counts.sum()), POOLED):
+            chunks, doc = chunked(raw, offsets, counts, k, k + POOLED)
+            act = np.maximum(self.responses(chunks).reshape(len(chunks), -1, FILTERS).max(1) + self.shift, 0)
+            edges = np.flatnonzero(np.diff(doc, prepend=-1))
+            total[doc[edges]] += np.add.reduceat(act, edges)
+            most[doc[edges]] = np.maximum(most[doc[edges]], np.maximum.reduceat(act, edges))
+        return np.hstack([total / counts[:, None], most]).astype(np.float32)
 
     def combined(self, best: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
         """Features of n documents: mean and maximum over their chunks; every document has a chunk."""
@@ -82,6 +100,27 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(features @ self.head + self.bias, -30, 30)))
 
 
+def gradients(net: Network, part: np.ndarray, own: np.ndarray, label: np.ndarray) -> list[np.ndarray]:
+    """Of the mean log loss over the documents with these chunks, by the network's weights; ``own`` is each chunk's document."""
+    best, at = net.pooled(part)
+    features = net.combined(best, own, len(label))
+    error = ((net.probabilities(features) - label) / len(label)).astype(np.float32)
+    back = error[:, None] * net.head
+    act = np.maximum(best + net.shift, 0)
+    top = act == features[own, FILTERS:]
+    top = top / np.add.reduceat(top, np.searchsorted(own, np.arange(len(label))), dtype=np.float32)[own]  # chunks that overlap share a maximum
+    grad = (back[own, :FILTERS] / np.bincount(own)[own][:, None] + back[own, FILTERS:] * top) * (act > 0)
+    taps = STRIDE * at[..., None] + np.arange(TAPS)  # bytes under each winning window
+    seen = part[np.arange(len(part))[:, None, None], taps]
+    under = net.embed[seen].reshape(len(part), FILTERS, -1)
+    to_filters = np.einsum("nfk,nf->kf", under, grad)
+    to_embed = np.zeros_like(net.embed)
+    shares = grad[:, :, None, None] * net.filters.T.reshape(FILTERS, TAPS, WIDTH)
+    for d in range(WIDTH):
+        to_embed[:, d] = np.bincount(seen.ravel(), shares[..., d].ravel(), 256)
+    return [to_embed, to_filters, grad.sum(0), features.T @ error, error.sum(keepdims=True)]
+
+
 def trained(chunks: np.ndarray, doc: np.ndarray, label: np.ndarray) -> Network:
     """Adam on the log loss; ``doc`` is sorted and numbers the rows of ``label``."""
     rng = np.random.default_rng(SEED)
@@ -95,58 +134,41 @@ def trained(chunks: np.ndarray, doc: np.ndarray, label: np.ndarray) -> Network:
             rows = order[k: k + BATCH]
             pick = np.concatenate([np.arange(edges[r], edges[r + 1]) for r in rows])
             own = np.repeat(np.arange(len(rows)), edges[rows + 1] - edges[rows])
-            part = chunks[pick]
-            best, at = net.pooled(part)
-            features = net.combined(best, own, len(rows))
-            error = ((net.probabilities(features) - label[rows]) / len(rows)).astype(np.float32)
-            back = error[:, None] * net.head
-            act = np.maximum(best + net.shift, 0)
-            top = act == features[own, FILTERS:]
-            grad = (back[own, :FILTERS] / np.bincount(own)[own][:, None] + back[own, FILTERS:] * top) * (act > 0)
-            taps = STRIDE * at[..., None] + np.arange(TAPS)  # bytes under each winning window
-            seen = part[np.arange(len(part))[:, None, None], taps]
-            under = net.embed[seen].reshape(len(part), FILTERS, -1)
-            to_filters = np.einsum("nfk,nf->kf", under, grad)
-            to_embed = np.zeros_like(net.embed)
-            shares = grad[:, :, None, None] * net.filters.T.reshape(FILTERS, TAPS, WIDTH)
-            for d in range(WIDTH):
-                to_embed[:, d] = np.bincount(seen.ravel(), shares[..., d].ravel(), 256)
             step += 1
-            for w, g, (m, v) in zip(net.weights(), (to_embed, to_filters, grad.sum(0), features.T @ error, error.sum(keepdims=True)), moments):
+            for w, g, (m, v) in zip(net.weights(), gradients(net, chunks[pick], own, label[rows]), moments):
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
                 w -= RATE * (0.5 if epoch >= EPOCHS // 2 else 1) * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
     return net
 
 
-def training_chunks(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """label and TRAIN_CHUNKS chunks at most of the labelled documents with the smallest id hashes."""
+def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most: int = TRAIN_BYTES) -> list[tuple[int, int, str]]:
+    """(doc_id, label, text) of ``rows`` labelled documents with the smallest id hashes, at most ``most`` bytes; equal rows count once."""
     chosen = labels.where("label IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", F.col("label").cast("int").alias("label"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(rows)  # ``rows`` small rows
-
-    def run(batches):
-        for part in slices(batches, "text"):
-            out = []
-            for text, doc in zip(column(part, "text").to_pylist(), column(part, "doc_id").to_pylist()):
-                raw = (text or "").encode()
-                starts = chunk_starts(len(raw))
-                if len(starts) > TRAIN_CHUNKS:
-                    starts = np.sort(np.random.default_rng(doc & 0x7FFFFFFF).choice(starts, TRAIN_CHUNKS, replace=False))
-                out.append([raw[s: s + CHUNK].ljust(CHUNK, b"\0") for s in starts])
-            yield pa.RecordBatch.from_arrays([column(part, "doc_id"), column(part, "label"), pa.array(out, pa.list_(pa.binary()))], ["doc_id", "label", "chunks"])
-
-    joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    return joined.select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label int, chunks array<binary>")
+    joined = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    joined = joined.withColumn("mark", F.xxhash64("text"))
+    keys = ["doc_id", "label", "mark"]
+    sizes = joined.select(*keys, F.octet_length("text").alias("size")).distinct().orderBy(F.xxhash64("doc_id"), *keys).limit(rows).collect()
+    fit, total = [], 0
+    for r in sizes:
+        if total + r["size"] <= most:
+            total += r["size"]
+            fit.append((r["doc_id"], r["label"], r["mark"]))
+    wanted = docs.sparkSession.createDataFrame(fit, "doc_id long, label int, mark long")
+    found = joined.join(F.broadcast(wanted), keys).dropDuplicates(keys).select(*keys, "text").collect()  # ``most`` bytes
+    return [(r["doc_id"], r["label"], r["text"]) for r in sorted(found, key=lambda r: (r["doc_id"], r["label"], r["mark"]))]
 
 
 def fitted(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Network | float:
     """A network, or the constant score where the labels are of one kind or none."""
-    sample = training_chunks(docs, labels, rows).orderBy("doc_id", "label").limit(2 * rows).collect()  # ids are unique but for repeated rows
-    label = np.array([r["label"] for r in sample], np.float32)
+    sample = training_rows(docs, labels, rows)
+    label = np.array([r[1] for r in sample], np.float32)
     if len(set(label.tolist())) < 2:
         return float((label.sum() + 1) / (len(label) + 2))
-    chunks = np.frombuffer(b"".join(bytes(c) for r in sample for c in r["chunks"]), np.uint8).reshape(-1, CHUNK)
-    return trained(chunks, np.repeat(np.arange(len(sample)), [len(r["chunks"]) for r in sample]), label)
+    raw, offsets = concatenated(pa.array([r[2] for r in sample], pa.string()))
+    counts = chunk_counts(offsets)
+    return trained(*chunked(raw, offsets, counts, 0, int(counts.sum())), label)
 
 
 def scored(docs: DataFrame, model: Network | float) -> DataFrame:
@@ -156,11 +178,7 @@ def scored(docs: DataFrame, model: Network | float) -> DataFrame:
         if isinstance(model, float):
             return np.full(part.num_rows, model)
         raw, offsets = concatenated(column(part, "text"))
-        best, doc = [], []
-        # A long text's chunks are pooled a few at a time, so memory is bounded.
-        chunks, doc = chunked(raw, offsets)
-        best = [net_part for k in range(0, len(chunks), 256) for net_part in [model.responses(chunks[k: k + 256]).reshape(len(chunks[k: k + 256]), -1, FILTERS).max(1)]]
-        return model.probabilities(model.combined(np.concatenate(best), doc, part.num_rows))
+        return model.probabilities(model.features(raw, offsets))
 
     def run(batches):
         for part in slices(batches, "text", SCORED_BYTES):
