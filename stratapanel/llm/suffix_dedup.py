@@ -4,7 +4,7 @@ Every byte goes that lies in a string of ``length`` bytes which also starts in a
 document of smaller ``doc_id``.  Each such string is owned by one short gram
 inside it: the least by hash of its grams of ``GRAM`` bytes, the leftmost of
 equals, so equal strings have equal owners wherever they stand.  Neighbouring
-strings of one owner form a fragment, about twenty bytes longer than ``length``.
+strings of one owner form a fragment, about fourteen bytes longer than ``length``.
 
 1. Owners met in two documents are found by sorting their hashes, bucket by
    bucket; only documents that hold one go on.
@@ -18,8 +18,9 @@ strings of one owner form a fragment, about twenty bytes longer than ``length``.
 
 Every slice of a task sends an owner, and an equal fragment, once: with its
 smallest document there; the others are decided on the spot.  So a passage that
-most documents share costs one entry a slice.  Work is on UTF-8 bytes, whole
-texts, never across documents.
+most documents share costs one entry a slice.  What a bucket finds goes back
+packed by destination, a group of documents, so rows do not multiply as buckets
+times documents.  Work is on UTF-8 bytes, whole texts, never across documents.
 
 Defined results: null texts are empty; texts shorter than ``length`` lose
 nothing; rows with a null ``doc_id`` take no part; rows that repeat a
@@ -38,9 +39,12 @@ from stratapanel.llm.arrow import column, concatenated, slices
 from stratapanel.llm.store import width, written
 from stratapanel.llm.words import _LETTER, _powers, mixed
 
-GRAM = 16
+#: Long enough that phrases of a few words own nothing in common.
+GRAM = 24
 #: Bytes of text whose owners or fragments one group of a shuffle holds about.
 GROUP_TEXT = 4 << 20
+#: Bytes of text whose findings (a few bytes each) one destination takes about.
+SENT_TEXT = 64 << 20
 #: Bytes of fragments whose suffixes are sorted at once (more, where one owner has more).
 SORTED_BYTES = 1 << 19
 #: Bytes of text that are looked through for fragments at once.
@@ -53,9 +57,10 @@ def gram_hashes(raw: np.ndarray) -> np.ndarray:
     """Hash of the GRAM bytes from each position on."""
     h, span, factor = _LETTER[raw], 1, 0x9E3779B97F4A7C15
     while span < GRAM:
-        h = h[:-span] * np.uint64(factor) + h[span:]
+        step = min(span, GRAM - span)  # the last halves overlap
+        h = h[:-step] * np.uint64(factor) + h[step:]
         h ^= h >> np.uint64(29)
-        span, factor = 2 * span, (factor * 3 | 1) & (1 << 64) - 1
+        span, factor = span + step, (factor * 3 | 1) & (1 << 64) - 1
     return mixed(h)
 
 
@@ -93,7 +98,8 @@ def fragments(raw: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nda
 
 
 def _buckets(owners: np.ndarray, count: int) -> np.ndarray:
-    return ((owners >> np.uint64(32)) * np.uint64(count) >> np.uint64(32)).astype(np.int64)
+    """Buckets of owners; these are least hashes, so they are mixed once more to fill all buckets alike."""
+    return ((mixed(owners) >> np.uint64(32)) * np.uint64(count) >> np.uint64(32)).astype(np.int64)
 
 
 def _runs(*keys: np.ndarray) -> np.ndarray:
@@ -106,7 +112,7 @@ def _runs(*keys: np.ndarray) -> np.ndarray:
 
 
 def _short(owners: np.ndarray) -> np.ndarray:
-    """The low half of an owner's hash: with the bucket, which the high half gives, it is told apart well enough for a first sieve."""
+    """The low half of an owner's hash: with the bucket it is told apart well enough for a first sieve."""
     return owners.astype(np.uint32)
 
 
@@ -149,10 +155,48 @@ def _owners(docs: DataFrame, length: int, buckets: int) -> DataFrame:
     return docs.mapInArrow(run, "bucket long, doc_id long, docs binary, counts binary, owners binary, shared binary")
 
 
-def _met(table: pa.Table) -> pa.Table:
-    """(doc_id, owners) of the owners that more than one document holds."""
+#: A row of findings: documents and hashes of their texts with the number of items that follow for each; then the items.
+SENT = {"docs": np.int64, "marks": np.int64, "counts": np.int32}
+SENT_ROW = "dest long, docs binary, marks binary, counts binary, items binary"
+
+
+def _sent(doc: np.ndarray, mark: np.ndarray, items: np.ndarray, dests: int) -> pa.Table:
+    """The items of each document and text, one row for each destination."""
+    dest = doc % dests
+    order = np.lexsort((mark, doc, dest))
+    dest, doc, mark, items = dest[order], doc[order], mark[order], items[order]
+    heads = np.flatnonzero(_runs(doc, mark))
+    counts = np.diff(np.append(heads, len(doc)))
+    cuts = np.append(np.flatnonzero(_runs(dest)), len(dest))
+    of_heads = np.searchsorted(heads, cuts)
+    values = [doc[heads], mark[heads], counts]
+    columns = [[v[a:b].astype(t).tobytes() for a, b in zip(of_heads, of_heads[1:])] for v, t in zip(values, SENT.values())]
+    columns.append([items[a:b].tobytes() for a, b in zip(cuts, cuts[1:])])
+    return pa.table([pa.array(dest[cuts[:-1]], pa.int64()), *(pa.array(c, pa.binary()) for c in columns)], names=["dest", *SENT, "items"])
+
+
+def _gathered(table: pa.Table, kind: type) -> pa.Table:
+    """(i, m, items) of one destination, one row for each document and text."""
+    doc, mark, counts = (np.frombuffer(b"".join(table[c].to_pylist()), t) for c, t in SENT.items())
+    items = np.frombuffer(b"".join(table["items"].to_pylist()), kind)
+    doc, mark = np.repeat(doc, counts), np.repeat(mark, counts)
+    order = np.lexsort((mark, doc))
+    doc, mark, items = doc[order], mark[order], items[order]
+    cuts = np.flatnonzero(_runs(doc, mark))
+    parts = [items[a:b].tobytes() for a, b in zip(cuts, np.append(cuts[1:], len(doc)))]
+    return pa.table([pa.array(doc[cuts], pa.int64()), pa.array(mark[cuts], pa.int64()), pa.array(parts, pa.binary())], names=["i", "m", "items"])
+
+
+def _by_document(sent: DataFrame, kind: type) -> DataFrame:
+    return sent.groupBy("dest").applyInArrow(lambda t: _gathered(t, kind), "i long, m long, items binary")
+
+
+def _met(table: pa.Table, dests: int) -> pa.Table:
+    """The owners that more than one document holds, sent to these documents."""
     if table["bucket"][0].as_py() < 0:
-        return table.select(["doc_id", "owners"])
+        owners = table["owners"].to_pylist()
+        doc = np.repeat(table["doc_id"].to_numpy(), [len(o) // 4 for o in owners])
+        return _sent(doc, np.zeros(len(doc), np.int64), np.frombuffer(b"".join(owners), np.uint32), dests)
     owner, heads, counts = (np.frombuffer(b"".join(table[c].to_pylist()), t) for c, t in (("owners", np.uint32), ("docs", np.int64), ("counts", np.int32)))
     doc = np.repeat(heads, counts)
     shared = np.concatenate([np.unpackbits(np.frombuffer(s, np.uint8), count=len(o) // 4).astype(bool) for s, o in zip(table["shared"].to_pylist(), table["owners"].to_pylist())])
@@ -163,11 +207,7 @@ def _met(table: pa.Table) -> pa.Table:
     group = np.cumsum(new) - 1
     last = np.append(first[1:], len(owner)) - 1
     keep = (doc[first] != doc[last])[group] | shared
-    owner, doc = owner[keep], doc[keep]
-    order = np.argsort(doc, kind="stable")
-    owner, doc = owner[order], doc[order]
-    cuts = np.flatnonzero(_runs(doc))
-    return pa.table({"doc_id": pa.array(doc[cuts], pa.int64()), "owners": pa.array([owner[a:b].tobytes() for a, b in zip(cuts, np.append(cuts[1:], len(doc)))], pa.binary())})
+    return _sent(doc[keep], np.zeros(int(keep.sum()), np.int64), owner[keep], dests)
 
 
 #: A shuffled batch of fragments: documents and hashes of their texts with the number of fragments that follow for each; then the fragments.
@@ -209,7 +249,7 @@ def _fragments(docs: DataFrame, length: int, buckets: int) -> DataFrame:
             keep, edges = np.zeros(len(text), bool), np.searchsorted(text, np.arange(part.num_rows + 1))
             for k, known in enumerate(column(part, "owners").to_pylist()):
                 if edges[k] < edges[k + 1]:
-                    keep[edges[k]: edges[k + 1]] = np.isin(_short(owner[edges[k]: edges[k + 1]]), np.frombuffer(b"".join(known), np.uint32))
+                    keep[edges[k]: edges[k + 1]] = np.isin(_short(owner[edges[k]: edges[k + 1]]), np.frombuffer(known, np.uint32))
             text, first, last, owner = (x[keep] for x in (text, first, last, owner))
             size = last - first + length
             digest = _digests(raw, first, size)
@@ -248,13 +288,9 @@ def _unpacked(table) -> list[np.ndarray]:
     return [np.repeat(joined["docs"], counts), np.repeat(joined["marks"], counts), joined["owners"], joined["starts"].astype(np.int64), joined["sizes"].astype(np.int64), joined["bytes"]]
 
 
-def _ranges(doc, mark, first, last) -> pa.Table:
-    """(doc_id, mark, lost): the ranges of starts of each text, as pairs of 32-bit integers."""
-    order = np.lexsort((mark, doc))
-    doc, mark, pairs = doc[order], mark[order], np.stack([first, last], 1)[order].astype(np.int32)
-    cuts = np.flatnonzero(_runs(doc, mark))
-    spans = [pairs[a:b].tobytes() for a, b in zip(cuts, np.append(cuts[1:], len(doc)))]
-    return pa.table({"doc_id": pa.array(doc[cuts], pa.int64()), "mark": pa.array(mark[cuts], pa.int64()), "lost": pa.array(spans, pa.binary())})
+def _ranges(doc: np.ndarray, mark: np.ndarray, first: np.ndarray, last: np.ndarray, dests: int) -> pa.Table:
+    """Ranges of starts, as pairs of 32-bit integers, sent to their texts."""
+    return _sent(doc, mark, np.stack([first, last], 1).astype(np.int32).view(np.uint64)[:, 0], dests)
 
 
 def _digests(raw: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -374,11 +410,11 @@ def _within(many: np.ndarray, raw: np.ndarray, doc: np.ndarray, size: np.ndarray
     return many[which[a]], inner[a], inner[b]
 
 
-def _lost(table: pa.Table, length: int) -> pa.Table:
-    """(doc_id, mark, lost) of the starts of strings that a smaller document holds."""
+def _lost(table: pa.Table, length: int, dests: int) -> pa.Table:
+    """The ranges of starts of strings that a smaller document holds, sent to the texts that lose them."""
     doc, mark, owner, start, size, raw = _unpacked(table)
     if table["bucket"][0].as_py() < 0:
-        return _ranges(doc, mark, start, start + size - length)
+        return _ranges(doc, mark, start, start + size - length, dests)
     begin = np.cumsum(size) - size
     digest = _digests(raw, begin, size)
     order = np.lexsort((doc, digest, size, owner))
@@ -410,7 +446,7 @@ def _lost(table: pa.Table, length: int) -> pa.Table:
         pick.append(mate), firsts.append(start[mate] + first[run]), lasts.append(start[mate] + last[run])
         at = stop
     pick = np.concatenate(pick)
-    return _ranges(doc[pick], mark[pick], np.concatenate(firsts), np.concatenate(lasts))
+    return _ranges(doc[pick], mark[pick], np.concatenate(firsts), np.concatenate(lasts), dests)
 
 
 def _cut(docs: DataFrame, length: int) -> DataFrame:
@@ -420,7 +456,7 @@ def _cut(docs: DataFrame, length: int) -> DataFrame:
         for part in slices(batches, "packed"):
             kept, gone, spans = [], [], []
             for raw, lost in zip(_texts(column(part, "packed")), column(part, "lost").to_pylist()):
-                pairs = np.frombuffer(b"".join(lost), np.int32).reshape(-1, 2)
+                pairs = np.frombuffer(lost, np.int32).reshape(-1, 2)
                 ranges = sorted(zip(pairs[:, 0].tolist(), (pairs[:, 1] + length).tolist()))
                 out, end, count, total = [], 0, 0, 0
                 for a, b in ranges:
@@ -440,20 +476,19 @@ def _cut(docs: DataFrame, length: int) -> DataFrame:
 
 def repeats_cut(docs: DataFrame, length: int = 50) -> DataFrame:
     """doc_id, mark (hash of the text), kept, n_removed, n_spans of the documents that lose something."""
-    if length < 2 * GRAM:
-        raise ValueError(f"length must be {2 * GRAM} or more")
+    if length <= GRAM:
+        raise ValueError(f"length must be above {GRAM}")
     mine = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("bigint"), "text")
     size = mine.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
     buckets = max(width(docs.sparkSession), size // GROUP_TEXT)
-    dealt = _owners(mine, length, buckets).groupBy("bucket").applyInArrow(_met, "doc_id long, owners binary")
-    lists = dealt.groupBy("doc_id").agg(F.collect_list("owners").alias("owners"))
-    named = lists.select(F.col("doc_id").alias("holder"), "owners")
+    dests = max(width(docs.sparkSession), size // SENT_TEXT)
+    met = _owners(mine, length, buckets).groupBy("bucket").applyInArrow(lambda t: _met(t, dests), SENT_ROW)
+    named = _by_document(met, np.uint32).select(F.col("i").alias("holder"), F.col("items").alias("owners"))
     texts = _packed(mine)
     held = texts.join(named.hint("merge"), F.col("doc_id") == F.col("holder")).select("doc_id", "mark", "packed", "owners")
     parts = _fragments(held, length, buckets)
-    lost = parts.groupBy("bucket").applyInArrow(lambda t: _lost(t, length), "doc_id long, mark long, lost binary")
-    lost = lost.groupBy("doc_id", "mark").agg(F.collect_list("lost").alias("lost"))
-    lost = written(lost.select(F.col("doc_id").alias("i"), F.col("mark").alias("m"), "lost"), "lost")
+    lost = parts.groupBy("bucket").applyInArrow(lambda t: _lost(t, length, dests), SENT_ROW)
+    lost = written(_by_document(lost, np.uint64).withColumnRenamed("items", "lost"), "lost")
     # Shuffled at every size: the plan that large tables need.
     whole = texts.join(lost.hint("merge"), (F.col("doc_id") == F.col("i")) & (F.col("mark") == F.col("m")))
     return written(_cut(whole, length), "cut")

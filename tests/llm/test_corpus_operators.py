@@ -2,10 +2,12 @@
 
 import hashlib
 import random
+import tracemalloc
 import re
 import zlib
 
 import numpy as np
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -202,6 +204,26 @@ def test_repeated_strings(spark, length):
     assert sorted(got, key=str) == brute_cut(rows, length)
 
 
+def test_one_passage_in_every_document(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SLICE", 2000)
+    rng = random.Random(2)
+    passage = text_of(rng, 20)
+    rows = [(k, text_of(rng, rng.randrange(9)) + passage + text_of(rng, rng.randrange(9))) for k in range(60)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = [tuple(r) for r in suffix_dedup.deduplicated(table).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()]
+    assert sorted(got, key=str) == brute_cut(rows, 50)
+
+
+def test_findings_are_sent_packed_and_arrive_whole():
+    rng = np.random.default_rng(3)
+    doc, mark, items = rng.integers(-20, 20, 500), rng.integers(0, 2, 500), np.arange(500, dtype=np.uint32)
+    sent = suffix_dedup._sent(doc, mark, items, 7)
+    assert sorted(sent["dest"].to_pylist()) == list(range(7))  # one row for each destination
+    got = {(r["i"], r["m"]): sorted(np.frombuffer(r["items"], np.uint32).tolist()) for d in range(7) for r in suffix_dedup._gathered(sent.filter(pc.equal(sent["dest"], d)), np.uint32).to_pylist()}
+    assert got == {(d, m): items[(doc == d) & (mark == m)].tolist() for d, m in set(zip(doc.tolist(), mark.tolist()))}
+    assert suffix_dedup._sent(doc[:0], mark[:0], items[:0], 7).num_rows == 0
+
+
 def test_repeats_in_small_slices_and_segments(spark, monkeypatch):
     from stratapanel.llm import arrow
 
@@ -266,13 +288,76 @@ def test_classifier_without_labels(spark):
 
 
 def test_chunks_cover_every_byte():
-    for size in (0, 1, 511, 512, 513, 960, 961, 5000):
-        raw = np.arange(size, dtype=np.int64).astype(np.uint8)
-        chunks, doc = quality_classifier.chunked(raw, np.array([0, size]))
-        covered = np.zeros(size, bool)
-        for s in quality_classifier.chunk_starts(size):
-            covered[s: s + quality_classifier.CHUNK] = True
-        assert covered.all() and len(chunks) == len(doc) == len(quality_classifier.chunk_starts(size))
+    c, step = quality_classifier.CHUNK, quality_classifier.CHUNK - quality_classifier.OVERLAP
+    sizes = [0, 1, 511, 512, 513, 960, 961, 5000]
+    offsets = np.append(0, np.cumsum(sizes))
+    raw = (np.arange(offsets[-1]) % 251 + 1).astype(np.uint8)
+    counts = quality_classifier.chunk_counts(offsets)
+    want = [(d, raw[a: b][k * step: k * step + c]) for d, (a, b) in enumerate(zip(offsets, offsets[1:])) for k in range(counts[d])]
+    for d, size in enumerate(sizes):
+        assert sum(k == d for k, _ in want) == counts[d] and (counts[d] - 1) * step + c >= size
+    for block in (1, 3, 100):
+        got = [quality_classifier.chunked(raw, offsets, counts, k, k + block) for k in range(0, int(counts.sum()), block)]
+        pairs = [(d, row) for chunks, doc in got for d, row in zip(doc, chunks)]
+        assert len(pairs) == len(want)
+        for (d, row), (e, text) in zip(pairs, want):
+            assert d == e and bytes(row) == bytes(text).ljust(c, b"\0")
+
+
+def naive_probability(weights, text):
+    """The network's answer by loops over chunks, filters and positions, in doubles."""
+    embed, filters, shift, head, bias = (w.astype(float) for w in weights)
+    q = quality_classifier
+    best = []
+    for k in range(max(1, -(-(len(text) - q.OVERLAP) // (q.CHUNK - q.OVERLAP)))):
+        chunk = text[k * (q.CHUNK - q.OVERLAP):][: q.CHUNK].ljust(q.CHUNK, b"\0")
+        rows = [np.concatenate([embed[b] for b in chunk[p: p + q.TAPS]]) @ filters for p in range(0, q.CHUNK - q.TAPS + 1, q.STRIDE)]
+        best.append(np.maximum(np.max(rows, 0) + shift, 0))
+    return 1 / (1 + np.exp(-(np.concatenate([np.mean(best, 0), np.max(best, 0)]) @ head + bias[0])))
+
+
+def test_network_against_naive_convolution_and_numeric_gradient():
+    q = quality_classifier
+    rng = np.random.default_rng(5)
+    net = q.Network(rng)
+    net.shift[:] = rng.normal(0, 0.2, q.FILTERS)
+    texts = [bytes(rng.integers(32, 127, n).astype(np.uint8)) for n in (0, 40, 700, 1500)]
+    raw, offsets = np.frombuffer(b"".join(texts), np.uint8), np.append(0, np.cumsum([len(t) for t in texts]))
+    want = [naive_probability(net.weights(), t) for t in texts]
+    assert np.allclose(net.probabilities(net.features(raw, offsets)), want, atol=1e-5)
+    label = np.array([1, 0, 0, 1], np.float32)
+    counts = q.chunk_counts(offsets)
+    chunks, doc = q.chunked(raw, offsets, counts, 0, int(counts.sum()))
+    found = q.gradients(net, chunks, doc, label)
+
+    def loss(weights):
+        p = np.array([naive_probability(weights, t) for t in texts])
+        return -np.mean(label * np.log(p) + (1 - label) * np.log(1 - p))
+
+    for k, g in enumerate(found):
+        for at in np.argsort(-np.abs(g).ravel())[:3]:
+            up, down = ([w.astype(float).copy() for w in net.weights()] for _ in range(2))
+            up[k].ravel()[at] += 1e-6
+            down[k].ravel()[at] -= 1e-6
+            assert abs((loss(up) - loss(down)) / 2e-6 - g.ravel()[at]) < 1e-4 + 0.01 * abs(g.ravel()[at]), (k, at)
+
+
+def test_long_texts_are_pooled_a_few_chunks_at_a_time():
+    net = quality_classifier.Network(np.random.default_rng(1))
+    raw = np.tile(np.frombuffer(b"a sentence that goes on and on, ", np.uint8), 1 << 17)  # 4 MB
+    tracemalloc.start()
+    score = net.probabilities(net.features(raw, np.array([0, len(raw)])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert 0 <= score[0] <= 1 and peak < 40 << 20
+
+
+def test_training_sample_is_whole_texts_within_its_bounds(spark):
+    table = spark.createDataFrame([(k, "word " * (10 if k else 5000)) for k in range(20)] + [(3, "word " * 10), (4, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(20)], "doc_id long, label int")
+    rows = quality_classifier.training_rows(table, labels, 100, 5000)
+    assert sorted((r[0], len(r[2])) for r in rows) == sorted([(k, 50) for k in range(1, 20)] + [(4, 0)])
+    assert len(quality_classifier.training_rows(table, labels, 7)) <= 8
 
 
 # pipeline ----------------------------------------------------------------------------------------------------------------
