@@ -3,8 +3,9 @@
 A rule says from a text's measures whether it rejects the document.  On a
 sample of ``SAMPLE_ROWS`` rows each rule's cost (seconds over that of reading
 the measures' text alone) and its share of rejections are estimated; rules then
-run in the order of rejections per cost, as one nested conditional that stops at
-the first rejection.  The order never changes a verdict, only its price.
+run in the order of rejections per cost, as one nested conditional that names
+the first rejection.  The order never changes a verdict.  All measures the rules
+need are computed before, so the order saves comparisons only.
 
 Words are runs of anything but ASCII white space.  Measures of a text:
 
