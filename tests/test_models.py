@@ -168,3 +168,31 @@ def test_segment_dates_must_match(spark):
     led = spark.createDataFrame([("a", x) for x in d[:2]], "candidate string, date date")
     bench = spark.createDataFrame([(x,) for x in d], "date date")
     assert [tuple(r) for r in ML.segment_violations(led, bench).collect()] == [("a", d[2])]
+
+
+def test_jobs_do_not_grow_with_the_rounds(dataset):
+    """Models that a task holds are grown whole, all rounds in one job."""
+    context = dataset.sparkSession.sparkContext
+    first = cut(dataset).agg(F.min("prediction_date").alias("prediction_date")).cache()
+    jobs = {}
+    for rounds in (1, 2, 12):  # the first fills the cache
+        context.setJobGroup(f"rounds{rounds}", "fit")
+        ML.fit(dataset, first, (replace(SETTING, iterations=rounds),))
+        jobs[rounds] = len(context.statusTracker().getJobIdsForGroup(f"rounds{rounds}"))
+    context.setJobGroup("", "")
+    assert jobs[2] == jobs[12] > 0
+
+
+def test_smaller_child_counts_match_plain_boosting(monkeypatch):
+    """Rows in several blocks, the larger child by subtraction, a feature without a split."""
+    monkeypatch.setattr(ML, "BLOCK", 70)
+    rng = np.random.default_rng(5)
+    codes = rng.integers(0, 9, (400, 5)).astype(np.uint8)
+    codes[:, 4] = 3
+    y = (rng.random(400) < 0.2 + 0.6 * (codes[:, 0] > 5)).astype(np.uint8)
+    for setting in (ML.Setting("a", 3, 0.0, 6, 0.3, 9), ML.Setting("b", 2, 5.0, 6, 0.1, 9)):
+        prior = np.log(y.mean() / (1 - y.mean()))
+        margin = np.full(len(y), prior)
+        for feature, bin_, _, value in ML.grown(np.ascontiguousarray(codes.T), y, prior, setting, 3):
+            margin += value[ML.reached(codes, feature, bin_, 3)]
+        assert margin == pytest.approx(plain_boosting(codes, y.astype(float), setting), abs=1e-9)
