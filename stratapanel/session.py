@@ -58,7 +58,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/stratapanel/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.stored_here = True
+    return table
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` where it is a table made by ``stored``, else stored: for plans that read it several times."""
+    return df if getattr(df, "stored_here", False) else stored(df, name)
 
 
 def dropped(df: DataFrame) -> None:

@@ -79,3 +79,23 @@ def test_baseline_score_is_the_mean_percentile(spark):
     want = {r["ticker"]: r["s"] for r in df.select("ticker", (total / 5.0).alias("s")).collect()}
     assert {r["ticker"]: r["ml_score"] for r in R.baseline_score(df).collect()} == want
     assert R.baseline_score(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("method, descending", [("min", False), ("min", True), ("average", False), ("average", True)])
+def test_shared_ranks_over_many_cells(wide, monkeypatch, method, descending):
+    """Bounds between and upon repeated values, NULL, NaN and infinities."""
+    monkeypatch.setattr(R, "CELL_ROWS", 40)
+    monkeypatch.setattr(R, "CELL_SAMPLES", 8)
+    got = R.ranked(wide, ("date",), "v", "k", method, descending, size="n")
+    assert {(r["date"], r["ticker"]): (r["k"], r["n"]) for r in got.collect()} == by_window(wide, "v", method, descending)
+
+
+def test_shared_ranks_move_rows_twice(spark, wide):
+    """To their cells and back together; the tables of counts are joined without a shuffle."""
+    rows = wide.where("date IS NOT NULL").select("date", "ticker", "v", "w")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = R.ranked_together(rows, ("date",), {"v": "a", "w": "b"})._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert plan.count("Exchange hashpartitioning") == 2 and "SortMergeJoin" not in plan and "Exchange rangepartitioning" not in plan
