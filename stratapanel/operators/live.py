@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from stratapanel.functions.columns import attach
 from stratapanel.operators.ledger import one_way_cost, periods
 from stratapanel.operators.ranking import ranked_together, top_n
-from stratapanel.operators.timeseries import benchmark_returns, calendar, momentum, on_calendar, outcomes
+from stratapanel.operators.timeseries import benchmark_returns, calendar, change, on_calendar, outcomes
+from stratapanel.session import stored
 
 
 def momentum_now(monthly: DataFrame, tickers: DataFrame) -> DataFrame:
@@ -55,9 +56,17 @@ def replay_signals(monthly: DataFrame, start: str, end: str) -> DataFrame:
     whole replay is one plan over the panel instead of one truncation per date.
     """
     inside = F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date"))
-    three = momentum(monthly, 3, 0, "momentum_3m").select("date", "ticker", "momentum_3m")
-    twelve = momentum(monthly, 12, 1, "momentum_12_1").select("date", "ticker", "momentum_12_1")
-    rows = three.join(twelve, ["date", "ticker"], "full_outer").where(inside)
+    sessions, missing = calendar(monthly), F.lit(None).cast("double")
+    # Both come from one sort by security; the second is read a session before its date, so a security missing at the date keeps it.
+    signals = F.array(
+        F.struct("t", F.col("_3").alias("momentum_3m"), missing.alias("momentum_12_1")),
+        F.struct((F.col("t") + 1).alias("t"), missing.alias("momentum_3m"), F.col("_11").alias("momentum_12_1")))
+    rows = (
+        on_calendar(monthly, sessions).select("ticker", "t", change("close", 3).alias("_3"), change("close", 11).alias("_11"))
+        .select("ticker", F.inline(signals)).where("momentum_3m IS NOT NULL OR momentum_12_1 IS NOT NULL")
+        .join(F.broadcast(sessions.where(inside).select("t", "date")), "t")
+        .groupBy("date", "ticker").agg(F.max("momentum_3m").alias("momentum_3m"), F.max("momentum_12_1").alias("momentum_12_1"))
+    )
     both = {"momentum_3m": "rank_3m", "momentum_12_1": "rank_12_1"}
     rows = ranked_together(rows, ("date",), both, "row", descending=True).drop("rank_3m_size", "rank_12_1_size")
     known = {rank: F.when(F.col(signal).isNotNull(), F.col(rank)) for signal, rank in both.items()}
@@ -92,8 +101,9 @@ def replay_decisions(monthly: DataFrame, scores: DataFrame, start: str, end: str
     asset_return, eligible_securities); the last date has no outcome.
     """
     inside = F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date"))
-    sessions = calendar(monthly).where(inside).select(F.col("date").alias("as_of"))
-    eligible = eligible_as_of(eligibility_intervals(monthly, stale_days), sessions)
+    sessions = calendar(monthly)
+    # Read three times.
+    eligible = stored(eligible_as_of(eligibility_intervals(monthly, stale_days), sessions.where(inside).select(F.col("date").alias("as_of"))), "eligible")
     breadth = eligible.groupBy("as_of").agg(F.count(F.lit(1)).alias("eligible_securities"))
     signals = replay_signals(monthly, start, end).where("momentum_3m IS NOT NULL AND momentum_12_1 IS NOT NULL").join(eligible, ["as_of", "ticker"], "left_semi")
     both = F.array(*[F.struct(F.lit(name).alias("strategy"), F.col(rank).cast("bigint").alias("rank")) for name, rank in (("momentum_3m_equal", "rank_3m"), ("momentum_12_1_equal", "rank_12_1"))])
@@ -103,8 +113,11 @@ def replay_decisions(monthly: DataFrame, scores: DataFrame, start: str, end: str
     ranks = momentum_ranks.unionByName(best)
     w = Window.partitionBy("strategy", "as_of")
     chosen = ranks.withColumn("_nth", F.row_number().over(w.orderBy("rank", "ticker"))).where(F.col("_nth") <= n).drop("_nth")
-    later = outcomes(monthly).select(F.col("date").alias("as_of"), "ticker", F.col("next_date").alias("next_as_of"), "asset_return")
-    out = chosen.withColumn("target_weight", 1.0 / F.count(F.lit(1)).over(w)).join(later, ["as_of", "ticker"], "left").join(breadth, "as_of")
+    # ``n`` rows per strategy and date: only these names' outcomes are worked out.
+    chosen = stored(chosen.withColumn("target_weight", 1.0 / F.count(F.lit(1)).over(w)), "chosen")
+    held = monthly.join(chosen.select("ticker").distinct(), "ticker", "left_semi")
+    later = outcomes(held, sessions).select(F.col("date").alias("as_of"), "ticker", F.col("next_date").alias("next_as_of"), "asset_return")
+    out = chosen.join(later, ["as_of", "ticker"], "left").join(breadth, "as_of")
     # A realisation lies inside the replay too.
     seen = F.col("next_as_of") <= F.lit(end).cast("date")
     return out.select(

@@ -267,9 +267,9 @@ def wealth_path(returns: DataFrame, keys=("strategy",), ret: str = "ret") -> Dat
     )
 
 
-def outcomes(monthly: DataFrame) -> DataFrame:
-    """(date, ticker, asset_return, next_date): return earned from ``date`` on."""
-    return on_calendar(monthly).select(
+def outcomes(monthly: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
+    """(date, ticker, asset_return, next_date): return earned from ``date`` on; ``sessions``: the calendar where ``monthly`` is a part of a panel."""
+    return on_calendar(monthly, sessions).select(
         "date", "ticker", (F.try_divide(lagged("close", -1), F.col("close")) - 1.0).alias("asset_return"),
         "next_date",
     )
