@@ -41,6 +41,7 @@ from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from stratapanel.llm.arrow import column, concatenated, slices
@@ -54,6 +55,8 @@ GROWTH = 1.6
 REMEMBERED = 200_000
 #: Scheme numbers told apart by a signature's low bits, and a set size beyond any: its band is still below ``NUMBERS``.
 NUMBERS, BEYOND = 64, 1 << 40
+#: Scheme number of the mark that carries a row's sizes; no set is large enough for a scheme of this number.
+SIZES = NUMBERS - 1
 
 
 class Scheme:
@@ -119,16 +122,19 @@ def signatures(tokens: np.ndarray, threshold: int) -> tuple[np.ndarray, int, int
 
 
 def _indexed(docs: DataFrame, words: int, threshold: int) -> DataFrame:
-    """doc_id, n_shingles, band, empty and empty_next (segments under the band and the next), first (a document met earlier in the task with the same set), signatures."""
+    """doc_id, n_shingles, band, empty and empty_next (segments under the band and the next), first (a document met earlier in the task with the same set), signatures (the first one is the row's own, under the number ``SIZES``)."""
 
     def run(batches):
         known: dict[bytes, int] = {}
+        met = TaskContext.get().partitionId() << 40
         for part in slices(batches, "text"):
             raw, offsets = concatenated(column(part, "text"))
             ids = column(part, "doc_id").to_pylist()
             sets, first, marks = shingle_sets(raw, offsets, words), [], []
             bands = []
-            for doc, tokens in zip(ids, sets):
+            own = mixed(np.arange(met, met + len(ids), dtype=np.uint64)) & ~np.uint64(NUMBERS - 1) | np.uint64(SIZES)
+            met += len(ids)
+            for k, (doc, tokens) in enumerate(zip(ids, sets)):
                 one, mark, band = None, np.zeros(0, np.uint64), (0, 0, 0)
                 if doc is not None and len(tokens):
                     digest = hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
@@ -138,7 +144,7 @@ def _indexed(docs: DataFrame, words: int, threshold: int) -> DataFrame:
                         if len(known) < REMEMBERED:
                             known[digest] = doc
                 first.append(one), bands.append(tuple(band))
-                marks.append(mark.view(np.int64))
+                marks.append(np.append(own[k], mark).view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *(pa.array([b[k] for b in bands], pa.int32()) for k in range(3)), pa.array(first, pa.int64()), pa.array(marks, pa.list_(pa.int64()))],
                 ["doc_id", "n_shingles", "band", "empty", "empty_next", "first", "signatures"])
@@ -225,17 +231,19 @@ def _rarely_shared(sets: DataFrame, threshold: int) -> DataFrame:
 def joined(docs: DataFrame, words: int = 5, threshold: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id reachable by links), a row for every row of ``docs``."""
     spark = docs.sparkSession
-    index = written(_indexed(docs, words, threshold), "index", "none")
-    rows = written(index.select("doc_id", "n_shingles", "band", "empty", "empty_next", "first"), "sizes")
+    # Sizes travel with the signatures: the index is made once and never stored beside its shuffle.
+    sizes_of = ("n_shingles", "band", "empty", "empty_next", "first")
+    index = _indexed(docs, words, threshold).select("doc_id", *sizes_of, F.explode("signatures").alias("mark"))
+    number = F.col("mark").bitwiseAND(NUMBERS - 1).cast("int").alias("number")
+    marks = index.select("mark", F.col("doc_id").alias("id"), F.when(number == SIZES, F.struct(*sizes_of)).alias("sizes"))
+    own = W.partitionBy("mark")
+    met = marks.repartition(width(spark), "mark").select("mark", "id", "sizes", F.min("id").over(own).alias("least"), F.max("id").over(own).alias("most"))
+    indexed = written(met.where("sizes IS NOT NULL OR least < most").select("mark", "id", "least", "sizes"), "met")
+    met = indexed.where("sizes IS NULL").select("mark", "id", "least")
+    rows = written(indexed.where("sizes IS NOT NULL").select(F.col("id").alias("doc_id"), "sizes.*"), "sizes")
     # Several texts of one id: no bound holds for all, so none is set.
     bound = lambda c: F.when(F.count(F.lit(1)) > 1, 1 << 30).otherwise(F.max(c)).alias(c)
     sizes = rows.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("id")).agg(F.max("n_shingles").alias("n"), F.max("band").alias("band"), bound("empty"), bound("empty_next"))
-    marks = index.select(F.col("doc_id").alias("id"), F.explode("signatures").alias("mark"))
-    own = W.partitionBy("mark")
-    met = marks.repartition(width(spark), "mark").select("mark", "id", F.min("id").over(own).alias("least"), F.max("id").over(own).alias("most"))
-    met = written(met.where("least < most").select("mark", "id", "least"), "met")
-    removed(spark, index)
-    number = F.col("mark").bitwiseAND(NUMBERS - 1).cast("int").alias("number")
 
     pairs = written(_near(met.where("id > least").select(F.col("least").alias("a"), F.col("id").alias("b"), number), sizes, threshold), "pairs")
     wanted = written(met.select(F.col("id").alias("wanted")).distinct(), "wanted")
@@ -255,7 +263,7 @@ def joined(docs: DataFrame, words: int = 5, threshold: int = 80) -> DataFrame:
     fresh = written(_linked(more, sets, threshold), "links")
     if not fresh.isEmpty():
         found = components(links.unionByName(fresh))
-    for table in (met, wanted, sets, pairs, more, open_ids):
+    for table in (indexed, wanted, sets, pairs, more, open_ids):
         removed(spark, table)
     label = found.select(F.col("id").alias("i"), "component")
     return rows.join(label, F.col("doc_id") == F.col("i"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

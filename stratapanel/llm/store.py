@@ -3,21 +3,36 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 from stratapanel.session import shared_folder
 
+RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/stratapanel/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}/{name}"
 
 
+@contextmanager
+def shuffles_released(spark: SparkSession):
+    """Inside, Spark removes the shuffle files of a query when it ends, not when the driver's JVM next collects its garbage."""
+    before = spark.conf.get(RELEASE, None)
+    spark.conf.set(RELEASE, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(RELEASE) if before is None else spark.conf.set(RELEASE, before)
+
+
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` once and read it back: no step is run twice, and a lost executor costs one task."""
+    """Write ``df`` once and read it back: no step is run twice, a lost executor costs one task, and its shuffle files go at once."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", codec).parquet(path)
+    with shuffles_released(spark):
+        df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

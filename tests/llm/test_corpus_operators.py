@@ -2,16 +2,18 @@
 
 import hashlib
 import random
+import time
 import tracemalloc
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
-from stratapanel.llm import components, ngram_jaccard, packing, quality_classifier, suffix_dedup
+from stratapanel.llm import components, ngram_jaccard, packing, quality_classifier, store, suffix_dedup
 from stratapanel.llm.words import shingle_sets
 
 VOCABULARY = ["lorem", "Ipsum", "dolor", "sit", "AMET", "sed", "do", "éü", "x", "magna", "aliqua", "ut", "enim", "ad", "minim", "veniam"]
@@ -145,6 +147,45 @@ def test_deduplicated_keeps_the_least_and_odd_rows(spark):
     assert ngram_jaccard.joined(table.limit(0)).count() == 0
 
 
+def shuffle_files(spark):
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return {f for folder in folders for f in Path(folder).rglob("shuffle_*")}
+
+
+def left_over(spark, before):
+    """Shuffle files made since ``before``; Spark removes them beside the query."""
+    for _ in range(50):
+        if not (new := shuffle_files(spark) - before):
+            break
+        time.sleep(0.1)
+    return new
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    before = shuffle_files(spark)
+    counts = store.written(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count().repartition(5), "counts")
+    assert not left_over(spark, before)
+    assert counts.count() == 7
+    assert spark.conf.get(store.RELEASE, "false") == "false"
+
+
+def stored_names(monkeypatch, module):
+    names, plain = [], module.written
+    monkeypatch.setattr(module, "written", lambda df, name, *more: (names.append(name), plain(df, name, *more))[1])
+    return names
+
+
+def test_signatures_are_not_stored_beside_their_shuffle(spark, monkeypatch):
+    """Repeated and null ids too: a row's sizes come from the same pass as its signatures."""
+    names = stored_names(monkeypatch, ngram_jaccard)
+    base = text_of(random.Random(3), 40)
+    table = spark.createDataFrame([(4, base), (None, base), (None, ""), (8, base), (8, "one two"), (1, None)], "doc_id long, text string").repartition(4)
+    rows = ngram_jaccard.joined(table).collect()
+    assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in rows) == sorted(
+        [("4", 36, "4"), ("None", 36, "None"), ("None", 0, "None"), ("8", 36, "4"), ("8", 1, "4"), ("1", 0, "1")])
+    assert "index" not in names
+
+
 def test_shingles_of_a_very_long_text():
     text = ("word%d " * 60_000) % tuple(range(60_000))
     raw = np.frombuffer(("x " + text).encode(), np.uint8)
