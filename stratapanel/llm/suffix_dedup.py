@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from stratapanel.llm.arrow import column, concatenated, slices
-from stratapanel.llm.store import width, written
+from stratapanel.llm.store import removed, width, written
 from stratapanel.llm.words import _LETTER, _powers, mixed
 
 #: Long enough that phrases of a few words own nothing in common.
@@ -483,12 +483,14 @@ def repeats_cut(docs: DataFrame, length: int = 50) -> DataFrame:
     buckets = max(width(docs.sparkSession), size // GROUP_TEXT)
     dests = max(width(docs.sparkSession), size // SENT_TEXT)
     met = _owners(mine, length, buckets).groupBy("bucket").applyInArrow(lambda t: _met(t, dests), SENT_ROW)
-    named = _by_document(met, np.uint32).select(F.col("i").alias("holder"), F.col("items").alias("owners"))
+    # Stored, so that the shuffles of the first sieve are gone before those of the fragments come.
+    named = written(_by_document(met, np.uint32).select(F.col("i").alias("holder"), F.col("items").alias("owners")), "owners")
     texts = _packed(mine)
     held = texts.join(named.hint("merge"), F.col("doc_id") == F.col("holder")).select("doc_id", "mark", "packed", "owners")
     parts = _fragments(held, length, buckets)
     lost = parts.groupBy("bucket").applyInArrow(lambda t: _lost(t, length, dests), SENT_ROW)
     lost = written(_by_document(lost, np.uint64).withColumnRenamed("items", "lost"), "lost")
+    removed(docs.sparkSession, named)
     # Shuffled at every size: the plan that large tables need.
     whole = texts.join(lost.hint("merge"), (F.col("doc_id") == F.col("i")) & (F.col("mark") == F.col("m")))
     return written(_cut(whole, length), "cut")

@@ -255,6 +255,14 @@ def test_one_passage_in_every_document(spark, monkeypatch):
     assert sorted(got, key=str) == brute_cut(rows, 50)
 
 
+def test_first_sieve_is_gone_before_the_fragments_come(spark, monkeypatch):
+    passage = text_of(random.Random(6), 30)
+    table = spark.createDataFrame([(k, f"{k} {passage}") for k in range(6)], "doc_id long, text string").repartition(3)
+    names = stored_names(monkeypatch, suffix_dedup)
+    assert suffix_dedup.repeats_cut(table).count() == 5
+    assert names == ["owners", "lost", "cut"]
+
+
 def test_findings_are_sent_packed_and_arrive_whole():
     rng = np.random.default_rng(3)
     doc, mark, items = rng.integers(-20, 20, 500), rng.integers(0, 2, 500), np.arange(500, dtype=np.uint32)
