@@ -28,6 +28,8 @@ from stratapanel.llm.tokens import encoder
 
 #: Ids after which a block is closed.
 BLOCK_IDS = 1 << 18
+#: Text bytes whose distinct words are looked up at once.
+ENCODED_BYTES = 8 << 20
 BLOCKS = "shard int, block long, first long, doc_ids array<bigint>, lengths array<bigint>, control binary, data binary"
 #: Bytes of each of the four ids that a control byte describes.
 LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], dtype=np.uint8)
@@ -73,15 +75,14 @@ def tokenized(docs: DataFrame, path: str, end_id: int | None, size: int) -> Data
 
     def run(batches):
         enc, total = encoder(path), np.zeros(size, np.int64)
-        end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
-        for part in slices(batches, "text"):
-            ids = [enc.encode(t) + end for t in column(part, "text").to_pylist()]
-            flat = np.frombuffer(b"".join(ids), "<u4")
+        for part in slices(batches, "text", ENCODED_BYTES):
+            flat, bounds = enc.encode_all(column(part, "text"))
+            if end_id is not None:
+                flat, bounds = np.insert(flat, bounds[1:], end_id), bounds + np.arange(len(bounds))
             total += np.bincount(flat, minlength=size)
-            bounds = np.zeros(len(ids) + 1, np.int64)
-            np.cumsum([len(x) // 2 for x in ids], out=bounds[1:])
-            narrow = pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(flat.astype("<u2").tobytes())])
-            yield pa.RecordBatch.from_arrays([column(part, "doc_id"), narrow.cast(pa.binary()), pa.nulls(len(ids), pa.int64())], names)
+            n = part.num_rows
+            narrow = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer((bounds * 2).tobytes()), pa.py_buffer(flat.astype("<u2").tobytes())])
+            yield pa.RecordBatch.from_arrays([column(part, "doc_id"), narrow.cast(pa.binary()), pa.nulls(n, pa.int64())], names)
         met = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(met, pa.int64()), pa.nulls(len(met), pa.binary()), pa.array(total[met], pa.int64())], names)
 

@@ -3,10 +3,11 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from stratapanel.llm import packing, store, token_files
+from stratapanel.llm import packing, store, token_files, tokens
 from stratapanel.llm.tokens import encoder, tokenizer_path
 
 TEXTS = [
@@ -36,6 +37,31 @@ def test_words_encode_as_the_library_does(whole):
             assert enc.encode(t) == expected(whole, t, 0)[:-1].tobytes(), t
 
 
+def test_many_texts_encode_as_the_library_does(whole, monkeypatch):
+    """Words that differ in case and marks, words of other kinds, more words than are remembered, and a slice of a batch."""
+    monkeypatch.setattr(tokens, "REMEMBERED", 8)
+    rng = np.random.default_rng(2)
+    words = ["Straße", "straße,", "ÉAUX", "éaux!!", "don't", "I'm.", "a<b", "word%%%", "_x_", "x_", "3.14", "naïve;", "Ÿ", "ÿ", "×", "e\u0301", "tab\tinside", "", "\n", "*", "The", "THE", "the.", "x" * 60, "日本語", "w\x85v", "q\xa0r"]
+    texts = [*TEXTS, *(" ".join(rng.choice(words, 40)) for _ in range(30))]
+    for enc in (tokens.WordEncoder(tokenizer_path()), tokens.WordEncoder(tokenizer_path())):
+        for first in (0, 5):
+            ids, bounds = enc.encode_all(pa.array(texts).slice(first))
+            assert len(bounds) == len(texts) - first + 1 and bounds[-1] == len(ids)
+            for t, a, b in zip(texts[first:], bounds, bounds[1:]):
+                assert ids[a:b].tobytes() == expected(whole, t, 0)[:-1].tobytes(), t
+        enc.direct = False
+        assert enc.encode_all(pa.array(texts))[0].tobytes() == b"".join(enc.encode(t) for t in texts)
+    assert len(enc.encode_all(pa.array([None, ""], pa.string()))[0]) == 0
+
+
+def test_words_that_differ_in_case_or_marks_are_merged_once(monkeypatch):
+    enc, merged = tokens.WordEncoder(tokenizer_path()), []
+    plain = enc.merges
+    monkeypatch.setattr(enc, "merges", lambda w: (merged.append(w), plain(w))[1])
+    enc.encode_all(pa.array(["Thereby thereby, THEREBY! thereby", "thereby;"]))
+    assert merged == ["thereby"]
+
+
 def test_variable_length_coding_round_trip():
     for n in (0, 1, 3, 4, 5, 1000):
         x = np.random.default_rng(n).choice([0, 1, 255, 256, 65535, 65536, 1 << 24, (1 << 32) - 1], n).astype(np.uint32)
