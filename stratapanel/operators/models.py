@@ -7,15 +7,16 @@ dates before each cutoff, and cut at equal counts, so a cutoff's bin edges are
 exact over the keys of its own embargoed rows and no row is sorted.
 
 Rows become *tiles*: the bin codes and labels of up to ``PIECE_ROWS`` rows under
-one cutoff.  Up to ``TILE_ROWS`` rows (some 40 bytes each) the tiles of a cutoff
-meet in one task per model, which grows all its rounds: the whole fit is one job,
-its models side by side, and no tree passes the driver.  More rows stay tiles,
-with an array of margins by setting.  A tree level of *every* model is then one
-job: each task turns its tiles into partial histograms (gradient, hessian and
-count per model, node, feature and bin), which are summed per model and searched
-for the best split.  Only splits reach the driver, and no task holds more than a
-tile and the histograms of its models; every few rounds the margins are written
-anew, so a lost executor costs one level.
+one cutoff.  Where there are models enough for every core, or at most ``TILE_ROWS``
+rows, the tiles of a cutoff meet in one task per model, which grows all its rounds:
+the whole fit is one job, its models side by side, and no tree passes the driver.
+The task holds ``TILE_ROWS`` rows; more lie in a file of its own.  Few models of
+more rows stay tiles, with an array of margins by setting.  A tree level of *every*
+model is then one job: each task turns its tiles into partial histograms (gradient,
+hessian and count per model, node, feature and bin), which are summed per model and
+searched for the best split.  Only splits reach the driver, and no task holds more
+than a tile and the histograms of its models; every few rounds the margins are
+written anew, so a lost executor costs one level.
 
 The fitted forest is a table of trees (setting, cutoff, round); a date is scored
 by the latest model at or before it.
@@ -23,6 +24,8 @@ by the latest model at or before it.
 
 from __future__ import annotations
 
+import os
+import tempfile
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,8 +41,8 @@ MIN_LEAF_ROWS, MIN_LEAF_HESSIAN, MIN_GAIN = 20, 1e-3, 1e-12
 GAIN_PLACES = 9
 #: Keys per unit of the natural logarithm, the key of 1.0, and the least magnitude told from zero.
 KEYS_PER_E, KEY_OF_ONE, LEAST = 1000, 25_000, 1e-10
-#: Rows up to which a task grows a model whole, rows of a tile, and rows that are worked on together in the processor's cache.
-TILE_ROWS, PIECE_ROWS, BLOCK = 5_000_000, 50_000, 16_384
+#: Rows of a model that a task holds, rows of a tile, and rows that are worked on together (65,536 at most: their places take two bytes).
+TILE_ROWS, PIECE_ROWS, BLOCK = 5_000_000, 50_000, 65_536
 #: Rows x models that a task works on at least.
 TASK_ROWS = 100_000
 STORE_EVERY = 4
@@ -281,32 +284,116 @@ def best_splits(partial: DataFrame, plan: Plan) -> pa.Table:
     return partial.groupBy("model").applyInArrow(search, _SPLIT_DDL).toArrow()
 
 
+class Blocks:
+    """Rows of one model, block by block: odds reached so far, codes by feature, labels, and the block's rows in the order of each feature's codes.
+
+    ``TILE_ROWS`` rows (24 bytes each) are held.  What comes after them lies in a file of the task, from which one block at a time is read.
+    """
+
+    def __init__(self, prior: float):
+        self.odds, self.parts, self.waiting, self.rows, self.file = float(np.exp(prior)), [], [], 0, None
+        self.counts = np.zeros((_F, 256))
+
+    def add(self, codes: np.ndarray, labels: np.ndarray) -> None:
+        """Rows, cut into blocks as soon as there are enough for one."""
+        self.waiting.append((codes, labels))
+        if sum(len(y) for _, y in self.waiting) >= BLOCK:
+            self.settle(BLOCK)
+
+    def settle(self, least: int = 1) -> None:
+        """Cut the rows that wait into blocks, while there are ``least``."""
+        if not self.waiting:
+            return
+        codes, labels = (np.concatenate(x, axis=-1) for x in zip(*self.waiting))
+        while len(labels) >= least:
+            self._block(codes[:, :BLOCK].copy(), labels[:BLOCK].copy())
+            codes, labels = codes[:, BLOCK:], labels[BLOCK:]
+        self.waiting = [(codes, labels)] if len(labels) else []
+
+    def _block(self, codes: np.ndarray, labels: np.ndarray) -> None:
+        counts = np.stack([np.bincount(c, minlength=256) for c in codes])
+        starts = [(np.flatnonzero(n), (np.cumsum(n) - n)[n > 0]) for n in counts]  # bins that occur, and where their rows begin
+        part = np.full(len(labels), self.odds), codes, labels, np.argsort(codes, axis=1, kind="stable").astype(np.uint16)
+        self.counts += counts
+        self.rows += len(labels)
+        if self.rows > TILE_ROWS:
+            self.file = self.file or tempfile.TemporaryFile(dir=os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None)
+            at = self.file.seek(0, os.SEEK_END)
+            self.file.writelines(x.tobytes() for x in part)
+            part = at
+        self.parts.append((len(labels), starts, part))
+
+    def _read(self, at: int, n: int, width: int) -> tuple[bytearray, np.ndarray, np.ndarray, np.ndarray]:
+        buffer = bytearray(n * width)
+        self.file.seek(at)
+        if self.file.readinto(buffer) < len(buffer):
+            raise OSError("A block's file is cut short")
+        small = np.frombuffer(buffer, np.uint8, (_F + 1) * n, 8 * n).reshape(-1, n)
+        return buffer, np.frombuffer(buffer, np.float64, n), small[:_F], small[_F]
+
+    def ordered(self):
+        """Blocks as (odds, codes, labels, order, starts); odds that are changed in place are kept."""
+        for n, starts, part in self.parts:
+            if not isinstance(part, int):
+                yield *part, starts
+                continue
+            buffer, odds, codes, labels = self._read(part, n, 9 + 3 * _F)
+            yield odds, codes, labels, np.frombuffer(buffer, np.uint16, offset=(9 + _F) * n).reshape(_F, n), starts
+            self.file.seek(part)
+            self.file.write(odds.tobytes())
+
+    def plain(self):
+        """Blocks as (odds, codes, labels)."""
+        for n, _, part in self.parts:
+            yield self._read(part, n, 9 + _F)[1:] if isinstance(part, int) else part[:3]
+
+
+def _slopes(odds: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Gradient and hessian as one complex number, so that both are summed at once."""
+    out, p = np.empty(len(odds), np.complex128), odds + 1.0
+    np.divide(odds, p, out=p)
+    np.subtract(p, labels, out=out.real)
+    np.multiply(p, 1.0 - p, out=out.imag)
+    return out
+
+
+def _routed(codes: np.ndarray, splits: list[tuple[int, int, int]], kind: np.dtype) -> np.ndarray:
+    """Node that each row reaches by ``splits`` (node, feature, bin), parents first."""
+    node = np.ones(codes.shape[1], kind)
+    for k, f, b in splits:
+        here = node == k
+        right = (codes[f] > b) & here
+        node += here.view(np.uint8) * kind.type(k)
+        node += right.view(np.uint8)
+    return node
+
+
 def grown(codes: np.ndarray, labels: np.ndarray, prior: float, setting: Setting, depth: int):
-    """The trees of one model round by round, as the four arrays of ``Trees``; its rows are held whole.
+    """The trees of one model round by round, as the four arrays of ``Trees``."""
+    blocks = Blocks(prior)
+    blocks.add(codes, labels)
+    return rounds(blocks, setting, depth)
 
-    Rows keep their node between levels.  Of a split node only the smaller child is counted, the other is what is left.
+
+def rounds(blocks: Blocks, setting: Setting, depth: int):
+    """The trees of the model of ``blocks``, round by round.
+
+    A level is one pass over the blocks.  Of a split node only the smaller child is counted, the other is what is left.
     """
-    n, wide = len(labels), setting.bins + 1
-    blocks = [slice(a, min(a + BLOCK, n)) for a in range(0, n, BLOCK)]
-    margin, g, h = np.full(n, prior), np.empty(n), np.empty(n)
-    node = np.zeros(n, np.min_scalar_type(2 << depth))
-    counts = np.stack([np.bincount(codes[f], minlength=wide) for f in range(_F)])
+    blocks.settle()
+    wide, kind = 256, np.min_scalar_type(2 << depth)
     leaf = lambda a, b: -setting.learning_rate * a / max(b + setting.l2, 1e-12)
-    value = np.zeros(2 << depth)
+    splits, value = [], np.zeros(2 << depth)
     for _ in range(setting.iterations):
-        cells = np.zeros((3, _F, wide))
-        cells[2] = counts
-        for b in blocks:
-            margin[b] += value[node[b]]
-            p = 1.0 / (1.0 + np.exp(-margin[b]))
-            g[b], h[b] = p - labels[b], p * (1.0 - p)
-            for f in range(_F):
-                at = codes[f, b].astype(np.intp)
-                cells[0, f] += np.bincount(at, g[b], wide)
-                cells[1, f] += np.bincount(at, h[b], wide)
+        total, factor = np.zeros((_F, wide), np.complex128), np.exp(value)
+        for odds, codes, labels, order, starts in blocks.ordered():
+            odds *= factor.take(_routed(codes, splits, kind))
+            slopes = _slopes(odds, labels)
+            for f, (bins, first) in enumerate(starts):
+                total[f, bins] += np.add.reduceat(slopes.take(order[f].astype(np.intp)), first)
+        cells = np.stack([total.real, total.imag, blocks.counts])
         feature, bin_, gain, value = np.full(1 << depth, -1, np.int8), np.zeros(1 << depth, np.int16), np.full(1 << depth, np.nan), np.zeros(2 << depth)
-        node[:] = 1
-        open_ = {1: cells}
+        splits, open_ = [], {1: cells}
         for level in range(setting.max_depth):
             split, small = [], []
             for k, own in open_.items():
@@ -319,26 +406,22 @@ def grown(codes: np.ndarray, labels: np.ndarray, prior: float, setting: Setting,
                     left = own[2, found["feature"], : found["bin"] + 1].sum()
                     split.append(k)
                     small.append(2 * k + int(2 * left > own[2, 0].sum()))
-            last = level + 1 == setting.max_depth
-            slot = np.full(2 << depth, -1, np.int8 if len(small) < 128 else np.int32)
-            slot[small] = np.arange(len(small))
-            sums = np.zeros((3, _F, len(small) * wide))
-            for b in blocks if split else ():
-                now = node[b].copy()
-                for k in split:
-                    now += (node[b] == k) * ((codes[feature[k], b] > bin_[k]).astype(now.dtype) + now.dtype.type(k))
-                node[b] = now
-                if not last:
-                    which = slot[now]
-                    rows = np.flatnonzero(which >= 0)
-                    place, own_g, own_h = which[rows].astype(np.intp) * wide, g[b][rows], h[b][rows]
-                    for f in range(_F):
-                        sums[:, f] += _sums(place + codes[f, b][rows], own_g, own_h, len(small) * wide)
-            if last or not split:
+            splits += [(k, int(feature[k]), int(bin_[k])) for k in split]
+            if level + 1 == setting.max_depth or not split:
                 break
+            sums, counts = np.zeros((len(small), _F, wide), np.complex128), np.zeros((len(small), _F, wide))
+            for odds, codes, labels in blocks.plain():
+                node = _routed(codes, splits, kind)
+                for j, s in enumerate(small):
+                    rows = np.flatnonzero(node == s)
+                    slopes = _slopes(odds.take(rows), labels.take(rows))
+                    for f in range(_F):
+                        at = codes[f].take(rows).astype(np.intp)
+                        np.add.at(sums[j, f], at, slopes)
+                        counts[j, f] += np.bincount(at, minlength=wide)
             fresh = {}
-            for j, (k, s) in enumerate(zip(split, small)):
-                one = sums[:, :, j * wide: (j + 1) * wide]
+            for k, s, both, n in zip(split, small, sums, counts):
+                one = np.stack([both.real, both.imag, n])
                 rest = open_[k] - one
                 rest[:2, rest[2] == 0] = 0.0  # bins without rows: exactly nothing, so their ties stay ties
                 fresh[s], fresh[s ^ 1] = one, rest
@@ -347,25 +430,37 @@ def grown(codes: np.ndarray, labels: np.ndarray, prior: float, setting: Setting,
 
 
 def whole_models(tiles: DataFrame, plan: Plan, days: list, prior: np.ndarray, edges: dict) -> DataFrame:
-    """The table of trees, every model grown by one task from its cutoff's tiles."""
+    """The table of trees, every model grown by one task from its cutoff's tiles, which it reads one after the other."""
     n = len(plan.settings)
     numbers = F.array(*[F.struct(F.lit(s.bins).alias("bins"), F.lit(i).alias("number")) for i, s in enumerate(plan.settings)])
     own = F.explode(F.filter(numbers, lambda x: x["bins"] == F.col("bins")))
 
-    def grow(table: pa.Table) -> pa.Table:
-        cutoff, number = divmod(table.column("model")[0].as_py(), n)
-        table, setting = table.sort_by("tile"), plan.settings[number]
-        codes = np.concatenate([np.frombuffer(x.as_buffer(), np.uint8).reshape(_F, -1) for x in table.column("codes")], axis=1)
-        labels = np.concatenate([np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("labels")])
-        rows = _Rows()
+    def grow(model: int, blocks: Blocks) -> pa.RecordBatch:
+        cutoff, number = divmod(model, n)
+        setting, rows = plan.settings[number], _Rows()
         rows.add(setting, days[cutoff], prior[cutoff], 0)
-        for step, tree in enumerate(grown(codes, labels, prior[cutoff], setting, plan.depth)):
+        for step, tree in enumerate(rounds(blocks, setting, plan.depth)):
             rows.add(setting, days[cutoff], prior[cutoff], step + 1, tree, edges[setting.bins, cutoff])
-        return rows.table()
+        return rows.table().combine_chunks().to_batches()[0]
 
-    # As many partitions as models, which the optimizer does not join: bytes say little of the work.
+    def run(batches):
+        model, blocks = None, None
+        for batch in batches:
+            models, codes, labels = (batch.column(c) for c in ("model", "codes", "labels"))
+            for k in range(batch.num_rows):
+                if models[k].as_py() != model:
+                    if blocks:
+                        yield grow(model, blocks)
+                    model = models[k].as_py()
+                    blocks = Blocks(prior[model // n])
+                blocks.add(np.frombuffer(codes[k].as_buffer(), np.uint8).reshape(_F, -1), np.frombuffer(labels[k].as_buffer(), np.uint8))
+        if blocks:
+            yield grow(model, blocks)
+
+    # A partition is a model, and those with the most rows begin first.
     models = tiles.withColumn("_own", own).select((F.col("cutoff") * n + F.col("_own.number")).alias("model"), "tile", "codes", "labels")
-    return models.repartition(len(days) * n, "model").groupBy("model").applyInArrow(grow, _TREE_DDL)
+    turn = (len(days) - 1 - F.floor(F.col("model") / n)) * n + F.col("model") % n
+    return models.repartitionById(len(days) * n, turn.cast("int")).sortWithinPartitions("model", "tile").mapInArrow(run, _TREE_DDL)
 
 
 def _priors(rows: DataFrame, cutoffs: list) -> tuple[list[tuple[int, int]], np.ndarray]:
@@ -494,7 +589,8 @@ def predict(rows: DataFrame, trees: DataFrame) -> DataFrame:
     for r in trees.orderBy("setting", "cutoff", "round").toArrow().to_pylist():
         model = forest.setdefault(r["setting"], {}).setdefault(r["cutoff"], {"prior": r["prior"], "trees": []})
         if r["round"]:
-            model["trees"].append((np.array(r["feature"], np.int8), np.array(r["threshold"], np.int32), np.array(r["value"])))
+            splits = [(k, f, t) for k, (f, t) in enumerate(zip(r["feature"], r["threshold"])) if f >= 0]
+            model["trees"].append((splits, np.array(r["value"])))
     asof = {s: (np.array(sorted(m), "datetime64[D]"), [m[c] for c in sorted(m)]) for s, m in forest.items()}
     sent = spark.sparkContext.broadcast(asof)
     names = list(rows.columns)
@@ -504,15 +600,15 @@ def predict(rows: DataFrame, trees: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             dates = batch.column(names.index("date")).to_numpy(zero_copy_only=False).astype("datetime64[D]")
-            keys = batch.column(len(names)).flatten().to_numpy().reshape(-1, _F)
+            keys = np.ascontiguousarray(batch.column(len(names)).flatten().to_numpy().reshape(-1, _F).T)
             for setting, (cuts, models) in sent.value.items():
                 which = np.searchsorted(cuts, dates, side="right") - 1
                 margin = np.zeros(batch.num_rows)
                 for w in np.unique(which[which >= 0]):
                     at = np.flatnonzero(which == w)
-                    own, total = keys[at], np.full(len(at), models[w]["prior"])
-                    for feature, threshold, value in models[w]["trees"]:
-                        total += value[reached(own, feature, threshold, len(feature).bit_length() - 1)]
+                    own, total = keys.take(at, axis=1), np.full(len(at), models[w]["prior"])
+                    for splits, value in models[w]["trees"]:
+                        total += value.take(_routed(own, splits, np.min_scalar_type(len(value))))
                     margin[at] = total
                 known = np.flatnonzero(which >= 0)
                 part = batch.take(pa.array(known))
@@ -520,7 +616,7 @@ def predict(rows: DataFrame, trees: DataFrame) -> DataFrame:
                     [*part.columns[:-1], pa.array([setting] * len(known), pa.string()), pa.array(cuts[which[known]], pa.date32()), pa.array(1.0 / (1.0 + np.exp(-margin[known])), pa.float64())],
                     [*names, "setting", "cutoff", "ml_score"])
 
-    ready = keyed(rows)
+    ready = keyed(rows).sortWithinPartitions("date")  # a batch's rows share models
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     return ready.select(*names, "keys").mapInArrow(run, f"{fields}, setting string, cutoff date, ml_score double")
 

@@ -196,3 +196,24 @@ def test_smaller_child_counts_match_plain_boosting(monkeypatch):
         for feature, bin_, _, value in ML.grown(np.ascontiguousarray(codes.T), y, prior, setting, 3):
             margin += value[ML.reached(codes, feature, bin_, 3)]
         assert margin == pytest.approx(plain_boosting(codes, y.astype(float), setting), abs=1e-9)
+
+
+def random_rows(n):
+    rng = np.random.default_rng(8)
+    codes = rng.integers(0, 9, (5, n)).astype(np.uint8)
+    return codes, (rng.random(n) < 0.2 + 0.6 * (codes[0] > 5)).astype(np.uint8)
+
+
+def test_a_partition_holds_one_model_and_the_largest_begin(spark):
+    """Models that share a partition run one after the other while cores are idle."""
+    days, plan = month_ends(6), ML.Plan((replace(SETTING, name="a"), replace(SETTING, name="b")))
+    tiles = []
+    for c in range(6):
+        codes, y = random_rows(100 + 20 * c)
+        tiles.append((c, 8, 0, bytes(np.minimum(codes, 7).tobytes()), bytes(y.tobytes())))
+    tiles = spark.createDataFrame(tiles, "cutoff int, bins int, tile long, codes binary, labels binary")
+    edges = {(8, c): [np.arange(7)] * 5 for c in range(6)}
+    rows = ML.whole_models(tiles, plan, days, np.zeros(6), edges).withColumn("part", F.spark_partition_id())
+    parts = {r["part"]: (r["n"], r["cutoff"]) for r in rows.groupBy("part").agg(F.count_distinct("setting", "cutoff").alias("n"), F.max("cutoff").alias("cutoff")).collect()}
+    assert len(parts) == 12 and {n for n, _ in parts.values()} == {1}
+    assert [parts[k][1] for k in sorted(parts)] == [d for d in reversed(days) for _ in "ab"]
