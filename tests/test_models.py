@@ -217,3 +217,20 @@ def test_a_partition_holds_one_model_and_the_largest_begin(spark):
     parts = {r["part"]: (r["n"], r["cutoff"]) for r in rows.groupBy("part").agg(F.count_distinct("setting", "cutoff").alias("n"), F.max("cutoff").alias("cutoff")).collect()}
     assert len(parts) == 12 and {n for n, _ in parts.values()} == {1}
     assert [parts[k][1] for k in sorted(parts)] == [d for d in reversed(days) for _ in "ab"]
+
+
+def test_rows_beyond_the_held_ones_lie_in_a_file(monkeypatch):
+    """A task's memory does not grow with the rows of its model."""
+    monkeypatch.setattr(ML, "BLOCK", 70)
+    monkeypatch.setattr(ML, "TILE_ROWS", 150)
+    codes, y = random_rows(400)
+    setting, prior = ML.Setting("a", 3, 1.0, 6, 0.3, 9), np.log(y.mean() / (1 - y.mean()))
+    blocks = ML.Blocks(prior)
+    for part in np.array_split(np.arange(400), 9):
+        blocks.add(codes[:, part], y[part])
+    margin = np.full(400, prior)
+    for feature, bin_, _, value in ML.rounds(blocks, setting, 3):
+        margin += value[ML.reached(codes.T, feature, bin_, 3)]
+    assert margin == pytest.approx(plain_boosting(codes.T, y.astype(float), setting), abs=1e-9)
+    assert sum(n for n, _, part in blocks.parts) == 400 and blocks.file is not None
+    assert sum(n for n, _, part in blocks.parts if not isinstance(part, int)) <= 150
