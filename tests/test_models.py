@@ -234,3 +234,22 @@ def test_rows_beyond_the_held_ones_lie_in_a_file(monkeypatch):
     assert margin == pytest.approx(plain_boosting(codes.T, y.astype(float), setting), abs=1e-9)
     assert sum(n for n, _, part in blocks.parts) == 400 and blocks.file is not None
     assert sum(n for n, _, part in blocks.parts if not isinstance(part, int)) <= 150
+
+
+def test_jobs_do_not_grow_with_the_rounds_of_many_large_models(dataset, monkeypatch):
+    """More rows than a task holds, models for every core: still one job; fewer models go level by level and score alike."""
+    context = dataset.sparkSession.sparkContext
+    first = cut(dataset).agg(F.min("prediction_date").alias("prediction_date")).cache()
+    many = lambda rounds: tuple(replace(SETTING, name=f"s{i}", iterations=rounds) for i in range(context.defaultParallelism))
+    whole = ML.walk_forward_scores(dataset, first, many(2)[:1]).collect()
+    monkeypatch.setattr(ML, "TILE_ROWS", 50)
+    jobs = {}
+    for rounds in (1, 2, 12):  # the first fills the cache
+        context.setJobGroup(f"large{rounds}", "fit")
+        trees = ML.fit(dataset, first, many(rounds))
+        jobs[rounds] = len(context.statusTracker().getJobIdsForGroup(f"large{rounds}"))
+    context.setJobGroup("", "")
+    assert jobs[2] == jobs[12] > 0 and trees.count() == 13 * context.defaultParallelism
+    for settings in (many(2)[:1], many(2)):
+        got = {r["ticker"]: r["ml_score"] for r in ML.walk_forward_scores(dataset, first, settings).where("candidate = 's0'").collect()}
+        assert got and got == pytest.approx({r["ticker"]: r["ml_score"] for r in whole}, abs=1e-9)
